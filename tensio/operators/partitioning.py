@@ -19,3 +19,17 @@ def spread_for_cpu(df: DataFrame, min_partitions: int | None = None) -> DataFram
     if have >= want:
         return df
     return df.repartition(want)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the reliable checkpoint directory and continue from the copy.
+
+    Used at stage boundaries whose output is read several times (e.g. the labelled corpus
+    that balancing reads three times), so the upstream cleaning and scoring run once.
+    The copy lives in ``spark.checkpoint.dir`` (shared storage on a cluster), so it
+    survives the loss of an executor; there is no local (executor-disk) checkpoint.
+    """
+    from tensio.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -15,6 +15,7 @@ from tensio.functions import text as T
 from tensio.functions.lexicons import PROFILE_V2
 from tensio.operators import cleaning, corpus, encode, evaluate, sampling, sentiment, topics
 from tensio.operators.cleaning import CLEAN, SCORE
+from tensio.operators.partitioning import materialize
 from tensio.plans import flows
 from tensio.plans.demo import DEMO_PROFILE, DEMO_TOPIC_LABELS, DEMO_TOPICS, V2_AT_025
 from tensio.sources.adapters import label_distribution as _label_distribution
@@ -247,7 +248,7 @@ def q_seeded_sample(spark, sf):
 
 
 def q_stratified_split(spark, sf):
-    bal = flows.balanced_documents(spark, sf).select("row_key", "sentiment")
+    bal = materialize(flows.balanced_documents(spark, sf).select("row_key", "sentiment"))
     return sampling.stratified_split(bal, "sentiment", "row_key")
 
 
@@ -320,8 +321,8 @@ def q_combined_negative(spark, sf):
 def q_classify_posts(spark, sf):
     from tensio.operators import classify
 
-    bal = flows.balanced_documents(spark, sf).select("row_key", "doc_id", CLEAN, "sentiment")
-    split = sampling.stratified_split(bal, "sentiment", "row_key")
+    bal = materialize(flows.balanced_documents(spark, sf).select("row_key", "doc_id", CLEAN, "sentiment"))
+    split = materialize(sampling.stratified_split(bal, "sentiment", "row_key"))
     model = classify.train_classifier(split.filter(F.col("fold") == "train"))
     scored = classify.predict(model, split)
     return evaluate.prediction_record(scored, CLEAN, ["p0", "p1", "p2"])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tensio.functions.lexicons import RANDOM_SEED
 from tensio.operators import corpus, encode, evaluate, sampling, sentiment
 from tensio.operators.cleaning import CLEAN
-from tensio.operators.partitioning import spread_for_cpu
+from tensio.operators.partitioning import materialize, spread_for_cpu
 from tensio.plans.demo import demo_lexicon
 from tensio.sources.tables import read_table
 
@@ -43,9 +43,15 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentiment.label_posts(document_corpus(spark, sf_dir), demo_lexicon(spark), "doc_id")
 
 
+def labelled_corpus_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled corpus written once; balancing and splitting read it several times."""
+    lab = labelled_documents(spark, sf_dir).select("doc_id", CLEAN, "sentiment")
+    return materialize(lab)
+
+
 def balanced_documents(spark: SparkSession, sf_dir: str, seed: int = RANDOM_SEED) -> DataFrame:
     """Labelled corpus balanced to the median class; ``row_key`` = ``doc_id:replica``."""
-    lab = labelled_documents(spark, sf_dir).select("doc_id", CLEAN, "sentiment")
+    lab = labelled_corpus_stage(spark, sf_dir)
     bal = sampling.balance_classes(lab, "sentiment", "doc_id", seed=seed)
     return bal.withColumn("row_key", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("replica").cast("string")))
 
@@ -82,7 +88,8 @@ def platform_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corpus with ``seq`` (token ids over the corpus vocabulary)."""
-    corp = document_corpus(spark, sf_dir)
+    """Corpus with ``seq`` (token ids over the corpus vocabulary); the corpus is written
+    once because both the vocabulary fit and the encoding read it."""
+    corp = materialize(document_corpus(spark, sf_dir))
     vocab = encode.vocabulary(corp, CLEAN)
     return encode.sequences(corp, CLEAN, vocab)

@@ -23,7 +23,10 @@ from pyspark.sql import types as TY
 from tensio.functions.lexicons import NA_TOKENS
 from tensio.functions.text import na_to_null
 
-CORRUPT = "_corrupt_record"
+# Empty header cells read as NULL make Spark's header check fail; with a null marker that
+# never occurs they stay '' (Spark then names them _c<i>) and '' becomes NULL afterwards
+# through the missing-token step.
+_NO_NULL_MARKER = "\u0000tensio-no-null\u0000"
 
 
 class SourceError(Exception):
@@ -38,7 +41,7 @@ def _reader(spark: SparkSession, sep: str, header: bool, encoding: str, multilin
         .option("quote", '"')
         .option("escape", '"')
         .option("encoding", encoding)
-        .option("nullValue", None)
+        .option("nullValue", _NO_NULL_MARKER if header else "")
         .option("emptyValue", "")
     )
 
@@ -47,7 +50,7 @@ def normalise_missing(df: DataFrame, na_tokens: Sequence[str] = NA_TOKENS) -> Da
     """Whole-value missing tokens → NULL in every string column."""
     cols = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, TY.StringType) and f.name != CORRUPT:
+        if isinstance(f.dataType, TY.StringType):
             cols.append(na_to_null(F.col(f"`{f.name}`"), na_tokens).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
@@ -86,29 +89,30 @@ def read_csv_tolerant(
     encoding: str = "UTF-8",
     na_tokens: Sequence[str] = NA_TOKENS,
 ) -> tuple[DataFrame, DataFrame]:
-    """Read with ``schema``; lines with too many fields are dropped.
+    """Read with ``schema``; lines with too many fields are dropped, short lines kept.
 
-    Returns ``(rows, report)`` where ``report`` is a one-row DataFrame with the number of
-    skipped lines.  A flagged line is re-parsed with one extra field: if that field is
-    filled, the line had too many fields.
+    Every field is read as text with one extra trailing field: a filled extra field means
+    the line had too many fields.  The kept fields are then cast to ``schema``'s types
+    (a value that does not parse becomes NULL).  Returns ``(rows, report)``; ``report`` is a
+    one-row DataFrame with the number of lines read and of lines skipped.
     """
-    with_corrupt = TY.StructType(list(schema.fields) + [TY.StructField(CORRUPT, TY.StringType())])
-    reader = (
-        _reader(spark, sep, header, encoding, False)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .schema(with_corrupt)
+    extra = "_extra_field"
+    text_schema = TY.StructType(
+        [TY.StructField(f.name, TY.StringType()) for f in schema.fields] + [TY.StructField(extra, TY.StringType())]
     )
+    reader = _reader(spark, sep, header, encoding, False).option("mode", "PERMISSIVE").schema(text_schema)
     try:
-        df = reader.csv(path)
+        raw = reader.csv(path)
     except AnalysisException as e:
         raise SourceError(f"{path}: {e}") from e
-    wide = TY.StructType([TY.StructField(f"f{i}", TY.StringType()) for i in range(len(schema.fields) + 1)])
-    reparsed = F.from_csv(F.col(CORRUPT), wide.simpleString()[len("struct<"):-1], {"sep": sep})
-    too_long = F.col(CORRUPT).isNotNull() & reparsed[f"f{len(schema.fields)}"].isNotNull()
-    flagged = df.withColumn("_too_long", too_long)
-    rows = normalise_missing(flagged.filter(~F.col("_too_long")).drop("_too_long", CORRUPT), na_tokens)
-    report = flagged.agg(F.count_if(F.col("_too_long")).alias("skipped_lines"))
+    raw = normalise_missing(raw, na_tokens)
+    too_long = F.col(extra).isNotNull()
+    typed = [
+        (F.col(f.name) if isinstance(f.dataType, TY.StringType) else F.trim(F.col(f.name)).try_cast(f.dataType)).alias(f.name)
+        for f in schema.fields
+    ]
+    rows = raw.filter(~too_long).select(*typed)
+    report = raw.agg(F.count(F.lit(1)).alias("lines"), F.count_if(too_long).alias("skipped_lines"))
     return rows, report
 
 
