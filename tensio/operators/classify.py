@@ -35,10 +35,14 @@ def train_classifier(
     label: str = "sentiment",
     weights: Mapping[int, float] = CLASS_WEIGHTS,
     max_words: int = MAX_WORDS,
-    max_iter: int = 50,
+    max_iter: int = 20,
     reg_param: float = 0.01,
 ) -> PipelineModel:
-    """Fit tokenizer + vocabulary + weighted multinomial logistic regression."""
+    """Fit tokenizer + vocabulary + weighted multinomial logistic regression.
+
+    ``max_iter`` (solver passes over the data) defaults to the original training budget
+    of at most 20 epochs.
+    """
     data = train.select(text_col, F.col(label).cast("double").alias("_y"), _weight_column(label, weights).alias("_w"))
     stages = [
         RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=" ", toLowercase=True),

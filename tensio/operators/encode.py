@@ -68,10 +68,20 @@ def pad(seq: Column | str, max_len: int = MAX_LEN, value: int = 0) -> Column:
     return F.slice(F.concat(s, F.array_repeat(F.lit(value), F.lit(max_len))), 1, max_len)
 
 
-def label_index(df: DataFrame, label: str, out: str = "label_idx") -> DataFrame:
-    """Index of each label in the sorted distinct labels (0-based)."""
+LABEL_INDEX_LIMIT = 100_000
+
+
+def label_index(df: DataFrame, label: str, out: str = "label_idx", limit: int = LABEL_INDEX_LIMIT) -> DataFrame:
+    """Index of each label in the sorted distinct labels (0-based).
+
+    Meant for class labels.  The distinct labels are counted first; up to ``limit`` of them
+    are numbered in one partition and broadcast, more is refused (numbering an unbounded
+    label set in one task would not scale).
+    """
     distinct = df.select(label).distinct()
-    # one row per distinct label (a handful of classes)
+    n = distinct.count()
+    if n > limit:
+        raise ValueError(f"{n} distinct labels in {label!r}, more than the {limit} an index is built for")
     indexed = distinct.withColumn(out, (F.dense_rank().over(Window.orderBy(label)) - 1).cast("int"))
     return df.join(F.broadcast(indexed), label)
 

@@ -18,6 +18,7 @@ class may hold a third of all rows), so it is done in three steps:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +29,8 @@ from tensio.functions.lexicons import MIN_SAMPLES_PER_CLASS, RANDOM_SEED, TEST_F
 HASH = "_h"
 BUCKET = "_b"
 BUCKET_HEX_DIGITS = 3
+# The cut table has ≤ 4096 rows per group; it is broadcast up to this many groups.
+BROADCAST_GROUPS = 256
 
 
 def row_hash(seed: int, key: Column, replica: Column | None = None) -> Column:
@@ -37,12 +40,21 @@ def row_hash(seed: int, key: Column, replica: Column | None = None) -> Column:
     return F.md5(F.concat(*parts))
 
 
-def flag_smallest(df: DataFrame, group: str | None, limit: Column, order_tail: Sequence[str], flag: str) -> DataFrame:
+def flag_smallest(
+    df: DataFrame,
+    group: str | None,
+    limit: Column,
+    order_tail: Sequence[str],
+    flag: str,
+    groups_hint: int | None = None,
+) -> DataFrame:
     """Add boolean ``flag``: is the row among the ``limit`` smallest ``_h`` of its group.
 
     ``df`` must hold ``_h`` (hex string) and the column(s) ``limit`` refers to; ``limit`` is
     the same for all rows of a group.  Ties on ``_h`` are broken by ``order_tail``.
-    ``group=None`` treats the whole frame as one group.
+    ``group=None`` treats the whole frame as one group.  ``groups_hint`` is the number of
+    groups when the caller knows it; otherwise it is counted.  The cut table is broadcast
+    only for up to ``BROADCAST_GROUPS`` groups; beyond, Spark plans an ordinary join.
     """
     g = [group] if group else []
     rows = df.withColumn(BUCKET, F.substring(HASH, 1, BUCKET_HEX_DIGITS)).withColumn("_limit", limit.cast("long"))
@@ -58,7 +70,9 @@ def flag_smallest(df: DataFrame, group: str | None, limit: Column, order_tail: S
         .alias("_state"),
         (F.col("_limit") - F.col("_before")).alias("_room"),
     )
-    tagged = rows.drop("_limit").join(F.broadcast(cut), [*g, BUCKET])
+    n_groups = 1 if not g else (groups_hint if groups_hint is not None else df.select(*g).distinct().count())
+    cut_side = F.broadcast(cut) if n_groups <= BROADCAST_GROUPS else cut
+    tagged = rows.drop("_limit").join(cut_side, [*g, BUCKET])
     decided = tagged.filter(F.col("_state") != "edge").withColumn(flag, F.col("_state") == "in")
     edge = tagged.filter(F.col("_state") == "edge")
     rank = F.row_number().over(Window.partitionBy(*g, BUCKET).orderBy(HASH, *order_tail))
@@ -66,15 +80,40 @@ def flag_smallest(df: DataFrame, group: str | None, limit: Column, order_tail: S
     return decided.unionByName(edge).drop(BUCKET, "_state", "_room")
 
 
+MAX_CLASSES = 256
+
+
 def class_counts(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
+def collect_class_counts(df: DataFrame, label: str, max_classes: int = MAX_CLASSES) -> dict:
+    """``{class: rows}`` — one aggregate pass; refuses more than ``max_classes`` classes,
+    which bounds everything derived from it (plan tables, broadcasts)."""
+    rows = class_counts(df, label).limit(max_classes + 1).collect()
+    if len(rows) > max_classes:
+        raise ValueError(f"more than {max_classes} distinct values in {label!r}; not a class label")
+    return {r[label]: r["n"] for r in rows}
+
+
 def balance_target(counts: DataFrame, min_per_class: int = MIN_SAMPLES_PER_CLASS) -> DataFrame:
     """One row: ``max(floor(median(class sizes)), min_per_class)`` over present classes."""
     return counts.agg(F.greatest(F.floor(F.median("n")), F.lit(min_per_class)).cast("long").alias("target"))
 
 
+def target_size(sizes: Sequence[int], min_per_class: int = MIN_SAMPLES_PER_CLASS) -> int:
+    """``max(int(median(sizes)), min_per_class)``; an even count averages the middle two."""
+    v = sorted(sizes)
+    m = len(v)
+    med = v[m // 2] if m % 2 else (v[m // 2 - 1] + v[m // 2]) / 2
+    return max(int(med), min_per_class)
+
+
+def _class_table(df: DataFrame, label: str, rows: list[tuple], cols: str) -> DataFrame:
+    ltype = df.schema[label].dataType.simpleString()
+    return df.sparkSession.createDataFrame(rows, f"{label} {ltype}, {cols}")
+
+
 def balance_classes(
     df: DataFrame,
     label: str,
@@ -87,15 +126,16 @@ def balance_classes(
 
     Output: the input columns plus ``replica`` (1-based copy number).
     """
-    counts = class_counts(df, label)
-    # ≤ one row per class: the window and the broadcast below are bounded by the classes
-    median = F.median("n").over(Window.partitionBy())
-    plan = counts.withColumn("target", F.greatest(F.floor(median), F.lit(min_per_class)).cast("long"))
-    plan = plan.withColumn("_copies", F.ceil(F.col("target") / F.col("n")).cast("int")).select(label, "target", "_copies")
+    counts = collect_class_counts(df, label)
+    target = target_size(list(counts.values()), min_per_class)
+    plan = _class_table(
+        df, label, [(c, target, math.ceil(target / n)) for c, n in counts.items()], "target long, _copies int"
+    )
+    # the plan has one row per class (≤ MAX_CLASSES): a bounded broadcast
     rows = df.join(F.broadcast(plan), label)
     rows = rows.withColumn("replica", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     rows = rows.withColumn(HASH, row_hash(seed, F.col(key), F.col("replica")))
-    picked = flag_smallest(rows, label, F.col("target"), [key, "replica"], "_pick")
+    picked = flag_smallest(rows, label, F.col("target"), [key, "replica"], "_pick", groups_hint=len(counts))
     return picked.filter("_pick").drop("_pick", HASH, "target", "_copies")
 
 
@@ -106,24 +146,22 @@ def seeded_sample(df: DataFrame, n: int, key: str, seed: int = RANDOM_SEED) -> D
     return picked.filter("_pick").drop("_pick", HASH)
 
 
-def split_sizes(counts: DataFrame, label: str, test_fraction: float = TEST_FRACTION) -> DataFrame:
-    """Per class: how many rows go to the test fold.
+def split_sizes(counts: dict, test_fraction: float = TEST_FRACTION) -> dict:
+    """``{class: test rows}``.
 
     ``n_test = ceil(f·N)``, ``n_train = N - n_test``; train rows are allotted to classes in
     proportion, rounding down, and the remaining ones go to the classes with the largest
     fractional parts (ties: lower label first).  Test rows per class are the rest.
-    Input has at most one row per class, so the windows here run over a handful of rows.
     """
-    whole = Window.partitionBy()
-    c = counts.withColumn("_N", F.sum("n").over(whole))
-    c = c.withColumn("_n_test", F.ceil(F.lit(test_fraction) * F.col("_N")))
-    c = c.withColumn("_n_train", F.col("_N") - F.col("_n_test"))
-    c = c.withColumn("_cont", (F.col("n") / F.col("_N")) * F.col("_n_train"))
-    c = c.withColumn("_floor", F.floor("_cont"))
-    c = c.withColumn("_need", F.col("_n_train") - F.sum("_floor").over(whole))
-    c = c.withColumn("_rank", F.row_number().over(Window.orderBy(F.desc(F.col("_cont") - F.col("_floor")), label)))
-    c = c.withColumn("train_n", F.col("_floor") + F.when(F.col("_rank") <= F.col("_need"), 1).otherwise(0))
-    return c.select(label, "n", F.col("train_n").cast("long"), (F.col("n") - F.col("train_n")).cast("long").alias("test_n"))
+    total = sum(counts.values())
+    n_test = math.ceil(test_fraction * total)
+    n_train = total - n_test
+    cont = {c: n / total * n_train for c, n in counts.items()}
+    train = {c: math.floor(v) for c, v in cont.items()}
+    need = n_train - sum(train.values())
+    for c in sorted(cont, key=lambda c: (-(cont[c] - train[c]), c))[:need]:
+        train[c] += 1
+    return {c: counts[c] - train[c] for c in counts}
 
 
 def stratified_split(
@@ -135,9 +173,10 @@ def stratified_split(
     out: str = "fold",
 ) -> DataFrame:
     """Add ``fold`` = ``'test'`` / ``'train'``; per class exactly ``test_n`` rows are test."""
-    sizes = split_sizes(class_counts(df, label), label, test_fraction).select(label, "test_n")
-    rows = df.join(F.broadcast(sizes), label).withColumn(HASH, row_hash(seed, F.col(key)))
-    flagged = flag_smallest(rows, label, F.col("test_n"), [key], "_test")
+    sizes = split_sizes(collect_class_counts(df, label), test_fraction)
+    table = _class_table(df, label, list(sizes.items()), "test_n long")
+    rows = df.join(F.broadcast(table), label).withColumn(HASH, row_hash(seed, F.col(key)))
+    flagged = flag_smallest(rows, label, F.col("test_n"), [key], "_test", groups_hint=len(sizes))
     return flagged.withColumn(out, F.when(F.col("_test"), F.lit("test")).otherwise(F.lit("train"))).drop(
         "_test", HASH, "test_n"
     )

@@ -29,6 +29,9 @@ def _ints_to_text(col) -> F.Column:
 
 
 # ---- cleaning and scoring (O23, O24, O30-O32, O18, O39, O41, O42b, O22) ----------------
+# Flows that dedupe first read the table as is: the dedupe exchange already spreads the
+# regex work over the shuffle partitions.  Flows that clean right after the scan use
+# ``flows.texts``, which spreads a scan that has fewer splits than cores.
 
 
 def q_clean_text(spark, sf):
@@ -62,38 +65,38 @@ def q_relevance_score(spark, sf):
 
 
 def q_dedupe_raw(spark, sf):
-    return cleaning.dedupe_first(flows.texts(spark, sf, "documents"), ["text"], ["doc_id"])
+    return cleaning.dedupe_first(read_table(spark, sf, "documents"), ["text"], ["doc_id"])
 
 
 def q_clean_dataset(spark, sf):
     """Reference dictionaries and effective weights, cut at 0.25."""
-    return cleaning.clean_dataset(flows.texts(spark, sf, "documents"), "text", ["doc_id"], V2_AT_025)
+    return cleaning.clean_dataset(read_table(spark, sf, "documents"), "text", ["doc_id"], V2_AT_025)
 
 
 def q_relevant_posts_demo(spark, sf):
     """The same flow with the demo families at the reference's 0.5 threshold."""
-    return cleaning.clean_dataset(flows.texts(spark, sf, "documents"), "text", ["doc_id"], DEMO_PROFILE)
+    return cleaning.clean_dataset(read_table(spark, sf, "documents"), "text", ["doc_id"], DEMO_PROFILE)
 
 
 def q_stage_counts(spark, sf):
-    return cleaning.stage_counts(flows.texts(spark, sf, "documents"), "text", DEMO_PROFILE)
+    return cleaning.stage_counts(read_table(spark, sf, "documents"), "text", DEMO_PROFILE)
 
 
 def q_score_describe(spark, sf):
-    docs = cleaning.dedupe_first(flows.texts(spark, sf, "documents"), ["text"], ["doc_id"])
+    docs = cleaning.dedupe_first(read_table(spark, sf, "documents"), ["text"], ["doc_id"])
     scored = cleaning.score_posts(docs, "text", DEMO_PROFILE)
     d = cleaning.score_describe(scored)
     return d.select("count", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
 
 def q_term_count_means(spark, sf):
-    kept = cleaning.clean_dataset(flows.texts(spark, sf, "documents"), "text", ["doc_id"], DEMO_PROFILE)
+    kept = cleaning.clean_dataset(read_table(spark, sf, "documents"), "text", ["doc_id"], DEMO_PROFILE)
     m = cleaning.term_count_means(kept, DEMO_PROFILE)
     return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
 
 
 def q_preview_posts(spark, sf):
-    kept = cleaning.clean_dataset(flows.texts(spark, sf, "documents"), "text", ["doc_id"], DEMO_PROFILE)
+    kept = cleaning.clean_dataset(read_table(spark, sf, "documents"), "text", ["doc_id"], DEMO_PROFILE)
     return cleaning.preview(kept, "text", ["doc_id"])
 
 
