@@ -322,13 +322,17 @@ def q_combined_negative(spark, sf):
 
 
 def q_classify_posts(spark, sf):
-    from tensio.operators import classify
+    """Train on the balanced training fold, predict every post (prediction records)."""
+    from tensio.plans.sentiment_flow import run_sentiment
 
-    bal = materialize(flows.balanced_documents(spark, sf).select("row_key", "doc_id", CLEAN, "sentiment"))
-    split = materialize(sampling.stratified_split(bal, "sentiment", "row_key"))
-    model = classify.train_classifier(split.filter(F.col("fold") == "train"))
-    scored = classify.predict(model, split)
-    return evaluate.prediction_record(scored, CLEAN, ["p0", "p1", "p2"])
+    return run_sentiment(flows.labelled_corpus_stage(spark, sf), "doc_id").predictions
+
+
+def q_classifier_report(spark, sf):
+    """Classification report of the trained classifier on the held-out fold."""
+    from tensio.plans.sentiment_flow import run_sentiment
+
+    return run_sentiment(flows.labelled_corpus_stage(spark, sf), "doc_id").report
 
 
 QUERIES: dict[str, Query] = {
@@ -381,4 +385,5 @@ QUERIES: dict[str, Query] = {
     "platform_sentiment_summary": q_platform_sentiment_summary,
     "combined_negative": q_combined_negative,
     "classify_posts": q_classify_posts,
+    "classifier_report": q_classifier_report,
 }

@@ -56,3 +56,24 @@ def test_report_zero_division(spark):
     df = spark.createDataFrame([(0, 0), (0, 0)], "y int, p int")
     rep = {r["label"]: r for r in evaluate.classification_report(df, "y", "p").collect()}
     assert rep["Neutral"]["precision"] == 0.0 and rep["Neutral"]["support"] == 0
+
+
+def test_sentiment_run_both_orders(spark):
+    from tensio.plans.sentiment_flow import run_sentiment
+
+    rows = []
+    words = {0: "great happy good fun", 1: "table chair window door", 2: "sad awful bad worse"}
+    for i in range(90):
+        c = i % 3
+        rows.append((i, f"{words[c]} post number {'x' * (i % 7)}", c))
+    df = spark.createDataFrame(rows, "id long, cleaned_text string, sentiment int")
+    for order in (True, False):
+        run = run_sentiment(df, "id", split_before_balance=order)
+        rep = {r["label"]: r for r in run.report.collect()}
+        assert rep["accuracy"]["f1_score"] > 0.9
+        preds = run.predictions.collect()
+        assert all(abs(r["Positive_Probability"] + r["Neutral_Probability"] + r["Negative_Probability"] - 1) < 1e-9 for r in preds)
+        assert all(r["Confidence_Score"] == max(r["Positive_Probability"], r["Neutral_Probability"], r["Negative_Probability"]) for r in preds)
+    run = run_sentiment(df, "id", split_before_balance=True)
+    test_ids = {r["id"] for r in run.test.collect()}
+    assert len(test_ids) == 18
