@@ -53,11 +53,11 @@ def _mapper(bc):
 
 def sequences(df: DataFrame, text_col: str, vocab: DataFrame, out: str = "seq", max_words: int = MAX_WORDS) -> DataFrame:
     """Token ids in text order; words outside the vocabulary are dropped."""
-    words = vocab.filter(F.col("id") < F.lit(max_words)).select("word", "id")
-    n = words.count()
-    if n >= max_words:
-        raise ValueError(f"vocabulary has {n} entries, more than max_words={max_words}")
-    table = {r["word"]: int(r["id"]) for r in words.collect()}
+    # one bounded fetch: at most max_words rows come back, which also checks the size
+    rows = vocab.filter(F.col("id") < F.lit(max_words)).select("word", "id").limit(max_words).collect()
+    if len(rows) >= max_words:
+        raise ValueError(f"vocabulary has {len(rows)} entries, more than max_words={max_words}")
+    table = {r["word"]: int(r["id"]) for r in rows}
     bc = df.sparkSession.sparkContext.broadcast(table)
     return df.withColumn(out, _mapper(bc)(T.keras_tokens(text_col)))
 

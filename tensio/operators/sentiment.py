@@ -77,9 +77,10 @@ def lexicon_scores(
     """
     lex = lexicon.select("word", F.col("polarity").cast("double"), F.col("subjectivity").cast("double"))
     lex = lex.dropDuplicates(["word"])
-    n_words = lex.count()
-    if n_words <= broadcast_limit:
-        table = {r["word"]: (r["polarity"], r["subjectivity"]) for r in lex.collect()}
+    # one bounded fetch decides the path: more than broadcast_limit rows means "large"
+    head = lex.limit(broadcast_limit + 1).collect()
+    if len(head) <= broadcast_limit:
+        table = {r["word"]: (r["polarity"], r["subjectivity"]) for r in head}
         bc = df.sparkSession.sparkContext.broadcast(table)
         scorer = _make_scorer(bc)
         # rounding happens in Spark (half-up), the same rule as the join path below
