@@ -155,7 +155,7 @@ def q_parse_post_time(spark, sf):
     ev = read_table(spark, sf, "events")
     made = ev.select(
         "event_id",
-        F.date_format("ts", "EEE MMM dd HH:mm:ss +0000 yyyy").alias("post_created"),
+        F.date_format("ts", "EEE MMM dd HH:mm:ss xx yyyy").alias("post_created"),
         F.col("props").alias("junk"),
     )
     return made.select(
