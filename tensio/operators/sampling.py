@@ -96,6 +96,28 @@ def collect_class_counts(df: DataFrame, label: str, max_classes: int = MAX_CLASS
     return {r[label]: r["n"] for r in rows}
 
 
+REPLICA_CHUNK = 4096
+
+
+def replicate(df: DataFrame, copies: Column, max_copies: int, spread_by: Sequence[str], out: str = "replica") -> DataFrame:
+    """Each row ``copies`` times, numbered ``1..copies`` in column ``out``.
+
+    A row copied a few times is exploded in place.  When some row must be copied more than
+    ``REPLICA_CHUNK`` times (a tiny class balanced up to a large target), the copies are
+    produced in chunks: chunk ids are exploded first and spread over the cluster by a
+    shuffle, and each task then expands only its chunks, so no single task generates all
+    copies of a row.
+    """
+    if max_copies <= REPLICA_CHUNK:
+        return df.withColumn(out, F.explode(F.sequence(F.lit(1), copies)))
+    chunk = F.lit(REPLICA_CHUNK)
+    chunks = df.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((copies - 1) / chunk).cast("int"))))
+    chunks = chunks.repartition(*[F.col(c) for c in spread_by], F.col("_chunk"))
+    first = F.col("_chunk") * chunk + 1
+    last = F.least((F.col("_chunk") + 1) * chunk, copies)
+    return chunks.withColumn(out, F.explode(F.sequence(first, last))).drop("_chunk")
+
+
 def balance_target(counts: DataFrame, min_per_class: int = MIN_SAMPLES_PER_CLASS) -> DataFrame:
     """One row: ``max(floor(median(class sizes)), min_per_class)`` over present classes."""
     return counts.agg(F.greatest(F.floor(F.median("n")), F.lit(min_per_class)).cast("long").alias("target"))
@@ -133,7 +155,8 @@ def balance_classes(
     )
     # the plan has one row per class (≤ MAX_CLASSES): a bounded broadcast
     rows = df.join(F.broadcast(plan), label)
-    rows = rows.withColumn("replica", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    max_copies = max(math.ceil(target / n) for n in counts.values())
+    rows = replicate(rows, F.col("_copies"), max_copies, spread_by=[key])
     rows = rows.withColumn(HASH, row_hash(seed, F.col(key), F.col("replica")))
     picked = flag_smallest(rows, label, F.col("target"), [key, "replica"], "_pick", groups_hint=len(counts))
     return picked.filter("_pick").drop("_pick", HASH, "target", "_copies")

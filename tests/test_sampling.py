@@ -90,3 +90,22 @@ def test_stratified_split_counts_and_disjoint(spark, sizes):
         got_test = {r["key"] for r in out if r["y"] == c and r["fold"] == "test"}
         assert len(got_test) == size - train[c]
         assert got_test == {k for _, k in tests[: size - train[c]]}
+
+
+def test_replicate_chunked_equals_direct(spark):
+    df = spark.createDataFrame([(1, 3), (2, 10000), (3, 1)], "k long, c int")
+    direct = sampling.replicate(df, F.col("c"), 3, ["k"]).collect()
+    assert sorted((r["k"], r["replica"]) for r in direct if r["k"] != 2) == [(1, 1), (1, 2), (1, 3), (3, 1)]
+    chunked = sampling.replicate(df, F.col("c"), 10000, ["k"])
+    got = sorted((r["k"], r["replica"]) for r in chunked.collect())
+    expect = sorted([(1, i) for i in range(1, 4)] + [(2, i) for i in range(1, 10001)] + [(3, 1)])
+    assert got == expect
+
+
+def test_balance_tiny_class_large_target(spark):
+    sizes = {0: 9000, 1: 9000, 2: 2}
+    df, rows = labelled(spark, sizes)
+    got = sampling.balance_classes(df, "y", "id")
+    counts = {r["y"]: r["count"] for r in got.groupBy("y").count().collect()}
+    assert counts == {0: 9000, 1: 9000, 2: 9000}
+    assert got.filter("y = 2").select("id", "replica").distinct().count() == 9000
