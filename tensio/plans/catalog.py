@@ -322,7 +322,8 @@ def q_combined_negative(spark, sf):
 
 
 def q_classify_posts(spark, sf):
-    """Train on the balanced training fold, predict every post (prediction records)."""
+    """Train on the balanced training fold; prediction records for the balanced training
+    rows and the held-out fold."""
     from tensio.plans.sentiment_flow import run_sentiment
 
     return run_sentiment(flows.labelled_corpus_stage(spark, sf), "doc_id").predictions
