@@ -263,7 +263,7 @@ ORACLE: dict[str, str] = {
     "relevant_posts_demo": clean_dataset_sql(DEMO_PROFILE),
     "stage_counts": f"""WITH g AS (SELECT text, count(*) AS copies FROM documents GROUP BY text),
 s AS (SELECT copies, {score_sql('t', DEMO_PROFILE)} AS sc FROM (SELECT copies, {clean_sql('text')} AS t FROM g))
-SELECT sum(copies)::BIGINT AS raw_rows, count(*) AS deduped_rows, count_if(sc >= {DEMO_PROFILE.threshold}::DOUBLE) AS kept_rows FROM s""",
+SELECT sum(copies)::BIGINT AS raw_rows, count(*) AS deduped_rows, count_if(sc >= {DEMO_PROFILE.threshold}::DOUBLE)::BIGINT AS kept_rows FROM s""",
     "score_describe": f"""WITH s AS (SELECT {score_sql('t', DEMO_PROFILE)} AS relevance_score
   FROM (SELECT {clean_sql('text')} AS t FROM ({DEDUPED_DOCS})))
 SELECT count(relevance_score) AS count, round(avg(relevance_score), 6) AS mean, round(stddev_samp(relevance_score), 6) AS std,
@@ -277,12 +277,12 @@ SELECT count(relevance_score) AS count, round(avg(relevance_score), 6) AS mean,
     "substring(cleaned_text, 1, 100) || '...' AS cleaned_preview, printf('%.2f', relevance_score) AS score_text, "
     + ", ".join(f"{f}_terms_found" for f in DEMO_PROFILE.families)
     + " FROM kept ORDER BY doc_id LIMIT 3",
-    "na_tokens": f"""SELECT count(*) AS words, count_if(word IN ({NA_LIST})) AS missing
+    "na_tokens": f"""SELECT count(*) AS words, count_if(word IN ({NA_LIST}))::BIGINT AS missing
 FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents)""",
     "drop_null_label": f"SELECT doc_id, label FROM {DOCS_WITH_LABEL} WHERE label IS NOT NULL",
-    "drop_stats": f"SELECT count(*) AS initial_rows, count_if(label IS NULL) AS dropped_rows, count(label) AS kept_rows FROM {DOCS_WITH_LABEL}",
+    "drop_stats": f"SELECT count(*) AS initial_rows, count_if(label IS NULL)::BIGINT AS dropped_rows, count(label) AS kept_rows FROM {DOCS_WITH_LABEL}",
     "label_distribution": f"SELECT label, count(*) AS n FROM {DOCS_WITH_LABEL} WHERE label IS NOT NULL GROUP BY label ORDER BY label",
-    "polarity_counts": f"SELECT count_if(label = 1) AS positive, count_if(label = 0) AS negative FROM {DOCS_WITH_LABEL}",
+    "polarity_counts": f"SELECT count_if(label = 1)::BIGINT AS positive, count_if(label = 0)::BIGINT AS negative FROM {DOCS_WITH_LABEL}",
     "label_map": "SELECT c_custkey, CASE WHEN c_nationkey = 0 THEN 0 WHEN c_nationkey = 4 THEN 1 END AS sentiment FROM customer",
     "coerce_numeric": """WITH v AS (SELECT event_id, TRY_CAST(trim(json_extract_string(props, '$.k')) AS DOUBLE) AS a,
   TRY_CAST(trim(props) AS DOUBLE) AS b FROM events)
