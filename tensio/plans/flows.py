@@ -78,8 +78,9 @@ def balanced_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def platform_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prediction records (stand-in probabilities) for two platforms, with ``Platform``."""
     out = None
+    tables = dict(platform_posts(spark, sf_dir))
     for name, key_expr in (("documents", F.col("k1")), ("conversations", F.col("k1") * 1000 + F.col("k2"))):
-        posts = dict(platform_posts(spark, sf_dir))[name]
+        posts = tables[name]
         prepared = corpus.prepare_corpus([(name, posts)], "text", ["k1", "k2"]).withColumn("_key", key_expr)
         rec = evaluate.prediction_record(standin_probabilities(prepared, "_key"), CLEAN, ["p0", "p1", "p2"])
         rec = rec.withColumn("Platform", F.lit(name))
