@@ -296,6 +296,12 @@ def q_negative_predictions(spark, sf):
     return rec.filter(F.col("Predicted_Sentiment") == 2)
 
 
+def q_topic_report_negative(spark, sf):
+    """Topic share over the texts of the negative prediction records (the topic step of the study)."""
+    negative = q_negative_predictions(spark, sf)
+    return topics.topic_share(negative, "Text", DEMO_TOPICS, DEMO_TOPIC_LABELS)
+
+
 def q_confusion_matrix(spark, sf):
     pred = flows.balanced_predictions(spark, sf)
     return evaluate.confusion_matrix(pred, "sentiment", "predicted")
@@ -381,6 +387,7 @@ QUERIES: dict[str, Query] = {
     "one_hot_label": q_one_hot_label,
     "prediction_record": q_prediction_record,
     "negative_predictions": q_negative_predictions,
+    "topic_report_negative": q_topic_report_negative,
     "confusion_matrix": q_confusion_matrix,
     "classification_report": q_classification_report,
     "platform_sentiment_summary": q_platform_sentiment_summary,

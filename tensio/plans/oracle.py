@@ -165,7 +165,9 @@ recs AS (SELECT cleaned_text AS "Text", {PRED_COLS}, 'documents' AS "Platform" F
          SELECT cleaned_text AS "Text", {PRED_COLS}, 'conversations' AS "Platform" FROM ppc)"""
 
 
-def topic_share_sql(topics: Mapping[str, Sequence[str]], labels: Mapping[str, str]) -> str:
+def topic_share_sql(
+    topics: Mapping[str, Sequence[str]], labels: Mapping[str, str], source: str = "documents", prefix: str = ""
+) -> str:
     kw = ", ".join(
         f"({q(t)}, {pos}, {q(w)})" for pos, (t, ws) in enumerate(topics.items()) for w in dict.fromkeys(ws)
     )
@@ -173,12 +175,12 @@ def topic_share_sql(topics: Mapping[str, Sequence[str]], labels: Mapping[str, st
         f"({q(t)}, {pos}, {q(labels[t]) if t in labels else 'NULL'})" for pos, t in enumerate(topics)
     )
     return f"""
-WITH kw(topic, topic_pos, keyword) AS (VALUES {kw}),
+WITH {prefix}kw(topic, topic_pos, keyword) AS (VALUES {kw}),
 tp(topic, topic_pos, display_name) AS (VALUES {tp}),
-tok AS (SELECT unnest({tokens_sql('text')}) AS token FROM documents),
-hits AS (SELECT kw.topic, count(*) AS hits FROM tok JOIN kw ON tok.token = kw.keyword GROUP BY kw.topic),
-j AS (SELECT tp.topic, coalesce(tp.display_name, tp.topic) AS label, coalesce(hits.hits, 0) AS hits
-      FROM tp LEFT JOIN hits USING (topic)),
+topic_tok AS (SELECT unnest({tokens_sql('text')}) AS token FROM {source}),
+topic_hits AS (SELECT kw.topic, count(*) AS hits FROM topic_tok JOIN kw ON topic_tok.token = kw.keyword GROUP BY kw.topic),
+j AS (SELECT tp.topic, coalesce(tp.display_name, tp.topic) AS label, coalesce(topic_hits.hits, 0) AS hits
+      FROM tp LEFT JOIN topic_hits USING (topic)),
 t AS (SELECT *, sum(hits) OVER () AS total FROM j),
 p AS (SELECT topic, label, hits::BIGINT AS hits, CASE WHEN total > 0 THEN (hits / total) * 100.0::DOUBLE END AS pct FROM t)
 SELECT topic, label, hits, pct, label || chr(10) || '(' || printf('%.1f', pct) || '%)' AS display FROM p
@@ -328,6 +330,12 @@ SELECT greatest(floor(median(n)), 10)::BIGINT AS target FROM cnt""",
 SELECT doc_id, array_to_string([(i = 0)::INTEGER::DOUBLE, (i = 1)::INTEGER::DOUBLE, (i = 2)::INTEGER::DOUBLE, (i = 3)::INTEGER::DOUBLE], ',') AS one_hot FROM l""",
     "prediction_record": f"WITH {PREDICTED}\nSELECT cleaned_text AS \"Text\", {PRED_COLS} FROM predictions",
     "negative_predictions": f"WITH {PREDICTED}\nSELECT * FROM (SELECT cleaned_text AS \"Text\", {PRED_COLS} FROM predictions) WHERE \"Predicted_Sentiment\" = 2",
+    "topic_report_negative": topic_share_sql(
+        DEMO_TOPICS,
+        DEMO_TOPIC_LABELS,
+        source="neg",
+        prefix=f"{PREDICTED},\nneg AS (SELECT cleaned_text AS text FROM predictions WHERE predicted = 2),\n",
+    ),
     "confusion_matrix": f"""WITH {PREDICTED},
 grid AS (SELECT a.t::INTEGER AS y_true, b.p::INTEGER AS y_pred FROM range(3) a(t), range(3) b(p)),
 cm AS (SELECT sentiment AS y_true, predicted AS y_pred, count(*) AS n FROM predictions GROUP BY 1, 2)
