@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
 from tensio.functions import text as T
+from tensio.operators.partitioning import share
 from tensio.functions.lexicons import MAX_LEN, MAX_WORDS
 
 
@@ -58,7 +59,7 @@ def sequences(df: DataFrame, text_col: str, vocab: DataFrame, out: str = "seq",
     if len(rows) >= max_words:
         raise ValueError(f"vocabulary has {len(rows)} entries, more than max_words={max_words}")
     table = {r["word"]: int(r["id"]) for r in rows}
-    bc = df.sparkSession.sparkContext.broadcast(table)
+    bc = share(df.sparkSession, table)
     return df.withColumn(out, _mapper(bc)(T.keras_tokens(text_col)))
 
 

@@ -5,6 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+class _Held:
+    """Stand-in for a broadcast variable where none can be made (``.value`` only)."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def share(spark, value):
+    """Ship a bounded driver-side value to the executors once: a broadcast variable, or,
+    on a session without a SparkContext (Spark Connect), the value itself, which then
+    travels with the function that uses it."""
+    try:
+        return spark.sparkContext.broadcast(value)
+    except Exception:  # noqa: BLE001 - no JVM SparkContext behind this session
+        return _Held(value)
+
+
 def spread_for_cpu(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin a scan over more tasks when it yields fewer partitions than cores.
 
@@ -14,8 +31,11 @@ def spread_for_cpu(df: DataFrame, min_partitions: int | None = None) -> DataFram
     shuffle is added at scale.
     """
     spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
+    try:
+        want = min_partitions or spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD API (Spark Connect): leave the plan as is
+        return df
     if have >= want:
         return df
     return df.repartition(want)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
 from tensio.functions import text as T
+from tensio.operators.partitioning import share
 from tensio.functions.lexicons import POLARITY_MARGIN, SUBJECTIVITY_CUT
 
 LEXICON_BROADCAST_LIMIT = 200_000
@@ -81,7 +82,7 @@ def lexicon_scores(
     head = lex.limit(broadcast_limit + 1).collect()
     if len(head) <= broadcast_limit:
         table = {r["word"]: (r["polarity"], r["subjectivity"]) for r in head}
-        bc = df.sparkSession.sparkContext.broadcast(table)
+        bc = share(df.sparkSession, table)
         scorer = _make_scorer(bc)
         # rounding happens in Spark (half-up), the same rule as the join path below
         return df.withColumn("_lex", scorer(tokens)).select(
