@@ -45,3 +45,26 @@ def test_every_query_plans_on_smoke_data(spark):
             continue
         df = fn(spark, SF001)
         assert df.columns, name
+
+
+def test_stream_watermark_dedupe(spark, tmpdir_path):
+    import datetime as dt
+
+    schema = TY.StructType(
+        [TY.StructField("id", TY.LongType()), TY.StructField("text", TY.StringType()), TY.StructField("ts", TY.TimestampType())]
+    )
+    t0 = dt.datetime(2024, 1, 1, 12, 0, 0)
+    src = os.path.join(tmpdir_path, "in")
+    spark.createDataFrame([(1, "teenage stress", t0), (2, "teen adolescent", t0)], schema).write.parquet(os.path.join(src, "b1"))
+    posts = relevance.read_post_stream(spark, os.path.join(src, "*"), schema)
+    stream = relevance.relevance_stream(posts, "text", PROFILE_V2, event_time="ts", watermark="10 minutes")
+    out, ck = os.path.join(tmpdir_path, "out"), os.path.join(tmpdir_path, "ck")
+    q = relevance.start_parquet_sink(stream, out, ck)
+    q.processAllAvailable()
+    # a repeat five minutes later is inside the watermark: dropped
+    spark.createDataFrame([(3, "teenage stress", t0 + dt.timedelta(minutes=5))], schema).write.parquet(os.path.join(src, "b2"))
+    q.processAllAvailable()
+    q.stop()
+    rows = spark.read.parquet(out).collect()
+    assert sorted(r["id"] for r in rows) == [1, 2]
+    assert {r["id"]: r["relevance_score"] for r in rows} == {1: 0.65, 2: 0.5}  # 0.15 + 0.5; 0.5
