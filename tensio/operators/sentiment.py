@@ -77,11 +77,12 @@ def lexicon_scores(
     ``key`` must identify a row of ``df`` (used by the large-lexicon path only).
     """
     lex = lexicon.select("word", F.col("polarity").cast("double"), F.col("subjectivity").cast("double"))
-    lex = lex.dropDuplicates(["word"])
     # one bounded fetch decides the path: more than broadcast_limit rows means "large"
     head = lex.limit(broadcast_limit + 1).collect()
     if len(head) <= broadcast_limit:
-        table = {r["word"]: (r["polarity"], r["subjectivity"]) for r in head}
+        table = {}
+        for r in head:  # one entry per word (the first listed)
+            table.setdefault(r["word"], (r["polarity"], r["subjectivity"]))
         bc = share(df.sparkSession, table)
         scorer = _make_scorer(bc)
         # rounding happens in Spark (half-up), the same rule as the join path below
@@ -91,6 +92,7 @@ def lexicon_scores(
             F.round("_lex.subjectivity", SCORE_DIGITS).alias("subjectivity"),
             "_lex.lexicon_hits",
         ).drop("_lex")
+    lex = lex.dropDuplicates(["word"])
     exploded = df.select(F.col(key).alias("_k"), F.explode(tokens).alias("word"))
     per_post = (
         exploded.join(lex, "word")
