@@ -37,3 +37,25 @@ def test_keyword_counts(spark):
     df = spark.createDataFrame([("Team TEAM exam",)], "text string")
     got = {(r["topic"], r["keyword"]): r["hits"] for r in topics.topic_keyword_counts(df, "text").collect()}
     assert got == {("social_peer", "team"): 2, ("extracurricular", "team"): 2, ("academic", "exam"): 1}
+
+
+def test_share_labels_for_a_9_5_2_2_split(spark):
+    texts = (
+        ["so much homework tonight"] * 4
+        + ["the exam was brutal", "failed my test again", "grade anxiety", "math is hard", "essay due"]
+        + ["my friends left", "lost a friend", "party alone", "no support", "drama again"]
+        + ["missed practice", "music is all i have"]
+        + ["no job yet", "scared about the future"]
+        + ["just tired"]
+    )
+    assert len(texts) == 18
+    rows = share(spark, texts)
+    assert [(r["topic"], r["hits"]) for r in rows] == [
+        ("academic", 9), ("social_peer", 5), ("extracurricular", 2), ("future_career", 2),
+    ]
+    assert [r["display"] for r in rows] == [
+        "School & Studies\n(50.0%)",
+        "Friends & Social Life\n(27.8%)",
+        "Activities & Sports\n(11.1%)",
+        "Career & Future\n(11.1%)",
+    ]
