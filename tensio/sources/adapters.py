@@ -79,9 +79,13 @@ def load_reddit_combi(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     return _with_row(df), "Body_Title"
 
 
-def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:
-    """Counts per label value, NULL left out, sorted by value."""
-    return df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(label)
+def label_distribution(df: DataFrame, label: str = "label", order: str = "value") -> DataFrame:
+    """Counts per label value, NULL left out; sorted by value (``order="value"``) or by
+    count, largest first, ties by value (``order="count"``)."""
+    counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    if order == "count":
+        return counts.orderBy(F.desc("n"), label)
+    return counts.orderBy(label)
 
 
 def clean_source(df: DataFrame, text_col: str, profile: ScoreProfile = PROFILE_V2) -> DataFrame:

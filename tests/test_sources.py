@@ -105,3 +105,11 @@ def test_csv_sink_round_trip_and_class_export(spark, tmpdir_path):
     part = os.path.join(tmpdir_path, "part")
     sinks.write_partitioned(df, part, "Predicted_Sentiment")
     assert spark.read.parquet(part).filter("Predicted_Sentiment = 0").count() == 1
+
+
+def test_label_distribution_orders(spark):
+    df = spark.createDataFrame([(1.0,), (0.0,), (1.0,), (None,), (2.0,), (2.0,), (2.0,)], "label double")
+    by_value = [(r["label"], r["n"]) for r in adapters.label_distribution(df).collect()]
+    by_count = [(r["label"], r["n"]) for r in adapters.label_distribution(df, order="count").collect()]
+    assert by_value == [(0.0, 1), (1.0, 2), (2.0, 3)]
+    assert by_count == [(2.0, 3), (1.0, 2), (0.0, 1)]
