@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tensio.functions.lexicons import KERAS_FILTERS, NA_TOKENS, ScoreProfile
+from tensio.functions.numeric import round_places
 
 # Python's str.split() / regex \s are Unicode-aware; Java's \s is ASCII-only.  These are
 # the characters Python treats as whitespace (derived by rule, not listed by hand).
@@ -119,7 +120,7 @@ def relevance_from_counts(counts: Mapping[str, Column], profile: ScoreProfile) -
         total = part if total is None else total + part
     if total is None:
         total = F.lit(0.0)
-    return F.round(total, profile.digits)
+    return round_places(total, profile.digits)
 
 
 def relevance_score(c: Column | str, profile: ScoreProfile) -> Column:

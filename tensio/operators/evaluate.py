@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tensio.functions.lexicons import CLASS_NAMES
+from tensio.functions.numeric import round_places
 
 REPORT_DIGITS = 6
 
@@ -117,8 +118,8 @@ def classification_report(
     out = row.select(F.explode(F.array(*entries)).alias("r")).select("r.*")
     return out.select(
         "label",
-        F.round("precision", digits).alias("precision"),
-        F.round("recall", digits).alias("recall"),
-        F.round("f1_score", digits).alias("f1_score"),
+        round_places("precision", digits).alias("precision"),
+        round_places("recall", digits).alias("recall"),
+        round_places("f1_score", digits).alias("f1_score"),
         "support",
     )

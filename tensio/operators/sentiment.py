@@ -3,7 +3,9 @@
 The per-row polarity library of the original work is re-aimed: the user brings a lexicon
 DataFrame ``(word, polarity, subjectivity)``; a post's polarity and subjectivity are the
 means over its tokens found in the lexicon (every occurrence counts), both 0 without a
-hit.  Means are rounded to 6 places before the label rule compares them with ±0.1.
+hit.  Lexicon values are taken at 6-decimal precision (integer micro-units); a mean is the
+exact integer quotient rounded half away from zero to a micro-unit, so every engine and
+every execution path gives the same double, which the label rule compares with ±0.1.
 
 Two physical shapes, chosen by the lexicon's size (counted, not assumed):
 
@@ -11,24 +13,22 @@ Two physical shapes, chosen by the lexicon's size (counted, not assumed):
   dictionary and applied to each row's token array by an Arrow-batched pandas UDF — no
   shuffle at all, the post stays in its partition;
 * large lexicon: tokens are exploded with the post key, joined to the lexicon (Spark picks
-  the join strategy), averaged per post and joined back to the posts.
+  the join strategy), summed per post and joined back to the posts.
 """
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
 from tensio.functions import text as T
-from tensio.operators.partitioning import share
 from tensio.functions.lexicons import POLARITY_MARGIN, SUBJECTIVITY_CUT
+from tensio.operators.partitioning import share
 
 LEXICON_BROADCAST_LIMIT = 200_000
-SCORE_DIGITS = 6
+MICRO = 1_000_000
 
 _SCORE_TYPE = TY.StructType(
     [
@@ -39,23 +39,44 @@ _SCORE_TYPE = TY.StructType(
 )
 
 
+def to_micro(v: float) -> int:
+    """A lexicon value in integer micro-units (6 decimals)."""
+    return int(round(v * MICRO))
+
+
+def mean_micro(total: int, n: int) -> int:
+    """``total / n`` rounded half away from zero to an integer (exact integer arithmetic)."""
+    if total >= 0:
+        return (2 * total + n) // (2 * n)
+    return -((-2 * total + n) // (2 * n))
+
+
+def _mean_sql(total: str, n: str) -> Column:
+    """Spark form of ``mean_micro(total, n) / MICRO`` over long columns."""
+    q = (
+        f"CASE WHEN {total} >= 0 THEN (2 * {total} + {n}) div (2 * {n}) "
+        f"ELSE -((-2 * {total} + {n}) div (2 * {n})) END"
+    )
+    return F.expr(q).cast("double") / F.lit(float(MICRO))
+
+
 def _make_scorer(bc):
     @F.pandas_udf(_SCORE_TYPE)
     def score(tokens: pd.Series) -> pd.DataFrame:
         lex = bc.value
         pol, sub, hits = [], [], []
         for arr in tokens:
-            p_vals, s_vals = [], []
+            sp = ss = n = 0
             if arr is not None:
                 for w in arr:
                     v = lex.get(w)
                     if v is not None:
-                        p_vals.append(v[0])
-                        s_vals.append(v[1])
-            n = len(p_vals)
+                        sp += v[0]
+                        ss += v[1]
+                        n += 1
             if n:
-                pol.append(math.fsum(p_vals) / n)
-                sub.append(math.fsum(s_vals) / n)
+                pol.append(mean_micro(sp, n) / MICRO)
+                sub.append(mean_micro(ss, n) / MICRO)
             else:
                 pol.append(0.0)
                 sub.append(0.0)
@@ -80,28 +101,29 @@ def lexicon_scores(
     # one bounded fetch decides the path: more than broadcast_limit rows means "large"
     head = lex.limit(broadcast_limit + 1).collect()
     if len(head) <= broadcast_limit:
-        table = {}
+        table: dict[str, tuple[int, int]] = {}
         for r in head:  # one entry per word (the first listed)
-            table.setdefault(r["word"], (r["polarity"], r["subjectivity"]))
-        bc = share(df.sparkSession, table)
-        scorer = _make_scorer(bc)
-        # rounding happens in Spark (half-up), the same rule as the join path below
+            table.setdefault(r["word"], (to_micro(r["polarity"]), to_micro(r["subjectivity"])))
+        scorer = _make_scorer(share(df.sparkSession, table))
         return df.withColumn("_lex", scorer(tokens)).select(
-            "*",
-            F.round("_lex.polarity", SCORE_DIGITS).alias("polarity"),
-            F.round("_lex.subjectivity", SCORE_DIGITS).alias("subjectivity"),
-            "_lex.lexicon_hits",
+            "*", "_lex.polarity", "_lex.subjectivity", "_lex.lexicon_hits"
         ).drop("_lex")
-    lex = lex.dropDuplicates(["word"])
+    micro = lex.dropDuplicates(["word"]).select(
+        "word",
+        F.round(F.col("polarity") * F.lit(float(MICRO))).cast("long").alias("_pu"),
+        F.round(F.col("subjectivity") * F.lit(float(MICRO))).cast("long").alias("_su"),
+    )
     exploded = df.select(F.col(key).alias("_k"), F.explode(tokens).alias("word"))
-    per_post = (
-        exploded.join(lex, "word")
+    sums = (
+        exploded.join(micro, "word")
         .groupBy("_k")
-        .agg(
-            F.round(F.avg("polarity"), SCORE_DIGITS).alias("polarity"),
-            F.round(F.avg("subjectivity"), SCORE_DIGITS).alias("subjectivity"),
-            F.count(F.lit(1)).cast("int").alias("lexicon_hits"),
-        )
+        .agg(F.sum("_pu").alias("_sp"), F.sum("_su").alias("_ss"), F.count(F.lit(1)).alias("_n"))
+    )
+    per_post = sums.select(
+        "_k",
+        _mean_sql("_sp", "_n").alias("polarity"),
+        _mean_sql("_ss", "_n").alias("subjectivity"),
+        F.col("_n").cast("int").alias("lexicon_hits"),
     )
     out = df.join(per_post, df[key] == per_post["_k"], "left").drop("_k")
     return out.fillna({"polarity": 0.0, "subjectivity": 0.0, "lexicon_hits": 0})

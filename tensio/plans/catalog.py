@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tensio.functions import text as T
 from tensio.functions.lexicons import PROFILE_V2
+from tensio.functions.numeric import round_places
 from tensio.operators import cleaning, corpus, encode, evaluate, sampling, sentiment, topics
 from tensio.operators.cleaning import CLEAN, SCORE
 from tensio.operators.partitioning import materialize
@@ -86,13 +87,13 @@ def q_score_describe(spark, sf):
     docs = cleaning.dedupe_first(read_table(spark, sf, "documents"), ["text"], ["doc_id"])
     scored = cleaning.score_posts(docs, "text", DEMO_PROFILE)
     d = cleaning.score_describe(scored)
-    return d.select("count", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
+    return d.select("count", *[round_places(c, 6).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
 
 def q_term_count_means(spark, sf):
     kept = cleaning.clean_dataset(read_table(spark, sf, "documents"), "text", ["doc_id"], DEMO_PROFILE)
     m = cleaning.term_count_means(kept, DEMO_PROFILE)
-    return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
+    return m.select(*[round_places(c, 6).alias(c) for c in m.columns])
 
 
 def q_preview_posts(spark, sf):
@@ -315,7 +316,7 @@ def q_classification_report(spark, sf):
 def q_platform_sentiment_summary(spark, sf):
     rec = flows.platform_predictions(spark, sf)
     return rec.groupBy("Platform", "Predicted_Sentiment").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("Confidence_Score"), 6).alias("avg_confidence")
+        F.count(F.lit(1)).alias("n"), round_places(F.avg("Confidence_Score"), 6).alias("avg_confidence")
     )
 
 

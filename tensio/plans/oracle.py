@@ -22,6 +22,11 @@ from tensio.functions.lexicons import (
 from tensio.plans.demo import DEMO_LEXICON, DEMO_PROFILE, DEMO_TOPIC_LABELS, DEMO_TOPICS, V2_AT_025
 
 
+def round_sql(x: str, digits: int) -> str:
+    """Correctly rounded from the exact binary value, ties to even (as Python's round)."""
+    return f"printf('%.{digits}f', {x})::DOUBLE"
+
+
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -50,7 +55,7 @@ def score_sql(t: str, profile: ScoreProfile, counts: Mapping[str, str] | None =
         n = counts[fam] if counts else count_sql(t, profile.families[fam])
         parts.append(f"least({n}::DOUBLE / {profile.saturation}::DOUBLE, 1.0::DOUBLE) * {float(w)}::DOUBLE")
     total = " + ".join(parts) if parts else "0.0::DOUBLE"
-    return f"CASE WHEN {t} = '' THEN 0.0::DOUBLE ELSE round({total}, {profile.digits}) END"
+    return f"CASE WHEN {t} = '' THEN 0.0::DOUBLE ELSE {round_sql(total, profile.digits)} END"
 
 
 WORD_RE_SQL = q(T.WORD_RE)
@@ -91,16 +96,26 @@ CORPUS = f"""corpus AS (
   WHERE length(cleaned_text) > 10
   QUALIFY row_number() OVER (PARTITION BY cleaned_text ORDER BY doc_id) = 1)"""
 
-LEXICON = "lex(word, polarity, subjectivity) AS (VALUES " + ", ".join(
-    f"({q(w)}, {p}::DOUBLE, {s}::DOUBLE)" for w, p, s in DEMO_LEXICON
+# lexicon values in integer micro-units, as the Spark side takes them
+LEXICON = "lex(word, pu, su) AS (VALUES " + ", ".join(
+    f"({q(w)}, {int(round(p * 1_000_000))}::BIGINT, {int(round(s * 1_000_000))}::BIGINT)" for w, p, s in DEMO_LEXICON
 ) + ")"
 
+
+def mean_micro_sql(total: str, n: str) -> str:
+    """Exact integer mean rounded half away from zero, as a double in units."""
+    return (
+        f"(CASE WHEN {total} >= 0 THEN (2 * {total} + {n}) // (2 * {n}) "
+        f"ELSE -((-2 * {total} + {n}) // (2 * {n})) END)::DOUBLE / 1000000.0::DOUBLE"
+    )
+
+
 LABELLED = f"""{CORPUS},
 {LEXICON},
 tok AS (SELECT doc_id, unnest(string_split(cleaned_text, ' ')) AS word FROM corpus),
-hits AS (SELECT doc_id, round(fsum(polarity) / count(*), 6) + 0.0::DOUBLE AS polarity,
-         round(fsum(subjectivity) / count(*), 6) + 0.0::DOUBLE AS subjectivity,
-         count(*)::INTEGER AS lexicon_hits FROM tok JOIN lex USING (word) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(pu) AS sp, sum(su) AS ss, count(*) AS n FROM tok JOIN lex USING (word) GROUP BY doc_id),
+hits AS (SELECT doc_id, {mean_micro_sql("sp", "n")} AS polarity, {mean_micro_sql("ss", "n")} AS subjectivity,
+         n::INTEGER AS lexicon_hits FROM sums),
 lab0 AS (SELECT c.doc_id, c.cleaned_text, coalesce(h.polarity, 0.0::DOUBLE) AS polarity,
          coalesce(h.subjectivity, 0.0::DOUBLE) AS subjectivity, coalesce(h.lexicon_hits, 0)::INTEGER AS lexicon_hits
          FROM corpus c LEFT JOIN hits h USING (doc_id)),
@@ -228,7 +243,8 @@ def _report_sql() -> str:
     return f"""WITH {PREDICTED},
 cm AS (SELECT {', '.join(aggs)} FROM predictions),
 report AS ({union})
-SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1_score, 6) AS f1_score, support FROM report"""
+SELECT label, {round_sql("precision", 6)} AS precision, {round_sql("recall", 6)} AS recall,
+  {round_sql("f1_score", 6)} AS f1_score, support FROM report"""
 
 
 def _family_cols(t: str, profile: ScoreProfile, kind: str) -> str:
@@ -268,12 +284,12 @@ s AS (SELECT copies, {score_sql('t', DEMO_PROFILE)} AS sc FROM (SELECT copies, {
 SELECT sum(copies)::BIGINT AS raw_rows, count(*) AS deduped_rows, count_if(sc >= {DEMO_PROFILE.threshold}::DOUBLE)::BIGINT AS kept_rows FROM s""",
     "score_describe": f"""WITH s AS (SELECT {score_sql('t', DEMO_PROFILE)} AS relevance_score
   FROM (SELECT {clean_sql('text')} AS t FROM ({DEDUPED_DOCS})))
-SELECT count(relevance_score) AS count, round(avg(relevance_score), 6) AS mean, round(stddev_samp(relevance_score), 6) AS std,
-  round(min(relevance_score), 6) AS min, round(quantile_cont(relevance_score, 0.25), 6) AS p25,
-  round(quantile_cont(relevance_score, 0.5), 6) AS p50, round(quantile_cont(relevance_score, 0.75), 6) AS p75,
-  round(max(relevance_score), 6) AS max FROM s""",
+SELECT count(relevance_score) AS count, {round_sql("avg(relevance_score)", 6)} AS mean,
+  {round_sql("stddev_samp(relevance_score)", 6)} AS std, {round_sql("min(relevance_score)", 6)} AS min,
+  {round_sql("quantile_cont(relevance_score, 0.25)", 6)} AS p25, {round_sql("quantile_cont(relevance_score, 0.5)", 6)} AS p50,
+  {round_sql("quantile_cont(relevance_score, 0.75)", 6)} AS p75, {round_sql("max(relevance_score)", 6)} AS max FROM s""",
     "term_count_means": f"WITH {_cleaned_flow(DEMO_PROFILE)}\nSELECT "
-    + ", ".join(f"round(avg({f}_term_count), 6) AS avg_{f}_terms" for f in DEMO_PROFILE.families)
+    + ", ".join(f"{round_sql(f'avg({f}_term_count)', 6)} AS avg_{f}_terms" for f in DEMO_PROFILE.families)
     + " FROM kept",
     "preview_posts": f"WITH {_cleaned_flow(DEMO_PROFILE)}\nSELECT doc_id, substring(text, 1, 100) || '...' AS original_preview, "
     "substring(cleaned_text, 1, 100) || '...' AS cleaned_preview, printf('%.2f', relevance_score) AS score_text, "
@@ -342,7 +358,7 @@ cm AS (SELECT sentiment AS y_true, predicted AS y_pred, count(*) AS n FROM predi
 SELECT g.y_true, g.y_pred, coalesce(cm.n, 0)::BIGINT AS n FROM grid g LEFT JOIN cm USING (y_true, y_pred)""",
     "classification_report": _report_sql(),
     "platform_sentiment_summary": f"""WITH {PLATFORM_RECORDS}
-SELECT "Platform", "Predicted_Sentiment", count(*) AS n, round(avg("Confidence_Score"), 6) AS avg_confidence
+SELECT "Platform", "Predicted_Sentiment", count(*) AS n, {round_sql('avg("Confidence_Score")', 6)} AS avg_confidence
 FROM recs GROUP BY 1, 2""",
     "combined_negative": f"WITH {PLATFORM_RECORDS}\nSELECT * FROM recs WHERE \"Predicted_Sentiment\" = 2",
 }

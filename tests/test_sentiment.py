@@ -29,7 +29,9 @@ def test_lexicon_paths_agree(spark):
     a = {r["id"]: (r["polarity"], r["subjectivity"], r["lexicon_hits"]) for r in small.collect()}
     b = {r["id"]: (r["polarity"], r["subjectivity"], r["lexicon_hits"]) for r in large.collect()}
     assert a == b
-    assert a[1] == (round(0.7 / 3, 6), round((0.6 + 0.6 + 0.667) / 3, 6), 3)
+    # micro-units: (700000 + 700000 - 700000) / 3 = 233333.33 -> 233333; (600000 + 600000 + 667000) / 3 = 622333.33 -> 622333
+    assert a[1] == (0.233333, 0.622333, 3)
+    assert a[3] == (-0.35, 0.3835, 2)  # -700000 / 2; (100000 + 667000) / 2 = 383500
     assert a[2] == (0.0, 0.0, 0) and a[4] == (0.0, 0.0, 0)
 
 
