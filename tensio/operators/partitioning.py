@@ -26,9 +26,9 @@ def spread_for_cpu(df: DataFrame, min_partitions: int | None = None) -> DataFram
     """Round-robin a scan over more tasks when it yields fewer partitions than cores.
 
     Text cleaning is CPU-bound.  A small Parquet file with one row group is read by one
-    task, which would run the whole regex chain serially.  The check is metadata-only;
-    on a large input (many more splits than cores) it returns ``df`` unchanged, so no
-    shuffle is added at scale.
+    task, which would run the whole regex chain serially.  The check is metadata-only and
+    spreads only when that at least doubles the number of tasks; on a large input (many
+    more splits than cores) it returns ``df`` unchanged, so no shuffle is added at scale.
     """
     spark = df.sparkSession
     try:
@@ -36,7 +36,7 @@ def spread_for_cpu(df: DataFrame, min_partitions: int | None = None) -> DataFram
         have = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - no RDD API (Spark Connect): leave the plan as is
         return df
-    if have >= want:
+    if have * 2 > want:  # spread only when it at least doubles the parallelism
         return df
     return df.repartition(want)
 
