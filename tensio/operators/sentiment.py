@@ -7,11 +7,13 @@ hit.  Lexicon values are taken at 6-decimal precision (integer micro-units); a m
 exact integer quotient rounded half away from zero to a micro-unit, so every engine and
 every execution path gives the same double, which the label rule compares with ±0.1.
 
-Two physical shapes, chosen by the lexicon's size (counted, not assumed):
+Three physical shapes, chosen by the lexicon's size (counted, not assumed):
 
+* tiny lexicon (≤ ``expression_limit`` words): a literal map in the plan, looked up per
+  token with built-in higher-order functions — JVM only, no shuffle;
 * small lexicon (≤ ``broadcast_limit`` words): shipped once per executor as a broadcast
   dictionary and applied to each row's token array by an Arrow-batched pandas UDF — no
-  shuffle at all, the post stays in its partition;
+  shuffle, the post stays in its partition;
 * large lexicon: tokens are exploded with the post key, joined to the lexicon (Spark picks
   the join strategy), summed per post and joined back to the posts.
 """
@@ -27,6 +29,7 @@ from tensio.functions import text as T
 from tensio.functions.lexicons import POLARITY_MARGIN, SUBJECTIVITY_CUT
 from tensio.operators.partitioning import share
 
+LEXICON_EXPRESSION_LIMIT = 64
 LEXICON_BROADCAST_LIMIT = 200_000
 MICRO = 1_000_000
 
@@ -86,12 +89,34 @@ def _make_scorer(bc):
     return score
 
 
+def _expression_scores(df: DataFrame, tokens: Column, table: dict[str, tuple[int, int]]) -> DataFrame:
+    """Tiny lexicon as a literal map: per-token lookup and sums with higher-order functions."""
+    entries = []
+    for word, (pu, su) in table.items():
+        entries += [F.lit(word), F.struct(F.lit(pu).cast("long").alias("pu"), F.lit(su).cast("long").alias("su"))]
+    lex_map = F.create_map(*entries)
+    found = F.filter(F.transform(tokens, lambda w: F.try_element_at(lex_map, w)), lambda v: v.isNotNull())
+    zero = F.lit(0).cast("long")
+    staged = df.withColumn("_found", F.coalesce(found, F.array().cast("array<struct<pu:bigint,su:bigint>>")))
+    staged = staged.withColumn("_sp", F.aggregate("_found", zero, lambda acc, v: acc + v["pu"]))
+    staged = staged.withColumn("_ss", F.aggregate("_found", zero, lambda acc, v: acc + v["su"]))
+    staged = staged.withColumn("_n", F.size("_found").cast("long"))
+    hit = F.col("_n") > 0
+    return staged.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        F.when(hit, _mean_sql("_sp", "_n")).otherwise(F.lit(0.0)).alias("polarity"),
+        F.when(hit, _mean_sql("_ss", "_n")).otherwise(F.lit(0.0)).alias("subjectivity"),
+        F.col("_n").cast("int").alias("lexicon_hits"),
+    )
+
+
 def lexicon_scores(
     df: DataFrame,
     tokens: Column,
     lexicon: DataFrame,
     key: str,
     broadcast_limit: int = LEXICON_BROADCAST_LIMIT,
+    expression_limit: int = LEXICON_EXPRESSION_LIMIT,
 ) -> DataFrame:
     """Add ``polarity``, ``subjectivity`` and ``lexicon_hits`` computed from ``tokens``.
 
@@ -103,7 +128,10 @@ def lexicon_scores(
     if len(head) <= broadcast_limit:
         table: dict[str, tuple[int, int]] = {}
         for r in head:  # one entry per word (the first listed)
-            table.setdefault(r["word"], (to_micro(r["polarity"]), to_micro(r["subjectivity"])))
+            if r["word"] is not None:
+                table.setdefault(r["word"], (to_micro(r["polarity"]), to_micro(r["subjectivity"])))
+        if 0 < len(table) <= expression_limit:
+            return _expression_scores(df, tokens, table)
         scorer = _make_scorer(share(df.sparkSession, table))
         return df.withColumn("_lex", scorer(tokens)).select(
             "*", "_lex.polarity", "_lex.subjectivity", "_lex.lexicon_hits"

@@ -24,11 +24,15 @@ def test_lexicon_paths_agree(spark):
         [(1, "good good bad"), (2, "nothing here"), (3, "the bad"), (4, "")], "id int, cleaned_text string"
     )
     lex = spark.createDataFrame(LEX, "word string, polarity double, subjectivity double")
-    small = sentiment.lexicon_scores(posts, T.space_tokens("cleaned_text"), lex, "id")
+    tiny = sentiment.lexicon_scores(posts, T.space_tokens("cleaned_text"), lex, "id")
+    small = sentiment.lexicon_scores(posts, T.space_tokens("cleaned_text"), lex, "id", expression_limit=0)
     large = sentiment.lexicon_scores(posts, T.space_tokens("cleaned_text"), lex, "id", broadcast_limit=0)
     a = {r["id"]: (r["polarity"], r["subjectivity"], r["lexicon_hits"]) for r in small.collect()}
     b = {r["id"]: (r["polarity"], r["subjectivity"], r["lexicon_hits"]) for r in large.collect()}
-    assert a == b
+    c = {r["id"]: (r["polarity"], r["subjectivity"], r["lexicon_hits"]) for r in tiny.collect()}
+    assert a == b == c
+    plan = tiny._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "ArrowEvalPython" in small._jdf.queryExecution().executedPlan().toString()
     # micro-units: (700000 + 700000 - 700000) / 3 = 233333.33 -> 233333; (600000 + 600000 + 667000) / 3 = 622333.33 -> 622333
     assert a[1] == (0.233333, 0.622333, 3)
     assert a[3] == (-0.35, 0.3835, 2)  # -700000 / 2; (100000 + 667000) / 2 = 383500
