@@ -113,3 +113,11 @@ def test_label_distribution_orders(spark):
     by_count = [(r["label"], r["n"]) for r in adapters.label_distribution(df, order="count").collect()]
     assert by_value == [(0.0, 1), (1.0, 2), (2.0, 3)]
     assert by_count == [(2.0, 3), (1.0, 2), (0.0, 1)]
+
+
+def test_utf8_bom_header(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "bom.csv")
+    with open(p, "wb") as f:
+        f.write(b"\xef\xbb\xbftext,label\nteenage stress,1\n")
+    df, col = adapters.load_mental_health_twitter(spark, p)
+    assert "text" in df.columns and df.first()["text"] == "teenage stress"
