@@ -149,6 +149,8 @@ def balance_classes(
     Output: the input columns plus ``replica`` (1-based copy number).
     """
     counts = collect_class_counts(df, label)
+    if not counts:  # nothing to balance
+        return df.withColumn("replica", F.lit(1)).limit(0)
     target = target_size(list(counts.values()), min_per_class)
     plan = _class_table(
         df, label, [(c, target, math.ceil(target / n)) for c, n in counts.items()], "target long, _copies int"

@@ -109,3 +109,12 @@ def test_balance_tiny_class_large_target(spark):
     counts = {r["y"]: r["count"] for r in got.groupBy("y").count().collect()}
     assert counts == {0: 9000, 1: 9000, 2: 9000}
     assert got.filter("y = 2").select("id", "replica").distinct().count() == 9000
+
+
+def test_empty_inputs(spark):
+    df = spark.createDataFrame([], "id long, y int")
+    assert sampling.balance_classes(df, "y", "id").count() == 0
+    assert "replica" in sampling.balance_classes(df, "y", "id").columns
+    keyed = df.withColumn("key", F.col("id").cast("string"))
+    assert sampling.stratified_split(keyed, "y", "key").count() == 0
+    assert sampling.seeded_sample(df, 10, "id").count() == 0
