@@ -35,7 +35,8 @@ WORD_RE = r"[\p{L}\p{N}_]+"
 
 
 def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    """A column by its exact top-level name (dots and spaces allowed), or the Column itself."""
+    return F.col("`" + c.replace("`", "``") + "`") if isinstance(c, str) else c
 
 
 def lowercase(c: Column | str) -> Column:

@@ -23,8 +23,13 @@ CLEAN = "cleaned_text"
 SCORE = "relevance_score"
 
 
+def _c(name: str) -> Column:
+    """A top-level column by its exact name (dots and spaces allowed)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _order_struct(order: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c) for c in order])
+    return F.struct(*[_c(c) for c in order])
 
 
 def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], copies_col: str | None = None) -> DataFrame:
@@ -38,18 +43,19 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], copie
     """
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
-    aggs = [F.min_by(F.struct(*[F.col(c) for c in rest]), _order_struct(order)).alias("_first")]
+    aggs = [F.min_by(F.struct(*[_c(c).alias(c) for c in rest]), _order_struct(order)).alias("_first")]
     if copies_col:
         aggs.append(F.count(F.lit(1)).alias(copies_col))
     # A fixed-width hash as the leading key lets the sort/hash of wide text keys compare
     # 8 bytes first; the key itself stays in the grouping, so the result is exact.
-    out = df.groupBy(F.xxhash64(*keys).alias("_key_hash"), *keys).agg(*aggs)
-    cols = [F.col(k) for k in keys] + [F.col(f"_first.{c}").alias(c) for c in rest]
+    out = df.groupBy(F.xxhash64(*[_c(k) for k in keys]).alias("_key_hash"), *[_c(k) for k in keys]).agg(*aggs)
+    by_name = {k: _c(k) for k in keys}
+    by_name.update({c: F.col("_first").getField(c) for c in rest})
     if copies_col:
-        cols.append(F.col(copies_col))
+        by_name[copies_col] = _c(copies_col)
+    ordered = list(df.columns) + ([copies_col] if copies_col else [])
     # restore the input column order
-    ordered = [c for c in df.columns] + ([copies_col] if copies_col else [])
-    return out.select(*cols).select(*ordered)
+    return out.select(*[by_name[c].alias(c) for c in ordered])
 
 
 def drop_null(df: DataFrame, subset: Sequence[str]) -> DataFrame:
@@ -125,7 +131,7 @@ def clean_dataset(df: DataFrame, text_col: str, order: Sequence[str], profile: S
         + [f"{f}_terms_found" for f in fams]
         + [f"{f}_term_count" for f in fams]
     )
-    return scored.select(*cols)
+    return scored.select(*[_c(c) for c in cols])
 
 
 def stage_counts(df: DataFrame, text_col: str, profile: ScoreProfile = PROFILE_V2) -> DataFrame:

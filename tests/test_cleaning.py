@@ -78,3 +78,15 @@ def test_drop_null_and_stats(spark):
     assert C.drop_null(df, ["label"]).count() == 2
     s = C.drop_stats(df, "label").first()
     assert (s["initial_rows"], s["dropped_rows"], s["kept_rows"]) == (3, 1, 2)
+
+
+def test_odd_column_names(spark):
+    df = spark.createDataFrame([(1, "teenage stress", "x"), (2, "teenage stress", "y")], "`post.id` int, `Post Text` string, `a b` string")
+    out = C.clean_dataset(df, "Post Text", ["post.id"], PROFILE_V2).collect()
+    assert len(out) == 1 and out[0]["post.id"] == 1 and out[0]["a b"] == "x"
+
+
+def test_dotted_text_column(spark):
+    df = spark.createDataFrame([(1, "Teen exam stress")], "id int, `body.text` string")
+    out = C.clean_dataset(df, "body.text", ["id"], PROFILE_V2).first()
+    assert out["cleaned_text"] == "teen exam stress" and out["relevance_score"] == 0.5
