@@ -118,3 +118,17 @@ def test_empty_inputs(spark):
     keyed = df.withColumn("key", F.col("id").cast("string"))
     assert sampling.stratified_split(keyed, "y", "key").count() == 0
     assert sampling.seeded_sample(df, 10, "id").count() == 0
+
+
+def test_results_do_not_depend_on_partitioning(spark):
+    """Recomputation after a lost executor sees other partitions; the choices must not move."""
+    df, rows = labelled(spark, {0: 700, 1: 300, 2: 45})
+    keyed = df.withColumn("key", F.col("id").cast("string"))
+    outs = []
+    for parts in (1, 5, 13):
+        d = keyed.repartition(parts)
+        bal = {(r["id"], r["replica"]) for r in sampling.balance_classes(d, "y", "id").collect()}
+        split = {(r["key"], r["fold"]) for r in sampling.stratified_split(d, "y", "key").collect()}
+        sample = {r["id"] for r in sampling.seeded_sample(d, 99, "id").collect()}
+        outs.append((bal, split, sample))
+    assert outs[0] == outs[1] == outs[2]
