@@ -28,14 +28,10 @@ def _c(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def _order_struct(order: Sequence[str]) -> Column:
-    return F.struct(*[_c(c) for c in order])
-
-
 def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], copies_col: str | None = None) -> DataFrame:
     """Keep, for each distinct ``keys`` value, the row that comes first by ``order``.
 
-    Written as an aggregate (``min_by`` over the order key), so Spark combines map-side
+    Written as an aggregate (``min`` of a struct led by the order key), so Spark combines map-side
     before the shuffle: a key holding a large share of all rows is reduced to one row per
     input partition, instead of sending all its copies to one task as a window would.
     NULL keys form one group (one NULL row survives), as with an in-memory dedupe.
@@ -43,7 +39,10 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], copie
     """
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
-    aggs = [F.min_by(F.struct(*[_c(c).alias(c) for c in rest]), _order_struct(order)).alias("_first")]
+    # min over (order, then every other column): the order key decides, and rows that tie on
+    # it are still told apart by their values, so a recomputed task picks the same row.
+    ranked = F.struct(*[_c(c).alias(f"_o{i}") for i, c in enumerate(order)], *[_c(c).alias(c) for c in rest])
+    aggs = [F.min(ranked).alias("_first")]
     if copies_col:
         aggs.append(F.count(F.lit(1)).alias(copies_col))
     # A fixed-width hash as the leading key lets the sort/hash of wide text keys compare

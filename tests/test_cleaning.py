@@ -90,3 +90,10 @@ def test_dotted_text_column(spark):
     df = spark.createDataFrame([(1, "Teen exam stress")], "id int, `body.text` string")
     out = C.clean_dataset(df, "body.text", ["id"], PROFILE_V2).first()
     assert out["cleaned_text"] == "teen exam stress" and out["relevance_score"] == 0.5
+
+
+def test_dedupe_ties_on_order_are_deterministic(spark):
+    rows = [(1, "a", "z"), (1, "a", "b"), (1, "a", "m")]
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "id int, text string, other string").repartition(parts)
+        assert C.dedupe_first(df, ["text"], ["id"]).first()["other"] == "b"
