@@ -62,3 +62,25 @@ def test_study_end_to_end(spark, tmpdir_path):
 
     share = study.topic_report(spark, os.path.join(out, "sentiment_predictions_twitter")).collect()
     assert len(share) == 4 and abs(sum(r["pct"] for r in share) - 100.0) < 1e-9
+
+
+def test_command_line(spark, tmpdir_path, capsys):
+    from tensio.__main__ import main
+
+    raw = os.path.join(tmpdir_path, "tw2.csv")
+    with open(raw, "w") as f:
+        f.write("text;label;;\n")
+        for t in _posts(60, 1):
+            f.write(f"{t};0;;\n")
+    out = os.path.join(tmpdir_path, "out")
+    assert main(["clean", "--out", out, f"twitter_data_2={raw}"]) == 0
+    distinct = len(set(_posts(60, 1)))  # exact duplicates are dropped
+    assert f"twitter_data_2: {distinct} posts kept" in capsys.readouterr().out
+    lex = os.path.join(tmpdir_path, "lex.csv")
+    with open(lex, "w") as f:
+        f.write("word,polarity,subjectivity\ngood,0.7,0.6\nhappy,0.8,1.0\nbad,-0.7,0.7\nsad,-0.5,1.0\nplain,0.0,0.9\n")
+    cleaned = os.path.join(out, study.cleaned_name("twitter_data_2"))
+    assert main(["sentiment", "--out", out, "--platform", "Twitter", "--lexicon", lex, cleaned]) == 0
+    assert "accuracy" in capsys.readouterr().out
+    assert main(["topics", os.path.join(out, "sentiment_predictions_twitter")]) == 0
+    assert "School & Studies" in capsys.readouterr().out
