@@ -39,3 +39,9 @@ def test_scans_read_only_needed_columns(plans):
     assert all("props" not in s for s in schemas(plans["sentinel_replace"]))
     assert all("c_acctbal" not in s for s in schemas(plans["label_map"]))
     assert all("text" not in s for s in schemas(plans["drop_null_label"]))
+
+
+def test_python_only_arrow_batched_and_only_where_documented(plans):
+    assert not [n for n, p in plans.items() if "BatchEvalPython" in p]
+    with_python = {n for n, p in plans.items() if "ArrowEvalPython" in p}
+    assert with_python <= {"token_sequences", "padded_sequences"}, with_python
