@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
@@ -57,27 +57,42 @@ def normalise_missing(df: DataFrame, na_tokens: Sequence[str] = NA_TOKENS) -> Da
     return df.select(*cols)
 
 
+def _encodings(encoding: str | Sequence[str]) -> list[str]:
+    return [encoding] if isinstance(encoding, str) else list(encoding)
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
     sep: str = ",",
     header: bool = True,
     schema: TY.StructType | None = None,
-    encoding: str = "UTF-8",
+    encoding: str | Sequence[str] = "UTF-8",
     multiline: bool = True,
     na_tokens: Sequence[str] = NA_TOKENS,
 ) -> DataFrame:
-    """Read a delimited file; all columns are strings unless ``schema`` is given."""
-    reader = _reader(spark, sep, header, encoding, multiline)
-    if schema is not None:
-        reader = reader.schema(schema)
-    try:
-        df = reader.csv(path)
-        if not df.columns:
-            raise SourceError(f"{path}: empty file")
-    except AnalysisException as e:
-        raise SourceError(f"{path}: {e}") from e
-    return normalise_missing(df, na_tokens)
+    """Read a delimited file; all columns are strings unless ``schema`` is given.
+
+    ``encoding`` may be a list tried in order; a charset the reader does not support is
+    skipped (e.g. ``windows-1252``: ISO-8859-1 decodes every byte and differs only in
+    0x80–0x9F, which text cleaning drops anyway).
+    """
+    problems = []
+    for enc in _encodings(encoding):
+        reader = _reader(spark, sep, header, enc, multiline)
+        if schema is not None:
+            reader = reader.schema(schema)
+        try:
+            df = reader.csv(path)
+            if not df.columns:
+                raise SourceError(f"{path}: empty file")
+        except IllegalArgumentException as e:  # unsupported charset: try the next one
+            problems.append(f"{enc}: {str(e).splitlines()[0]}")
+            continue
+        except AnalysisException as e:
+            raise SourceError(f"{path}: {e}") from e
+        return normalise_missing(df, na_tokens)
+    raise SourceError(f"{path}: no usable encoding ({'; '.join(problems)})")
 
 
 def read_csv_tolerant(
@@ -86,7 +101,7 @@ def read_csv_tolerant(
     schema: TY.StructType,
     sep: str = ",",
     header: bool = False,
-    encoding: str = "UTF-8",
+    encoding: str | Sequence[str] = "UTF-8",
     na_tokens: Sequence[str] = NA_TOKENS,
 ) -> tuple[DataFrame, DataFrame]:
     """Read with ``schema``; lines with too many fields are dropped, short lines kept.
@@ -100,11 +115,20 @@ def read_csv_tolerant(
     text_schema = TY.StructType(
         [TY.StructField(f.name, TY.StringType()) for f in schema.fields] + [TY.StructField(extra, TY.StringType())]
     )
-    reader = _reader(spark, sep, header, encoding, False).option("mode", "PERMISSIVE").schema(text_schema)
-    try:
-        raw = reader.csv(path)
-    except AnalysisException as e:
-        raise SourceError(f"{path}: {e}") from e
+    raw = None
+    problems = []
+    for enc in _encodings(encoding):
+        reader = _reader(spark, sep, header, enc, False).option("mode", "PERMISSIVE").schema(text_schema)
+        try:
+            raw = reader.csv(path)
+            raw.take(1)  # with a given schema the charset is only checked when a task runs
+            break
+        except IllegalArgumentException as e:  # unsupported charset: try the next one
+            problems.append(f"{enc}: {str(e).splitlines()[0]}")
+        except AnalysisException as e:
+            raise SourceError(f"{path}: {e}") from e
+    if raw is None:
+        raise SourceError(f"{path}: no usable encoding ({'; '.join(problems)})")
     raw = normalise_missing(raw, na_tokens)
     too_long = F.col(extra).isNotNull()
     typed = [

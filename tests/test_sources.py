@@ -121,3 +121,18 @@ def test_utf8_bom_header(spark, tmpdir_path):
         f.write(b"\xef\xbb\xbftext,label\nteenage stress,1\n")
     df, col = adapters.load_mental_health_twitter(spark, p)
     assert "text" in df.columns and df.first()["text"] == "teenage stress"
+
+
+def test_encoding_list_skips_unsupported(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "cp.csv")
+    with open(p, "wb") as f:
+        f.write(b"text,label\ncaf\xe9 teenage,1\n")
+    df = csv.read_csv(spark, p, encoding=["windows-1252", "ISO-8859-1"])
+    assert df.first()["text"] == "café teenage"
+    with pytest.raises(csv.SourceError):
+        csv.read_csv(spark, p, encoding="windows-1252")
+    rows, report = csv.read_csv_tolerant(
+        spark, p, TY.StructType([TY.StructField("text", TY.StringType()), TY.StructField("label", TY.StringType())]),
+        header=True, encoding=["cp1252", "ISO-8859-1"],
+    )
+    assert rows.first()["text"] == "café teenage"
