@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from tensio.session import ensure_checkpoint_dir, ship_package
+
 
 class _Held:
     """Stand-in for a broadcast variable where none can be made (``.value`` only)."""
@@ -16,6 +18,7 @@ def share(spark, value):
     """Ship a bounded driver-side value to the executors once: a broadcast variable, or,
     on a session without a SparkContext (Spark Connect), the value itself, which then
     travels with the function that uses it."""
+    ship_package(spark)
     try:
         return spark.sparkContext.broadcast(value)
     except Exception:  # noqa: BLE001 - no JVM SparkContext behind this session
@@ -49,7 +52,5 @@ def materialize(df: DataFrame) -> DataFrame:
     The copy lives in ``spark.checkpoint.dir`` (shared storage on a cluster), so it
     survives the loss of an executor; there is no local (executor-disk) checkpoint.
     """
-    from tensio.session import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

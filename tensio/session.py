@@ -3,10 +3,31 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers (once per application).
+
+    Python functions that run on executors refer to the package by name.  It is sent along
+    as a zip, the way ``--py-files`` does it, so executors need no installation.
+    """
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the package must be installed or added as an artifact
+        return
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = os.path.join(tempfile.mkdtemp(prefix="tensio-package-"), "tensio_package")
+    sc.addPyFile(shutil.make_archive(copy, "zip", root, "tensio"))
+    _shipped.add(sc.applicationId)
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "tensio") -> SparkSession:
     """A local session configured the way the tests and ``bench.py`` expect."""
@@ -33,8 +54,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory, setting one only when the cluster names none.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is used as is.  Only
-    when it is unset (local tests) is a fresh temporary directory taken.
+    On a cluster ``spark.checkpoint.dir`` points at shared storage and is used as is; it is an
+    error if it is unset there.  Only a local master takes a fresh temporary directory.
     """
     try:
         sc = spark.sparkContext
@@ -45,6 +66,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tensio-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
