@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from tensio.session import ensure_checkpoint_dir
+from tensio.session import ensure_checkpoint_dir, ship_package
 
 #: Text bytes that one numpy pass works on; a longer single text is worked on whole.
 SLICE_BYTES = 6 << 20
@@ -54,6 +54,11 @@ def map_slices(df: DataFrame, text: str, schema: str, work: Callable[[Iterator[p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(slices(batches, text))
 
+    return map_arrow(df, run, schema)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

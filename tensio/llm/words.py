@@ -30,6 +30,10 @@ _FAMILY = [(_byte_values(101, _SPACES), _U(0x9E3779B97F4A7C15)), (_byte_values(2
 _LINE = _byte_values(303, [10])
 
 
+def is_space(data: np.ndarray) -> np.ndarray:
+    return _WS[data]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (in place on its own copy)."""
     h = h ^ (h >> _U(30))
