@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensio.llm import piece_counts, quality, records, repetition, simhash
+from tensio.llm import packing, piece_counts, quality, records, repetition, simhash
 from tensio.llm.batches import stage_path
 from tensio.sources.tables import read_table
 
@@ -31,6 +31,11 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.with_start(records.read_records(index)).withColumnRenamed("key", "doc_id")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -50,6 +55,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_token_records": op3_token_records,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op7_simhash": op7_simhash,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
