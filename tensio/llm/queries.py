@@ -8,11 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensio.llm import packing, piece_counts, quality, records, repetition, simhash, substrings
+from tensio.llm import decontaminate, packing, piece_counts, quality, records, repetition, simhash, substrings
 from tensio.llm.batches import stage_path
 from tensio.sources.tables import read_table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 MAX_TOKENS = 4096
 
 
@@ -58,6 +63,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
     "op3_token_records": op3_token_records,
     "op5_best_fit_packing": op5_best_fit_packing,

@@ -15,6 +15,8 @@ _WS = np.zeros(256, bool)
 _WS[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LETTERS = np.arange(256, dtype=np.uint8)
+_LETTERS[[i for i in range(128) if not chr(i).isalnum()]] = 32
 _U = np.uint64
 
 
@@ -93,9 +95,12 @@ class Words:
         return lead[self.ends] - lead[self.starts]
 
 
-def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
+def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False, letters: bool = False) -> Words:
+    """``letters``: ASCII characters other than letters and digits count as white space."""
     if lower:
         data = _LOWER[data]
+    if letters:
+        data = _LETTERS[data]
     n = len(data)
     if n == 0:
         empty = np.zeros(0, np.int64)
