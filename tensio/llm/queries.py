@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensio.llm import decontaminate, packing, piece_counts, quality, records, repetition, simhash, substrings
+from tensio.llm import decontaminate, main_text, packing, piece_counts, quality, records, repetition, simhash, substrings
 from tensio.llm.batches import stage_path
 from tensio.sources.tables import read_table
 
@@ -36,6 +36,11 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.with_start(records.read_records(index)).withColumnRenamed("key", "doc_id")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return main_text.with_main_text(pages, main_text.train(pages))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
     "op3_token_records": op3_token_records,
+    "op4_html_extraction": op4_html_extraction,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_simhash": op7_simhash,
     "op8_substring_dedup": op8_substring_dedup,
