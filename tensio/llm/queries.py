@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensio.llm import decontaminate, main_text, packing, piece_counts, quality, records, repetition, simhash, substrings
+from tensio.llm import decontaminate, language_model, main_text, packing, piece_counts, quality, records, repetition, simhash, substrings
 from tensio.llm.batches import stage_path
 from tensio.sources.tables import read_table
 
@@ -46,6 +46,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.with_scores(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_records": op3_token_records,
     "op4_html_extraction": op4_html_extraction,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_simhash": op7_simhash,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_classifier": op9_quality_classifier,
