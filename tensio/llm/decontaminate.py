@@ -183,6 +183,44 @@ def _scores(h: np.ndarray, passages: Passages, passage: np.ndarray, begin: np.nd
     return out, stop
 
 
+def _blocks(documents: DataFrame, benchmark: DataFrame, item_key: str, item_text: str) -> Iterator[tuple]:
+    """For each block of the benchmark: passages, seeds and item ids, ready to be sent to tasks.
+
+    ``documents`` has the column ``__text``.
+    """
+    items = benchmark.select(F.col(f"`{item_key}`").alias("item"), F.coalesce(F.col(f"`{item_text}`").cast("string"), F.lit("")).alias("words"))
+    size = items.agg(F.sum(F.octet_length("words") + 16)).first()[0] or 0
+    blocks = max(1, -(-int(size) // BLOCK_BYTES))
+    for block in range(blocks):
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block)
+        table = part.toArrow().combine_chunks()  # about BLOCK_BYTES
+        if not table.num_rows:
+            continue
+        passages = Passages.cut(table.column("words").combine_chunks())
+        vocabulary = np.unique(passages.words)
+        if len(vocabulary):
+            seeds = passages.seeds(vocabulary, _word_shares(documents.select("__text"), vocabulary))
+            yield passages.words, passages.first, passages.item, seeds, table.column("item").combine_chunks()
+
+
+def _matches(texts: pa.Array, block: tuple, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, item, score and end of every copy in a batch, one for each text and item."""
+    words, first, item, seeds, _ = block
+    passages = Passages(words, first, item)
+    w = W.split(*text_buffer(texts), lower=True, letters=True)
+    h = w.hashes()
+    passage, begin, end = _candidates(w, h, passages, seeds)
+    score, stop = _scores(h, passages, passage, begin, end)
+    good = score >= least
+    doc = np.searchsorted(w.first, begin[good], side="right") - 1
+    whose, score, stop = item[passage[good]], score[good], stop[good] - w.first[doc]
+    order = np.lexsort((stop, -score, whose, doc))
+    new = np.ones(len(order), bool)
+    new[1:] = (doc[order][1:] != doc[order][:-1]) | (whose[order][1:] != whose[order][:-1])
+    top = order[new]
+    return doc[top], whose[top], score[top], stop[top]
+
+
 def find_leaks(
     documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", least: float = LEAST_SCORE
 ) -> DataFrame:
@@ -194,54 +232,42 @@ def find_leaks(
     items and rows are found each for itself.
     """
     spark = documents.sparkSession
-    items = benchmark.select(F.col(f"`{item_key}`").alias("item"), F.coalesce(F.col(f"`{item_text}`").cast("string"), F.lit("")).alias("words"))
     source = documents.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"), F.col(f"`{key}`").alias("key"))
-    size = items.agg(F.sum(F.octet_length("words") + 16)).first()[0] or 0
-    blocks = max(1, -(-int(size) // BLOCK_BYTES))
-    fields = f"key {source.schema['key'].dataType.simpleString()}, item {items.schema['item'].dataType.simpleString()}, score double, end_word long"
+    fields = f"key {source.schema['key'].dataType.simpleString()}, item {benchmark.schema[item_key].dataType.simpleString()}, score double, end_word long"
     out = None
-    for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block)
-        table = part.toArrow().combine_chunks()  # about BLOCK_BYTES
-        passages = Passages.cut(table.column("words").combine_chunks()) if table.num_rows else Passages(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64))
-        vocabulary = np.unique(passages.words)
-        seeds = passages.seeds(vocabulary, _word_shares(source.select("__text"), vocabulary)) if len(vocabulary) else (np.zeros(0, np.uint64), passages.item, passages.item)
-        names = table.column("item").combine_chunks() if table.num_rows else pa.array([], table.schema.field("item").type)
-        sent = share(spark, (passages.words, passages.first, passages.item, seeds, names))
+    for block in _blocks(source, benchmark, item_key, item_text):
+        sent = share(spark, block)
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            words, first, item, seeds, names = sent.value
-            passages = Passages(words, first, item)
             for batch in batches:
-                w = W.split(*text_buffer(batch.column(0)), lower=True, letters=True)
-                h = w.hashes()
-                passage, begin, end = _candidates(w, h, passages, seeds)
-                if not len(passage):
-                    continue
-                score, stop = _scores(h, passages, passage, begin, end)
-                good = score >= least
-                doc = np.searchsorted(w.first, begin[good], side="right") - 1
-                whose, score, stop = item[passage[good]], score[good], stop[good] - w.first[doc]
-                order = np.lexsort((stop, -score, whose, doc))
-                new = np.ones(len(order), bool)
-                new[1:] = (doc[order][1:] != doc[order][:-1]) | (whose[order][1:] != whose[order][:-1])
-                top = order[new]
-                columns = [batch.column(1).take(pa.array(doc[top])), names.take(pa.array(whose[top])), pa.array(score[top]), pa.array(stop[top])]
+                doc, item, score, stop = _matches(batch.column(0), sent.value, least)
+                columns = [batch.column(1).take(pa.array(doc)), sent.value[4].take(pa.array(item)), pa.array(score), pa.array(stop)]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "item", "score", "end_word"])
 
         found = map_slices(source, "__text", fields, work)
         out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = spark.createDataFrame([], fields)
     return out.select(F.col("key").alias(key), F.col("item").alias(item_key), "score", "end_word")
 
 
-def without_leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``documents`` whose text holds no copy of an item (all columns).
+def without_leaks(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``documents``, all columns, whose text holds no copy of an item.
 
-    A leak is tied to its row by the key and the text's hash, so rows that share a key are judged
-    each by its own text.
+    The same search as ``find_leaks``; each row is judged by its own text where it is read, so
+    nothing is joined or shuffled.
     """
-    both = F.struct(F.col(f"`{key}`").alias("k"), F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("h"))
-    leaks = find_leaks(documents.select(both.alias("__row"), F.col(f"`{text}`").alias("__words")), benchmark, "__row", "__words", **options)
-    rows = leaks.select(F.col("__row.k").alias("__k"), F.col("__row.h").alias("__h")).distinct()
-    marked = documents.withColumn("__own", both.getField("h"))
-    return marked.join(rows, F.col(f"`{key}`").eqNullSafe(F.col("__k")) & (F.col("__own") == F.col("__h")), "left_anti").drop("__own")
+    spark, columns = documents.sparkSession, documents.columns
+    out = documents.select(F.col(f"`{text}`").cast("string").alias("__text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns) if c != text])
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema.fields)
+    for block in _blocks(out, benchmark, item_key, item_text):
+        sent = share(spark, block)
+
+        def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[_matches(batch.column(0), sent.value, least)[0]] = False
+                yield batch.filter(pa.array(clean))
+
+        out = map_slices(out, "__text", fields, work)
+    return out.select(*[F.col("__text" if c == text else f"c{i}").alias(c) for i, c in enumerate(columns)])

@@ -205,16 +205,18 @@ def with_score(df: DataFrame, model: Trees, text: str = "text", keep: list[str]
 
     NULL and empty texts are scored from zero statistics.  Repeated rows get equal scores.
     """
-    keep = df.columns if keep is None else keep
+    keep = [c for c in (df.columns if keep is None else keep) if c != "score"]
     model_arrays = share(df.sparkSession, model.arrays())
-    named = df.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
-    fields = ", ".join([*[f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(named.schema.fields[1:])], "__score double"])
+    columns = [F.col(f"`{c}`").cast("string").alias("__text") if c == text else F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
+    named = df.select(*columns, *([] if text in keep else [F.col(f"`{text}`").cast("string").alias("__text")]))
+    kept = [f for f in named.schema.fields if f.name != "__text" or text in keep]
+    fields = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in kept], "__score double"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = Trees(*model_arrays.value)
         for batch in batches:
-            score = trees.score(statistics(*text_buffer(batch.column(0))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score)], names=[*batch.schema.names[1:], "__score"])
+            score = trees.score(statistics(*text_buffer(batch.column("__text"))))
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(score)], names=[*[f.name for f in kept], "__score"])
 
     scored = map_slices(named, "__text", fields, work)
-    return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep) if c != "score"], F.col("__score").alias("score"))
+    return scored.select(*[F.col("__text" if c == text else f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("__score").alias("score"))

@@ -237,9 +237,9 @@ def _once(df: DataFrame, maps, log: int, buckets: int, kind: str) -> DataFrame:
     return map_arrow(sent.repartition(partitions(spark), "bucket"), judge, f"key {kind}, th long, at int")
 
 
-def drop_repeated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``df`` but ``text``, and ``kept_text`` (words joined by one space),
-    ``n_words`` and ``n_removed``.
+def drop_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
+    """All columns of ``df``, ``text`` only if asked for, and ``kept_text`` (words joined by one
+    space), ``n_words`` and ``n_removed``.
 
     Windows are judged on the input.  NULL, empty and short texts have no window and keep their
     words; of repeated rows every window repeats, so all of them lose those words.  Columns of the input named like a result are left out.
@@ -256,7 +256,7 @@ def drop_repeated(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     judged = named.withColumn("__th", F.xxhash64("__text"))
     judged = judged.join(unique.withColumnRenamed("key", "__key"), (F.col("__th") == F.col("th")) & F.col(f"`{key}`").eqNullSafe(F.col("__key")), "left")
     judged = judged.select("__text", "__once", *[F.col(f"`{c}`") for c in rest])
-    fields = ", ".join([*[f"`{c}` {named.schema[c].dataType.simpleString()}" for c in rest], "kept_text string, n_words long, n_removed long"])
+    fields = ", ".join([*[f"`{c}` {named.schema[c].dataType.simpleString()}" for c in rest], *(["`__own` string"] if keep_text else []), "kept_text string, n_words long, n_removed long"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,10 +270,12 @@ def drop_repeated(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             gone = W.covered(flagged, WINDOW)
             kept, ends = _rebuilt(w, ~gone)
             texts = pa.StringArray.from_buffers(batch.num_rows, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(kept))
-            columns = [*batch.columns[2:], texts, pa.array(w.counts), pa.array(W.by_doc(gone, w.first))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[2:], "kept_text", "n_words", "n_removed"])
+            own = [batch.column(0)] if keep_text else []
+            columns = [*batch.columns[2:], *own, texts, pa.array(w.counts), pa.array(W.by_doc(gone, w.first))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[2:], *["__own"] * keep_text, "kept_text", "n_words", "n_removed"])
 
-    return map_slices(judged, "__text", fields, work)
+    out = map_slices(judged, "__text", fields, work)
+    return out.withColumnRenamed("__own", text) if keep_text else out
 
 
 def _rebuilt(w: W.Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
