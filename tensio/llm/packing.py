@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensio.llm.batches import map_arrow, map_slices, staged
-from tensio.llm.token_ids import Encoder
+from tensio.llm.token_ids import encoder
 
 CAPACITY = 1024
 #: A bin with at most this much room left is nearly full and is emitted.
@@ -118,7 +118,7 @@ def _local(df: DataFrame, tokenizer_path: str, end_id: int, key: str, text: str)
     source = df.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"), F.col(f"`{key}`").alias("key"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tag, held, waiting = None, None, [], 0
+        coder, tag, held, waiting = None, None, [], 0
 
         def packed() -> Iterator[pa.RecordBatch]:
             nonlocal tag, held, waiting
@@ -130,9 +130,9 @@ def _local(df: DataFrame, tokenizer_path: str, end_id: int, key: str, text: str)
                 yield found.slice(at, 20_000)
 
         for batch in batches:
-            if encoder is None:
-                encoder, tag = Encoder(tokenizer_path), _tag(0)
-            ids, counts = encoder.encode(batch.column(0))
+            if coder is None:
+                coder, tag = encoder(tokenizer_path), _tag(0)
+            ids, counts = coder.encode(batch.column(0))
             ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id))
             pieces = _cut(ids, counts + 1)
             keys = batch.column(1).take(pa.array(pieces.pop("doc")))

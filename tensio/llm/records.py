@@ -23,7 +23,7 @@ from pyspark.sql import Window as Wn
 from pyspark.sql import functions as F
 
 from tensio.llm.batches import map_arrow, partitions, slices, staged
-from tensio.llm.token_ids import Encoder
+from tensio.llm.token_ids import encoder
 
 _POLY = 0x82F63B78
 #: Most bytes that one ranged read takes at once (a longer record is read whole).
@@ -135,14 +135,14 @@ def write_records(df: DataFrame, folder: str, tokenizer_path: str, end_id: int,
 
         shard = TaskContext.get().partitionId()
         name = f"{data}/part-{shard:06d}-{uuid.uuid4().hex}.rec"
-        stream, at, encoder, width = None, 0, None, 0
+        stream, at, coder, width = None, 0, None, 0
         for batch in slices(batches, "__text"):
             if stream is None:
                 store, place = _store(name)
                 store.create_dir(place.rpartition("/")[0], recursive=True)
-                stream, encoder = store.open_output_stream(place), Encoder(tokenizer_path)
-                width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-            ids, counts = encoder.encode(batch.column(1))
+                stream, coder = store.open_output_stream(place), encoder(tokenizer_path)
+                width = 2 if max(coder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+            ids, counts = coder.encode(batch.column(1))
             edges = np.concatenate([[0], np.cumsum(counts)])
             ids = np.insert(ids, edges[1:], np.uint32(end_id)).astype(f"<u{width}")
             edges = (edges + np.arange(len(edges))) * width

@@ -3,13 +3,14 @@
 A byte-level BPE with the usual contraction/letters/numbers/other/space pattern encodes each
 pre-token on its own.  Texts are cut at places where that pattern always ends a pre-token,
 equal pieces of a batch are coded as one, and the library encodes each distinct piece once
-per task.  Any other tokenizer file is applied to whole texts.
+per worker.  Any other tokenizer file is applied to whole texts.
 """
 
 from __future__ import annotations
 
 import json
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,8 @@ import regex
 
 from tensio.llm.batches import text_buffer
 
-#: Pieces whose ids a task keeps; beyond it the memory is emptied and filled anew.
-MEMORY = 600_000
+#: Pieces whose ids a worker keeps; beyond it the memory is emptied and filled anew.
+MEMORY = 1_000_000
 
 _CUT_LETTER = np.zeros(256, bool)
 _CUT_LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -66,7 +67,16 @@ class Encoder:
 
     def _reset(self) -> None:
         self.place.clear()
-        self.ids, self.sizes = [], []
+        self.known, self.size, self.begin = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        got = self._encode(pieces)
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))
+        self.place.update(zip(pieces, range(len(self.size), len(self.size) + len(got)), strict=True))
+        self.begin = np.concatenate([self.begin, len(self.known) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.known = np.concatenate([self.known, flat])
 
     def _cuts(self, buf: np.ndarray, heads: np.ndarray) -> np.ndarray:
         """Where a piece starts: at a text's start, at a space after something that is no white
@@ -134,19 +144,24 @@ class Encoder:
         if len(self.place) > MEMORY:
             self._reset()
         new = [w for w in words if w not in self.place]
-        for w, ids in zip(new, self._encode(new), strict=True):
-            self.place[w] = len(self.ids)
-            self.ids.append(np.array(ids, np.uint32))
-        at = np.fromiter((self.place[w] for w in words), np.int64, len(words))
-        own = [self.ids[i] for i in at]
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        flat = np.concatenate([*own, np.zeros(0, np.uint32)])
-        begin = np.cumsum(sizes) - sizes
-        codes = coded.indices.to_numpy()
-        each = sizes[codes]
+        if new:
+            self._learn(new)
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        each = self.size[at]
         total = np.concatenate([[0], np.cumsum(each)])
-        index = np.arange(total[-1]) + np.repeat(begin[codes] - total[:-1], each)
+        index = np.repeat(self.begin[at] - total[:-1], each)
+        index += np.arange(total[-1])
         counts = np.zeros(n, np.int64)
         edge = total[np.append(np.searchsorted(places, heads), len(places))]
         counts[full] = np.diff(edge)
-        return flat[index], counts
+        return self.known[index], counts
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker process's encoder of this file; what it has met stays known to later tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
