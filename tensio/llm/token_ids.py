@@ -54,6 +54,8 @@ class Encoder:
             spec = json.load(f)
         pre, added = spec["pre_tokenizer"] or {}, spec["added_tokens"]
         self.special = [t["content"] for t in added]
+        # Only a special string of one kind of characters can lie within a single pre-token.
+        self.hidden = [s for s in self.special if _ONE.fullmatch(s)]
         plain = {"type": "ByteLevel", "use_regex": True, "add_prefix_space": False}
         self.apart = (
             spec["normalizer"] is None
@@ -80,18 +82,21 @@ class Encoder:
 
     def _cuts(self, buf: np.ndarray, heads: np.ndarray) -> np.ndarray:
         """Where a piece starts: at a text's start, at a space after something that is no white
-        space, around a single line feed between such, and at ASCII punctuation after an ASCII letter, but
+        space, around a single line feed between such, and at ASCII punctuation after a Latin letter, but
         not inside a special string."""
         cut = np.zeros(len(buf), bool)
         if not len(buf):
             return cut
-        # White space beyond ASCII ends in a continuation byte; a cut is only made beside ASCII.
-        solid = (buf < 0x80) & ~_SPACE[buf]
         letter, point, feed = _CUT_LETTER[buf], _POINT[buf], buf == 10
+        # U+00C0 to U+017F are letters of two bytes, but for two signs.
+        latin = (buf[:-1] >= 0xC3) & (buf[:-1] <= 0xC5)
+        letter[1:] |= latin & ~((buf[:-1] == 0xC3) & ((buf[1:] == 0x97) | (buf[1:] == 0xB7)))
+        # What else lies beyond ASCII may be white space: no cut beside it.
+        solid = (buf < 0x80) & ~_SPACE[buf] | letter
         cut[1:] = solid[:-1] & (buf[1:] == 32)
         alone = feed.copy()
         alone[1:] &= solid[:-1]
-        alone[:-1] &= solid[1:]
+        alone[:-1] &= solid[1:] | (buf[1:] >= 0xC3) & (buf[1:] <= 0xC5)
         alone[[0, -1]] = False
         cut |= alone
         cut[1:] |= alone[:-1]
@@ -117,10 +122,14 @@ class Encoder:
         out: list = [None] * len(texts)
         rest = []
         for i, t in enumerate(texts):
-            if _ONE.fullmatch(t) and not any(s in t for s in self.special):
-                out[i] = [x.id for x in self.model.tokenize(pieces[i].decode("latin-1").translate(self.letters))]
-            else:
+            if not _ONE.fullmatch(t) or (self.hidden and any(s in t for s in self.hidden)):
                 rest.append(i)
+                continue
+            if t.isascii() and t.isprintable():  # only the space is not its own stand-in
+                t = self.letters[32] + t[1:] if t[0] == " " else t
+            else:
+                t = pieces[i].decode("latin-1").translate(self.letters)
+            out[i] = [x.id for x in self.model.tokenize(t)]
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = e.ids
         return out
