@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tensio.session import ensure_checkpoint_dir, ship_package
 
@@ -62,6 +63,29 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+def with_results(df: DataFrame, text: str, keep: list[str], results: str, start: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
+    """``keep`` columns of ``df`` and the columns ``results`` (as a schema) computed from ``text``.
+
+    ``start`` is called once per task and gives the function of a slice of texts.  Kept
+    columns pass through under neutral names, so any name will do; those named like a
+    result are left out.
+    """
+    names = [f.split()[0] for f in results.split(", ")]
+    keep = [c for c in keep if c not in names]
+    source = df.select(F.col(f"`{text}`").cast("string").alias("__text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
+    carried = [f.name for f in source.schema.fields[1:]]
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[1:]], results])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = None
+        for batch in batches:
+            compute = compute or start()
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *compute(batch.column(0))], names=[*carried, *names])
+
+    out = map_slices(source, "__text", schema, work)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *names)
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint directory."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

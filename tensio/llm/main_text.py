@@ -11,15 +11,13 @@ labeller also knows pages whose markup says less than the sampled ones.
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensio.llm import labeller
-from tensio.llm.batches import map_slices
+from tensio.llm.batches import with_results
 from tensio.llm.html_blocks import Block, blocks
 from tensio.operators.partitioning import share
 
@@ -150,16 +148,15 @@ def with_main_text(df: DataFrame, model: dict[str, np.ndarray], html: str = "htm
     Every block of the whole page is labelled.  NULL and empty pages, and pages without a main
     block, give the empty text.  Input columns named like a result are left out.
     """
-    keep = [c for c in df.columns if c not in (html, "text", "n_chars")]
-    named = df.select(F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).alias("__html"), *[F.col(f"`{c}`") for c in keep])
-    fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema.fields[1:]], "text string, n_chars long"])
     sent = share(df.sparkSession, model)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         cache: dict = {}
-        for batch in batches:
-            texts = extract([blocks(p) for p in batch.column(0).to_pylist()], sent.value, cache)
-            columns = [*batch.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[1:], "text", "n_chars"])
 
-    return map_slices(named, "__html", fields, work)
+        def compute(pages: pa.Array) -> list[pa.Array]:
+            texts = extract([blocks(p or "") for p in pages.to_pylist()], sent.value, cache)
+            return [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+
+        return compute
+
+    return with_results(df, html, [c for c in df.columns if c != html], "text string, n_chars long", start)

@@ -8,14 +8,11 @@ survives is counted.  Distinct pre-tokens of a task are merged once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tensio.llm.batches import map_slices, text_buffer
+from tensio.llm.batches import text_buffer, with_results
 
 #: Pre-tokens whose counts a task keeps; beyond it the memory is emptied and filled anew.
 MEMORY = 1_000_000
@@ -182,15 +179,12 @@ def with_token_counts(df: DataFrame, model_path: str, text: str = "text", keep:
     readable on every worker.  NULL and empty texts have 0 tokens.  One pass, no shuffle.
     Input columns named like a result are left out.
     """
-    results = ["n_bytes", "n_tokens"]
-    keep = [c for c in (df.columns if keep is None else keep) if c not in [*results, text]]
-    source = df.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"), *[F.col(f"`{c}`") for c in keep])
-    fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:]], "n_bytes long", "n_tokens long"])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         table, memory = PieceTable(model_path), {}
-        for batch in batches:
-            data, offsets = text_buffer(batch.column(0))
+
+        def compute(texts: pa.Array) -> list[pa.Array]:
+            data, offsets = text_buffer(texts)
             tokens, counts = _pretokens(data, offsets)
             coded = tokens.dictionary_encode()
             words = coded.dictionary.to_pylist()
@@ -201,7 +195,8 @@ def with_token_counts(df: DataFrame, model_path: str, text: str = "text", keep:
             each = np.fromiter((memory[w] for w in words), np.int64, len(words))
             run = np.concatenate([[0], np.cumsum(each[coded.indices.to_numpy()])]) if len(words) else np.zeros(1, np.int64)
             edge = np.concatenate([[0], np.cumsum(counts)])
-            n_tokens = run[edge[1:]] - run[edge[:-1]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.diff(offsets)), pa.array(n_tokens)], names=[*batch.schema.names[1:], *results])
+            return [pa.array(np.diff(offsets)), pa.array(run[edge[1:]] - run[edge[:-1]])]
+
+        return compute
 
-    return map_slices(source, "__text", fields, work)
+    return with_results(df, text, [c for c in df.columns if c != text] if keep is None else keep, "n_bytes long, n_tokens long", start)

@@ -26,7 +26,7 @@ DEPTH = 4
 BINS = 64
 RATE = 0.15
 L2 = 1.0
-MIN_CHILD = 4.0
+MIN_CHILD = 1.0
 FOLDS = 5
 
 FEATURES = [

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensio.llm import words as W
-from tensio.llm.batches import map_slices, text_buffer
+from tensio.llm.batches import text_buffer, with_results
 
 #: Largest share of word characters inside n-grams equal to an earlier one of
 #: the text, for n of 5 to 10, and of lines (and their characters) equal to an earlier line.
@@ -89,17 +87,15 @@ def with_repetition(df: DataFrame, text: str = "text", keep: list[str] | None =
     a measure are left out.
     """
     names = [f.split()[0] for f in MEASURES.split(", ")]
-    keep = [c for c in (df.columns if keep is None else keep) if c not in names and c != text]
-    source = df.select(F.col(f"`{text}`").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in keep])
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:]] + [MEASURES])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = measure(*text_buffer(batch.column(0)))
-            columns = [batch.column(i) for i in range(1, batch.num_columns)] + [pa.array(got[c].astype(np.int64)) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[1:], *names])
+    def start():
+        def compute(texts: pa.Array) -> list[pa.Array]:
+            got = measure(*text_buffer(texts))
+            return [pa.array(got[c].astype(np.int64)) for c in names]
+
+        return compute
 
-    return map_slices(source, "__text", fields, work)
+    return with_results(df, text, [c for c in df.columns if c != text] if keep is None else keep, MEASURES, start)
 
 
 def with_verdict(measured: DataFrame) -> DataFrame:

@@ -246,17 +246,19 @@ def drop_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", keep_t
     """
     spark = df.sparkSession
     rest = [c for c in df.columns if c not in (text, "kept_text", "n_words", "n_removed")]
-    named = df.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"), *[F.col(f"`{c}`") for c in rest])
-    source = named.select("__text", F.col(f"`{key}`").alias("key"), F.xxhash64("__text").alias("th"))
+    named = df.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
+    own_key = F.col(f"c{rest.index(key)}")
+    source = named.select("__text", own_key.alias("key"), F.xxhash64("__text").alias("th"))
     kind = source.schema["key"].dataType.simpleString()
     log = _sketch_log(source, "__text")
     maps = share(spark, _sketch(source.select("__text"), log))
     once = staged(_once(source, maps, log, 4 * partitions(spark), kind), "once")
-    unique = once.groupBy("key", "th").agg(F.collect_list("at").alias("__once"))
-    judged = named.withColumn("__th", F.xxhash64("__text"))
-    judged = judged.join(unique.withColumnRenamed("key", "__key"), (F.col("__th") == F.col("th")) & F.col(f"`{key}`").eqNullSafe(F.col("__key")), "left")
-    judged = judged.select("__text", "__once", *[F.col(f"`{c}`") for c in rest])
-    fields = ", ".join([*[f"`{c}` {named.schema[c].dataType.simpleString()}" for c in rest], *(["`__own` string"] if keep_text else []), "kept_text string, n_words long, n_removed long"])
+    unique = once.groupBy(F.col("key").alias("__key"), F.col("th").alias("__hash")).agg(F.collect_list("at").alias("__once"))
+    same = (F.xxhash64("__text") == F.col("__hash")) & own_key.eqNullSafe(F.col("__key"))
+    judged = named.join(unique, same, "left")
+    carried = [f"c{i}" for i in range(len(rest))]
+    judged = judged.select("__text", "__once", *carried)
+    fields = ", ".join([*[f"{c} {named.schema[c].dataType.simpleString()}" for c in carried], *(["__own string"] if keep_text else []), "kept_text string, n_words long, n_removed long"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,7 +277,8 @@ def drop_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", keep_t
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[2:], *["__own"] * keep_text, "kept_text", "n_words", "n_removed"])
 
     out = map_slices(judged, "__text", fields, work)
-    return out.withColumnRenamed("__own", text) if keep_text else out
+    own = [F.col("__own").alias(text)] if keep_text else []
+    return out.select(*[F.col(c).alias(name) for c, name in zip(carried, rest, strict=True)], *own, "kept_text", "n_words", "n_removed")
 
 
 def _rebuilt(w: W.Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
