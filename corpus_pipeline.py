@@ -20,7 +20,7 @@ from tensio.sources.tables import read_table
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on ``labels``, scores at its threshold or more."""
     model = quality.train(docs, read_table(spark, sf_dir, "labels"))
-    return quality.with_score(docs, model).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    return quality.with_score(docs, model, name="__quality").where(F.col("__quality") >= quality.THRESHOLD).drop("__quality")
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +31,10 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of repeated windows, the kept words joined by one space; a
     text that loses nothing stays as it is.  ``n_chars`` follows the text."""
-    found = substrings.drop_repeated(docs, keep_text=True)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    found = substrings.drop_repeated(docs, keep_text=True, names=("__kept", "__words", "__gone"))
+    text = F.when(F.col("__gone") > 0, F.col("__kept")).otherwise(F.col("text"))
+    changed = found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    return changed.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of the passages.
 
-Words are runs of ASCII letters and digits and of characters beyond ASCII, A-Z lower-cased.
+Words are runs of ASCII letters and digits and of characters beyond ASCII, Latin-1 lower-cased.
 Benchmark items are cut into passages of at most ``PASSAGE`` words.  A passage's seeds are
 its 3-word n-grams that are rare: going by how often their words occur in the corpus, they would
 hardly meet by chance (how often the n-gram itself occurs does not matter, so an item that has

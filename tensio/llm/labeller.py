@@ -130,6 +130,7 @@ def blank(seed: int = 5) -> dict[str, np.ndarray]:
         out["h" + d] = rng.normal(0, 0.15, (k, 4 * k)).astype(np.float32)
         out["n" + d] = np.concatenate([np.zeros(k), np.ones(k), np.zeros(2 * k)]).astype(np.float32)
     out["w"] = rng.normal(0, 0.15, 2 * k).astype(np.float32)
+    out["s"] = np.zeros(WIDTH, np.float32)  # the block's own features also reach its label directly
     out["o"] = np.zeros(1, np.float32)
     return out
 
@@ -144,7 +145,7 @@ def _forward(p: dict[str, np.ndarray], x: np.ndarray, sizes: np.ndarray):
     real = grids[2]
     for j, rows in enumerate(grids[:2]):
         both[rows[real], j * HIDDEN : (j + 1) * HIDDEN] = passes[j].h[1:][real]
-    return _sigmoid(both @ p["w"] + p["o"]), both, passes, grids
+    return _sigmoid(both @ p["w"] + x @ p["s"] + p["o"]), both, passes, grids
 
 
 def predict(p: dict[str, np.ndarray], x: np.ndarray, sizes: np.ndarray, together: int = 256) -> np.ndarray:
@@ -166,13 +167,14 @@ def predict(p: dict[str, np.ndarray], x: np.ndarray, sizes: np.ndarray, together
     return out
 
 
-def train(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, rounds: int = 16, batch: int = 32, rate: float = 0.01, seed: int = 5) -> dict[str, np.ndarray]:
+def train(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, steps: int = 640, batch: int = 32, rate: float = 0.01, seed: int = 5) -> dict[str, np.ndarray]:
     """Fit by back-propagation through time (Adam, cross-entropy over all blocks)."""
     p = blank(seed)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     first = np.cumsum(sizes) - sizes
     filled = np.flatnonzero(sizes > 0)
     rng, step = np.random.default_rng(seed), 0
+    rounds = min(-(-steps * batch // max(len(filled), 1)), 200)  # about as many steps on a small table
     for r in range(rounds):
         # Pages of like length share a batch; batches come in a random order.
         order = filled[np.argsort(sizes[filled] + rng.random(len(filled)), kind="stable")]
@@ -184,7 +186,7 @@ def train(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, rounds: int = 16, bat
             xs, ys = x[rows], y[rows]
             prob, both, passes, grids = _forward(p, xs, n)
             d = (prob - ys) / len(ys)
-            grad = {"w": both.T @ d, "o": np.array([d.sum()], np.float32)}
+            grad = {"w": both.T @ d, "s": xs.T @ d, "o": np.array([d.sum()], np.float32)}
             dboth = d[:, None] * p["w"]
             real = grids[2]
             for j, name in enumerate("fb"):

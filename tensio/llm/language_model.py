@@ -9,7 +9,8 @@
    level from 1 to ``q``.  The segments together are the filter; its size follows the
    entries up to a fixed largest size, and it is broadcast.
 4. A count is read back by probing levels until one is missing.  The score is a bigram
-   probability smoothed towards the unigram one (Dirichlet prior), all counts from the filter.
+   probability smoothed towards the unigram one (Dirichlet prior, and the share of all bigrams
+   that the cut-off took), all counts from the filter.
 """
 
 from __future__ import annotations
@@ -172,7 +173,7 @@ def _dealt(chunks: DataFrame, buckets: int) -> DataFrame:
     return map_arrow(chunks, work, "bucket int, chunk long, hashes binary, times binary")
 
 
-_SUMMED = "bucket int, chunk long, hashes binary, times binary, total long, kinds long, entries long"
+_SUMMED = "bucket int, chunk long, hashes binary, times binary, total long, kinds long, entries long, kept long"
 
 
 def _summed(dealt: DataFrame) -> DataFrame:
@@ -195,7 +196,7 @@ def _summed(dealt: DataFrame) -> DataFrame:
                 counts = times[at[start : start + len(h)]].astype(np.uint64)
                 start += len(h)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b], pa.int32()), pa.array([c]), pa.array([None], pa.binary()), pa.array([_planes(counts)], pa.binary()), pa.array([0]), pa.array([0]), pa.array([0])], names=names
+                    [pa.array([b], pa.int32()), pa.array([c]), pa.array([None], pa.binary()), pa.array([_planes(counts)], pa.binary()), *[pa.array([0])] * 4], names=names
                 )
             pairs = [(_from_sorted(h), _from_planes(t, np.uint32)) for c, h, t in rows if c is None]
             grams, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *[h for h, _ in pairs]]), return_inverse=True)
@@ -205,7 +206,7 @@ def _summed(dealt: DataFrame) -> DataFrame:
             levels = np.concatenate([_levels(times[known]), _levels(met[often]) - _FIRST_BIGRAM + 1])
             order = np.argsort(keys, kind="stable")
             blobs = [_sorted_planes(keys[order]), _planes(levels[order].astype(np.uint8))]
-            figures = [int(times.sum()), int(known.sum()), int(levels.sum())]
+            figures = [int(times.sum()), int(known.sum()), int(levels.sum()), int(met[often].sum())]
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([None], pa.int64()), *[pa.array([x], pa.binary()) for x in blobs], *[pa.array([x]) for x in figures]], names=names)
 
     return map_arrow(dealt.repartition(partitions(dealt.sparkSession), "bucket"), work, _SUMMED)
@@ -278,13 +279,15 @@ def with_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     buckets = 2 * partitions(spark)
     chunks = staged(_coded(source), "chunks")
     summed = staged(_summed(_dealt(chunks, buckets)), "summed")
-    figures = summed.agg(F.sum("total"), F.sum("kinds"), F.sum("entries")).first()
-    words, kinds, entries = (int(x or 0) for x in figures)
+    figures = summed.agg(F.sum("total"), F.sum("kinds"), F.sum("entries"), F.sum("kept")).first()
+    words, kinds, entries, kept = (int(x or 0) for x in figures)
     texts = source.where("NOT held").count()  # each learnt text has one end
     tokens, kinds = words + texts, kinds + (texts > 0)
     bits, log = _filter(summed, entries, buckets)
     sent = share(spark, bits)
     mass = tokens + 0.1 * (kinds + 1)
+    # The part of all bigrams that the cut-off took goes back to the unigrams.
+    cut = 1 - kept / max(tokens, 1)
 
     def score(row: dict, exact: np.ndarray) -> pa.RecordBatch:
         counts = _from_planes(row["counts"], np.uint32).astype(np.int64)
@@ -301,7 +304,7 @@ def with_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         grams, each = _sequences(hashes[codes], counts)
         pair = probe(sent.value, log, buckets, grams >> _U(16))
         pair = np.minimum(_MEANS[np.where(pair > 0, pair + _FIRST_BIGRAM - 1, 0)], np.minimum(before, after))
-        p = (pair + PRIOR * (after + 0.1) / mass) / (before + PRIOR)
+        p = (pair + (PRIOR + cut * before) * (after + 0.1) / mass) / (before + PRIOR)
         total = np.bincount(np.repeat(np.arange(n), each), np.log10(np.minimum(p, 1.0)), n)
         keys = pa.ipc.open_stream(row["keys"]).read_all().column("key").combine_chunks()
         flags = np.unpackbits(np.frombuffer(row["held"], np.uint8), count=n).astype(bool)

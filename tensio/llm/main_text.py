@@ -89,13 +89,13 @@ def _variant(page: list[Block], labels: list[int], spare: list[str], rng: random
         for _ in range(rng.randint(1, 5)):
             text = rng.choice(spare)
             words = text.split()
-            if rng.random() < 0.6:
+            if rng.random() < 0.5:
                 text = " ".join(words[: rng.randint(1, 12)])
-            leaf = rng.choice([(), (("p",),), (("li",),), (("div",),), (("div", "item"), ("p",))])
+            leaf = rng.choice([(), (("p",),), (("p",),), (("li",),), (("div",),), (("div", "item"), ("p",))])
             got.append((Block(text, (*base, *leaf), len(text) if rng.random() < 0.4 else 0), 0))
         return got
 
-    for _ in range(rng.randint(2, 6)):
+    for _ in range(rng.randint(2, 7)):
         main = [i for i, (_, label) in enumerate(out) if label]
         where = rng.random()
         if main and where < 0.4:
@@ -116,6 +116,7 @@ def fit(pages: list[str], seed: int = 11) -> dict[str, np.ndarray]:
         return labeller.blank()
     told = [teach(b) for b in read]
     spare = [b.text for page in read for b in page]
+    spare += [t for t in spare if len(t) > 100] * 2  # long blocks too are found outside the main text
     learnt = list(zip(read, told, strict=True))
     for page, labels in list(learnt):
         learnt += [_variant(page, labels, spare, rng) for _ in range(VARIANTS)]

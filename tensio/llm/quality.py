@@ -200,12 +200,13 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     return fit(x, rows["label"].to_numpy(np.float64))
 
 
-def with_score(df: DataFrame, model: Trees, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default: all) and ``score`` in [0, 1], higher for better texts.
+def with_score(df: DataFrame, model: Trees, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """``keep`` columns (default: all) and the score ``name`` in [0, 1], higher for better texts.
 
-    NULL and empty texts are scored from zero statistics.  Repeated rows get equal scores.
+    NULL and empty texts are scored from zero statistics.  Repeated rows get equal scores.  A
+    column of the input that is called ``name`` is left out.
     """
-    keep = [c for c in (df.columns if keep is None else keep) if c != "score"]
+    keep = [c for c in (df.columns if keep is None else keep) if c != name]
     model_arrays = share(df.sparkSession, model.arrays())
     columns = [F.col(f"`{c}`").cast("string").alias("__text") if c == text else F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
     named = df.select(*columns, *([] if text in keep else [F.col(f"`{text}`").cast("string").alias("__text")]))
@@ -219,4 +220,4 @@ def with_score(df: DataFrame, model: Trees, text: str = "text", keep: list[str]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(score)], names=[*[f.name for f in kept], "__score"])
 
     scored = map_slices(named, "__text", fields, work)
-    return scored.select(*[F.col("__text" if c == text else f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("__score").alias("score"))
+    return scored.select(*[F.col("__text" if c == text else f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("__score").alias(name))

@@ -237,15 +237,15 @@ def _once(df: DataFrame, maps, log: int, buckets: int, kind: str) -> DataFrame:
     return map_arrow(sent.repartition(partitions(spark), "bucket"), judge, f"key {kind}, th long, at int")
 
 
-def drop_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
-    """All columns of ``df``, ``text`` only if asked for, and ``kept_text`` (words joined by one
-    space), ``n_words`` and ``n_removed``.
+def drop_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = False, names: tuple[str, str, str] = ("kept_text", "n_words", "n_removed")) -> DataFrame:
+    """All columns of ``df``, ``text`` only if asked for, and (under ``names``) the kept text, its
+    words joined by one space, the number of words and of removed words.
 
     Windows are judged on the input.  NULL, empty and short texts have no window and keep their
     words; of repeated rows every window repeats, so all of them lose those words.  Columns of the input named like a result are left out.
     """
     spark = df.sparkSession
-    rest = [c for c in df.columns if c not in (text, "kept_text", "n_words", "n_removed")]
+    rest = [c for c in df.columns if c not in (text, *names)]
     named = df.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
     own_key = F.col(f"c{rest.index(key)}")
     source = named.select("__text", own_key.alias("key"), F.xxhash64("__text").alias("th"))
@@ -278,7 +278,7 @@ def drop_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", keep_t
 
     out = map_slices(judged, "__text", fields, work)
     own = [F.col("__own").alias(text)] if keep_text else []
-    return out.select(*[F.col(c).alias(name) for c, name in zip(carried, rest, strict=True)], *own, "kept_text", "n_words", "n_removed")
+    return out.select(*[F.col(c).alias(name) for c, name in zip(carried, rest, strict=True)], *own, *[F.col(c).alias(name) for c, name in zip(("kept_text", "n_words", "n_removed"), names, strict=True)])
 
 
 def _rebuilt(w: W.Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

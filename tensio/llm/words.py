@@ -96,9 +96,14 @@ class Words:
 
 
 def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False, letters: bool = False) -> Words:
-    """``letters``: ASCII characters other than letters and digits count as white space."""
+    """``lower``: A-Z are lower-cased.  ``letters``: ASCII characters other than letters and digits
+    count as white space, and with ``lower`` the capitals U+00C0 to U+00DE are lower-cased too."""
     if lower:
         data = _LOWER[data]
+    if lower and letters and len(data):
+        capital = np.zeros(len(data), bool)
+        capital[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        data = data + np.uint8(32) * capital
     if letters:
         data = _LETTERS[data]
     n = len(data)
