@@ -8,6 +8,7 @@ as the oracle) give the same answers.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -112,15 +113,27 @@ def count_from_found(found: Column | str) -> Column:
 
 
 def relevance_from_counts(counts: Mapping[str, Column], profile: ScoreProfile) -> Column:
-    """Σ min(n_f / saturation, 1) · w_f, rounded; families with weight 0 are skipped."""
-    total = None
-    for family, weight in profile.weights.items():
-        if weight == 0:
-            continue
-        part = F.least(counts[family].cast("double") / F.lit(profile.saturation), F.lit(1.0)) * F.lit(float(weight))
-        total = part if total is None else total + part
-    if total is None:
-        total = F.lit(0.0)
+    """Σ min(n_f / saturation, 1) · w_f, rounded; families with weight 0 are skipped.
+
+    With a whole-number saturation every family has only ``saturation + 1`` different parts, so
+    all scores are worked out once and a row looks up its own.
+    """
+    weighted = [(f, w) for f, w in profile.weights.items() if w != 0]
+    steps = int(profile.saturation)
+    if steps == profile.saturation and 0 < steps and (steps + 1) ** len(weighted) <= 4096:
+        scores = []
+        for parts in product(range(steps + 1), repeat=len(weighted)):
+            total = 0.0
+            for n, (_, w) in zip(parts, weighted, strict=True):
+                total += min(n / profile.saturation, 1.0) * float(w)
+            scores.append(round(total, profile.digits))
+        place = F.lit(0)
+        for f, _ in weighted:
+            place = place * (steps + 1) + F.least(counts[f].cast("int"), F.lit(steps))
+        return F.get(F.array(*[F.lit(v) for v in scores]), place)
+    total = F.lit(0.0)
+    for f, w in weighted:
+        total = total + F.least(counts[f].cast("double") / F.lit(profile.saturation), F.lit(1.0)) * F.lit(float(w))
     return round_places(total, profile.digits)
 
 
@@ -187,25 +200,44 @@ def value_map(c: Column | str, mapping: Mapping[int, int]) -> Column:
     return out if out is not None else F.lit(None)
 
 
+#: A decimal number as text: no type suffix, no hexadecimal digits.
+NUMBER_RE = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
+
+
 def coerce_numeric(c: Column | str) -> Column:
-    """Parse as a double; text that is not a number (and NaN) becomes NULL."""
-    v = F.trim(_col(c)).try_cast("double")
+    """Parse as a double; text that is not a decimal number (and NaN) becomes NULL."""
+    t = F.trim(_col(c).cast("string"))
+    v = F.when(t.rlike(NUMBER_RE), t).try_cast("double")
     return F.when(F.isnan(v), F.lit(None).cast("double")).otherwise(v)
 
 
 # `Tue Apr 07 06:29:03 PDT 2009`: drop the weekday, parse the rest.
 POST_TIME_FORMAT = "MMM dd HH:mm:ss zzz yyyy"
 POST_TIME_OFFSET_FORMAT = "MMM dd HH:mm:ss Z yyyy"
+#: Other usual forms, each with the pattern that a value of that form has.
+TIME_FORMATS = (
+    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
+    (r"^\d{4}/\d{2}/\d{2}( \d{2}:\d{2}:\d{2})?$", "yyyy/MM/dd[ HH:mm:ss]"),
+    (r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2})?$", "yyyy-MM-dd['T'][ ]HH:mm[:ss]"),
+    (r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}\.\d{1,6}$", "yyyy-MM-dd['T'][ ]HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]"),
+    (r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(Z|[+-]\d{2}:?\d{2})$", "yyyy-MM-dd['T'][ ]HH:mm:ss[XXX][XX]"),
+    (r"^\d{2}/\d{2}/\d{4}( \d{2}:\d{2}(:\d{2})?)?$", "MM/dd/yyyy[ HH:mm[:ss]]"),
+)
 
 
 def parse_post_time(c: Column | str) -> Column:
-    """Twitter-style timestamps; rows that do not parse become NULL (not the whole column)."""
-    x = _col(c)
+    """Twitter-style timestamps, ISO dates and times and month-first dates; rows that do not
+    parse become NULL (not the whole column).
+
+    The value's own form picks the format, so no value can match two.
+    """
+    x = F.trim(_col(c))
     rest = F.substring(x, 5, 1 << 20)
     numeric_zone = rest.rlike(r"^\w{3} \d{2} \d{2}:\d{2}:\d{2} [+-]\d{4} \d{4}$")
-    return F.when(
-        numeric_zone, F.try_to_timestamp(rest, F.lit(POST_TIME_OFFSET_FORMAT))
-    ).otherwise(F.try_to_timestamp(rest, F.lit(POST_TIME_FORMAT)))
+    out = F.when(numeric_zone, F.try_to_timestamp(rest, F.lit(POST_TIME_OFFSET_FORMAT)))
+    for pattern, form in TIME_FORMATS:
+        out = out.when(x.rlike(pattern), F.try_to_timestamp(x, F.lit(form)))
+    return out.otherwise(F.try_to_timestamp(rest, F.lit(POST_TIME_FORMAT)))
 
 
 def percent_label(label: Column, pct: Column) -> Column:

@@ -13,12 +13,13 @@ from collections.abc import Mapping
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, RegexTokenizer
+from pyspark.ml.feature import CountVectorizerModel, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensio.functions.lexicons import CLASS_WEIGHTS, MAX_WORDS
+from tensio.operators.encode import vocabulary
 from tensio.operators.evaluate import argmax_first
 
 
@@ -43,10 +44,12 @@ def train_classifier(
     ``max_iter`` (solver passes over the data) defaults to the original training budget
     of at most 20 epochs.
     """
+    # at most max_words - 1 words, with the vocabulary's own tie rule
+    words = [r["word"] for r in vocabulary(train, text_col, max_words).orderBy("id").collect()]
     data = train.select(text_col, F.col(label).cast("double").alias("_y"), _weight_column(label, weights).alias("_w"))
     stages = [
         RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=" ", toLowercase=True),
-        CountVectorizer(inputCol="_tokens", outputCol="_features", vocabSize=max_words - 1, minDF=1.0),
+        CountVectorizerModel.from_vocabulary(words or [""], inputCol="_tokens", outputCol="_features"),
         LogisticRegression(
             featuresCol="_features",
             labelCol="_y",
@@ -63,16 +66,12 @@ def train_classifier(
 
 
 def predict(model: PipelineModel, df: DataFrame, text_col: str = "cleaned_text") -> DataFrame:
-    """Input columns plus ``p0, p1, p2``, ``predicted`` (first max wins) and ``confidence``."""
-    scored = model.transform(df)
-    probs = vector_to_array("_prob")
-    scored = scored.withColumn("_p", probs)
-    p = [F.col("_p")[i] for i in range(3)]
-    out = scored.select(
-        *[F.col(c) for c in df.columns],
-        p[0].alias("p0"),
-        p[1].alias("p1"),
-        p[2].alias("p2"),
-    )
+    """Input columns plus ``p0, p1, p2``, ``predicted`` (first max wins) and ``confidence``.
+
+    The classes are 0, 1 and 2 whatever the training rows held: a class that the model has not
+    met has probability 0.
+    """
+    scored = model.transform(df).withColumn("_p", vector_to_array("_prob"))
+    out = scored.select(*[F.col(f"`{c}`") for c in df.columns], *[F.coalesce(F.get("_p", F.lit(i)), F.lit(0.0)).alias(f"p{i}") for i in range(3)])
     pcols = [F.col("p0"), F.col("p1"), F.col("p2")]
     return out.withColumn("predicted", argmax_first(pcols)).withColumn("confidence", F.greatest(*pcols))

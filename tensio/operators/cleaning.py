@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from tensio.functions import text as T
 from tensio.functions.lexicons import PROFILE_V2, ScoreProfile
@@ -38,7 +39,10 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], copie
     ``copies_col`` optionally keeps the number of rows each survivor stands for.
     """
     keys = list(keys)
-    rest = [c for c in df.columns if c not in keys]
+    names, maps = list(df.columns), [f.name for f in df.schema.fields if isinstance(f.dataType, MapType)]
+    if maps:  # a map has no order; its entries have
+        df = df.withColumns({c: F.map_entries(_c(c)) for c in maps})
+    rest = [c for c in names if c not in keys]
     # min over (order, then every other column): the order key decides, and rows that tie on
     # it are still told apart by their values, so a recomputed task picks the same row.
     ranked = F.struct(*[_c(c).alias(f"_o{i}") for i, c in enumerate(order)], *[_c(c).alias(c) for c in rest])
@@ -52,7 +56,8 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], copie
     by_name.update({c: F.col("_first").getField(c) for c in rest})
     if copies_col:
         by_name[copies_col] = _c(copies_col)
-    ordered = list(df.columns) + ([copies_col] if copies_col else [])
+    by_name.update({c: F.map_from_entries(by_name[c]) for c in maps})
+    ordered = names + ([copies_col] if copies_col else [])
     # restore the input column order
     return out.select(*[by_name[c].alias(c) for c in ordered])
 
@@ -121,8 +126,10 @@ def clean_dataset(df: DataFrame, text_col: str, order: Sequence[str], profile: S
     Output: the input columns, ``cleaned_text``, ``relevance_score``, four ``*_terms_found``
     and four ``*_term_count`` columns.
     """
-    deduped = dedupe_first(df, [text_col], order)
-    scored = relevant_posts(deduped, text_col, profile)
+    # The score follows from the text alone, so filtering first keeps the same rows, and only
+    # the relevant ones go through the dedupe's shuffle.
+    deduped = dedupe_first(relevant(score_posts(df, text_col, profile), profile), [text_col], order)
+    scored = with_found_terms(deduped, profile)
     fams = list(profile.families)
     cols = (
         list(df.columns)
@@ -135,12 +142,15 @@ def clean_dataset(df: DataFrame, text_col: str, order: Sequence[str], profile: S
 
 def stage_counts(df: DataFrame, text_col: str, profile: ScoreProfile = PROFILE_V2) -> DataFrame:
     """Raw, deduplicated and kept row counts from a single pass over the data."""
-    groups = df.groupBy(text_col).agg(F.count(F.lit(1)).alias("_copies"))
-    scored = with_score(with_term_counts(with_clean_text(groups, text_col), profile), profile)
-    return scored.agg(
+    kept = with_score(with_term_counts(with_clean_text(df.select(_c(text_col).alias(text_col)), text_col), profile), profile)
+    # A digest stands for the text in the exchange; all copies of a text have one score.
+    groups = kept.groupBy(F.sha2(_c(text_col), 256).alias("_digest")).agg(
+        F.count(F.lit(1)).alias("_copies"), F.first(F.col(SCORE) >= F.lit(profile.threshold)).alias("_keep")
+    )
+    return groups.agg(
         F.sum("_copies").alias("raw_rows"),
         F.count(F.lit(1)).alias("deduped_rows"),
-        F.count_if(F.col(SCORE) >= F.lit(profile.threshold)).alias("kept_rows"),
+        F.count_if("_keep").alias("kept_rows"),
     )
 
 

@@ -39,12 +39,17 @@ def dedupe_cross_source(df: DataFrame, order: Sequence[str], key: str = CLEAN, r
     return dedupe_first(df, [key], [rank_col, *order])
 
 
-def prepare_corpus(frames: Sequence[tuple[str, DataFrame]], text_col: str, order: Sequence[str]) -> DataFrame:
+def prepare_corpus(frames: Sequence[tuple[str, DataFrame]], text_col: str, order: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Per source: clean, keep texts longer than 10 chars; then union, drop NULL, dedupe.
 
     ``frames`` are ``(platform name, DataFrame)`` pairs in priority order; each must
-    have ``text_col`` and the ``order`` columns.
+    have ``text_col`` and the ``order`` columns.  Only the cleaned text, the ``order`` columns
+    and those named in ``keep`` go through the dedupe; the raw text does not travel unless
+    it is named.
     """
-    prepared = [(name, min_length(with_clean_text(df, text_col))) for name, df in frames]
+    prepared = []
+    for name, df in frames:
+        wanted = [CLEAN, *dict.fromkeys([*order, *keep])]
+        prepared.append((name, min_length(with_clean_text(df, text_col)).select(*[F.col(f"`{c}`") for c in wanted])))
     combined = union_sources(prepared).dropna(subset=[CLEAN])
     return dedupe_cross_source(combined, order)

@@ -13,13 +13,15 @@ place (no shuffle).
 
 from __future__ import annotations
 
+from itertools import islice
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
 from tensio.functions import text as T
-from tensio.operators.partitioning import share
+from tensio.operators.partitioning import materialize, share
 from tensio.functions.lexicons import MAX_LEN, MAX_WORDS
 
 
@@ -29,15 +31,26 @@ def word_counts(df: DataFrame, tokens: Column) -> DataFrame:
 
 
 def vocabulary(df: DataFrame, text_col: str, max_words: int = MAX_WORDS) -> DataFrame:
-    """``(word, count, id)`` for the ``max_words - 1`` most frequent words of ``text_col``."""
-    counts = word_counts(df, T.keras_tokens(text_col))
-    top = counts.orderBy(F.desc("count"), "word").limit(max_words - 1)
+    """``(word, count, id)`` for the ``max_words - 1`` most frequent words of ``text_col``.
+
+    A histogram of counts gives the count at which the list is full: words above it are all
+    in, and only words with that very count are put in order.
+    """
+    counts = materialize(word_counts(df, T.keras_tokens(text_col)))
+    room = max_words - 1
+    # One row per distinct count; running totals from the largest down.
+    above = F.sum("_n").over(Window.orderBy(F.desc("count")))
+    steps = counts.groupBy("count").agg(F.count(F.lit(1)).alias("_n")).withColumn("_total", above)
+    edge = steps.where(F.col("_total") > room).orderBy(F.desc("count")).limit(1).select("count", (F.lit(room) - F.col("_total") + F.col("_n")).alias("room")).first()
+    if edge is not None:
+        ties = counts.where(F.col("count") == edge["count"]).orderBy("word").limit(edge["room"])
+        counts = counts.where(F.col("count") > edge["count"]).unionByName(ties)
     # ≤ max_words - 1 rows: numbering them in one partition is bounded
     rank = F.row_number().over(Window.orderBy(F.desc("count"), "word"))
-    return top.withColumn("id", rank.cast("int"))
+    return counts.withColumn("id", rank.cast("int"))
 
 
-def _mapper(bc):
+def _mapper(bc, limit: int | None = None):
     @F.pandas_udf(TY.ArrayType(TY.IntegerType()))
     def to_ids(tokens: pd.Series) -> pd.Series:
         vocab = bc.value
@@ -46,21 +59,23 @@ def _mapper(bc):
             if arr is None:
                 out.append([])
                 continue
-            out.append([vocab[w] for w in arr if w in vocab])
+            ids = (vocab[w] for w in arr if w in vocab)
+            out.append(list(ids if limit is None else islice(ids, limit)))
         return pd.Series(out)
 
     return to_ids
 
 
-def sequences(df: DataFrame, text_col: str, vocab: DataFrame, out: str = "seq", max_words: int = MAX_WORDS) -> DataFrame:
-    """Token ids in text order; words outside the vocabulary are dropped."""
+def sequences(df: DataFrame, text_col: str, vocab: DataFrame, out: str = "seq", max_words: int = MAX_WORDS, limit: int | None = None) -> DataFrame:
+    """Token ids in text order; words outside the vocabulary are dropped.  ``limit`` stops a row
+    after so many ids (for sequences that are padded and cut to that length anyway)."""
     # one bounded fetch: at most max_words rows come back, which also checks the size
     rows = vocab.filter(F.col("id") < F.lit(max_words)).select("word", "id").limit(max_words).collect()
     if len(rows) >= max_words:
         raise ValueError(f"vocabulary has {len(rows)} entries, more than max_words={max_words}")
     table = {r["word"]: int(r["id"]) for r in rows}
     bc = share(df.sparkSession, table)
-    return df.withColumn(out, _mapper(bc)(T.keras_tokens(text_col)))
+    return df.withColumn(out, _mapper(bc, limit)(T.keras_tokens(text_col)))
 
 
 def pad(seq: Column | str, max_len: int = MAX_LEN, value: int = 0) -> Column:
@@ -69,22 +84,23 @@ def pad(seq: Column | str, max_len: int = MAX_LEN, value: int = 0) -> Column:
     return F.slice(F.concat(s, F.array_repeat(F.lit(value), F.lit(max_len))), 1, max_len)
 
 
-LABEL_INDEX_LIMIT = 100_000
-
-
-def label_index(df: DataFrame, label: str, out: str = "label_idx", limit: int = LABEL_INDEX_LIMIT) -> DataFrame:
-    """Index of each label in the sorted distinct labels (0-based).
+def label_index(df: DataFrame, label: str, out: str = "label_idx") -> DataFrame:
+    """Index of each label in the sorted distinct labels (0-based); every row is kept.
 
-    Meant for class labels.  The distinct labels are counted first; up to ``limit`` of them
-    are numbered in one partition and broadcast, more is refused (numbering an unbounded
-    label set in one task would not scale).
+    A NULL label comes last and has the index after all others.  The distinct labels are dealt to
+    sorted ranges and numbered within each, so any number of them can be indexed.
     """
-    distinct = df.select(label).distinct()
-    n = distinct.count()
-    if n > limit:
-        raise ValueError(f"{n} distinct labels in {label!r}, more than the {limit} an index is built for")
-    indexed = distinct.withColumn(out, (F.dense_rank().over(Window.orderBy(label)) - 1).cast("int"))
-    return df.join(F.broadcast(indexed), label)
+    ranges = df.select(label).distinct().repartitionByRange(F.asc_nulls_last(label))
+    distinct = materialize(ranges.withColumn("_range", F.spark_partition_id()))
+    sizes = sorted((r["_range"], r["count"]) for r in distinct.groupBy("_range").count().collect())  # one row per range
+    before, total = [], 0
+    for number, size in sizes:
+        before.append((number, total))
+        total += size
+    starts = df.sparkSession.createDataFrame(before, "_range int, _before long")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(F.asc_nulls_last(label))) - 1
+    indexed = distinct.join(starts, "_range").select(F.col(label).alias("_label"), (F.col("_before") + place).cast("int").alias(out))
+    return df.join(indexed, F.col(label).eqNullSafe(F.col("_label")), "left").drop("_label")
 
 
 def one_hot(idx: Column | str, num_classes: int = 3) -> Column:

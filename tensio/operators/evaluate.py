@@ -39,14 +39,16 @@ def class_grid(spark, num_classes: int = len(CLASS_NAMES)) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, y_true: str, y_pred: str, num_classes: int = len(CLASS_NAMES)) -> DataFrame:
-    """Counts for every (true, predicted) pair of the class domain, zeros included."""
+    """Counts for every (true, predicted) pair of the class domain, zeros included.
+
+    Pairs outside the domain (other labels, NULL) that occur have rows of their own, so the
+    counts always sum to the rows of ``df``.
+    """
     counts = df.groupBy(F.col(y_true).cast("int").alias("y_true"), F.col(y_pred).cast("int").alias("y_pred")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    grid = class_grid(df.sparkSession, num_classes)
-    return grid.join(F.broadcast(counts), ["y_true", "y_pred"], "left").select(
-        "y_true", "y_pred", F.coalesce("n", F.lit(0)).cast("long").alias("n")
-    )
+    zeros = class_grid(df.sparkSession, num_classes).withColumn("n", F.lit(0).cast("long"))
+    return counts.unionByName(zeros).groupBy("y_true", "y_pred").agg(F.sum("n").alias("n"))
 
 
 def accuracy(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:

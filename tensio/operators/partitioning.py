@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 from tensio.session import ensure_checkpoint_dir, ship_package
@@ -45,12 +47,14 @@ def spread_for_cpu(df: DataFrame, min_partitions: int | None = None) -> DataFram
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the reliable checkpoint directory and continue from the copy.
+    """Write ``df`` once as Parquet in the shared checkpoint folder and continue from the copy.
 
     Used at stage boundaries whose output is read several times (e.g. the labelled corpus
-    that balancing reads three times), so the upstream cleaning and scoring run once.
-    The copy lives in ``spark.checkpoint.dir`` (shared storage on a cluster), so it
-    survives the loss of an executor; there is no local (executor-disk) checkpoint.
+    that balancing reads), so the upstream cleaning and scoring run once.  Later reads take
+    only the columns they need.  The copy lives in ``spark.checkpoint.dir`` (shared storage on
+    a cluster), so it survives the loss of an executor; it stays until that folder is cleared.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -5,15 +5,16 @@ Randomness is a hash: every row (and replica) gets ``md5('<seed>:<key>[:<replica
 any number of executors, and checkable with SQL.
 
 Picking the n smallest hashes per class must not funnel a class through one task (one
-class may hold a third of all rows), so it is done in three steps:
-
-1. histogram: rows per (class, 3-hex-digit hash bucket) — an aggregate combined map-side,
-   at most 4096 rows per class;
-2. cut: a running sum over each class's ≤ 4096 buckets marks buckets fully inside the
-   sample, the single bucket that straddles the cut, and buckets outside;
-3. only the straddling bucket (~1/4096 of a class) is ranked exactly, by a window
-   partitioned by (class, bucket); all other rows are decided map-side against the
-   broadcast cut table, whose size is bounded by 4096 × number of classes.
+class may hold a third of all rows).  Only one *cut value* per class is looked for:
+
+1. histogram: rows per (class, hash prefix), combined map-side; the running sum marks the
+   prefix in which the n-th row lies;
+2. the same again on a longer prefix, for the rows of that prefix only;
+3. the few rows that share the longer prefix (1 in 16**6 of the class) are ranked: the
+   n-th one's (hash, key) is the cut.
+
+Every row is then kept or not by comparing its own (hash, key) with its class's cut; rows with
+their other columns are read once and never ranked.  A NULL class is a class of its own.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tensio.functions.lexicons import MIN_SAMPLES_PER_CLASS, RANDOM_SEED, TEST_FRACTION
+from tensio.operators.partitioning import materialize
 
 HASH = "_h"
-BUCKET = "_b"
-BUCKET_HEX_DIGITS = 3
-# The cut table has ≤ 4096 rows per group; it is broadcast up to this many groups.
-BROADCAST_GROUPS = 256
+PREFIXES = (3, 6)
+#: Samples up to this size are one top-n; larger ones go by a cut value. Both give the same rows.
+TOP_N = 10_000
 
 
 def row_hash(seed: int, key: Column, replica: Column | None = None) -> Column:
@@ -40,62 +41,47 @@ def row_hash(seed: int, key: Column, replica: Column | None = None) -> Column:
     return F.md5(F.concat(*parts))
 
 
-def flag_smallest(
-    df: DataFrame,
-    group: str | None,
-    limit: Column,
-    order_tail: Sequence[str],
-    flag: str,
-    groups_hint: int | None = None,
-) -> DataFrame:
-    """Add boolean ``flag``: is the row among the ``limit`` smallest ``_h`` of its group.
+def cut_values(df: DataFrame, group: str, limits: DataFrame, order_tail: Sequence[str]) -> DataFrame:
+    """``(_group, _cut)`` per class: the (hash, order_tail) of its last row within the limit.
 
-    ``df`` must hold ``_h`` (hex string) and the column(s) ``limit`` refers to; ``limit`` is
-    the same for all rows of a group.  Ties on ``_h`` are broken by ``order_tail``.
-    ``group=None`` treats the whole frame as one group.  ``groups_hint`` is the number of
-    groups when the caller knows it; otherwise it is counted.  The cut table is broadcast
-    only for up to ``BROADCAST_GROUPS`` groups; beyond, Spark plans an ordinary join.
+    ``df`` holds ``_h``; ``limits`` holds ``(_group, _limit)``.  A class with no more rows than its
+    limit has no row here (all of it is in), nor has one whose limit is 0.
+    """
+    rows = df.select(F.col(group).alias("_group"), HASH, *order_tail)
+    left = limits.where("_limit > 0")
+    for digits in PREFIXES:
+        rows = rows.withColumn("_prefix", F.substring(HASH, 1, digits))
+        counts = rows.groupBy("_group", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+        before = F.sum("_n").over(Window.partitionBy("_group").orderBy("_prefix")) - F.col("_n")
+        near = counts.withColumn("_before", before).join(left.withColumnRenamed("_group", "_g"), F.col("_group").eqNullSafe(F.col("_g")))
+        # The n-th row lies in the one prefix that starts before it and does not end before it.
+        near = near.where((F.col("_before") < F.col("_limit")) & (F.col("_before") + F.col("_n") >= F.col("_limit")))
+        edge = near.select(F.col("_g"), F.col("_prefix").alias("_p"), (F.col("_limit") - F.col("_before")).alias("_room"))
+        rows = rows.join(edge, F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_prefix") == F.col("_p"))).drop("_g", "_p", "_prefix")
+        left = edge.select(F.col("_g").alias("_group"), F.col("_room").alias("_limit"))
+        if digits != PREFIXES[-1]:
+            rows = rows.drop("_room")
+    rank = F.row_number().over(Window.partitionBy("_group").orderBy(HASH, *order_tail))
+    last = rows.withColumn("_rank", rank).where("_rank = _room")
+    return last.select("_group", F.struct(HASH, *order_tail).alias("_cut"))
+
+
+def flag_smallest(df: DataFrame, group: str, limits: DataFrame, order_tail: Sequence[str], flag: str) -> DataFrame:
+    """Add boolean ``flag``: is the row among the smallest ``_h`` of its class, up to its limit.
+
+    ``df`` must hold ``_h`` (hex string); ``limits`` is ``(_group, _limit)``, one row per class.  Ties
+    on ``_h`` are broken by ``order_tail``.
     """
-    g = [group] if group else []
-    rows = df.withColumn(BUCKET, F.substring(HASH, 1, BUCKET_HEX_DIGITS)).withColumn("_limit", limit.cast("long"))
-    hist = rows.groupBy(*g, BUCKET).agg(F.count(F.lit(1)).alias("_cnt"), F.max("_limit").alias("_limit"))
-    w = Window.partitionBy(*g).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-    cut = hist.select(
-        *g,
-        BUCKET,
-        F.when(F.col("_before") + F.col("_cnt") <= F.col("_limit"), F.lit("in"))
-        .when(F.col("_before") < F.col("_limit"), F.lit("edge"))
-        .otherwise(F.lit("out"))
-        .alias("_state"),
-        (F.col("_limit") - F.col("_before")).alias("_room"),
-    )
-    n_groups = 1 if not g else (groups_hint if groups_hint is not None else df.select(*g).distinct().count())
-    cut_side = F.broadcast(cut) if n_groups <= BROADCAST_GROUPS else cut
-    tagged = rows.drop("_limit").join(cut_side, [*g, BUCKET])
-    decided = tagged.filter(F.col("_state") != "edge").withColumn(flag, F.col("_state") == "in")
-    edge = tagged.filter(F.col("_state") == "edge")
-    rank = F.row_number().over(Window.partitionBy(*g, BUCKET).orderBy(HASH, *order_tail))
-    edge = edge.withColumn(flag, rank <= F.col("_room"))
-    return decided.unionByName(edge).drop(BUCKET, "_state", "_room")
-
-
-MAX_CLASSES = 256
+    cuts = materialize(cut_values(df, group, limits, order_tail))
+    table = limits.join(cuts.withColumnRenamed("_group", "_g"), F.col("_group").eqNullSafe(F.col("_g")), "left").drop("_g")
+    inside = F.coalesce(F.struct(HASH, *order_tail) <= F.col("_cut"), F.col("_limit") > 0)
+    return df.join(table, F.col(group).eqNullSafe(F.col("_group"))).withColumn(flag, inside).drop("_group", "_limit", "_cut")
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def collect_class_counts(df: DataFrame, label: str, max_classes: int = MAX_CLASSES) -> dict:
-    """``{class: rows}`` — one aggregate pass; refuses more than ``max_classes`` classes,
-    which bounds everything derived from it (plan tables, broadcasts)."""
-    rows = class_counts(df, label).limit(max_classes + 1).collect()
-    if len(rows) > max_classes:
-        raise ValueError(f"more than {max_classes} distinct values in {label!r}; not a class label")
-    return {r[label]: r["n"] for r in rows}
-
-
 REPLICA_CHUNK = 4096
 
 
@@ -123,19 +109,6 @@ def balance_target(counts: DataFrame, min_per_class: int = MIN_SAMPLES_PER_CLASS
     return counts.agg(F.greatest(F.floor(F.median("n")), F.lit(min_per_class)).cast("long").alias("target"))
 
 
-def target_size(sizes: Sequence[int], min_per_class: int = MIN_SAMPLES_PER_CLASS) -> int:
-    """``max(int(median(sizes)), min_per_class)``; an even count averages the middle two."""
-    v = sorted(sizes)
-    m = len(v)
-    med = v[m // 2] if m % 2 else (v[m // 2 - 1] + v[m // 2]) / 2
-    return max(int(med), min_per_class)
-
-
-def _class_table(df: DataFrame, label: str, rows: list[tuple], cols: str) -> DataFrame:
-    ltype = df.schema[label].dataType.simpleString()
-    return df.sparkSession.createDataFrame(rows, f"{label} {ltype}, {cols}")
-
-
 def balance_classes(
     df: DataFrame,
     label: str,
@@ -144,49 +117,50 @@ def balance_classes(
     min_per_class: int = MIN_SAMPLES_PER_CLASS,
 ) -> DataFrame:
     """Every present class resized to the target: larger ones sampled down, smaller ones
-    copied ``ceil(target / n)`` times and then sampled down; absent classes stay absent.
+    copied ``ceil(target / n)`` times and then sampled down; absent classes stay absent.  A NULL
+    class counts and is resized like any other.
 
     Output: the input columns plus ``replica`` (1-based copy number).
     """
-    counts = collect_class_counts(df, label)
-    if not counts:  # nothing to balance
+    counts = materialize(class_counts(df, label))
+    smallest = counts.agg(F.min("n")).first()[0]
+    if smallest is None:  # nothing to balance
         return df.withColumn("replica", F.lit(1)).limit(0)
-    target = target_size(list(counts.values()), min_per_class)
-    plan = _class_table(
-        df, label, [(c, target, math.ceil(target / n)) for c, n in counts.items()], "target long, _copies int"
-    )
-    # the plan has one row per class (≤ MAX_CLASSES): a bounded broadcast
-    rows = df.join(F.broadcast(plan), label)
-    max_copies = max(math.ceil(target / n) for n in counts.values())
-    rows = replicate(rows, F.col("_copies"), max_copies, spread_by=[key])
+    target = balance_target(counts, min_per_class).first()["target"]
+    plan = counts.select(F.col(label).alias("_class"), F.ceil(F.lit(target) / F.col("n")).cast("int").alias("_copies"))
+    rows = df.join(plan, F.col(label).eqNullSafe(F.col("_class"))).drop("_class")
+    max_copies = math.ceil(target / smallest)
+    rows = replicate(rows, F.col("_copies"), max_copies, spread_by=[key]).drop("_copies")
     rows = rows.withColumn(HASH, row_hash(seed, F.col(key), F.col("replica")))
-    picked = flag_smallest(rows, label, F.col("target"), [key, "replica"], "_pick", groups_hint=len(counts))
-    return picked.filter("_pick").drop("_pick", HASH, "target", "_copies")
+    limits = counts.select(F.col(label).alias("_group"), F.lit(target).cast("long").alias("_limit"))
+    return flag_smallest(rows, label, limits, [key, "replica"], "_pick").filter("_pick").drop("_pick", HASH)
 
 
 def seeded_sample(df: DataFrame, n: int, key: str, seed: int = RANDOM_SEED) -> DataFrame:
     """``n`` rows without replacement (all rows when there are fewer)."""
     rows = df.withColumn(HASH, row_hash(seed, F.col(key)))
-    picked = flag_smallest(rows, None, F.lit(n), [key], "_pick")
-    return picked.filter("_pick").drop("_pick", HASH)
+    if n <= TOP_N:
+        return rows.orderBy(HASH, key).limit(n).drop(HASH)
+    one = df.sparkSession.createDataFrame([(0, n)], "_group int, _limit long")
+    return flag_smallest(rows.withColumn("_all", F.lit(0)), "_all", one, [key], "_pick").filter("_pick").drop("_pick", "_all", HASH)
 
 
-def split_sizes(counts: dict, test_fraction: float = TEST_FRACTION) -> dict:
-    """``{class: test rows}``.
+def split_sizes(counts: DataFrame, label: str, test_fraction: float = TEST_FRACTION) -> DataFrame:
+    """``(_group, _limit)``: test rows per class.
 
     ``n_test = ceil(f·N)``, ``n_train = N - n_test``; train rows are allotted to classes in
     proportion, rounding down, and the remaining ones go to the classes with the largest
-    fractional parts (ties: lower label first).  Test rows per class are the rest.
+    fractional parts (ties: lower label first, NULL before all).  Test rows per class are the
+    rest.  Works on the table of classes, one row per class.
     """
-    total = sum(counts.values())
-    n_test = math.ceil(test_fraction * total)
-    n_train = total - n_test
-    cont = {c: n / total * n_train for c, n in counts.items()}
-    train = {c: math.floor(v) for c, v in cont.items()}
-    need = n_train - sum(train.values())
-    for c in sorted(cont, key=lambda c: (-(cont[c] - train[c]), c))[:need]:
-        train[c] += 1
-    return {c: counts[c] - train[c] for c in counts}
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    n_train = total - math.ceil(test_fraction * total)
+    share = F.col("n") / F.lit(float(max(total, 1))) * F.lit(float(n_train))
+    sized = counts.select(F.col(label).alias("_group"), "n", share.alias("_share"), F.floor(share).alias("_train"))
+    need = n_train - (sized.agg(F.sum("_train")).first()[0] or 0)
+    rank = F.row_number().over(Window.orderBy(F.desc(F.col("_share") - F.col("_train")), F.asc_nulls_first("_group")))
+    more = (rank <= F.lit(need)).cast("long")
+    return sized.select("_group", (F.col("n") - F.col("_train") - more).cast("long").alias("_limit"))
 
 
 def stratified_split(
@@ -197,11 +171,9 @@ def stratified_split(
     seed: int = RANDOM_SEED,
     out: str = "fold",
 ) -> DataFrame:
-    """Add ``fold`` = ``'test'`` / ``'train'``; per class exactly ``test_n`` rows are test."""
-    sizes = split_sizes(collect_class_counts(df, label), test_fraction)
-    table = _class_table(df, label, list(sizes.items()), "test_n long")
-    rows = df.join(F.broadcast(table), label).withColumn(HASH, row_hash(seed, F.col(key)))
-    flagged = flag_smallest(rows, label, F.col("test_n"), [key], "_test", groups_hint=len(sizes))
-    return flagged.withColumn(out, F.when(F.col("_test"), F.lit("test")).otherwise(F.lit("train"))).drop(
-        "_test", HASH, "test_n"
-    )
+    """Add ``fold`` = ``'test'`` / ``'train'``; every row gets one.  A NULL label is a class of
+    its own."""
+    sizes = materialize(split_sizes(materialize(class_counts(df, label)), label, test_fraction))
+    rows = df.withColumn(HASH, row_hash(seed, F.col(key)))
+    flagged = flag_smallest(rows, label, sizes, [key], "_test")
+    return flagged.withColumn(out, F.when(F.col("_test"), F.lit("test")).otherwise(F.lit("train"))).drop("_test", HASH)

@@ -27,7 +27,7 @@ from pyspark.sql import types as TY
 
 from tensio.functions import text as T
 from tensio.functions.lexicons import POLARITY_MARGIN, SUBJECTIVITY_CUT
-from tensio.operators.partitioning import share
+from tensio.operators.partitioning import materialize, share
 
 LEXICON_EXPRESSION_LIMIT = 64
 LEXICON_BROADCAST_LIMIT = 200_000
@@ -42,9 +42,16 @@ _SCORE_TYPE = TY.StructType(
 )
 
 
-def to_micro(v: float) -> int:
-    """A lexicon value in integer micro-units (6 decimals)."""
-    return int(round(v * MICRO))
+def normalised(lexicon: DataFrame) -> DataFrame:
+    """``(word, pu, su)``: one row per word, values in integer micro-units.
+
+    The same rule for a lexicon of any size: values are rounded half away from zero at 6
+    decimals; entries with a NULL word or value are no entries; of a word's entries the smallest
+    (polarity, then subjectivity) counts.
+    """
+    micro = lexicon.select("word", *[F.round(F.col(c).cast("double") * F.lit(float(MICRO))).cast("long").alias(n) for c, n in (("polarity", "pu"), ("subjectivity", "su"))])
+    one = micro.dropna().groupBy("word").agg(F.min(F.struct("pu", "su")).alias("v"))
+    return one.select("word", "v.pu", "v.su")
 
 
 def mean_micro(total: int, n: int) -> int:
@@ -122,25 +129,19 @@ def lexicon_scores(
 
     ``key`` must identify a row of ``df`` (used by the large-lexicon path only).
     """
-    lex = lexicon.select("word", F.col("polarity").cast("double"), F.col("subjectivity").cast("double"))
+    lex = normalised(lexicon)
     # one bounded fetch decides the path: more than broadcast_limit rows means "large"
     head = lex.limit(broadcast_limit + 1).collect()
     if len(head) <= broadcast_limit:
-        table: dict[str, tuple[int, int]] = {}
-        for r in head:  # one entry per word (the first listed)
-            if r["word"] is not None:
-                table.setdefault(r["word"], (to_micro(r["polarity"]), to_micro(r["subjectivity"])))
+        table = {r["word"]: (r["pu"], r["su"]) for r in head}
         if 0 < len(table) <= expression_limit:
             return _expression_scores(df, tokens, table)
         scorer = _make_scorer(share(df.sparkSession, table))
         return df.withColumn("_lex", scorer(tokens)).select(
             "*", "_lex.polarity", "_lex.subjectivity", "_lex.lexicon_hits"
         ).drop("_lex")
-    micro = lex.dropDuplicates(["word"]).select(
-        "word",
-        F.round(F.col("polarity") * F.lit(float(MICRO))).cast("long").alias("_pu"),
-        F.round(F.col("subjectivity") * F.lit(float(MICRO))).cast("long").alias("_su"),
-    )
+    micro = lex.select("word", F.col("pu").alias("_pu"), F.col("su").alias("_su"))
+    df = materialize(df)  # read twice below: the rows are cleaned once
     exploded = df.select(F.col(key).alias("_k"), F.explode(tokens).alias("word"))
     sums = (
         exploded.join(micro, "word")
@@ -153,8 +154,8 @@ def lexicon_scores(
         _mean_sql("_ss", "_n").alias("subjectivity"),
         F.col("_n").cast("int").alias("lexicon_hits"),
     )
-    out = df.join(per_post, df[key] == per_post["_k"], "left").drop("_k")
-    return out.fillna({"polarity": 0.0, "subjectivity": 0.0, "lexicon_hits": 0})
+    out = df.join(per_post, F.col(f"`{key}`") == F.col("_k"), "left").drop("_k")
+    return out.fillna({"polarity": 0.0, "subjectivity": 0.0, "lexicon_hits": 0}, subset=["polarity", "subjectivity", "lexicon_hits"])
 
 
 def weak_label(polarity: Column | str, subjectivity: Column | str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tensio.functions import text as T
-from tensio.functions.lexicons import PROFILE_V2
+from tensio.functions.lexicons import MAX_LEN, PROFILE_V2
 from tensio.functions.numeric import round_places
 from tensio.operators import cleaning, corpus, encode, evaluate, sampling, sentiment, topics
 from tensio.operators.cleaning import CLEAN, SCORE
@@ -257,6 +257,16 @@ def q_stratified_split(spark, sf):
     return sampling.stratified_split(bal, "sentiment", "row_key")
 
 
+def q_split_nullable(spark, sf):
+    """A split whose strata include documents without a label."""
+    return sampling.stratified_split(_docs_with_label(spark, sf), "label", "doc_id")
+
+
+def q_vocabulary_capped(spark, sf):
+    """The vocabulary with a cap that binds."""
+    return encode.vocabulary(flows.document_corpus(spark, sf), CLEAN, max_words=1000)
+
+
 # ---- encoding (O49, O52-O55) ------------------------------------------------------------
 
 
@@ -270,7 +280,7 @@ def q_token_sequences(spark, sf):
 
 
 def q_padded_sequences(spark, sf):
-    enc = flows.encoded_documents(spark, sf)
+    enc = flows.encoded_documents(spark, sf, limit=MAX_LEN)
     return enc.select("doc_id", _ints_to_text(encode.pad("seq")).alias("padded"))
 
 
@@ -279,6 +289,11 @@ def q_label_index(spark, sf):
     return encode.label_index(docs, "lang")
 
 
+def q_label_index_nullable(spark, sf):
+    """Labels with NULLs: documents without a label share the last index."""
+    return encode.label_index(_docs_with_label(spark, sf), "label")
+
+
 def q_one_hot_label(spark, sf):
     docs = encode.label_index(read_table(spark, sf, "documents").select("doc_id", "lang"), "lang")
     hot = encode.one_hot("label_idx", 4)
@@ -386,6 +401,9 @@ QUERIES: dict[str, Query] = {
     "token_sequences": q_token_sequences,
     "padded_sequences": q_padded_sequences,
     "label_index": q_label_index,
+    "label_index_nullable": q_label_index_nullable,
+    "split_nullable": q_split_nullable,
+    "vocabulary_capped": q_vocabulary_capped,
     "one_hot_label": q_one_hot_label,
     "prediction_record": q_prediction_record,
     "negative_predictions": q_negative_predictions,

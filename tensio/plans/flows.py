@@ -88,9 +88,9 @@ def platform_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def encoded_documents(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
     """Corpus with ``seq`` (token ids over the corpus vocabulary); the corpus is written
     once because both the vocabulary fit and the encoding read it."""
     corp = materialize(document_corpus(spark, sf_dir))
     vocab = encode.vocabulary(corp, CLEAN)
-    return encode.sequences(corp, CLEAN, vocab)
+    return encode.sequences(corp, CLEAN, vocab, limit=limit)

@@ -133,20 +133,25 @@ balanced AS (SELECT doc_id, cleaned_text, sentiment, replica::INTEGER AS replica
              QUALIFY row_number() OVER (PARTITION BY sentiment
                      ORDER BY md5('{RANDOM_SEED}:' || doc_id::VARCHAR || ':' || replica::VARCHAR), doc_id, replica) <= target)"""
 
-SPLIT = f"""{BALANCED},
-sc AS (SELECT sentiment, count(*) AS n FROM balanced GROUP BY sentiment),
-s1 AS (SELECT sentiment, n, sum(n) OVER () AS tot FROM sc),
+def split_ctes(source: str, label: str, key: str) -> str:
+    """Stratified 20 % split of ``source`` as CTEs ending in ``split``; a NULL label is a stratum."""
+    return f"""sc AS (SELECT {label}, count(*) AS n FROM {source} GROUP BY {label}),
+s1 AS (SELECT {label}, n, sum(n) OVER () AS tot FROM sc),
 s2 AS (SELECT *, ceil(0.2::DOUBLE * tot) AS n_test FROM s1),
 s3 AS (SELECT *, tot - n_test AS n_train FROM s2),
 s4 AS (SELECT *, (n / tot) * n_train AS cont FROM s3),
 s5 AS (SELECT *, floor(cont) AS fl FROM s4),
 s6 AS (SELECT *, n_train - sum(fl) OVER () AS need FROM s5),
-s7 AS (SELECT *, row_number() OVER (ORDER BY cont - fl DESC, sentiment) AS rk FROM s6),
-sizes AS (SELECT sentiment, (n - (fl + CASE WHEN rk <= need THEN 1 ELSE 0 END))::BIGINT AS test_n FROM s7),
-split AS (SELECT b.row_key, b.sentiment,
-          CASE WHEN row_number() OVER (PARTITION BY b.sentiment ORDER BY md5('{RANDOM_SEED}:' || b.row_key), b.row_key) <= s.test_n
+s7 AS (SELECT *, row_number() OVER (ORDER BY cont - fl DESC, {label} NULLS FIRST) AS rk FROM s6),
+sizes AS (SELECT {label}, (n - (fl + CASE WHEN rk <= need THEN 1 ELSE 0 END))::BIGINT AS test_n FROM s7),
+split AS (SELECT b.{key}, b.{label},
+          CASE WHEN row_number() OVER (PARTITION BY b.{label} ORDER BY md5('{RANDOM_SEED}:' || b.{key}::VARCHAR), b.{key}) <= s.test_n
                THEN 'test' ELSE 'train' END AS fold
-          FROM balanced b JOIN sizes s USING (sentiment))"""
+          FROM {source} b JOIN sizes s ON b.{label} IS NOT DISTINCT FROM s.{label})"""
+
+
+SPLIT = f"""{BALANCED},
+{split_ctes("balanced", "sentiment", "row_key")}"""
 
 STANDIN = [(31, 7), (57, 3), (89, 11)]
 
@@ -256,11 +261,17 @@ def _family_cols(t: str, profile: ScoreProfile, kind: str) -> str:
 CLEANED_DOCS = f"(SELECT doc_id, {clean_sql('text')} AS t FROM documents)"
 NA_LIST = ", ".join(q(t) for t in NA_TOKENS)
 DOCS_WITH_LABEL = "(SELECT d.doc_id, l.quality AS label FROM documents d LEFT JOIN labels l USING (doc_id))"
-VOCAB = f"""{CORPUS},
+
+
+def vocab_ctes(max_words: int) -> str:
+    return f"""{CORPUS},
 words AS (SELECT unnest(string_split(cleaned_text, ' ')) AS word FROM corpus),
 wc AS (SELECT word, count(*) AS count FROM words WHERE word <> '' GROUP BY word),
 vocab AS (SELECT word, count, row_number() OVER (ORDER BY count DESC, word)::INTEGER AS id FROM wc
-          QUALIFY row_number() OVER (ORDER BY count DESC, word) <= {MAX_WORDS - 1})"""
+          QUALIFY row_number() OVER (ORDER BY count DESC, word) <= {max_words - 1})"""
+
+
+VOCAB = vocab_ctes(MAX_WORDS)
 SEQUENCES = f"""{VOCAB},
 tp AS (SELECT doc_id, unnest(s) AS word, generate_subscripts(s, 1) AS pos
        FROM (SELECT doc_id, string_split(cleaned_text, ' ') AS s FROM corpus)),
@@ -341,6 +352,9 @@ SELECT greatest(floor(median(n)), 10)::BIGINT AS target FROM cnt""",
     "vocabulary_index": f"WITH {VOCAB}\nSELECT word, count, id FROM vocab",
     "token_sequences": f"WITH {SEQUENCES}\nSELECT doc_id, coalesce(array_to_string(idl, ' '), '') AS seq FROM seqs",
     "padded_sequences": f"WITH {SEQUENCES}\nSELECT doc_id, array_to_string(list_resize(coalesce(idl, []::INTEGER[]), {MAX_LEN}, 0), ' ') AS padded FROM seqs",
+    "label_index_nullable": f"SELECT doc_id, label, (dense_rank() OVER (ORDER BY label NULLS LAST) - 1)::INTEGER AS label_idx FROM {DOCS_WITH_LABEL}",
+    "split_nullable": f"WITH dl AS {DOCS_WITH_LABEL},\n{split_ctes('dl', 'label', 'doc_id')}\nSELECT doc_id, label, fold FROM split",
+    "vocabulary_capped": f"WITH {vocab_ctes(1000)}\nSELECT word, count, id FROM vocab",
     "label_index": "SELECT doc_id, lang, (dense_rank() OVER (ORDER BY lang) - 1)::INTEGER AS label_idx FROM documents",
     "one_hot_label": """WITH l AS (SELECT doc_id, dense_rank() OVER (ORDER BY lang) - 1 AS i FROM documents)
 SELECT doc_id, array_to_string([(i = 0)::INTEGER::DOUBLE, (i = 1)::INTEGER::DOUBLE, (i = 2)::INTEGER::DOUBLE, (i = 3)::INTEGER::DOUBLE], ',') AS one_hot FROM l""",

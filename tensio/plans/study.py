@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tensio.functions.lexicons import PROFILE_V2, TOPIC_KEYWORDS, TOPIC_LABELS, ScoreProfile
 from tensio.operators import cleaning, corpus, sentiment, topics
 from tensio.operators.cleaning import CLEAN
+from tensio.operators.partitioning import materialize
 from tensio.plans.sentiment_flow import SentimentRun, run_sentiment
 from tensio.sources import adapters, csv, sinks
 
@@ -72,9 +73,8 @@ def load_cleaned(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         frames.append((os.path.basename(name.rstrip("/")), corpus.min_length(df)))
     combined = corpus.union_sources(frames).dropna(subset=[CLEAN])
     out = corpus.dedupe_cross_source(combined, ["_row"])
-    return out.withColumn(
-        "post_key", F.concat(F.col("source_rank").cast("string"), F.lit(":"), F.col("_row").cast("string"))
-    )
+    # unique after the dedupe, and independent of how files are packed into tasks
+    return out.withColumn("post_key", F.sha2(CLEAN, 256))
 
 
 def analyze_platform(
@@ -90,7 +90,7 @@ def analyze_platform(
     posts = load_cleaned(spark, cleaned_paths)
     labelled = sentiment.label_posts(posts, lexicon, "post_key")
     run = run_sentiment(labelled, "post_key", split_before_balance=split_before_balance)
-    records = run.predictions
+    records = materialize(run.predictions)  # scored once, exported several times
     sinks.write_csv(records, os.path.join(out_dir, predictions_name(platform)))
     for cls, label in export_classes:
         sinks.write_class(records, os.path.join(out_dir, predictions_name(platform, label)), "Predicted_Sentiment", cls)

@@ -56,7 +56,8 @@ def load_sentiment_140(
     rows, report = read_csv_tolerant(spark, path, SENTIMENT140_SCHEMA, sep=",", encoding=encoding)
     rows = _with_row(rows)
     rows = rows.withColumn("sentiment", value_map("sentiment", SENTIMENT140_MAP))
-    rows = rows.withColumn("timestamp", parse_post_time("timestamp"))
+    # the text stays beside the parsed time, so a form that does not parse is not lost
+    rows = rows.withColumn("timestamp_text", F.col("timestamp")).withColumn("timestamp", parse_post_time("timestamp"))
     kept = rows.dropna(subset=["text"]).withColumn("query", sentinel_replace("query", NO_QUERY, ""))
     stats = rows.agg(
         F.count_if(F.col("text").isNull()).alias("dropped_missing_text"),
@@ -89,7 +90,7 @@ def label_distribution(df: DataFrame, label: str = "label", order: str = "value"
 
 
 def clean_source(df: DataFrame, text_col: str, profile: ScoreProfile = PROFILE_V2) -> DataFrame:
-    """The cleaning flow on an adapter's output (order = file position)."""
+    """The cleaning flow on an adapter's output (order = file position), in file order."""
     if text_col not in df.columns:
         raise SourceError(f"no text column {text_col!r}")
-    return clean_dataset(df, text_col, [ROW], profile).drop(ROW)
+    return clean_dataset(df, text_col, [ROW], profile).orderBy(ROW).drop(ROW)

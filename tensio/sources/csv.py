@@ -103,8 +103,12 @@ def read_csv_tolerant(
     header: bool = False,
     encoding: str | Sequence[str] = "UTF-8",
     na_tokens: Sequence[str] = NA_TOKENS,
+    multiline: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """Read with ``schema``; lines with too many fields are dropped, short lines kept.
+    """Read with ``schema``; records with too many fields are dropped, short ones kept.
+
+    A quoted field may hold newlines; ``multiline=False`` reads line by line instead, which
+    lets one file be read by many tasks.
 
     Every field is read as text with one extra trailing field: a filled extra field means
     the line had too many fields.  The kept fields are then cast to ``schema``'s types
@@ -118,7 +122,7 @@ def read_csv_tolerant(
     raw = None
     problems = []
     for enc in _encodings(encoding):
-        reader = _reader(spark, sep, header, enc, False).option("mode", "PERMISSIVE").schema(text_schema)
+        reader = _reader(spark, sep, header, enc, multiline).option("mode", "PERMISSIVE").schema(text_schema)
         try:
             raw = reader.csv(path)
             raw.take(1)  # with a given schema the charset is only checked when a task runs

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Header row, ``"``-quoted fields as needed; the directory is created."""
+    """Header row, ``"``-quoted fields as needed, values as they are (blanks at either end
+    stay); the directory is created."""
     (
         df.write.mode(mode)
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 

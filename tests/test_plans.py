@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
+from tensio.plans.catalog import QUERIES
 
 from conftest import SF001
 
@@ -19,7 +19,7 @@ def executed_plan(df):
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {n: executed_plan(fn(spark, SF001)) for n, fn in E.queries().items() if n not in SKIP}
+    return {n: executed_plan(fn(spark, SF001)) for n, fn in QUERIES.items() if n not in SKIP}
 
 
 def test_no_cartesian_or_nested_loop_joins(plans):
