@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensio.llm import labeller
-from tensio.llm.batches import with_results
+from tensio.llm.batches import bounded_sample, with_results
 from tensio.llm.html_blocks import Block, blocks
 from tensio.operators.partitioning import share
 
@@ -129,8 +129,8 @@ def fit(pages: list[str], seed: int = 11) -> dict[str, np.ndarray]:
 def train(pages: DataFrame, html: str = "html", most: int = MAX_FIT_PAGES) -> dict[str, np.ndarray]:
     """Fit on at most ``most`` pages of at most ``MAX_FIT_BYTES`` bytes, the same ones on every run."""
     column = F.col(f"`{html}`")
-    sample = pages.where(F.octet_length(column).between(1, MAX_FIT_BYTES)).select(column.alias("html")).orderBy(F.xxhash64(column), column).limit(most)
-    return fit([r.html for r in sample.collect()])
+    fitting = pages.where(F.octet_length(column).between(1, MAX_FIT_BYTES)).select(column.alias("html"))
+    return fit([r.html for r in bounded_sample(fitting, most, "html").collect()])
 
 
 def extract(page_blocks: list[list[Block]], model: dict[str, np.ndarray], cache: dict) -> list[str]:

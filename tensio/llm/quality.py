@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensio.llm import words as W
-from tensio.llm.batches import map_slices, text_buffer
+from tensio.llm.batches import bounded_sample, map_slices, text_buffer
 from tensio.operators.partitioning import share
 
 #: Labelled rows that the fit takes at most, the first by a hash of their id.
@@ -180,7 +180,7 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     """
     told = labels.where(f"`{key}` IS NOT NULL AND `{label}` IS NOT NULL").where(~held_out(key))
     told = told.groupBy(F.col(f"`{key}`").alias("__key")).agg((F.avg(F.col(f"`{label}`").cast("double")) >= 0.5).cast("int").alias("__label"))
-    told = told.orderBy(F.xxhash64("__key"), "__key").limit(most)
+    told = bounded_sample(told, most, "__key")
     source = documents.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text")).join(F.broadcast(told), "__key")  # at most ``most`` rows
     names = ", ".join(f"f{i} double" for i in range(len(FEATURES)))
 

@@ -19,7 +19,7 @@ import regex
 from tensio.llm.batches import text_buffer
 
 #: Pieces whose ids a worker keeps; beyond it the memory is emptied and filled anew.
-MEMORY = 1_000_000
+MEMORY = 400_000
 
 _CUT_LETTER = np.zeros(256, bool)
 _CUT_LETTER[[*range(65, 91), *range(97, 123)]] = True
