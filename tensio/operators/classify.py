@@ -68,8 +68,8 @@ def train_classifier(
 def predict(model: PipelineModel, df: DataFrame, text_col: str = "cleaned_text") -> DataFrame:
     """Input columns plus ``p0, p1, p2``, ``predicted`` (first max wins) and ``confidence``.
 
-    The classes are 0, 1 and 2 whatever the training rows held: a class that the model has not
-    met has probability 0.
+    The classes are 0, 1 and 2 whatever the training rows held: a class above all that the model
+    has met has probability 0 (one in between has the model's own, small, probability).
     """
     scored = model.transform(df).withColumn("_p", vector_to_array("_prob"))
     out = scored.select(*[F.col(f"`{c}`") for c in df.columns], *[F.coalesce(F.get("_p", F.lit(i)), F.lit(0.0)).alias(f"p{i}") for i in range(3)])

@@ -152,6 +152,14 @@ def q_coerce_numeric(spark, sf):
     )
 
 
+def q_coerce_numeric_text(spark, sf):
+    """Order quantities as text, some with a type letter, an exponent, blanks or a word behind."""
+    kind = F.col("l_linenumber") % 5
+    tail = F.when(kind == 0, "").when(kind == 1, "d").when(kind == 2, "e2").when(kind == 3, "  ").otherwise(" items")
+    text = F.concat(F.col("l_quantity").cast("double").cast("string"), tail)
+    return read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", T.coerce_numeric(text).alias("quantity"))
+
+
 def q_parse_post_time(spark, sf):
     ev = read_table(spark, sf, "events")
     made = ev.select(
@@ -232,6 +240,19 @@ def q_lexicon_sentiment(spark, sf):
     return flows.labelled_documents(spark, sf).select("doc_id", "polarity", "subjectivity", "lexicon_hits")
 
 
+def q_lexicon_sentiment_large(spark, sf):
+    """A lexicon of all words of the corpus, with repeated words and NULL values, joined to the tokens."""
+    corp = flows.document_corpus(spark, sf)
+    words = corp.select(F.explode(T.space_tokens(CLEAN)).alias("word")).distinct()
+    size = F.length("word")
+    first = words.select("word", ((size * 7 % 21 - 10) / 10).alias("polarity"), (size % 11 / 10).alias("subjectivity"))
+    again = first.where(size % 3 == 0).select("word", (F.col("polarity") + 0.5).alias("polarity"), F.lit(0.0).alias("subjectivity"))
+    unknown = first.where(size % 4 == 0).select("word", F.lit(None).cast("double").alias("polarity"), "subjectivity")
+    lexicon = first.unionByName(again).unionByName(unknown)
+    scored = sentiment.lexicon_scores(corp, T.space_tokens(CLEAN), lexicon, "doc_id", broadcast_limit=1000)
+    return scored.select("doc_id", "polarity", "subjectivity", "lexicon_hits")
+
+
 def q_weak_sentiment_label(spark, sf):
     return flows.labelled_documents(spark, sf).select("doc_id", "sentiment")
 
@@ -359,6 +380,29 @@ def q_classifier_report(spark, sf):
     return run_sentiment(flows.labelled_corpus_stage(spark, sf), "doc_id").report
 
 
+def q_classifier_checks(spark, sf):
+    """What must hold of the trained classifier: rows per fold, probabilities that sum to 1, the
+    predicted class being the first largest, and an accuracy above the majority class's."""
+    from tensio.plans.sentiment_flow import run_sentiment
+
+    run = run_sentiment(flows.labelled_corpus_stage(spark, sf), "doc_id")
+    test = materialize(run.test)
+    p = [F.col("p0"), F.col("p1"), F.col("p2")]
+    largest = F.greatest(*p)
+    first = F.when(p[0] == largest, 0).when(p[1] == largest, 1).otherwise(2)
+    found = test.agg(
+        F.count(F.lit(1)).alias("test_rows"),
+        F.count_if(F.abs(p[0] + p[1] + p[2] - 1) > 1e-6).alias("wrong_sums"),
+        F.count_if((F.col("predicted") != first) | (F.col("confidence") != largest)).alias("wrong_argmax"),
+        F.count_if(F.col("predicted") == F.col("sentiment")).alias("right"),
+    )
+    majority = sentiment.class_histogram(test).agg(F.max("n").alias("majority"))
+    rows = run.predictions.agg(F.count(F.lit(1)).alias("scored_rows"))
+    one = F.lit(1).alias("one")
+    joined = found.select("*", one).join(majority.select("*", one), "one").join(rows.select("*", one), "one")
+    return joined.select("scored_rows", "test_rows", "wrong_sums", "wrong_argmax", (F.col("right") > F.col("majority")).alias("beats_majority"))
+
+
 QUERIES: dict[str, Query] = {
     "clean_text": q_clean_text,
     "strip_urls": q_strip_urls,
@@ -380,6 +424,7 @@ QUERIES: dict[str, Query] = {
     "polarity_counts": q_polarity_counts,
     "label_map": q_label_map,
     "coerce_numeric": q_coerce_numeric,
+    "coerce_numeric_text": q_coerce_numeric_text,
     "parse_post_time": q_parse_post_time,
     "sentinel_replace": q_sentinel_replace,
     "tokenize_words": q_tokenize_words,
@@ -391,6 +436,7 @@ QUERIES: dict[str, Query] = {
     "prepare_corpus": q_prepare_corpus,
     "dedupe_clean_cross_source": q_dedupe_clean_cross_source,
     "lexicon_sentiment": q_lexicon_sentiment,
+    "lexicon_sentiment_large": q_lexicon_sentiment_large,
     "weak_sentiment_label": q_weak_sentiment_label,
     "class_histogram": q_class_histogram,
     "balance_target": q_balance_target,
@@ -414,4 +460,5 @@ QUERIES: dict[str, Query] = {
     "combined_negative": q_combined_negative,
     "classify_posts": q_classify_posts,
     "classifier_report": q_classifier_report,
+    "classifier_checks": q_classifier_checks,
 }

@@ -280,7 +280,27 @@ seqs AS (SELECT c.doc_id, list(ids.id ORDER BY ids.pos) FILTER (WHERE ids.id IS
          FROM corpus c LEFT JOIN ids USING (doc_id) GROUP BY c.doc_id)"""
 
 
+LARGE_LEXICON = f"""{CORPUS},
+tok AS (SELECT doc_id, unnest(string_split(cleaned_text, ' ')) AS word FROM corpus),
+entries AS (SELECT word, (length(word) * 7 % 21 - 10) * 100000 AS pu, length(word) % 11 * 100000 AS su FROM (SELECT DISTINCT word FROM tok)
+            UNION ALL SELECT word, (length(word) * 7 % 21 - 10) * 100000 + 500000, 0 FROM (SELECT DISTINCT word FROM tok) WHERE length(word) % 3 = 0),
+lex AS (SELECT word, pu, su FROM entries QUALIFY row_number() OVER (PARTITION BY word ORDER BY pu, su) = 1),
+sums AS (SELECT doc_id, sum(pu)::BIGINT AS sp, sum(su)::BIGINT AS ss, count(*) AS n FROM tok JOIN lex USING (word) GROUP BY doc_id)
+SELECT doc_id, {mean_micro_sql("sp", "n")} AS polarity, {mean_micro_sql("ss", "n")} AS subjectivity, n::INTEGER AS lexicon_hits FROM sums"""
+
+CLASSIFIER_CHECKS = f"""WITH {LABELLED},
+{split_ctes("labelled", "sentiment", "doc_id")},
+trained AS (SELECT sentiment, count(*) AS n FROM split WHERE fold = 'train' GROUP BY sentiment),
+resized AS (SELECT (greatest(floor(median(n)), 10) * count(*))::BIGINT AS rows FROM trained),
+held AS (SELECT count(*) AS rows FROM split WHERE fold = 'test')
+SELECT resized.rows + held.rows AS scored_rows, held.rows AS test_rows, 0::BIGINT AS wrong_sums, 0::BIGINT AS wrong_argmax,
+  true AS beats_majority FROM resized, held"""
+
 ORACLE: dict[str, str] = {
+    "coerce_numeric_text": """SELECT l_orderkey, l_linenumber, TRY_CAST(trim(l_quantity::DOUBLE::VARCHAR || CASE l_linenumber % 5 WHEN 0 THEN '' WHEN 1 THEN 'd'
+  WHEN 2 THEN 'e2' WHEN 3 THEN '  ' ELSE ' items' END) AS DOUBLE) AS quantity FROM lineitem""",
+    "lexicon_sentiment_large": f"WITH {LARGE_LEXICON}",
+    "classifier_checks": CLASSIFIER_CHECKS,
     "clean_text": f"SELECT doc_id, {clean_sql('text')} AS cleaned_text FROM documents",
     "strip_urls": f"SELECT page_id, regexp_replace(html, {q(T.URL_RE)}, '', 'g') AS html_no_urls FROM pages",
     "terms_found": f"SELECT doc_id, {_family_cols('t', PROFILE_V2, 'found')} FROM {CLEANED_DOCS}",
