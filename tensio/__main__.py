@@ -32,6 +32,7 @@ def main(argv: list[str] | None = None) -> int:
 
     c = sub.add_parser("clean", help="clean raw source files (layout=path ...)")
     c.add_argument("--out", required=True)
+    c.add_argument("--report", action="store_true", help="show stage counts, score distribution, previews, means and reader notes")
     c.add_argument("sources", nargs="+", help=f"layout=path; layouts: {', '.join(study.LOADERS)}")
 
     s = sub.add_parser("sentiment", help="labels, classifier and prediction exports for one platform")
@@ -57,13 +58,18 @@ def main(argv: list[str] | None = None) -> int:
         for layout, result in study.clean_sources(spark, inputs, args.out).items():
             status = f"{result.count()} posts kept" if not isinstance(result, Exception) else f"skipped: {result}"
             print(f"{layout}: {status}")
+            if args.report and not isinstance(result, Exception):
+                report = study.source_report(spark, layout, inputs[layout])
+                for part in (report.counts, report.scores, report.preview, report.means, *report.notes.values()):
+                    part.show(truncate=False)
     elif args.cmd == "sentiment":
         reader = spark.read.parquet if not args.lexicon.endswith(".csv") else spark.read.option("header", True).csv
         lexicon = reader(args.lexicon)
         run = study.analyze_platform(
             spark, args.cleaned, args.platform, args.out, lexicon, split_before_balance=not args.original_order
         )
-        run.report.show(truncate=False)
+        for part in (run.classes, run.accuracy, run.report):
+            part.show(truncate=False)
     elif args.cmd == "combine":
         print(f"{study.combine_class_exports(spark, args.out, args.platforms, args.label).count()} rows combined")
     elif args.cmd == "topics":

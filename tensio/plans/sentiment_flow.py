@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensio.functions.lexicons import RANDOM_SEED, TEST_FRACTION
-from tensio.operators import classify, evaluate, sampling
+from tensio.operators import classify, evaluate, sampling, sentiment
 from tensio.operators.cleaning import CLEAN
 from tensio.operators.partitioning import materialize
 
@@ -26,6 +26,8 @@ class SentimentRun:
     test: DataFrame  # test fold with p0..p2, predicted, confidence
     predictions: DataFrame  # prediction records for every post of the balanced training data and the test fold
     report: DataFrame  # classification report on the test fold
+    accuracy: DataFrame  # share of the test fold that is right, one row
+    classes: DataFrame  # rows per class before and after balancing
 
 
 def _row_key(df: DataFrame, key: str) -> DataFrame:
@@ -58,4 +60,8 @@ def run_sentiment(
     all_pred = classify.predict(model, scored_rows)
     records = evaluate.prediction_record(all_pred, CLEAN, ["p0", "p1", "p2"])
     report = evaluate.classification_report(test_pred, label, "predicted")
-    return SentimentRun(model, test_pred, records, report)
+    accuracy = evaluate.accuracy(test_pred, label, "predicted")
+    before = sentiment.class_histogram(base, label).withColumnRenamed("n", "before")
+    after = sentiment.class_histogram(train if split_before_balance else bal, label).withColumnRenamed("n", "after")
+    classes = before.join(after.withColumnRenamed(label, "_c"), F.col(label).eqNullSafe(F.col("_c")), "left").drop("_c")
+    return SentimentRun(model, test_pred, records, report, accuracy, classes)

@@ -15,11 +15,13 @@ from __future__ import annotations
 
 import os
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tensio.functions.lexicons import PROFILE_V2, TOPIC_KEYWORDS, TOPIC_LABELS, ScoreProfile
+from tensio.functions.text import coerce_numeric
 from tensio.operators import cleaning, corpus, sentiment, topics
 from tensio.operators.cleaning import CLEAN
 from tensio.operators.partitioning import materialize
@@ -52,9 +54,9 @@ def clean_sources(
     for layout, path in inputs.items():
         try:
             df, text_col = LOADERS[layout](spark, path)
-            kept = adapters.clean_source(df, text_col, profile)
-            sinks.write_csv(kept, os.path.join(out_dir, cleaned_name(layout)))
-            results[layout] = kept
+            kept = materialize(adapters.clean_source(df, text_col, profile, keep_row=True))  # cleaned once
+            sinks.write_csv(kept.orderBy(adapters.ROW).drop(adapters.ROW), os.path.join(out_dir, cleaned_name(layout)))
+            results[layout] = kept.drop(adapters.ROW)
         except (csv.SourceError, KeyError) as e:
             results[layout] = e
     return results
@@ -106,6 +108,7 @@ def combine_class_exports(spark: SparkSession, out_dir: str, platforms: Sequence
     combined = frames[0]
     for df in frames[1:]:
         combined = combined.unionByName(df, allowMissingColumns=True)
+    combined = materialize(combined)
     sinks.write_csv(combined, os.path.join(out_dir, f"combined_{label}_sentiment_predictions"))
     return combined
 
@@ -121,6 +124,42 @@ def topic_report(
     return topics.topic_share(csv.read_csv(spark, path), text_col, topic_keywords, labels)
 
 
+@dataclass
+class SourceReport:
+    """What is reported of one raw source; every part is a small table."""
+
+    counts: DataFrame  # rows read, after the dedupe and at or above the threshold
+    scores: DataFrame  # the score of all deduplicated rows, before the threshold
+    preview: DataFrame  # the first three kept rows
+    means: DataFrame  # mean term counts of the kept rows
+    notes: dict[str, DataFrame]  # what the reader left out, label counts
+
+
+def source_report(spark: SparkSession, layout: str, path: str, profile: ScoreProfile = PROFILE_V2) -> SourceReport:
+    """The report on a raw source: stage counts, scores before the threshold, previews, means,
+    and the reader's own notes (skipped lines, rows without a label, label distribution)."""
+    notes: dict[str, DataFrame] = {}
+    if layout == "sentiment_140":
+        df, text_col, notes["skipped_lines"], notes["sentiment"] = adapters.load_sentiment_140(spark, path)
+    else:
+        df, text_col = LOADERS[layout](spark, path)
+    if layout == "reddit_combi":
+        unread = csv.resolve_column(csv.read_csv(spark, path, sep=";"), "label", ["label", "class", "category"])
+        notes["dropped_rows"] = cleaning.drop_stats(unread.withColumn("label", coerce_numeric("label")), "label")
+    if layout in ("reddit_title", "reddit_combi"):
+        notes["labels"] = adapters.label_distribution(df, "label", order="count")
+    df = materialize(df)  # a multi-line file is one task; the parts below read the copy
+    scored = cleaning.score_posts(cleaning.dedupe_first(df, [text_col], [adapters.ROW]), text_col, profile)
+    kept = materialize(adapters.clean_source(df, text_col, profile, keep_row=True))
+    return SourceReport(
+        cleaning.stage_counts(df, text_col, profile),
+        cleaning.score_describe(scored),
+        cleaning.preview(kept, text_col, [adapters.ROW]),
+        cleaning.term_count_means(kept, profile),
+        notes,
+    )
+
+
 def clean_report(kept: DataFrame, profile: ScoreProfile = PROFILE_V2) -> tuple[DataFrame, DataFrame]:
     """The summaries printed after cleaning: score description and mean term counts."""
     return cleaning.score_describe(kept), cleaning.term_count_means(kept, profile)

@@ -89,8 +89,9 @@ def label_distribution(df: DataFrame, label: str = "label", order: str = "value"
     return counts.orderBy(label)
 
 
-def clean_source(df: DataFrame, text_col: str, profile: ScoreProfile = PROFILE_V2) -> DataFrame:
-    """The cleaning flow on an adapter's output (order = file position), in file order."""
+def clean_source(df: DataFrame, text_col: str, profile: ScoreProfile = PROFILE_V2, keep_row: bool = False) -> DataFrame:
+    """The cleaning flow on an adapter's output: in file order, or with the ``_row`` order column."""
     if text_col not in df.columns:
         raise SourceError(f"no text column {text_col!r}")
-    return clean_dataset(df, text_col, [ROW], profile).orderBy(ROW).drop(ROW)
+    cleaned = clean_dataset(df, text_col, [ROW], profile)
+    return cleaned if keep_row else cleaned.orderBy(ROW).drop(ROW)

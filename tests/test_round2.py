@@ -126,5 +126,15 @@ def test_study_keys_do_not_depend_on_the_scan(spark, tmpdir_path):
     assert keys[0] == keys[1] == keys[2] and len(keys[0]) == 40
 
 
+def test_source_report(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "c.csv")
+    with open(path, "w") as f:
+        f.write("Body_Title;label\n" + "teenage exam stress at school;1\n" * 2 + "nothing here;0\nno label;x\n")
+    report = study.source_report(spark, "reddit_combi", path)
+    assert tuple(report.counts.first()) == (3, 2, 1)
+    assert report.scores.first()["count"] == 2 and report.preview.count() == 1 and report.means.count() == 1
+    assert report.notes["dropped_rows"].first().dropped_rows == 1 and [r.n for r in report.notes["labels"].collect()] == [2, 1]
+
+
 def test_checkpoint_folder(spark):
     assert ensure_checkpoint_dir(spark)
