@@ -398,9 +398,9 @@ def q_classifier_checks(spark, sf):
     )
     majority = sentiment.class_histogram(test).agg(F.max("n").alias("majority"))
     rows = run.predictions.agg(F.count(F.lit(1)).alias("scored_rows"))
-    one = F.lit(1).alias("one")
-    joined = found.select("*", one).join(majority.select("*", one), "one").join(rows.select("*", one), "one")
-    return joined.select("scored_rows", "test_rows", "wrong_sums", "wrong_argmax", (F.col("right") > F.col("majority")).alias("beats_majority"))
+    parts = found.unionByName(majority, allowMissingColumns=True).unionByName(rows, allowMissingColumns=True)
+    total = parts.agg(*[F.sum(c).alias(c) for c in parts.columns])
+    return total.select("scored_rows", "test_rows", "wrong_sums", "wrong_argmax", (F.col("right") > F.col("majority")).alias("beats_majority"))
 
 
 QUERIES: dict[str, Query] = {
