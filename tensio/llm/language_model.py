@@ -2,13 +2,14 @@
 
 1. Texts are coded chunk by chunk (a chunk is one slice of texts: its distinct word hashes and
    the texts as codes into them) and written once.
-2. Chunks deal their distinct words and their bigrams out by hash; each bucket sums the training
-   counts, sends every chunk the exact counts of its words, and keeps all words and the bigrams
-   met at least ``MIN_BIGRAM`` times with the logarithm of their count.
+2. Chunks deal their distinct words and bigrams out by hash; each bucket sums the training counts
+   and keeps all words and the bigrams met at least ``MIN_BIGRAM`` times with the logarithm of
+   their count.
 3. Each bucket builds its own segment of the filter: an n-gram of level ``q`` is entered with every
-   level from 1 to ``q``.  The segments together are the filter; its size follows the
-   entries up to a fixed largest size, and it is broadcast.
-4. A count is read back by probing levels until one is missing.  The score is a bigram
+   level from 1 to ``q``.  The segments together are the filter.  A segment's size follows its
+   entries without an upper bound, and it stays in its bucket: the n-grams come to it.
+4. A count is read back by probing levels until one is missing.  Each bucket sends every chunk the
+   exact counts of its words and the levels of its words and bigrams.  The score is a bigram
    probability smoothed towards the unigram one (Dirichlet prior, and the share of all bigrams
    that the cut-off took), all counts from the filter.
 """
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 
 from tensio.llm import words as W
 from tensio.llm.batches import map_arrow, map_slices, partitions, staged, text_buffer
-from tensio.operators.partitioning import share
 
 TENTHS = 10
 #: Least count of a bigram that the model keeps (its count cut-off, the same at every size).
@@ -33,14 +33,11 @@ MIN_BIGRAM = 2
 #: Counts are kept as powers of this base.
 BASE = 1.5
 HASHES = 4
-#: Filter bits per entered (n-gram, level), and the bounds of a filter's size in bits.
+#: Least filter bits per entered (n-gram, level), and a segment's least size in bits (its logarithm).
 BITS_PER_ENTRY = 10
 LEAST_LOG = 16
-MOST_LOG = 29
 #: Weight of the unigram prior, in words.
 PRIOR = 20.0
-#: Bigrams that a task gathers before it deals them out.
-GATHER = 4_000_000
 _START = np.uint64(0x53544152545F5F31)
 _END = np.uint64(0x454E445F5F5F5F32)
 _U = np.uint64
@@ -132,53 +129,49 @@ def _sequences(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
     return W.joined(line[:-1], line[1:])[inner], counts + 1
 
 
+def _pairs(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's distinct bigrams, the place of each bigram among them, and their number per text.
+
+    48 bits are enough for what only goes into the filter.
+    """
+    grams, each = _sequences(hashes, counts)
+    distinct, at = np.unique(grams >> _U(16), return_inverse=True)
+    return distinct, at, each
+
+
+_DEALT = "bucket int, chunk long, hashes binary, times binary, pairs binary, pair_times binary"
+
+
 def _dealt(chunks: DataFrame, buckets: int) -> DataFrame:
-    """``(bucket, chunk, hashes, times)``: each chunk's words with their training counts, and (chunk
-    NULL) the tasks' bigrams."""
-    names = ["bucket", "chunk", "hashes", "times"]
-
-    def row(bucket: int, chunk: int | None, hashes: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-        parts = [pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([_sorted_planes(hashes)], pa.binary()), pa.array([_planes(times.astype(np.uint32))], pa.binary())]
-        return pa.RecordBatch.from_arrays(parts, names=names)
-
-    def pairs(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        # 48 bits are enough for what only goes into the filter.
-        hashes, times = np.unique(np.concatenate(held), return_counts=True)
-        edges = np.searchsorted(_buckets(hashes << _U(16), buckets), np.arange(buckets + 1))
-        for b in range(buckets):
-            if edges[b] < edges[b + 1]:
-                yield row(b, None, hashes[edges[b] : edges[b + 1]], times[edges[b] : edges[b + 1]])
+    """Each chunk's words and bigrams (48-bit hashes) of a bucket with their training counts."""
+    names = [f.split()[0] for f in _DEALT.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, waiting = [], 0
         for batch in batches:
             for r in batch.to_pylist():
                 hashes, times = _from_sorted(r["hashes"]), _from_planes(r["times"], np.uint32)
-                edges = np.searchsorted(_buckets(hashes, buckets), np.arange(buckets + 1))
-                for b in range(buckets):
-                    if edges[b] < edges[b + 1]:
-                        yield row(b, r["chunk"], hashes[edges[b] : edges[b + 1]], times[edges[b] : edges[b + 1]])
                 counts = _from_planes(r["counts"], np.uint32).astype(np.int64)
                 learnt = ~np.unpackbits(np.frombuffer(r["held"], np.uint8), count=len(counts)).astype(bool)
-                words = hashes[_from_planes(r["codes"], np.uint32)][np.repeat(learnt, counts)]
-                grams, _ = _sequences(words, counts[learnt])
-                held.append(grams >> _U(16))
-                waiting += len(grams)
-                if waiting >= GATHER:
-                    yield from pairs(held)
-                    held, waiting = [], 0
-        if held:
-            yield from pairs(held)
+                pairs, at, each = _pairs(hashes[_from_planes(r["codes"], np.uint32)], counts)
+                met = np.bincount(at[np.repeat(learnt, each)], minlength=len(pairs)).astype(np.uint32)
+                edges = np.searchsorted(_buckets(hashes, buckets), np.arange(buckets + 1))
+                ends = np.searchsorted(_buckets(pairs << _U(16), buckets), np.arange(buckets + 1))
+                rows = []
+                for b in np.flatnonzero((np.diff(edges) > 0) | (np.diff(ends) > 0)).tolist():
+                    w, g = slice(edges[b], edges[b + 1]), slice(ends[b], ends[b + 1])
+                    rows.append((b, r["chunk"], _sorted_planes(hashes[w]), _planes(times[w]), _sorted_planes(pairs[g]), _planes(met[g])))
+                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return map_arrow(chunks, work, "bucket int, chunk long, hashes binary, times binary")
+    return map_arrow(chunks, work, _DEALT)
 
 
-_SUMMED = "bucket int, chunk long, hashes binary, times binary, total long, kinds long, entries long, kept long"
+_SUMMED = "bucket int, chunk long, times binary, levels binary, pairs binary, total long, kinds long, kept long"
 
 
 def _summed(dealt: DataFrame) -> DataFrame:
-    """Rows with a chunk: the exact corpus counts of its words in this bucket.  Rows without: what
-    the filter segment holds (48-bit hashes and levels) and the bucket's figures."""
+    """Rows with a chunk: the exact corpus counts of its words in this bucket, and what the bucket's
+    segment says of its words and bigrams.  Rows without: the bucket's figures."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_bucket: dict[int, list] = {}
@@ -186,28 +179,31 @@ def _summed(dealt: DataFrame) -> DataFrame:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 by_bucket.setdefault(r[0], []).append(r[1:])
         names = [f.split()[0] for f in _SUMMED.split(", ")]
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 3, *[pa.int64()] * 3]
+
+        def summed(hashes: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            keys, at = np.unique(np.concatenate(hashes), return_inverse=True)
+            return keys, at, np.bincount(at, np.concatenate(times), len(keys)).astype(np.int64)
+
         while by_bucket:
             b, rows = by_bucket.popitem()
-            own = [(c, _from_sorted(h), _from_planes(t, np.uint32)) for c, h, t in rows if c is not None]
-            words, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *[h for _, h, _ in own]]), return_inverse=True)
-            times = np.bincount(at, np.concatenate([np.zeros(0), *[t for _, _, t in own]]), len(words)).astype(np.int64)
-            start = 0
-            for c, h, _ in own:
-                counts = times[at[start : start + len(h)]].astype(np.uint64)
-                start += len(h)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b], pa.int32()), pa.array([c]), pa.array([None], pa.binary()), pa.array([_planes(counts)], pa.binary()), *[pa.array([0])] * 4], names=names
-                )
-            pairs = [(_from_sorted(h), _from_planes(t, np.uint32)) for c, h, t in rows if c is None]
-            grams, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *[h for h, _ in pairs]]), return_inverse=True)
-            met = np.bincount(at, np.concatenate([np.zeros(0), *[t for _, t in pairs]]), len(grams)).astype(np.int64)
+            own, grams_of = [_from_sorted(r[1]) for r in rows], [_from_sorted(r[3]) for r in rows]
+            words, at, times = summed(own, [_from_planes(r[2], np.uint32) for r in rows])
+            grams, gram_at, met = summed(grams_of, [_from_planes(r[4], np.uint32) for r in rows])
             known, often = times > 0, met >= MIN_BIGRAM
             keys = np.concatenate([words[known] >> _U(16), grams[often]])
             levels = np.concatenate([_levels(times[known]), _levels(met[often]) - _FIRST_BIGRAM + 1])
-            order = np.argsort(keys, kind="stable")
-            blobs = [_sorted_planes(keys[order]), _planes(levels[order].astype(np.uint8))]
-            figures = [int(times.sum()), int(known.sum()), int(levels.sum()), int(met[often].sum())]
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([None], pa.int64()), *[pa.array([x], pa.binary()) for x in blobs], *[pa.array([x]) for x in figures]], names=names)
+            log = segment_log(int(levels.sum()))
+            bits = segment(keys, levels, log)
+            word_level = probe(bits, log, 1, words >> _U(16)).astype(np.uint8)
+            gram_level = probe(bits, log, 1, grams).astype(np.uint8)
+            out = [(b, None, None, None, None, int(times.sum()), int(known.sum()), int(met[often].sum()))]
+            start = first = 0
+            for r, h, g in zip(rows, own, grams_of, strict=True):
+                w, p = at[start : start + len(h)], gram_at[first : first + len(g)]
+                start, first = start + len(h), first + len(g)
+                out.append((b, r[0], _planes(times[w].astype(np.uint64)), _planes(word_level[w]), _planes(gram_level[p]), 0, 0, 0))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     return map_arrow(dealt.repartition(partitions(dealt.sparkSession), "bucket"), work, _SUMMED)
 
@@ -220,6 +216,11 @@ def _places(keys: np.ndarray, level: int, log: int) -> Iterator[np.ndarray]:
         yield ((mixed + step * _U(j)) & _U((1 << log) - 1)).astype(np.int64)
 
 
+def segment_log(entries: int) -> int:
+    """The bits of a segment with so many entries, as a power of two."""
+    return max(LEAST_LOG, (max(entries, 1) * BITS_PER_ENTRY - 1).bit_length())
+
+
 def segment(keys: np.ndarray, levels: np.ndarray, log: int) -> np.ndarray:
     """A bucket's part of the filter: every key entered with each level up to its own."""
     bits = np.zeros(1 << log, bool)
@@ -245,24 +246,6 @@ def probe(bits: np.ndarray, log: int, buckets: int, keys: np.ndarray) -> np.ndar
     return out
 
 
-def _filter(summed: DataFrame, entries: int, buckets: int) -> tuple[np.ndarray, int]:
-    """All segments, at most ``2**MOST_LOG`` bits together, and the bits of one as a power of two."""
-    wanted = int(np.ceil(np.log2(max(entries * BITS_PER_ENTRY, 1))))
-    log = max(3, min(max(wanted, LEAST_LOG), MOST_LOG) - int(np.ceil(np.log2(buckets))))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b, h, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                bits = segment(_from_sorted(h), _from_planes(t, np.uint8).astype(np.int64), log)
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["bucket", "bits"])
-
-    bits, step = np.zeros(buckets << (log - 3), np.uint8), 1 << (log - 3)
-    kept = summed.where("chunk IS NULL").select("bucket", "hashes", "times")
-    for b, part in map_arrow(kept, work, "bucket int, bits binary").toLocalIterator(prefetchPartitions=False):
-        bits[b * step : (b + 1) * step] = np.frombuffer(part, np.uint8)
-    return bits, log
-
-
 def with_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``key, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
@@ -279,17 +262,15 @@ def with_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     buckets = 2 * partitions(spark)
     chunks = staged(_coded(source), "chunks")
     summed = staged(_summed(_dealt(chunks, buckets)), "summed")
-    figures = summed.agg(F.sum("total"), F.sum("kinds"), F.sum("entries"), F.sum("kept")).first()
-    words, kinds, entries, kept = (int(x or 0) for x in figures)
+    figures = summed.agg(F.sum("total"), F.sum("kinds"), F.sum("kept")).first()
+    words, kinds, kept = (int(x or 0) for x in figures)
     texts = source.where("NOT held").count()  # each learnt text has one end
     tokens, kinds = words + texts, kinds + (texts > 0)
-    bits, log = _filter(summed, entries, buckets)
-    sent = share(spark, bits)
     mass = tokens + 0.1 * (kinds + 1)
     # The part of all bigrams that the cut-off took goes back to the unigrams.
     cut = 1 - kept / max(tokens, 1)
 
-    def score(row: dict, exact: np.ndarray) -> pa.RecordBatch:
+    def score(row: dict, exact: np.ndarray, levels: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
         counts = _from_planes(row["counts"], np.uint32).astype(np.int64)
         codes = _from_planes(row["codes"], np.uint32).astype(np.int64)
         hashes = _from_sorted(row["hashes"])
@@ -297,12 +278,12 @@ def with_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         doc = np.repeat(np.arange(n), counts)
         known = np.bincount(doc, exact[codes] > 0, n).astype(np.int64) + (texts > 0)
         base = np.bincount(doc, np.log10((exact + 0.1) / mass)[codes], n) + np.log10((texts + 0.1) / mass)
-        met = _MEANS[probe(sent.value, log, buckets, hashes >> _U(16))]
+        met = _MEANS[levels]
         # Before and after each word: the start and the end are met once in every learnt text.
         after = np.insert(met[codes], first + counts, float(texts))
         before = np.insert(met[codes], first, float(texts))
-        grams, each = _sequences(hashes[codes], counts)
-        pair = probe(sent.value, log, buckets, grams >> _U(16))
+        _, at, each = _pairs(hashes[codes], counts)
+        pair = pairs[at].astype(np.int64)
         pair = np.minimum(_MEANS[np.where(pair > 0, pair + _FIRST_BIGRAM - 1, 0)], np.minimum(before, after))
         p = (pair + (PRIOR + cut * before) * (after + 0.1) / mass) / (before + PRIOR)
         total = np.bincount(np.repeat(np.arange(n), each), np.log10(np.minimum(p, 1.0)), n)
@@ -314,20 +295,25 @@ def with_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The rows of a chunk follow each other: the chunk first, then its counts bucket by bucket.
         row, parts = None, []
+
+        def done() -> pa.RecordBatch:
+            exact, levels, pairs = (np.concatenate(p) for p in zip(*parts, strict=True))
+            return score(row, exact.astype(np.float64), levels, pairs)
+
         for batch in batches:
             for r in batch.to_pylist():
                 if r["bucket"] < 0:
                     if row is not None:
-                        yield score(row, np.concatenate([np.zeros(0), *parts]))
+                        yield done()
                     row, parts = r, []
                 else:
-                    parts.append(_from_planes(r["times"], np.uint64).astype(np.float64))
+                    parts.append((_from_planes(r["times"], np.uint64), _from_planes(r["levels"], np.uint8), _from_planes(r["pairs"], np.uint8)))
         if row is not None:
-            yield score(row, np.concatenate([np.zeros(0), *parts]))
+            yield done()
 
     empty = F.lit(None).cast("binary")
-    coded = chunks.select("chunk", F.lit(-1).alias("bucket"), "keys", "held", "counts", "codes", "hashes", empty.alias("times"))
-    exact = summed.where("chunk IS NOT NULL").select("chunk", "bucket", *[empty.alias(c) for c in ("keys", "held", "counts", "codes", "hashes")], "times")
+    coded = chunks.select("chunk", F.lit(-1).alias("bucket"), "keys", "held", "counts", "codes", "hashes", *[empty.alias(c) for c in ("times", "levels", "pairs")])
+    exact = summed.where("chunk IS NOT NULL").select("chunk", "bucket", *[empty.alias(c) for c in ("keys", "held", "counts", "codes", "hashes")], "times", "levels", "pairs")
     both = coded.unionByName(exact).repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "bucket")
     fields = f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return map_arrow(both, work, fields).withColumnRenamed("key", key)

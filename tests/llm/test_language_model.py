@@ -79,3 +79,9 @@ def test_level_means():
     counts = np.arange(1, 3000)
     mean = L._MEANS[L._levels(counts)]
     assert mean[:3].tolist() == [1, 2, 3] and (np.abs(mean - counts) <= 0.26 * counts).all()
+
+
+def test_filter_follows_the_table(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_LOG", 15, raising=False)  # a total size that this table passes
+    check(L.with_scores(spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")).collect(), documents(spark, SF001).items(), 0.12)
+    assert all(1 << L.segment_log(n) >= L.BITS_PER_ENTRY * n for n in (0, 1, 10**6, 10**9, 10**11))
