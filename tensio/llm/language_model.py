@@ -3,15 +3,13 @@
 1. Texts are coded chunk by chunk (a chunk is one slice of texts: its distinct word hashes and
    the texts as codes into them) and written once.
 2. Chunks deal their distinct words and bigrams out by hash; each bucket sums the training counts
-   and keeps all words and the bigrams met at least ``MIN_BIGRAM`` times with the logarithm of
-   their count.
+   and keeps all words and bigrams met in training with the logarithm of their count.
 3. Each bucket builds its own segment of the filter: an n-gram of level ``q`` is entered with every
    level from 1 to ``q``.  The segments together are the filter.  A segment's size follows its
    entries without an upper bound, and it stays in its bucket: the n-grams come to it.
 4. A count is read back by probing levels until one is missing.  Each bucket sends every chunk the
    exact counts of its words and the levels of its words and bigrams.  The score is a bigram
-   probability smoothed towards the unigram one (Dirichlet prior, and the share of all bigrams
-   that the cut-off took), all counts from the filter.
+   probability smoothed towards the unigram one (Dirichlet prior), all counts from the filter.
 """
 
 from __future__ import annotations
@@ -28,8 +26,8 @@ from tensio.llm import words as W
 from tensio.llm.batches import map_arrow, map_slices, partitions, staged, text_buffer
 
 TENTHS = 10
-#: Least count of a bigram that the model keeps (its count cut-off, the same at every size).
-MIN_BIGRAM = 2
+#: Least count of a bigram that the model keeps: every bigram that training has met.
+MIN_BIGRAM = 1
 #: Counts are kept as powers of this base.
 BASE = 1.5
 HASHES = 4
@@ -59,9 +57,6 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(BASE) + 1e-9).astype(np.int64)
 
 
-_FIRST_BIGRAM = int(_levels(np.array([MIN_BIGRAM]))[0])
-
-
 def _buckets(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
 
@@ -166,7 +161,7 @@ def _dealt(chunks: DataFrame, buckets: int) -> DataFrame:
     return map_arrow(chunks, work, _DEALT)
 
 
-_SUMMED = "bucket int, chunk long, times binary, levels binary, pairs binary, total long, kinds long, kept long"
+_SUMMED = "bucket int, chunk long, times binary, levels binary, pairs binary, total long, kinds long"
 
 
 def _summed(dealt: DataFrame) -> DataFrame:
@@ -179,7 +174,7 @@ def _summed(dealt: DataFrame) -> DataFrame:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 by_bucket.setdefault(r[0], []).append(r[1:])
         names = [f.split()[0] for f in _SUMMED.split(", ")]
-        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 3, *[pa.int64()] * 3]
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 3, *[pa.int64()] * 2]
 
         def summed(hashes: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             keys, at = np.unique(np.concatenate(hashes), return_inverse=True)
@@ -192,17 +187,17 @@ def _summed(dealt: DataFrame) -> DataFrame:
             grams, gram_at, met = summed(grams_of, [_from_planes(r[4], np.uint32) for r in rows])
             known, often = times > 0, met >= MIN_BIGRAM
             keys = np.concatenate([words[known] >> _U(16), grams[often]])
-            levels = np.concatenate([_levels(times[known]), _levels(met[often]) - _FIRST_BIGRAM + 1])
+            levels = np.concatenate([_levels(times[known]), _levels(met[often])])
             log = segment_log(int(levels.sum()))
             bits = segment(keys, levels, log)
             word_level = probe(bits, log, 1, words >> _U(16)).astype(np.uint8)
             gram_level = probe(bits, log, 1, grams).astype(np.uint8)
-            out = [(b, None, None, None, None, int(times.sum()), int(known.sum()), int(met[often].sum()))]
+            out = [(b, None, None, None, None, int(times.sum()), int(known.sum()))]
             start = first = 0
             for r, h, g in zip(rows, own, grams_of, strict=True):
                 w, p = at[start : start + len(h)], gram_at[first : first + len(g)]
                 start, first = start + len(h), first + len(g)
-                out.append((b, r[0], _planes(times[w].astype(np.uint64)), _planes(word_level[w]), _planes(gram_level[p]), 0, 0, 0))
+                out.append((b, r[0], _planes(times[w].astype(np.uint64)), _planes(word_level[w]), _planes(gram_level[p]), 0, 0))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     return map_arrow(dealt.repartition(partitions(dealt.sparkSession), "bucket"), work, _SUMMED)
@@ -262,13 +257,11 @@ def with_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     buckets = 2 * partitions(spark)
     chunks = staged(_coded(source), "chunks")
     summed = staged(_summed(_dealt(chunks, buckets)), "summed")
-    figures = summed.agg(F.sum("total"), F.sum("kinds"), F.sum("kept")).first()
-    words, kinds, kept = (int(x or 0) for x in figures)
+    figures = summed.agg(F.sum("total"), F.sum("kinds")).first()
+    words, kinds = (int(x or 0) for x in figures)
     texts = source.where("NOT held").count()  # each learnt text has one end
     tokens, kinds = words + texts, kinds + (texts > 0)
     mass = tokens + 0.1 * (kinds + 1)
-    # The part of all bigrams that the cut-off took goes back to the unigrams.
-    cut = 1 - kept / max(tokens, 1)
 
     def score(row: dict, exact: np.ndarray, levels: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
         counts = _from_planes(row["counts"], np.uint32).astype(np.int64)
@@ -283,9 +276,8 @@ def with_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         after = np.insert(met[codes], first + counts, float(texts))
         before = np.insert(met[codes], first, float(texts))
         _, at, each = _pairs(hashes[codes], counts)
-        pair = pairs[at].astype(np.int64)
-        pair = np.minimum(_MEANS[np.where(pair > 0, pair + _FIRST_BIGRAM - 1, 0)], np.minimum(before, after))
-        p = (pair + (PRIOR + cut * before) * (after + 0.1) / mass) / (before + PRIOR)
+        pair = np.minimum(_MEANS[pairs[at]], np.minimum(before, after))
+        p = (pair + PRIOR * (after + 0.1) / mass) / (before + PRIOR)
         total = np.bincount(np.repeat(np.arange(n), each), np.log10(np.minimum(p, 1.0)), n)
         keys = pa.ipc.open_stream(row["keys"]).read_all().column("key").combine_chunks()
         flags = np.unpackbits(np.frombuffer(row["held"], np.uint8), count=n).astype(bool)

@@ -85,3 +85,20 @@ def test_filter_follows_the_table(spark, monkeypatch):
     monkeypatch.setattr(L, "MOST_LOG", 15, raising=False)  # a total size that this table passes
     check(L.with_scores(spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")).collect(), documents(spark, SF001).items(), 0.12)
     assert all(1 << L.segment_log(n) >= L.BITS_PER_ENTRY * n for n in (0, 1, 10**6, 10**9, 10**11))
+
+
+def test_bigrams_met_once_count(spark):
+    """Against exact counts of all bigrams, on texts whose bigrams training has met once."""
+    texts = [(i, " ".join(f"w{(i * 37 + k * (i + 1)) % 97}" for k in range(40))) for i in range(1, 61)]
+    learnt = [t.split() for i, t in texts if zlib.crc32(str(i).encode()) % 10]
+    count, pairs = Counter(), Counter()
+    for w in learnt:
+        count.update([*w, "</s>"])
+        pairs.update(zip(["<s>", *w], [*w, "</s>"], strict=True))
+    mass = sum(count.values()) + 0.1 * (len(count) + 1)
+    assert sum(n == 1 for n in pairs.values()) > 0.5 * len(pairs)
+    for r in L.with_scores(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        w = dict(texts)[r.doc_id].split()
+        met = {**count, "<s>": len(learnt)}
+        want = sum(math.log10((pairs[a, b] + L.PRIOR * (count[b] + 0.1) / mass) / (met[a] + L.PRIOR)) for a, b in zip(["<s>", *w], [*w, "</s>"], strict=True))
+        assert abs(r.score - want) <= 0.05 * r.n_tokens
