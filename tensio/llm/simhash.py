@@ -179,6 +179,13 @@ def links(distinct: DataFrame, most: int = MAX_BITS) -> DataFrame:
     return map_arrow(groups.select("choice", "block", "fp"), run, "a long, b long")
 
 
+def _rooted(found: DataFrame, most: int) -> DataFrame:
+    """``(fp, low, root)``: each fingerprint's smallest key and its component, from ``(key, fp)``."""
+    distinct = staged(found.groupBy("fp").agg(F.min("key").alias("low")), "distinct")
+    roots = connected_components(links(distinct.select("fp"), most))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE_WORDS, most: int = MAX_BITS) -> DataFrame:
     """Per row: ``key``, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest
     key that is reachable over links, the row's own included.
@@ -188,9 +195,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     is never a smallest key unless it is alone.
     """
     found = staged(with_fingerprint(df, key, text, size), "fingerprints")
-    distinct = staged(found.groupBy("fp").agg(F.min("key").alias("low")), "distinct")
-    roots = connected_components(links(distinct.select("fp"), most))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(found, most)
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id")
     out = found.join(named, "fp")
@@ -198,14 +203,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
 
 
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE_WORDS, most: int = MAX_BITS) -> DataFrame:
-    """The rows of ``df`` that stay: of each component the row with the smallest key.
+    """The rows of ``df`` that stay: of each component one row, that with the smallest key.
 
-    Rows that share that key are repeats: the first of them by text stays.  All columns are
-    kept.  Rows with a NULL key are their own component's last choice.
+    Of rows that share that key in one component the first by a hash of the text stays, and of
+    rows that share both key and text one.  A row goes only if another row of its own component
+    stays, whatever other rows have its key.  All columns are kept.  Rows with a NULL key are
+    their component's last choice.
     """
-    groups = near_duplicates(df, key, text, size, most)
-    chosen = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).select(key).distinct()
-    kept = df.join(chosen.withColumnRenamed(key, "__chosen"), F.col(f"`{key}`").eqNullSafe(F.col("__chosen")), "left_semi")
-    rest = [c for c in df.columns if c != key]
-    first = kept.groupBy(F.col(f"`{key}`")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(F.col(f"`{text}`"))).alias("__row"))
-    return first.select(*[F.col(f"`{c}`") if c == key else F.col(f"__row.`{c}`") for c in df.columns])
+    own, code = F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`").cast("string"))
+    row = F.struct(own.isNull().alias("none"), own.alias("key"), code.alias("code"))
+    found = with_fingerprint(df.select(row.alias("row"), F.col(f"`{text}`").alias("text")), "row", "text", size)
+    rooted = _rooted(found, most)
+    chosen = rooted.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.key").alias("__chosen"), F.col("low.code").alias("__code"))
+    kept = df.join(chosen, own.eqNullSafe(F.col("__chosen")) & (code == F.col("__code")), "left_semi")
+    first = kept.groupBy(own.alias("__key"), code.alias("__code")).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("__row"))
+    return first.select(*[F.col(f"__row.`{c}`") for c in df.columns])

@@ -94,3 +94,12 @@ def test_representatives(spark):
     assert sorted(r.doc_id or 0 for r in rows) == [0, 1, 4, 5, 6, 7, 9]
     assert rows[0].asDict().keys() == edge_rows(spark).first().asDict().keys()
     assert simhash.representatives(no_rows(spark)).collect() == []
+
+
+def test_a_row_goes_only_for_another_of_its_component(spark):
+    text = lambda name: " ".join(f"{name}{k}" for k in range(40))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, text("c"))]  # NULL ids, three texts
+    rows += [(1, text("d")), (2, text("d")), (2, text("e")), (3, text("f")), (3, text("g")), (None, text("g"))]
+    got = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(None, text("a")), (None, text("b")), (None, text("c")), (1, text("d")), (2, text("e")), (3, text("f")), (3, text("g"))]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
