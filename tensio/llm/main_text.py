@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensio.llm import labeller
-from tensio.llm.batches import bounded_sample, with_results
+from tensio.llm.batches import with_results
 from tensio.llm.html_blocks import Block, blocks
 from tensio.operators.partitioning import share
 
-#: Pages that the fit takes at most (the first by a hash of their html), and their largest size.
+#: Distinct pages that the fit takes at most (the first by a hash of their html), and their largest
+#: size where there are shorter ones.
 MAX_FIT_PAGES = 200
 MAX_FIT_BYTES = 60_000
 VARIANTS = 5
@@ -109,11 +110,11 @@ def _variant(page: list[Block], labels: list[int], spare: list[str], rng: random
 
 
 def fit(pages: list[str], seed: int = 11) -> dict[str, np.ndarray]:
-    """Train the labeller on these pages and their variants (no page: untrained parameters)."""
+    """Train the labeller on these pages and their variants; one at least has a text block."""
     rng = random.Random(seed)
     read = [b for b in map(blocks, pages) if b]
     if not read:
-        return labeller.blank()
+        raise ValueError("no page to learn from has a text block")
     told = [teach(b) for b in read]
     spare = [b.text for page in read for b in page]
     spare += [t for t in spare if len(t) > 100] * 2  # long blocks too are found outside the main text
@@ -127,10 +128,37 @@ def fit(pages: list[str], seed: int = 11) -> dict[str, np.ndarray]:
 
 
 def train(pages: DataFrame, html: str = "html", most: int = MAX_FIT_PAGES) -> dict[str, np.ndarray]:
-    """Fit on at most ``most`` pages of at most ``MAX_FIT_BYTES`` bytes, the same ones on every run."""
+    """Fit on at most ``most`` distinct pages, the same ones on every run.
+
+    These are pages of at most ``MAX_FIT_BYTES`` bytes.  If none of them has a text block, the
+    shortest pages that have one are taken (together as long as ``most`` pages at most, but one
+    at least).  Only if no page of the table has a text block are the parameters untrained.
+    """
     column = F.col(f"`{html}`")
-    fitting = pages.where(F.octet_length(column).between(1, MAX_FIT_BYTES)).select(column.alias("html"))
-    return fit([r.html for r in bounded_sample(fitting, most, "html").collect()])
+    told = pages.select(column.alias("html"), F.xxhash64(column).alias("code"), F.octet_length(column).alias("bytes")).where("bytes > 0")
+
+    def read(codes: list[int]) -> list[str]:
+        copies = told.where(F.col("code").isin(codes)).groupBy("code").agg(F.first("html").alias("html"))
+        found = {r.code: r.html for r in copies.collect()} if codes else {}
+        return [found[c] for c in codes]
+
+    # Copies of a page share its hash: they are one page before anything is counted or cut.
+    small = told.where(F.col("bytes") <= MAX_FIT_BYTES).select("code").distinct()
+    sample = read([r.code for r in small.orderBy(F.pmod("code", F.lit(1 << 40)), "code").limit(most).collect()])
+    if any(blocks(p) for p in sample):
+        return fit(sample)
+
+    def start():
+        return lambda texts: [pa.array([len(blocks(t or "")) for t in texts.to_pylist()], pa.int64())]
+
+    shown = with_results(told, "html", ["code", "bytes"], "n_blocks long", start).where("n_blocks > 0").select("bytes", "code").distinct()
+    codes, total = [], 0
+    for r in shown.orderBy("bytes", "code").limit(most).collect():
+        total += r.bytes
+        if codes and total > most * MAX_FIT_BYTES:
+            break
+        codes.append(r.code)
+    return fit(read(codes)) if codes else labeller.blank()
 
 
 def extract(page_blocks: list[list[Block]], model: dict[str, np.ndarray], cache: dict) -> list[str]:

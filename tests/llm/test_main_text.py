@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from conftest import SF001, SF01
 
 from tensio.llm import labeller, main_text, queries
@@ -80,3 +81,24 @@ def test_edges(spark):
     got = main_text.with_main_text(df, model).collect()
     assert len(got) == 5 and [r.text for r in got if r.page_id in (1, 2)] == ["", ""] and got[0]["c0.a"] == "x"
     assert main_text.with_main_text(df.where("false"), main_text.train(df.where("false"))).collect() == []
+
+
+def test_fit_takes_distinct_pages_and_always_learns(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(main_text, "fit", lambda pages: fitted.append(sorted(pages)) or labeller.blank())
+    page = "<article><p>page {} of some words</p></article>".format
+    train = lambda rows, most: main_text.train(spark.createDataFrame([(r,) for r in rows], "html string").repartition(3), most=most)
+    train([page(i) for i in range(3) for _ in range(300)], 20)  # copies
+    assert fitted.pop() == [page(i) for i in range(3)]
+    stubs = [f"<p id=stub{i}></p>" for i in range(300)]
+    train([*stubs, *[page(i) + " " * main_text.MAX_FIT_BYTES for i in range(3)], None, ""], 20)  # no small page has text
+    assert [p.strip() for p in fitted.pop()] == [page(i) for i in range(3)]
+    train([page("x" * main_text.MAX_FIT_BYTES * 2), page("y" * main_text.MAX_FIT_BYTES * 3)], 1)  # long pages only
+    assert [len(p) // main_text.MAX_FIT_BYTES for p in fitted.pop()] == [2]
+    train(stubs, 20)
+    assert not fitted  # no block, nothing to label
+
+
+def test_no_untrained_fit():
+    with pytest.raises(ValueError):
+        main_text.fit(["<p></p>"])
