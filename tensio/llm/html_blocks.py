@@ -9,10 +9,14 @@ import html
 import re
 from dataclasses import dataclass
 
-#: Fixed values of the language: elements whose content is never page text, elements that
-#: stay inside a block, and elements without content.
-_HIDDEN = "script|style|template|noscript|iframe|svg|math|canvas|object|head|title|select|textarea"
-_INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Fixed values of the language: elements whose content is never page text (those of the first kind
+#: hold no elements and run to their end tag or the end of the page; those of the second are
+#: left out only if they have their own end tag), elements that stay inside a block, and
+#: elements without content.
+_RAW = "script|style|title|textarea"
+_CLOSED = "template|noscript|iframe|svg|canvas|object|select"
+_MATH = "annotation annotation-xml maction math menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics"
+_INLINE = frozenset(_MATH.split()) | frozenset("a abbr b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: A start tag of the first kind ends an open element of the second.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -21,7 +25,8 @@ _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset
 _TOKEN = re.compile(
     rf"(?P<text>[^<]+)"
     rf"|<!--.*?(?:-->|\Z)"
-    rf"|<(?P<hidden>{_HIDDEN})(?=[\s/>])[^>]*>.*?(?:</(?P=hidden)\s*>|\Z)"
+    rf"|<(?P<raw>{_RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
+    rf"|<(?P<closed>{_CLOSED})(?=[\s/>])(?:(?P<inside>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*)|[^>]*)>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|<[a-zA-Z][^>]*\Z"
@@ -31,6 +36,7 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _PARTS = re.compile(r"[a-z]+")
+_EDGES = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])", re.IGNORECASE) for tag in _CLOSED.split("|")}
 
 
 @dataclass
@@ -49,6 +55,18 @@ def _words_of(attributes: str) -> tuple[str, ...]:
     return tuple(p for v in values for p in _PARTS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower()))
 
 
+def _own_ends(page: str, tag: str) -> dict[int, int]:
+    """Where each start tag of this name that has an end tag of its own finds it."""
+    out: dict[int, int] = {}
+    waiting: list[int] = []
+    for m in _EDGES[tag].finditer(page):
+        if not m[1]:
+            waiting.append(m.start())
+        elif waiting:
+            out[waiting.pop()] = m.start()
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order: references decoded, white space made one space, trimmed."""
     out: list[Block] = []
@@ -65,7 +83,19 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         links = 0
 
-    for m in _TOKEN.finditer(page):
+    own_ends: dict[str, dict[int, int]] = {}
+    at = 0
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        begin, at = at, m.end()
+        if m["closed"]:
+            tag = m["closed"].lower()
+            if tag == "svg" and (m["inside"] or "").endswith("/"):
+                continue
+            if tag not in own_ends:
+                own_ends[tag] = _own_ends(page, tag)
+            at = max(at, own_ends[tag].get(begin, at))  # its end tag is the next token and ends nothing
+            continue
         text = m["text"] or m["stray"]
         if text:
             if "&" in text:
@@ -78,6 +108,11 @@ def blocks(page: str) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
+        # The hidden elements of a head hide themselves, and its end tag may be missing.
+        if tag == "head" or tag in _EDGES:
+            if tag == "head":
+                flush()
+            continue
         if m["end"]:
             if tag == "a":
                 linked = 0

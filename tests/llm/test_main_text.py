@@ -102,3 +102,18 @@ def test_fit_takes_distinct_pages_and_always_learns(spark, monkeypatch):
 def test_no_untrained_fit():
     with pytest.raises(ValueError):
         main_text.fit(["<p></p>"])
+
+
+def test_hidden_elements_end_where_they_end():
+    page = "<html><head><title>t</title><meta charset=x><script>var b = '<p>no</p>'</script>{}<body><article><p>in</p></article></body></html>"
+    for end in ("", "</head>"):
+        assert texts(page.format(end)) == ["in"] and blocks(page.format(end))[0].path == (("html",), ("body",), ("article",), ("p",))
+    assert texts("<head><title>t</title><article><p>in</p></article>") == ["in"]
+    assert texts("<p>a<svg viewBox='0 > 1'/>b</p><p>c</p><svg><text>no</text></svg><p>d") == ["ab", "c", "d"]
+    for tag in ("svg", "noscript", "iframe", "canvas", "object", "select", "template"):
+        assert texts(f"<p>a</p><{tag} id=x><p>b</p><{tag}>no</{tag}><p>c") == ["a", "b", "c"]
+        assert texts(f"<p>a<{tag}>no<{tag}>no</{tag}>no</{tag} >b</p></{tag}>c") == ["ab", "c"]
+    assert texts("<p>if <math><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow></math> then</p>") == ["if x=1 then"]
+    assert texts("a<math/>b") == ["ab"]
+    for tag in ("script", "style", "title", "textarea"):
+        assert texts(f"a<{tag}>no<p>no") == ["a"]
