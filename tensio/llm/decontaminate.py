@@ -1,7 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of the passages.
 
 Words are runs of ASCII letters and digits and of characters beyond ASCII, Latin-1 lower-cased.
-Benchmark items are cut into passages of at most ``PASSAGE`` words.  A passage's seeds are
+Benchmark items are cut into passages of at most ``PASSAGE`` words that overlap, so that a copy of
+the least share of a passage lies whole in one wherever it begins.  A passage's seeds are
 its 3-word n-grams that are rare: going by how often their words occur in the corpus, they would
 hardly meet by chance (how often the n-gram itself occurs does not matter, so an item that has
 leaked into thousands of texts keeps its seeds).  Wherever a text has a seed, the words
@@ -28,6 +29,8 @@ RARE = 1e-8
 #: Seeds that every passage keeps, its rarest ones, even if none is rare.
 LEAST_SEEDS = 4
 PASSAGE = 96
+#: Passages of a longer item begin this often in the length of one.
+SHIFTS = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least alignment score, as a share of a verbatim copy's.
 LEAST_SCORE = 0.6
@@ -54,11 +57,15 @@ class Passages:
     def cut(cls, texts: pa.Array) -> Passages:
         w = W.split(*text_buffer(texts), lower=True, letters=True)
         n = w.counts
-        parts = np.maximum(-(-n // PASSAGE), (n > 0).astype(np.int64))
-        item = np.repeat(np.arange(len(n)), parts)
-        k = np.arange(len(item)) - np.repeat(np.cumsum(parts) - parts, parts)
-        begin = w.first[:-1][item] + k * n[item] // np.maximum(parts[item], 1)
-        return cls(w.hashes(), np.append(begin, len(w.starts)), item)
+        parts = -(-n // PASSAGE)
+        cuts = np.where(parts > 1, SHIFTS * (parts - 1) + 1, parts)
+        item = np.repeat(np.arange(len(n)), cuts)
+        k = np.arange(len(item)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        width = np.where(parts[item] > 1, SHIFTS, 1)
+        begin, end = (x * n[item] // (width * parts[item]) for x in (k, k + width))
+        first = np.append(0, np.cumsum(end - begin))
+        index = np.repeat(w.first[:-1][item] + begin - first[:-1], end - begin) + np.arange(first[-1])
+        return cls(w.hashes()[index], first, item)
 
     def seeds(self, vocabulary: np.ndarray, share_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, passage and place of each seed, ordered by hash."""
@@ -189,7 +196,9 @@ def _blocks(documents: DataFrame, benchmark: DataFrame, item_key: str, item_text
     ``documents`` has the column ``__text``.
     """
     items = benchmark.select(F.col(f"`{item_key}`").alias("item"), F.coalesce(F.col(f"`{item_text}`").cast("string"), F.lit("")).alias("words"))
-    size = items.agg(F.sum(F.octet_length("words") + 16)).first()[0] or 0
+    # The words of an item of several passages are sent up to SHIFTS times; it has over 2 * PASSAGE bytes.
+    bytes_sent = F.octet_length("words") * F.when(F.octet_length("words") > 2 * PASSAGE, SHIFTS).otherwise(1)
+    size = items.agg(F.sum(bytes_sent + 16)).first()[0] or 0
     blocks = max(1, -(-int(size) // BLOCK_BYTES))
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block)

@@ -89,3 +89,23 @@ def test_edges(spark):
     for nothing in (benchmark.where("false"), benchmark.where("text = ''")):
         assert decontaminate.find_leaks(docs, nothing).collect() == []
         assert decontaminate.without_leaks(docs, nothing).count() == 12
+
+
+def test_copies_across_the_cuts_of_long_items(spark):
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in (96, 97, 192, 300)}
+    around = [f"other{k}" for k in range(50)]
+    docs, want = [], set()
+    for n, words in items.items():
+        parts = -(-n // decontaminate.PASSAGE)
+        least = int(0.6 * -(-n // parts)) + 2
+        for begin in range(0, n - least + 1, 3):
+            docs.append((len(docs), " ".join([*around, *words[begin : begin + least], *around])))
+            want.add((len(docs) - 1, n))
+    docs.append((len(docs), " ".join([*around, *items[192][38:152], *around])))
+    want.add((len(docs) - 1, 192))
+    docs += [(len(docs) + i, " ".join(around)) for i in range(3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    rows = decontaminate.find_leaks(df, benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == len(want)
+    assert decontaminate.without_leaks(df, benchmark).count() == 3
