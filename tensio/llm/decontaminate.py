@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tensio.llm import words as W
@@ -190,18 +190,23 @@ def _scores(h: np.ndarray, passages: Passages, passage: np.ndarray, begin: np.nd
     return out, stop
 
 
-def _blocks(documents: DataFrame, benchmark: DataFrame, item_key: str, item_text: str) -> Iterator[tuple]:
-    """For each block of the benchmark: passages, seeds and item ids, ready to be sent to tasks.
+def _words_of(item_text: str) -> Column:
+    return F.coalesce(F.col(f"`{item_text}`").cast("string"), F.lit(""))
+
+
+def _blocks(documents: DataFrame, benchmark: DataFrame, item_text: str) -> Iterator[tuple]:
+    """For each block of the benchmark: passages, seeds and the hashes of the item texts, ready to be
+    sent to tasks.  Each distinct item text is sent once, however many items have it.
 
     ``documents`` has the column ``__text``.
     """
-    items = benchmark.select(F.col(f"`{item_key}`").alias("item"), F.coalesce(F.col(f"`{item_text}`").cast("string"), F.lit("")).alias("words"))
+    items = benchmark.select(_words_of(item_text).alias("words")).distinct().withColumn("item", F.xxhash64("words"))
     # The words of an item of several passages are sent up to SHIFTS times; it has over 2 * PASSAGE bytes.
     bytes_sent = F.octet_length("words") * F.when(F.octet_length("words") > 2 * PASSAGE, SHIFTS).otherwise(1)
     size = items.agg(F.sum(bytes_sent + 16)).first()[0] or 0
     blocks = max(1, -(-int(size) // BLOCK_BYTES))
     for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block)
+        part = items if blocks == 1 else items.where(F.pmod("item", F.lit(blocks)) == block)
         table = part.toArrow().combine_chunks()  # about BLOCK_BYTES
         if not table.num_rows:
             continue
@@ -242,22 +247,23 @@ def find_leaks(
     """
     spark = documents.sparkSession
     source = documents.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"), F.col(f"`{key}`").alias("key"))
-    fields = f"key {source.schema['key'].dataType.simpleString()}, item {benchmark.schema[item_key].dataType.simpleString()}, score double, end_word long"
+    fields = f"key {source.schema['key'].dataType.simpleString()}, code long, score double, end_word long"
     out = None
-    for block in _blocks(source, benchmark, item_key, item_text):
+    for block in _blocks(source, benchmark, item_text):
         sent = share(spark, block)
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 doc, item, score, stop = _matches(batch.column(0), sent.value, least)
                 columns = [batch.column(1).take(pa.array(doc)), sent.value[4].take(pa.array(item)), pa.array(score), pa.array(stop)]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "item", "score", "end_word"])
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "code", "score", "end_word"])
 
         found = map_slices(source, "__text", fields, work)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], fields)
-    return out.select(F.col("key").alias(key), F.col("item").alias(item_key), "score", "end_word")
+    items = benchmark.select(F.xxhash64(_words_of(item_text)).alias("code"), F.col(f"`{item_key}`").alias("item"))
+    return out.join(items, "code").select(F.col("key").alias(key), F.col("item").alias(item_key), "score", "end_word")
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
@@ -269,7 +275,7 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     spark, columns = documents.sparkSession, documents.columns
     out = documents.select(F.col(f"`{text}`").cast("string").alias("__text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns) if c != text])
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema.fields)
-    for block in _blocks(out, benchmark, item_key, item_text):
+    for block in _blocks(out, benchmark, item_text):
         sent = share(spark, block)
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

@@ -109,3 +109,15 @@ def test_copies_across_the_cuts_of_long_items(spark):
     rows = decontaminate.find_leaks(df, benchmark).collect()
     assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == len(want)
     assert decontaminate.without_leaks(df, benchmark).count() == 3
+
+
+def test_repeated_items_are_sent_once(spark, monkeypatch):
+    words = " ".join(f"w{k}" for k in range(30))
+    benchmark = spark.createDataFrame([*[(i, words) for i in range(200)], (None, words), (500, "another " + words)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"before {words} after"), (2, "nothing of it")], "doc_id long, text string")
+    sent, cut = [], decontaminate.Passages.cut
+    monkeypatch.setattr(decontaminate.Passages, "cut", lambda texts: sent.append(len(texts)) or cut(texts))
+    rows = decontaminate.find_leaks(docs, benchmark).collect()
+    assert sent == [2]
+    assert sorted((r.doc_id, -1 if r.item_id is None else r.item_id) for r in rows) == [(1, i) for i in [-1, *range(200), 500]]
+    assert [r.doc_id for r in decontaminate.without_leaks(docs, benchmark).collect()] == [2]
