@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensio.llm import decontaminate, language_model, main_text, packing, piece_counts, quality, records, repetition, simhash, substrings
+from tensio.llm import decontaminate, language_model, licenses, main_text, packing, piece_counts, quality, records, repetition, simhash, sql, substrings
 from tensio.llm.batches import stage_path
 from tensio.sources.tables import read_table
 
@@ -71,6 +71,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.with_verdict(repetition.with_repetition(docs))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.with_digest(licenses.with_licenses(docs, keep=["doc_id"]))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -82,7 +87,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
+    "op11_license_scan": op11_license_scan,
 }
 
 #: SQL of the same rows, where DuckDB can state them; the others are tested by brute force.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op11_license_scan": sql.license_scan(),
+}
