@@ -16,11 +16,11 @@ from tensio.llm.license_rules import Rule, all_rules, spaced
 
 #: Every gate holds one of these; a text with none of them has no match (tested).
 ROOTS = [
-    "licen", "lizen", "gpl", "gfdl", "public", "copyright", "warrant", "permission", "reserved", "vorbehalten", "droits", "derechos", "reproduced", "distribut", "apache", " bsd ",
-    "spdx", " cc ", " cc0 ", "creative", "commons", "unencumbered", "proprietary", " mit ", " mpl ", " cddl ", " eupl ", " ms pl ", " ofl ", " odbl ", "wtfpl", "beer",
-    "polyform", "cecill", "openrail", "ouverte", "gemeinfrei", "domaine", "dominio", "openssl", "eric young", "perl itself", "promote", "advertising", "autoconf", "linking this",
-    "exception", "dedicated", "plainly marked", "provided as is", "in the software", "with the software", "commercial", "contained in this", "unicode", "the fuck", "shall be used for",
-    " bajo ", "copying", "without restriction", "written agreement", "open data",
+    "licen", "lizen", "gpl", "gfdl", "public", "copyright", "warrant", "permission", "reserved", "vorbehalten", " droits ", "derechos", "reproduced", "distribut", "apache", " bsd ",
+    "spdx", " cc ", " cc0 ", "creative", "commons", "unencumbered", "proprietary", " under mit ", " mit no ", " mpl ", " cddl ", " eupl ", " ms pl ", " ofl ", " odbl ", "wtfpl",
+    "beerware", " a beer ", "polyform", "cecill", "openrail", " ouverte ", "gemeinfrei", " domaine ", " dominio ", "openssl", " eric young ", " perl itself ", " promote ",
+    "advertising", "autoconf", " linking this ", "exception", "dedicated", " plainly marked ", " provided as is ", " in the software ", " with the software ", "commercial",
+    " contained in this ", "unicode", " the fuck ", " shall be used for ", " bajo ", "copying", " without restriction ", " written agreement ", " open data ",
 ]
 
 #: The phrases whose places are counted: their rules' labels.
@@ -41,10 +41,21 @@ def _words(s: Column) -> Column:
     return ((F.octet_length(s) - F.octet_length(F.replace(s, F.lit(" "), F.lit("")))) / 2).cast("long")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body uses it.
+
+    A plain column would be copied into every place, inside loops over arrays too.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Steps of a running sum: the powers of two below the number of values.
+_POWERS = [1 << k for k in range(31)]
+
+
 def _running(values: Column, step) -> Column:
     """``step`` over all values up to each one (a sum, a maximum), in log2(n) passes."""
-    powers = F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.pow(F.lit(2.0), k).cast("int"))
-    doublings = F.filter(powers, lambda p: p < F.size(values))
+    doublings = F.filter(F.array(*[F.lit(p) for p in _POWERS]), lambda p: p < F.size(values))
     return F.aggregate(doublings, values, lambda acc, p: F.transform(acc, lambda x, i: F.when(i >= p, step(x, F.get(acc, i - p))).otherwise(x)))
 
 
@@ -58,15 +69,44 @@ def _rule_table(rules: list[Rule]) -> Column:
 
 
 def _places(text: Column, rule: Column) -> Column:
-    """Where the rule's pattern stands: ``first_word, end_word`` (exclusive) of each match."""
-    hits = F.call_function("regexp_extract_all", text, rule["pattern"], F.lit(0))
-    pieces = F.split(text, rule["pattern"])
-    lengths = F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda before, hit: F.struct((_words(before) + _words(hit)).alias("end"), _words(hit).alias("size")))
-    ends = _running(lengths, lambda x, y: F.struct((x["end"] + y["end"]).alias("end"), x["size"].alias("size")))
-    return F.transform(
-        ends,
-        lambda x: F.struct((x["end"] - x["size"]).alias("first_word"), (-x["end"]).alias("before"), rule["priority"].alias("priority"), rule["rule"].alias("rule"), rule["label"].alias("label")),
-    )
+    """Where the rule's pattern stands, as an array of matches in the order of the text."""
+
+    def located(hits: Column) -> Column:
+        before = F.slice(F.split(text, rule["pattern"]), 1, F.size(hits))
+        lengths = F.zip_with(before, hits, lambda b, hit: F.struct((_words(b) + _words(hit)).alias("end"), _words(hit).alias("size")))
+        ends = _let(lengths, lambda v: _running(v, lambda x, y: F.struct((x["end"] + y["end"]).alias("end"), x["size"].alias("size"))))
+        return F.transform(
+            ends,
+            lambda x: F.struct((x["end"] - x["size"]).alias("first_word"), (-x["end"]).alias("before"), rule["priority"].alias("priority"), rule["rule"].alias("rule"), rule["label"].alias("label")),
+        )
+
+    return _let(F.call_function("regexp_extract_all", text, rule["pattern"], F.lit(0)), lambda hits: F.when(F.size(hits) > 0, located(hits)))
+
+
+def _matches(text: Column, rules: list[Rule]) -> Column:
+    """All matches of the rules whose gate the text holds, by place, the longer first."""
+    chosen = F.flatten(F.transform(F.filter(_rule_table(rules), lambda g: F.contains(text, g["word"])), lambda g: F.filter(g["rules"], lambda r: F.contains(text, r["gate"]))))
+    return F.sort_array(F.flatten(F.filter(F.transform(chosen, lambda r: _places(text, r)), lambda m: m.isNotNull())))
+
+
+def _judged(matches: Column) -> Column:
+    """``FOUND`` of sorted matches: one goes if an earlier one of its priority or above reaches as far."""
+    zero = F.lit(0).cast("long")
+    # The furthest end up to each match, for each priority and the ones above it.
+    reach = F.transform(matches, lambda m: F.struct(*[F.when(m["priority"] <= p, -m["before"]).otherwise(zero).alias(f"p{p}") for p in WEIGHTS]))
+    reach = _let(reach, lambda v: _running(v, lambda x, y: F.struct(*[F.greatest(x[f"p{p}"], y[f"p{p}"]).alias(f"p{p}") for p in WEIGHTS])))
+
+    def judge(reached: Column):
+        def one(m: Column, i: Column) -> Column:
+            best = zero
+            for p in WEIGHTS:
+                best = F.when(m["priority"] == p, F.get(reached, i - 1)[f"p{p}"]).otherwise(best)
+            kept = (i == 0) | (best < -m["before"])
+            return F.struct(m["label"].alias("label"), m["rule"].alias("rule"), m["priority"].alias("priority"), m["first_word"].alias("first_word"), (-m["before"]).alias("end_word"), kept.alias("kept"))
+
+        return F.transform(matches, one)
+
+    return _let(reach, judge)
 
 
 def with_licenses(df: DataFrame, text: str = "text", keep: list[str] | None = None, rules: list[Rule] | None = None) -> DataFrame:
@@ -96,24 +136,8 @@ def with_licenses(df: DataFrame, text: str = "text", keep: list[str] | None = No
     for root in ROOTS:
         test = test | F.col("__low").contains(spaced_root(root))
     out = out.select(*carried, "n_words", F.when(test, F.translate("__t", _UPPER, _LOWER)).otherwise("").alias("__t"))
-    at = F.col("__t")
-    chosen = F.flatten(F.transform(F.filter(_rule_table(rules), lambda g: F.contains(at, g["word"])), lambda g: F.filter(g["rules"], lambda r: F.contains(at, r["gate"]))))
-    out = out.select(*carried, "n_words", "__t", F.when(at != "", chosen).alias("__rules"))
-    out = out.select(*carried, "n_words", F.sort_array(F.flatten(F.transform("__rules", lambda r: _places(at, r)))).alias("__all"))
-    # The furthest end of the matches up to each one, for each priority and the ones above it.
-    reach = F.transform("__all", lambda m: F.struct(*[F.when(m["priority"] <= p, -m["before"]).otherwise(F.lit(0).cast("long")).alias(f"p{p}") for p in WEIGHTS]))
-    reach = _running(reach, lambda x, y: F.struct(*[F.greatest(x[f"p{p}"], y[f"p{p}"]).alias(f"p{p}") for p in WEIGHTS]))
-    out = out.select(*carried, "n_words", "__all", reach.alias("__reach"))
-
-    def judged(m: Column, i: Column) -> Column:
-        earlier = F.get("__reach", i - 1)
-        best = F.lit(0).cast("long")
-        for p in WEIGHTS:
-            best = F.when(m["priority"] == p, earlier[f"p{p}"]).otherwise(best)
-        kept = (i == 0) | (best < -m["before"])
-        return F.struct(m["label"].alias("label"), m["rule"].alias("rule"), m["priority"].alias("priority"), m["first_word"].alias("first_word"), (-m["before"]).alias("end_word"), kept.alias("kept"))
-
-    found = F.coalesce(F.transform("__all", judged), F.array().cast(FOUND)).cast(FOUND)
+    found = _let(F.col("__t"), lambda t: F.when(t != "", _let(_matches(t, rules), _judged)))
+    found = F.coalesce(found, F.array().cast(FOUND)).cast(FOUND)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "n_words", found.alias("licenses"))
 
 
