@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensio.llm import decontaminate, language_model, licenses, main_text, packing, piece_counts, quality, records, repetition, simhash, sql, substrings
+from tensio.llm import decontaminate, language_model, lexical_search, licenses, main_text, packing, piece_counts, quality, records, repetition, simhash, source_audit, sql, substrings
 from tensio.llm.batches import stage_path
 from tensio.sources.tables import read_table
 
@@ -76,6 +76,15 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.with_digest(licenses.with_licenses(docs, keep=["doc_id"]))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical_search.search(docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(read_table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -88,9 +97,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
     "op11_license_scan": op11_license_scan,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_source_audit": op13_source_audit,
 }
 
 #: SQL of the same rows, where DuckDB can state them; the others are tested by brute force.
 ORACLE: dict[str, str] = {
     "op11_license_scan": sql.license_scan(),
+    "op12_lexical_search": sql.lexical_search(),
+    "op13_source_audit": sql.source_audit(),
 }
