@@ -1,27 +1,35 @@
 """How far the sources of a language differ in their words, by chunk factorization.
 
 1. One pass counts the white-space chunks of each document and adds them up over a slice of
-   documents: per language, source and chunk its occurrences and its documents.
-2. Each chunk that occurs anywhere is cut into terms once; the terms are joined back to the
-   chunk's sums, which gives every source's occurrences of every term.
-3. A term is kept if it is in ``min_docs`` documents of its language or more.  A chunk's document
-   count is exact, and a term's lies between the largest and the sum of its chunks' counts.  Only
-   where these bounds leave it open are the documents themselves compared: no such chunk has
-   ``min_docs`` documents, so the slices' lists of row numbers are short and complete.
-4. Shares of all kept terms are compared source by source in blocks of terms.
+   documents: per language and chunk, its documents.
+2. Each chunk that occurs anywhere is cut into terms once.  A term's documents are at most the
+   sum of its chunks' documents, so most rare terms are out before anything is joined; the
+   others' chunks are looked up through a bit map that may let others pass but loses none.
+3. A term is kept if it is in ``min_docs`` documents of its language or more.  Its document count
+   lies between the largest and the sum of its chunks' counts.  Only where these bounds leave
+   it open are the documents themselves compared: no such chunk has ``min_docs`` documents,
+   so the slices' lists of row numbers are short and complete.
+4. A second pass counts the chunks of the remaining terms per source; the terms are joined back,
+   which gives every source's occurrences of every kept term.
+5. Shares of all kept terms are compared source by source in blocks of terms.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as TY
 
-from tensio.llm.batches import filled, map_arrow, ship_package, slices, staged
+from tensio.llm import words as W
+from tensio.llm.batches import filled, map_arrow, partitions, ship_package, slices, staged, text_buffer
+from tensio.operators.partitioning import share
 
 MIN_DOCS = 30
 TOP_TERMS = 50
@@ -32,26 +40,85 @@ SCALE = 1_000_000_000
 BLOCK_TERMS = 1024
 TILE = 256
 #: Text bytes counted together.
-COUNT_BYTES = 16 << 20
+COUNT_BYTES = 24 << 20
+#: Size of a bit map (its logarithm); a fuller map lets more through, which is settled later.
+MAP_LOG = 26
 
 _TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_SLICE_FIELDS = "lang string, source string, chunk string, occurrences long, docs long, rows array<long>"
+_U = np.uint64
+
+
+def _chunks_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Chunks of each document with their counts: ``(document, chunk number, count)`` and the chunks."""
+    lists = pc.ascii_split_whitespace(filled(texts))
+    flat = lists.flatten()
+    real = pc.not_equal(flat, "")  # white space at an end of a text leaves an empty chunk there
+    chunks = flat.filter(real).dictionary_encode()
+    codes, k = chunks.indices.to_numpy().astype(np.int64), max(len(chunks.dictionary), 1)
+    doc = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())[real.to_numpy(zero_copy_only=False)]
+    pairs, counts = np.unique(doc * k + codes, return_counts=True)
+    return pairs // k, pairs % k, counts, chunks.dictionary
+
+
+def _count_documents(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Documents of a slice that hold each chunk, by language."""
+    langs = filled(batch.column(1)).dictionary_encode()
+    doc, codes, _, chunks = _chunks_of(batch.column(3))
+    k = max(len(chunks), 1)
+    key, docs = np.unique(langs.indices.to_numpy().astype(np.int64)[doc] * k + codes, return_counts=True)
+    return pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(key // k)), chunks.take(pa.array(key % k)), pa.array(docs, pa.int64())], names=["lang", "chunk", "docs"])
+
+
+_SLICE_FIELDS = "lang string, source string, chunk string, occurrences long, rows array<long>"
+
+
+def _string_hashes(values: pa.Array) -> np.ndarray:
+    """64-bit hashes of strings (those of a few bytes' difference differ as surely as any)."""
+    data, offsets = text_buffer(values)
+    w = W.Words(data, offsets, offsets[:-1], offsets[1:], offsets)
+    return w.hashes() if len(values) else np.zeros(0, np.uint64)
+
+
+def _pair_hashes(langs: pa.Array, lang_of: np.ndarray, chunks: pa.Array, chunk_of: np.ndarray) -> np.ndarray:
+    codes = np.array([zlib.crc32(x.encode()) for x in langs.to_pylist()], np.uint64)
+    return W.mix(_string_hashes(chunks)[chunk_of] ^ (codes[lang_of] * _U(0x9E3779B97F4A7C15)))
+
 
+def _bits_of(hashes: np.ndarray) -> np.ndarray:
+    """The two bits of the map that stand for each hash."""
+    mask = _U((1 << MAP_LOG) - 1)
+    return np.stack([hashes & mask, hashes >> _U(64 - MAP_LOG)], axis=-1).astype(np.int64)
 
-def _count_slice(batch: pa.RecordBatch, min_docs: int) -> pa.RecordBatch:
-    """Sums of a slice: one row for each language, source and chunk; row numbers where few."""
+
+def _in_map(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = _bits_of(hashes)
+    return ((words[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1)).all(axis=-1)
+
+
+def _bit_map(bits: DataFrame) -> np.ndarray:
+    """The map of all places in column ``bit``: at most 2**(MAP_LOG - 5) words reach the driver."""
+    word = F.floor(F.col("bit") / 32).cast("int")
+    value = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(32)).cast("int"))
+    out = np.zeros(1 << (MAP_LOG - 5), np.uint32)
+    table = bits.groupBy(word.alias("word")).agg(F.bit_or(value).alias("value")).toArrow()
+    out[table["word"].to_numpy()] = table["value"].to_numpy().astype(np.uint32)
+    return out
+
+
+def _count_slice(batch: pa.RecordBatch, min_docs: int, wanted: np.ndarray) -> pa.RecordBatch:
+    """Occurrences of a slice by language, source and chunk, for chunks in the map ``wanted``; the row
+    numbers where they are few."""
     rows = batch.column(0).to_numpy()
     langs, sources = (filled(batch.column(i)).dictionary_encode() for i in (1, 2))
     width = max(len(sources.dictionary), 1)
-    group = langs.indices.to_numpy().astype(np.int64) * width + sources.indices.to_numpy()
-    lists = pc.ascii_split_whitespace(filled(batch.column(3)))
-    chunks = lists.flatten().dictionary_encode()
-    codes, k = chunks.indices.to_numpy().astype(np.int64), max(len(chunks.dictionary), 1)
-    doc = np.repeat(np.arange(len(rows)), lists.value_lengths().to_numpy())
-    # Chunks of each document, with their counts; then documents of each group and chunk.
-    pairs, counts = np.unique(doc * k + codes, return_counts=True)
-    doc, codes = pairs // k, pairs % k
+    lang = langs.indices.to_numpy().astype(np.int64)
+    group = lang * width + sources.indices.to_numpy()
+    doc, codes, counts, chunks = _chunks_of(batch.column(3))
+    k = max(len(chunks), 1)
+    kinds, of = np.unique(lang[doc] * k + codes, return_inverse=True)
+    keep = _in_map(wanted, _pair_hashes(langs.dictionary, kinds // k, chunks, kinds % k))[of] if len(kinds) else np.zeros(0, bool)
+    doc, codes, counts = doc[keep], codes[keep], counts[keep]
     key = group[doc] * k + codes
     order = np.argsort(key, kind="stable")
     key, doc, counts = key[order], doc[order], counts[order]
@@ -64,22 +131,16 @@ def _count_slice(batch: pa.RecordBatch, min_docs: int) -> pa.RecordBatch:
         [
             langs.dictionary.take(pa.array(which // width)),
             sources.dictionary.take(pa.array(which % width)),
-            chunks.dictionary.take(pa.array(at)),
+            chunks.take(pa.array(at)),
             pa.array(np.add.reduceat(counts, first) if len(first) else counts[:0], pa.int64()),
-            pa.array(size, pa.int64()),
             pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rows[doc[few]], pa.int64())),
         ],
-        names=["lang", "source", "chunk", "occurrences", "docs", "rows"],
+        names=["lang", "source", "chunk", "occurrences", "rows"],
     )
 
 
-def _chunk_sums(docs: DataFrame, min_docs: int) -> DataFrame:
-    """``docs``: ``lang, source, text`` without NULLs.  Numbers the rows and counts slice by slice.
-
-    The written table fixes the numbers: a task that runs again before that reads the same
-    rows in the same order.
-    """
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "lang", "source", "text")
+def _by_slice(numbered: DataFrame, count, fields: str) -> DataFrame:
+    """``count`` of slices of ``row, lang, source, text``, several Arrow batches together."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -88,38 +149,76 @@ def _chunk_sums(docs: DataFrame, min_docs: int) -> DataFrame:
             held.append(batch)
             size += batch.column(3).nbytes
             if size >= COUNT_BYTES:
-                yield _count_slice(_joined(held), min_docs)
+                yield count(_joined(held))
                 held, size = [], 0
         if held:
-            yield _count_slice(_joined(held), min_docs)
+            yield count(_joined(held))
 
-    return map_arrow(numbered, work, _SLICE_FIELDS)
+    return map_arrow(numbered, work, fields)
 
 
 def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
-def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """Each distinct ``chunk`` once, with ``terms``: its distinct terms and how often it holds them."""
+def with_terms(chunks: DataFrame) -> DataFrame:
+    """The columns of a table of distinct ``chunk``, and ``terms``: its distinct terms and how often it
+    holds them.  Chunks without a term go."""
+    rest = [c for c in chunks.columns if c != "chunk"]
     found = F.array_sort(F.call_function("regexp_extract_all", F.translate("chunk", _UPPER, _LOWER), F.lit(_TERM), F.lit(0)))
-    out = chunks.select("chunk").distinct().select("chunk", found.alias("found")).where(F.size("found") > 0)
+    out = chunks.select("chunk", *rest, found.alias("found")).where(F.size("found") > 0)
     # Equal terms stand together once sorted: a run's length is how often the chunk holds the term.
     starts = F.filter(F.sequence(F.lit(0), F.size("found") - 1), lambda i: (i == 0) | (F.get("found", i) != F.get("found", i - 1)))
-    out = out.select("chunk", "found", starts.alias("starts"))
+    out = out.select("chunk", *rest, "found", starts.alias("starts"))
     runs = F.transform("starts", lambda b, j: F.struct(F.get("found", b).alias("term"), (F.coalesce(F.get("starts", j + 1), F.size("found")) - b).cast("long").alias("times")))
-    return out.select("chunk", runs.alias("terms"))
-
-
-def _kept_terms(slices_: DataFrame, sums: DataFrame, terms: DataFrame, min_docs: int) -> DataFrame:
+    return out.select("chunk", *rest, runs.alias("terms"))
+
+
+def _candidates(numbered: DataFrame, min_docs: int) -> DataFrame:
+    """``lang, chunk, term, times, low, high``: the chunks of every term that may be kept, with the bounds
+    of the term's documents."""
+    spark = numbered.sparkSession
+    counted = _by_slice(numbered, _count_documents, "lang string, chunk string, docs long")
+    # Dealt by chunk, so a chunk's languages meet in one task and it is cut into terms there.
+    sums = counted.repartition(partitions(spark), "chunk").groupBy("chunk", "lang").agg(F.sum("docs").alias("docs"))
+    chunks = sums.groupBy("chunk").agg(F.collect_list(F.struct("lang", "docs")).alias("langs"))  # one entry a language
+    terms = staged(with_terms(chunks), "chunk-terms")
+    held = terms.select("chunk", "terms", F.explode("langs").alias("l")).select("chunk", F.col("l.lang").alias("lang"), F.col("l.docs").alias("docs"), F.explode("terms").alias("t"))
+    held = held.select("lang", "chunk", "docs", F.col("t.term").alias("term"), F.col("t.times").alias("times"), F.xxhash64("lang", "t.term").alias("code"))
+    # Sums by hash are sums of one term or more, so none that may be kept is lost here.
+    likely = held.groupBy("code").agg(F.sum("docs").alias("high")).where(F.col("high") >= min_docs).select("code")
+    mask = (1 << MAP_LOG) - 1
+    places = F.array(F.col("code").bitwiseAND(mask), F.shiftrightunsigned("code", 64 - MAP_LOG))
+    words = share(spark, _bit_map(likely.select(F.explode(places).alias("bit"))))
+
+    @F.arrow_udf(TY.BooleanType())
+    def may_stay(code: pa.Array) -> pa.Array:
+        return pa.array(_in_map(words.value, code.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    left = staged(held.where(may_stay("code")).drop("code"), "likely-terms")
+    bounds = left.groupBy("lang", "term").agg(F.max("docs").alias("low"), F.sum("docs").alias("high")).where(F.col("high") >= min_docs)
+    return staged(left.drop("docs").join(bounds, ["lang", "term"]), "likely-chunks")
+
+
+def _counted_again(numbered: DataFrame, candidates: DataFrame, min_docs: int) -> DataFrame:
+    """The second pass: slices' counts by source of the chunks of ``candidates`` (and a few others)."""
+    spark = numbered.sparkSession
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, chunks = (batch.column(i).dictionary_encode() for i in (0, 1))
+            hashes = _pair_hashes(langs.dictionary, langs.indices.to_numpy(), chunks.dictionary, chunks.indices.to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(_bits_of(hashes).ravel())], names=["bit"])
+
+    words = share(spark, _bit_map(map_arrow(candidates.select("lang", "chunk"), places, "bit long")))
+    return _by_slice(numbered, lambda batch: _count_slice(batch, min_docs, words.value), _SLICE_FIELDS)
+
+
+def _kept_terms(by_slice: DataFrame, candidates: DataFrame, min_docs: int) -> DataFrame:
     """``lang, term`` of the terms in ``min_docs`` documents of the language or more."""
-    by_lang = sums.groupBy("lang", "chunk").agg(F.sum("docs").alias("docs"))
-    held = by_lang.join(terms, "chunk").select("lang", "chunk", "docs", F.explode("terms.term").alias("term"))
-    bounds = staged(held.groupBy("lang", "term").agg(F.max("docs").alias("low"), F.sum("docs").alias("high")).where(F.col("high") >= min_docs), "term-bounds")
-    sure = bounds.where(F.col("low") >= min_docs).select("lang", "term")
-    unsure = bounds.where(F.col("low") < min_docs).select("lang", "term")
-    in_question = held.join(unsure, ["lang", "term"]).select("lang", "chunk", "term")
-    listed = slices_.where(F.size("rows") > 0).select("lang", "chunk", "rows")
+    sure = candidates.where(F.col("low") >= min_docs).select("lang", "term").distinct()
+    in_question = candidates.where(F.col("low") < min_docs).select("lang", "chunk", "term")
+    listed = by_slice.where(F.size("rows") > 0).select("lang", "chunk", "rows")
     met = listed.join(in_question, ["lang", "chunk"]).select("lang", "term", F.explode("rows").alias("row")).distinct()
     enough = met.groupBy("lang", "term").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
     return sure.unionByName(enough.select("lang", "term"))
@@ -193,13 +292,16 @@ def audit(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     """
     value = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
     docs = df.select(value(lang).alias("lang"), value(source).alias("source"), value(text).alias("text"))
-    by_slice = staged(_chunk_sums(docs, min_docs), "chunk-slices")
-    sums = staged(by_slice.groupBy("lang", "source", "chunk").agg(F.sum("occurrences").alias("occurrences"), F.sum("docs").alias("docs")), "chunk-sums")
-    terms = staged(chunk_terms(sums), "chunk-terms")
-    kept = staged(_kept_terms(by_slice, sums, terms, min_docs), "kept-terms")
-    held = sums.join(terms, "chunk").select("lang", "source", "occurrences", F.explode("terms").alias("t"))
-    counted = held.groupBy("lang", "source", F.col("t.term").alias("term")).agg(F.sum(F.col("occurrences") * F.col("t.times")).alias("count"))
-    counts = staged(counted.join(kept, ["lang", "term"], "left_semi"), "term-counts")
+    # The written table fixes the row numbers: a task that runs again before that reads the same
+    # rows in the same order.
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "lang", "source", "text")
+    candidates = _candidates(numbered, min_docs)
+    by_slice = staged(_counted_again(numbered, candidates, min_docs), "chunk-slices")
+    kept = staged(_kept_terms(by_slice, candidates, min_docs), "kept-terms")
+    sums = by_slice.groupBy("lang", "source", "chunk").agg(F.sum("occurrences").alias("occurrences"))
+    terms = candidates.join(kept, ["lang", "term"], "left_semi").select("lang", "chunk", "term", "times")
+    counted = sums.join(terms, ["lang", "chunk"]).groupBy("lang", "source", "term").agg(F.sum(F.col("occurrences") * F.col("times")).alias("count"))
+    counts = staged(counted, "term-counts")
 
     totals = counts.groupBy("lang", "source").agg(F.sum("count").alias("total"))
     vocabulary = kept.groupBy("lang").agg(F.count("*").alias("kept"))
