@@ -2,8 +2,7 @@
 
 Each ``load_*`` returns ``(DataFrame, text column)`` with an ``_row`` order column (the
 position in the file, used for "first row wins"); ``clean_source`` runs the cleaning flow
-on it.  The position comes from ``monotonically_increasing_id`` on the file scan, which
-for a multi-line CSV is one task per file, so it follows file order.
+on it.  The position comes from the reader: the split a record starts in and its place there.
 """
 
 from __future__ import annotations
@@ -31,18 +30,14 @@ SENTIMENT140_SCHEMA = TY.StructType(
 )
 
 
-def _with_row(df: DataFrame) -> DataFrame:
-    return df.withColumn(ROW, F.monotonically_increasing_id())
-
-
 def load_mental_health_twitter(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    df = resolve_column(read_csv(spark, path), "text", ["text"])
-    return _with_row(df), "text"
+    df = resolve_column(read_csv(spark, path, position=ROW), "text", ["text"])
+    return df, "text"
 
 
 def load_twitter_data_2(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    df = require_columns(read_csv(spark, path, sep=";"), ["text"])
-    return _with_row(df), "text"
+    df = require_columns(read_csv(spark, path, sep=";", position=ROW), ["text"])
+    return df, "text"
 
 
 def load_sentiment_140(
@@ -53,8 +48,7 @@ def load_sentiment_140(
     ``report`` (one row): lines skipped for too many fields.  ``stats`` (one row): rows
     dropped for missing text, positive and negative counts.
     """
-    rows, report = read_csv_tolerant(spark, path, SENTIMENT140_SCHEMA, sep=",", encoding=encoding)
-    rows = _with_row(rows)
+    rows, report = read_csv_tolerant(spark, path, SENTIMENT140_SCHEMA, sep=",", encoding=encoding, position=ROW)
     rows = rows.withColumn("sentiment", value_map("sentiment", SENTIMENT140_MAP))
     # the text stays beside the parsed time, so a form that does not parse is not lost
     rows = rows.withColumn("timestamp_text", F.col("timestamp")).withColumn("timestamp", parse_post_time("timestamp"))
@@ -68,16 +62,16 @@ def load_sentiment_140(
 
 
 def load_reddit_title(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    df = resolve_column(read_csv(spark, path, sep=";"), "title", ["title"])
+    df = resolve_column(read_csv(spark, path, sep=";", position=ROW), "title", ["title"])
     df = require_columns(df, ["label"]).withColumn("label", coerce_numeric("label"))
-    return _with_row(df), "title"
+    return df, "title"
 
 
 def load_reddit_combi(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    df = resolve_column(read_csv(spark, path, sep=";"), "Body_Title", ["body_title", "bodytitle", "body"])
+    df = resolve_column(read_csv(spark, path, sep=";", position=ROW), "Body_Title", ["body_title", "bodytitle", "body"])
     df = resolve_column(df, "label", ["label", "class", "category"])
     df = df.withColumn("label", coerce_numeric("label")).dropna(subset=["label"])
-    return _with_row(df), "Body_Title"
+    return df, "Body_Title"
 
 
 def label_distribution(df: DataFrame, label: str = "label", order: str = "value") -> DataFrame:

@@ -7,8 +7,8 @@
 * column lookup by exact name, else the first column whose lowercase name contains one
   of the given substrings.
 
-``multiLine`` CSV cannot be split inside a file, so each file is one read task; large
-inputs should be landed once as Parquet (``sinks.write_parquet``) and processed from there.
+A file with quoted newlines is read by many tasks (``records.read_records``); only charsets in
+which a newline is not one byte go through Spark's ``multiLine`` reader, one task per file.
 """
 
 from __future__ import annotations
@@ -22,6 +22,13 @@ from pyspark.sql import types as TY
 
 from tensio.functions.lexicons import NA_TOKENS
 from tensio.functions.text import na_to_null
+from tensio.operators.partitioning import materialize
+from tensio.sources.records import CP1252_HIGH, field_count, read_records
+
+#: Charsets in which quotes, separators and newlines are the bytes of ASCII; ``auto`` looks at the
+#: content (UTF-8, else windows-1252 or ISO-8859-1).
+CP1252 = {0x80 + i: c for i, c in enumerate(CP1252_HIGH)}
+SPLITTABLE = {"UTF-8": "UTF-8", "UTF8": "UTF-8", "US-ASCII": "UTF-8", "ISO-8859-1": "ISO-8859-1", "LATIN-1": "ISO-8859-1", "LATIN1": "ISO-8859-1", "AUTO": None}
 
 # Empty header cells read as NULL make Spark's header check fail; with a null marker that
 # never occurs they stay '' (Spark then names them _c<i>) and '' becomes NULL afterwards
@@ -61,6 +68,26 @@ def _encodings(encoding: str | Sequence[str]) -> list[str]:
     return [encoding] if isinstance(encoding, str) else list(encoding)
 
 
+def _parsed(spark: SparkSession, path: str | list[str], sep: str, header: bool, encoding: str, schema: TY.StructType | None) -> DataFrame:
+    """The records of the files, split between tasks and parsed one by one: the columns and ``_pos``,
+    ``_fields`` (number of fields)."""
+    records, charset = read_records(spark, path, sep, SPLITTABLE[encoding.upper()])
+    if schema is None:
+        names = _reader(spark, sep, header, "UTF-8" if charset == "UTF-8" else "ISO-8859-1", True).csv(path).columns
+        if not names:
+            raise SourceError(f"{path}: empty file")
+        if charset == "windows-1252":
+            names = [n.translate(CP1252) for n in names]
+        schema = TY.StructType([TY.StructField(n.lstrip("\ufeff"), TY.StringType()) for n in names])
+    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "emptyValue": "", "nullValue": _NO_NULL_MARKER if header else ""}
+    # Fields under numbers: names may repeat or hold anything.
+    numbered = TY.StructType([TY.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+    if header:
+        records = records.where(~F.col("first"))
+    parsed = records.select("pos", field_count(F.col("record"), sep).alias("fields"), F.from_csv("record", numbered.simpleString()[7:-1].replace(":", " "), options).alias("r"))
+    return parsed.select(*[F.col(f"r.c{i}").alias(f.name) for i, f in enumerate(schema.fields)], F.col("pos").alias("_pos"), F.col("fields").alias("_fields"))
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -70,22 +97,27 @@ def read_csv(
     encoding: str | Sequence[str] = "UTF-8",
     multiline: bool = True,
     na_tokens: Sequence[str] = NA_TOKENS,
+    position: str | None = None,
 ) -> DataFrame:
     """Read a delimited file; all columns are strings unless ``schema`` is given.
 
     ``encoding`` may be a list tried in order; a charset the reader does not support is
     skipped (e.g. ``windows-1252``: ISO-8859-1 decodes every byte and differs only in
-    0x80–0x9F, which text cleaning drops anyway).
+    0x80–0x9F, which text cleaning drops anyway).  ``auto`` chooses by content, windows-1252
+    included.  ``position`` names a column to add that rises in file order.
     """
     problems = []
     for enc in _encodings(encoding):
-        reader = _reader(spark, sep, header, enc, multiline)
-        if schema is not None:
-            reader = reader.schema(schema)
         try:
-            df = reader.csv(path)
-            if not df.columns:
-                raise SourceError(f"{path}: empty file")
+            if multiline and enc.upper() in SPLITTABLE:
+                df = _parsed(spark, path, sep, header, enc, schema).drop("_fields")
+                df = df.withColumnRenamed("_pos", position) if position else df.drop("_pos")
+            else:
+                reader = _reader(spark, sep, header, enc, multiline)
+                df = (reader if schema is None else reader.schema(schema)).csv(path)
+                if not df.columns:
+                    raise SourceError(f"{path}: empty file")
+                df = df.withColumn(position, F.monotonically_increasing_id()) if position else df
         except IllegalArgumentException as e:  # unsupported charset: try the next one
             problems.append(f"{enc}: {str(e).splitlines()[0]}")
             continue
@@ -104,28 +136,28 @@ def read_csv_tolerant(
     encoding: str | Sequence[str] = "UTF-8",
     na_tokens: Sequence[str] = NA_TOKENS,
     multiline: bool = True,
+    position: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Read with ``schema``; records with too many fields are dropped, short ones kept.
 
-    A quoted field may hold newlines; ``multiline=False`` reads line by line instead, which
-    lets one file be read by many tasks.
+    A quoted field may hold newlines; ``multiline=False`` reads line by line instead.
 
-    Every field is read as text with one extra trailing field: a filled extra field means
-    the line had too many fields.  The kept fields are then cast to ``schema``'s types
-    (a value that does not parse becomes NULL).  Returns ``(rows, report)``; ``report`` is a
-    one-row DataFrame with the number of lines read and of lines skipped.
+    The fields of each record are counted as they stand, by a scan that knows quotes: a record
+    with more of them than ``schema`` goes, whatever they hold, and an empty field behind a last
+    separator counts.  Every field is read as text; the kept ones are then cast to ``schema``'s
+    types (a value that does not parse becomes NULL).  Returns ``(rows, report)``; ``report`` is a
+    one-row DataFrame with the number of records read and of records skipped.  ``position`` names
+    a column to add to ``rows`` that rises in file order.
     """
-    extra = "_extra_field"
-    text_schema = TY.StructType(
-        [TY.StructField(f.name, TY.StringType()) for f in schema.fields] + [TY.StructField(extra, TY.StringType())]
-    )
+    text_schema = TY.StructType([TY.StructField(f.name, TY.StringType()) for f in schema.fields])
     raw = None
     problems = []
     for enc in _encodings(encoding):
-        reader = _reader(spark, sep, header, enc, multiline).option("mode", "PERMISSIVE").schema(text_schema)
         try:
-            raw = reader.csv(path)
-            raw.take(1)  # with a given schema the charset is only checked when a task runs
+            if multiline and enc.upper() in SPLITTABLE:
+                raw = _parsed(spark, path, sep, header, enc, text_schema)
+            else:
+                raw = _counted_by_reader(spark, path, sep, header, enc, multiline, text_schema)
             break
         except IllegalArgumentException as e:  # unsupported charset: try the next one
             problems.append(f"{enc}: {str(e).splitlines()[0]}")
@@ -133,17 +165,31 @@ def read_csv_tolerant(
             raise SourceError(f"{path}: {e}") from e
     if raw is None:
         raise SourceError(f"{path}: no usable encoding ({'; '.join(problems)})")
-    raw = normalise_missing(raw, na_tokens)
-    too_long = F.col(extra).isNotNull()
+    too_long = F.col("_fields") > len(schema.fields)
     typed = [
         (F.col(f.name) if isinstance(f.dataType, TY.StringType) else F.trim(F.col(f.name)).try_cast(f.dataType)).alias(f.name)
         for f in schema.fields
     ]
-    rows = raw.filter(~too_long).select(*typed)
+    kept = normalise_missing(raw.filter(~too_long).drop("_fields"), na_tokens)
+    rows = kept.select(*typed, *([F.col("_pos").alias(position)] if position else []))
     report = raw.agg(F.count(F.lit(1)).alias("lines"), F.count_if(too_long).alias("skipped_lines"))
     return rows, report
 
 
+def _counted_by_reader(spark: SparkSession, path: str, sep: str, header: bool, encoding: str, multiline: bool, schema: TY.StructType) -> DataFrame:
+    """Spark's own reader with the raw record beside the columns, for ``_fields``; ``_pos`` by scan order.
+
+    The reader keeps the raw record only of those whose number of fields is not the schema's.
+    """
+    record = "_record"
+    wide = TY.StructType([*schema.fields, TY.StructField(record, TY.StringType())])
+    reader = _reader(spark, sep, header, encoding, multiline).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", record)
+    raw = reader.schema(wide).csv(path)
+    fields = F.when(F.col(record).isNull(), len(schema.fields)).otherwise(field_count(F.col(record), sep))
+    # Spark answers no query that reads the raw record alone, so the parsed rows are written once.
+    return materialize(raw.withColumns({"_fields": fields, "_pos": F.monotonically_increasing_id()}).drop(record))
+
+
 def peek_columns(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> list[str]:
     """Column names of a headed file (reads the header only)."""
     return read_csv(spark, path, sep=sep, encoding=encoding).columns
