@@ -61,12 +61,21 @@ def _chunks_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.
     return pairs // k, pairs % k, counts, chunks.dictionary
 
 
+def _counts_of(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys (below ``size``) and how often each occurs."""
+    if size > 1 << 24:
+        return np.unique(keys, return_counts=True)
+    times = np.bincount(keys, minlength=size)
+    met = np.flatnonzero(times)
+    return met, times[met]
+
+
 def _count_documents(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Documents of a slice that hold each chunk, by language."""
     langs = filled(batch.column(1)).dictionary_encode()
     doc, codes, _, chunks = _chunks_of(batch.column(3))
     k = max(len(chunks), 1)
-    key, docs = np.unique(langs.indices.to_numpy().astype(np.int64)[doc] * k + codes, return_counts=True)
+    key, docs = _counts_of(langs.indices.to_numpy().astype(np.int64)[doc] * k + codes, k * max(len(langs.dictionary), 1))
     return pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(key // k)), chunks.take(pa.array(key % k)), pa.array(docs, pa.int64())], names=["lang", "chunk", "docs"])
 
 
@@ -106,9 +115,9 @@ def _bit_map(bits: DataFrame) -> np.ndarray:
     return out
 
 
-def _count_slice(batch: pa.RecordBatch, min_docs: int, wanted: np.ndarray) -> pa.RecordBatch:
-    """Occurrences of a slice by language, source and chunk, for chunks in the map ``wanted``; the row
-    numbers where they are few."""
+def _count_slice(batch: pa.RecordBatch, min_docs: int, wanted: np.ndarray, unsure: np.ndarray) -> pa.RecordBatch:
+    """Occurrences of a slice by language, source and chunk, for chunks in the map ``wanted``; for those
+    in ``unsure`` the row numbers too, where they are few."""
     rows = batch.column(0).to_numpy()
     langs, sources = (filled(batch.column(i)).dictionary_encode() for i in (1, 2))
     width = max(len(sources.dictionary), 1)
@@ -116,16 +125,28 @@ def _count_slice(batch: pa.RecordBatch, min_docs: int, wanted: np.ndarray) -> pa
     group = lang * width + sources.indices.to_numpy()
     doc, codes, counts, chunks = _chunks_of(batch.column(3))
     k = max(len(chunks), 1)
-    kinds, of = np.unique(lang[doc] * k + codes, return_inverse=True)
-    keep = _in_map(wanted, _pair_hashes(langs.dictionary, kinds // k, chunks, kinds % k))[of] if len(kinds) else np.zeros(0, bool)
-    doc, codes, counts = doc[keep], codes[keep], counts[keep]
-    key = group[doc] * k + codes
-    order = np.argsort(key, kind="stable")
-    key, doc, counts = key[order], doc[order], counts[order]
+    kinds, _ = _counts_of(lang[doc] * k + codes, k * max(len(langs.dictionary), 1))
+    hashes = _pair_hashes(langs.dictionary, kinds // k, chunks, kinds % k)
+    there = _in_map(wanted, hashes)
+    kinds, is_open = kinds[there], _in_map(unsure, hashes[there])
+    at = np.searchsorted(kinds, lang[doc] * k + codes)
+    at[at == len(kinds)] = 0
+    keep = kinds[at] == lang[doc] * k + codes if len(kinds) else np.zeros(len(doc), bool)
+    doc, codes, counts, is_open = doc[keep], codes[keep], counts[keep], is_open[at[keep]] if len(kinds) else at[keep].astype(bool)
+    # One sort by (group, chunk, document), with the count and the flag in the low bits where they fit.
+    key, n = group[doc] * k + codes, max(len(rows), 1)
+    low = int(counts.max(initial=1)).bit_length()
+    if (int(key.max(initial=0)) * n + n).bit_length() + low + 1 < 63:
+        packed = np.sort((((key * n + doc) << low) | counts) << 1 | is_open)
+        is_open, counts, both = (packed & 1).astype(bool), packed >> 1 & ((1 << low) - 1), packed >> (low + 1)
+        key, doc = both // n, both % n
+    else:
+        order = np.lexsort((doc, key))
+        key, doc, counts, is_open = key[order], doc[order], counts[order], is_open[order]
     first = np.flatnonzero(np.diff(key, prepend=-1))
     size = np.diff(first, append=len(key))
-    few = np.repeat(size < min_docs, size)
-    ends = np.concatenate([[0], np.cumsum(np.where(size < min_docs, size, 0))])
+    few = is_open[first] & (size < min_docs) if len(first) else np.zeros(0, bool)
+    ends = np.concatenate([[0], np.cumsum(np.where(few, size, 0))])
     at, which = key[first] % k, key[first] // k
     return pa.RecordBatch.from_arrays(
         [
@@ -133,7 +154,7 @@ def _count_slice(batch: pa.RecordBatch, min_docs: int, wanted: np.ndarray) -> pa
             sources.dictionary.take(pa.array(which % width)),
             chunks.take(pa.array(at)),
             pa.array(np.add.reduceat(counts, first) if len(first) else counts[:0], pa.int64()),
-            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rows[doc[few]], pa.int64())),
+            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rows[doc[np.repeat(few, size)]], pa.int64())),
         ],
         names=["lang", "source", "chunk", "occurrences", "rows"],
     )
@@ -210,8 +231,9 @@ def _counted_again(numbered: DataFrame, candidates: DataFrame, min_docs: int) ->
             hashes = _pair_hashes(langs.dictionary, langs.indices.to_numpy(), chunks.dictionary, chunks.indices.to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(_bits_of(hashes).ravel())], names=["bit"])
 
-    words = share(spark, _bit_map(map_arrow(candidates.select("lang", "chunk"), places, "bit long")))
-    return _by_slice(numbered, lambda batch: _count_slice(batch, min_docs, words.value), _SLICE_FIELDS)
+    wanted = share(spark, _bit_map(map_arrow(candidates.select("lang", "chunk"), places, "bit long")))
+    unsure = share(spark, _bit_map(map_arrow(candidates.where(F.col("low") < min_docs).select("lang", "chunk"), places, "bit long")))
+    return _by_slice(numbered, lambda batch: _count_slice(batch, min_docs, wanted.value, unsure.value), _SLICE_FIELDS)
 
 
 def _kept_terms(by_slice: DataFrame, candidates: DataFrame, min_docs: int) -> DataFrame:
