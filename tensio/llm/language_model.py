@@ -2,14 +2,16 @@
 
 1. Texts are coded chunk by chunk (a chunk is one slice of texts: its distinct word hashes and
    the texts as codes into them) and written once.
-2. Chunks deal their distinct words and bigrams out by hash; each bucket sums the training counts
-   and keeps all words and bigrams met in training with the logarithm of their count.
-3. Each bucket builds its own segment of the filter: an n-gram of level ``q`` is entered with every
-   level from 1 to ``q``.  The segments together are the filter.  A segment's size follows its
-   entries without an upper bound, and it stays in its bucket: the n-grams come to it.
-4. A count is read back by probing levels until one is missing.  Each bucket sends every chunk the
-   exact counts of its words and the levels of its words and bigrams.  The score is a bigram
-   probability smoothed towards the unigram one (Dirichlet prior), all counts from the filter.
+2. Chunks deal their distinct words and bigrams out by hash.  Each bucket sums the training counts
+   and builds one segment of the filter from what training has met: an n-gram of level ``q`` (the
+   logarithm of its count) is entered with every level from 1 to ``q``.  The segments are written;
+   of the counts only those of single words go back to the chunks, for the base score.
+3. The filter is the segments together.  It has no bound, so it is broadcast segment group by
+   segment group, pass after pass: a pass sends at most ``GROUP_BYTES`` (or one segment) to the
+   workers, which probe it with the n-grams of all texts, met in training or not, level after
+   level until one is missing.
+4. The score is a bigram probability smoothed towards the unigram one (Dirichlet prior), all
+   counts as the filter gives them back.
 """
 
 from __future__ import annotations
@@ -23,17 +25,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensio.llm import words as W
-from tensio.llm.batches import map_arrow, map_slices, partitions, staged, text_buffer
+from tensio.llm.batches import map_arrow, map_slices, partitions, stage_path, staged, text_buffer
+from tensio.operators.partitioning import share
 
 TENTHS = 10
 #: Least count of a bigram that the model keeps: every bigram that training has met.
 MIN_BIGRAM = 1
 #: Counts are kept as powers of this base.
-BASE = 1.5
+BASE = 1.25
 HASHES = 4
 #: Least filter bits per entered (n-gram, level), and a segment's least size in bits (its logarithm).
 BITS_PER_ENTRY = 10
 LEAST_LOG = 16
+#: Segment bytes that one pass broadcasts, text bytes a bucket stands for at most (on average), and
+#: buckets whose rows are written together.
+GROUP_BYTES = 32 << 20
+BUCKET_BYTES = 8 << 20
+FOLDER_BUCKETS = 16
 #: Weight of the unigram prior, in words.
 PRIOR = 20.0
 _START = np.uint64(0x53544152545F5F31)
@@ -44,7 +52,7 @@ _U = np.uint64
 def _level_means() -> np.ndarray:
     """The mean of the counts of each level (0: not met); an empty level has its lower bound."""
     out = [0.0]
-    for q in range(1, 90):
+    for q in range(1, 180):
         low, high = np.ceil(BASE ** (q - 1) - 1e-9), np.ceil(BASE**q - 1e-9) - 1
         out.append((low + max(low, high)) / 2)
     return np.array(out)
@@ -161,46 +169,101 @@ def _dealt(chunks: DataFrame, buckets: int) -> DataFrame:
     return map_arrow(chunks, work, _DEALT)
 
 
-_SUMMED = "bucket int, chunk long, times binary, levels binary, pairs binary, total long, kinds long"
+_SUMMED = "folder int, bucket int, chunk long, times binary, hashes binary, pairs binary, bits binary, log int, total long, kinds long"
 
 
 def _summed(dealt: DataFrame) -> DataFrame:
-    """Rows with a chunk: the exact corpus counts of its words in this bucket, and what the bucket's
-    segment says of its words and bigrams.  Rows without: the bucket's figures."""
+    """Rows with a chunk: the exact corpus counts of its words in this bucket, and its words and
+    bigrams as they came.  Rows without: the bucket's segment of the filter and its figures."""
+    names = [f.split()[0] for f in _SUMMED.split(", ")]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.int32(), *[pa.int64()] * 2]
+
+    def summed(hashes: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        return keys, at, np.bincount(at, np.concatenate(times), len(keys)).astype(np.int64)
+
+    def bucket(b: int, rows: list[tuple]) -> pa.RecordBatch:
+        own = [_from_sorted(r[2]) for r in rows]
+        words, at, times = summed(own, [_from_planes(r[3], np.uint32) for r in rows])
+        grams, _, met = summed([_from_sorted(r[4]) for r in rows], [_from_planes(r[5], np.uint32) for r in rows])
+        known, often = times > 0, met >= MIN_BIGRAM
+        keys = np.concatenate([words[known] >> _U(16), grams[often]])
+        levels = np.concatenate([_levels(times[known]), _levels(met[often])])
+        log = segment_log(int(levels.sum()))
+        folder = b // FOLDER_BUCKETS
+        out = [(folder, b, None, None, None, None, segment(keys, levels, log).tobytes(), log, int(times.sum()), int(known.sum()))]
+        start = 0
+        for r, h in zip(rows, own, strict=True):
+            out.append((folder, b, r[1], _planes(times[at[start : start + len(h)]].astype(np.uint64)), r[2], r[4], None, None, 0, 0))
+            start += len(h)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_bucket: dict[int, list] = {}
+        held: list[tuple] = []  # the rows of one bucket
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                by_bucket.setdefault(r[0], []).append(r[1:])
-        names = [f.split()[0] for f in _SUMMED.split(", ")]
-        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 3, *[pa.int64()] * 2]
-
-        def summed(hashes: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            keys, at = np.unique(np.concatenate(hashes), return_inverse=True)
-            return keys, at, np.bincount(at, np.concatenate(times), len(keys)).astype(np.int64)
-
-        while by_bucket:
-            b, rows = by_bucket.popitem()
-            own, grams_of = [_from_sorted(r[1]) for r in rows], [_from_sorted(r[3]) for r in rows]
-            words, at, times = summed(own, [_from_planes(r[2], np.uint32) for r in rows])
-            grams, gram_at, met = summed(grams_of, [_from_planes(r[4], np.uint32) for r in rows])
-            known, often = times > 0, met >= MIN_BIGRAM
-            keys = np.concatenate([words[known] >> _U(16), grams[often]])
-            levels = np.concatenate([_levels(times[known]), _levels(met[often])])
-            log = segment_log(int(levels.sum()))
-            bits = segment(keys, levels, log)
-            word_level = probe(bits, log, 1, words >> _U(16)).astype(np.uint8)
-            gram_level = probe(bits, log, 1, grams).astype(np.uint8)
-            out = [(b, None, None, None, None, int(times.sum()), int(known.sum()))]
-            start = first = 0
-            for r, h, g in zip(rows, own, grams_of, strict=True):
-                w, p = at[start : start + len(h)], gram_at[first : first + len(g)]
-                start, first = start + len(h), first + len(g)
-                out.append((b, r[0], _planes(times[w].astype(np.uint64)), _planes(word_level[w]), _planes(gram_level[p]), 0, 0))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    return map_arrow(dealt.repartition(partitions(dealt.sparkSession), "bucket"), work, _SUMMED)
+                if held and held[0][0] != r[0]:
+                    yield bucket(held[0][0], held)
+                    held = []
+                held.append(r)
+        if held:
+            yield bucket(held[0][0], held)
+
+    ordered = dealt.repartition(partitions(dealt.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return map_arrow(ordered, work, _SUMMED)
+
+
+def filter_passes(segments: list[tuple[int, int]]) -> list[list[int]]:
+    """Buckets of each pass, from ``(bucket, log)``: at most ``GROUP_BYTES`` of segments, or one."""
+    out: list[list[int]] = []
+    size = 0
+    for b, log in sorted(segments):
+        more = 1 << max(log - 3, 0)
+        if not out or size + more > GROUP_BYTES or b // FOLDER_BUCKETS != out[-1][0] // FOLDER_BUCKETS:
+            out.append([])
+            size = 0
+        out[-1].append(b)
+        size += more
+    return out
+
+
+_PROBED = "bucket int, chunk long, times binary, levels binary, pairs binary"
+
+
+def _probed(summed: DataFrame) -> DataFrame:
+    """What the filter says of each chunk's words and bigrams, broadcast by segment groups.
+
+    Every pass is a job of its own, so no two groups are held at once; its rows are appended to
+    one written table.
+    """
+    spark = summed.sparkSession
+    segments = summed.where("log IS NOT NULL").select("folder", "bucket", "log", "bits")
+    path = stage_path(spark, "probed")
+
+    def probing(sent):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                levels, pairs = [], []
+                for b, hashes, grams in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4)), strict=True):
+                    bits, log = sent.value[b]
+                    levels.append(_planes(probe(bits, log, 1, _from_sorted(hashes) >> _U(16)).astype(np.uint8)))
+                    pairs.append(_planes(probe(bits, log, 1, _from_sorted(grams)).astype(np.uint8)))
+                columns = [*batch.columns[:3], pa.array(levels, pa.binary()), pa.array(pairs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _PROBED.split(", ")])
+
+        return work
+
+    passes = filter_passes([tuple(r) for r in segments.select("bucket", "log").collect()])  # one row a bucket
+    for buckets in passes:
+        mine = (F.col("folder") == buckets[0] // FOLDER_BUCKETS) & F.col("bucket").between(buckets[0], buckets[-1])
+        table = segments.where(mine).toArrow()  # at most GROUP_BYTES, or one segment
+        group = {b: (np.frombuffer(bits, np.uint8), log) for b, log, bits in zip(*(table.column(c).to_pylist() for c in ("bucket", "log", "bits")), strict=True)}
+        sent = share(spark, group)
+        rows = summed.where(mine & F.col("log").isNull()).select("bucket", "chunk", "times", "hashes", "pairs")
+        map_arrow(rows, probing(sent), _PROBED).write.mode("append").parquet(path)
+        if hasattr(sent, "unpersist"):
+            sent.unpersist()
+    return spark.read.schema(_PROBED).parquet(path) if passes else spark.createDataFrame([], _PROBED)
 
 
 def _places(keys: np.ndarray, level: int, log: int) -> Iterator[np.ndarray]:
@@ -254,9 +317,13 @@ def with_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     held = F.coalesce(F.crc32(own.cast("string").cast("binary")) % TENTHS == 0, F.lit(True))
     source = df.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"), own.alias("key"), held.alias("held"))
     kind = source.schema["key"].dataType.simpleString()
-    buckets = 2 * partitions(spark)
+    size = source.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    buckets = max(2 * partitions(spark), -(-int(size) // BUCKET_BYTES))
     chunks = staged(_coded(source), "chunks")
-    summed = staged(_summed(_dealt(chunks, buckets)), "summed")
+    path = stage_path(spark, "summed")
+    _summed(_dealt(chunks, buckets)).write.partitionBy("folder").parquet(path)
+    summed = spark.read.schema(_SUMMED).parquet(path)
+    probed = _probed(summed)
     figures = summed.agg(F.sum("total"), F.sum("kinds")).first()
     words, kinds = (int(x or 0) for x in figures)
     texts = source.where("NOT held").count()  # each learnt text has one end
@@ -273,12 +340,13 @@ def with_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         base = np.bincount(doc, np.log10((exact + 0.1) / mass)[codes], n) + np.log10((texts + 0.1) / mass)
         met = _MEANS[levels]
         # Before and after each word: the start and the end are met once in every learnt text.
+        met = np.minimum(met, float(max(words, 1)))  # a level's mean may pass the total of a tiny corpus
         after = np.insert(met[codes], first + counts, float(texts))
         before = np.insert(met[codes], first, float(texts))
         _, at, each = _pairs(hashes[codes], counts)
         pair = np.minimum(_MEANS[pairs[at]], np.minimum(before, after))
         p = (pair + PRIOR * (after + 0.1) / mass) / (before + PRIOR)
-        total = np.bincount(np.repeat(np.arange(n), each), np.log10(np.minimum(p, 1.0)), n)
+        total = np.bincount(np.repeat(np.arange(n), each), np.log10(p), n)
         keys = pa.ipc.open_stream(row["keys"]).read_all().column("key").combine_chunks()
         flags = np.unpackbits(np.frombuffer(row["held"], np.uint8), count=n).astype(bool)
         columns = [keys, pa.array(flags), pa.array(each), pa.array(known), pa.array(np.full(n, tokens)), pa.array(base), pa.array(total)]
@@ -305,7 +373,7 @@ def with_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
     empty = F.lit(None).cast("binary")
     coded = chunks.select("chunk", F.lit(-1).alias("bucket"), "keys", "held", "counts", "codes", "hashes", *[empty.alias(c) for c in ("times", "levels", "pairs")])
-    exact = summed.where("chunk IS NOT NULL").select("chunk", "bucket", *[empty.alias(c) for c in ("keys", "held", "counts", "codes", "hashes")], "times", "levels", "pairs")
+    exact = probed.select("chunk", "bucket", *[empty.alias(c) for c in ("keys", "held", "counts", "codes", "hashes")], "times", "levels", "pairs")
     both = coded.unionByName(exact).repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "bucket")
     fields = f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return map_arrow(both, work, fields).withColumnRenamed("key", key)
