@@ -8,14 +8,20 @@ survives is counted.  Distinct pre-tokens of a task are merged once.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tensio.llm.batches import text_buffer, with_results
 
-#: Pre-tokens whose counts a task keeps; beyond it the memory is emptied and filled anew.
-MEMORY = 1_000_000
+#: Bytes of pre-tokens whose counts a task keeps (with what an entry costs besides its text);
+#: beyond it the memory is emptied and filled anew.
+MEMORY_BYTES = 128 << 20
+ENTRY_BYTES = 128
+#: Sequences of more symbols are merged by rank buckets, which look at changed places only.
+LONG_SYMBOLS = 1024
 #: Symbols merged together in one pass.
 CHUNK_SYMBOLS = 1 << 20
 _MARK = "▁"  # stands for a space inside pieces
@@ -121,6 +127,69 @@ def merge(table: PieceTable, symbols: np.ndarray, sizes: np.ndarray, weights: np
     return tokens
 
 
+def merge_long(table: PieceTable, symbols: np.ndarray, sizes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """As ``merge``, for long sequences: symbols stay in place as a linked list, and the places of each
+    rank wait in a bucket.  The lowest rank of all sequences goes next, in all of them at once; only
+    the pairs beside a merge are looked up again, so the work follows the merges.
+    """
+    n = len(symbols)
+    ends = np.cumsum(sizes)
+    start = ends - sizes
+    last = np.zeros(n + 1, bool)
+    last[ends - 1] = True
+    after, before = np.arange(1, n + 1), np.arange(-1, n)  # one more place behind the last
+    alive = np.ones(n, bool)
+    symbols = symbols.copy()
+    rank, whole = np.full(n, _NONE), np.zeros(n, np.int32)
+    buckets: dict[int, list[np.ndarray]] = {}
+    queue: list[int] = []
+
+    def look(places: np.ndarray) -> None:
+        rank[places] = _NONE
+        inner = places[~last[places]]
+        rank[inner], whole[inner] = table.look_up(symbols[inner], symbols[after[inner]])
+        inner = inner[rank[inner] != _NONE]
+        order = inner[np.argsort(rank[inner], kind="stable")]
+        cuts = np.flatnonzero(np.diff(rank[order])) + 1
+        for part in np.split(order, cuts) if len(order) else ():
+            wait(int(rank[part[0]]), part)
+
+    def wait(r: int, places: np.ndarray) -> None:
+        if r not in buckets:
+            buckets[r] = []
+            heapq.heappush(queue, r)
+        buckets[r].append(places)
+
+    look(np.arange(n))
+    while queue:
+        r = heapq.heappop(queue)
+        hit = np.unique(np.concatenate(buckets.pop(r)))
+        hit = hit[alive[hit] & (rank[hit] == r)]
+        if not len(hit):
+            continue
+        if table.stepwise[r]:
+            # One at a time in each sequence, from the left; the others wait.
+            owner = np.searchsorted(start, hit, side="right")
+            first = np.concatenate([[True], owner[1:] != owner[:-1]])
+            if not first.all():
+                wait(r, hit[~first])
+            hit = hit[first]
+        else:
+            run = np.concatenate([[True], hit[1:] != after[hit[:-1]]])
+            begin = np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
+            hit = hit[(np.arange(len(hit)) - begin) % 2 == 0]
+        gone = after[hit]
+        symbols[hit] = whole[hit]
+        alive[gone] = False
+        last[hit] |= last[gone]
+        after[hit] = after[gone]
+        before[after[hit]] = hit
+        left = before[hit]
+        left = left[left >= 0]
+        look(np.unique(np.concatenate([hit, left[~last[left]]])))
+    return np.add.reduceat(np.where(alive, weights, 0), start)
+
+
 def _pretokens(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """Pre-tokens of all texts, each text with one space put before it, and their count per text.
 
@@ -167,7 +236,15 @@ def _count(table: PieceTable, words: list[bytes]) -> np.ndarray:
         symbols = np.where(known, table.char_ids[at], -1).astype(np.int32)
         octets = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
         # A merged symbol keeps its left part's weight, which is 1 for every piece.
-        out[start:stop] = merge(table, symbols, sizes, np.where(known, 1, octets))
+        weights = np.where(known, 1, octets)
+        long = sizes > LONG_SYMBOLS
+        spread = np.repeat(long, sizes)
+        counts = np.zeros(len(sizes), np.int64)
+        if long.any():
+            counts[long] = merge_long(table, symbols[spread], sizes[long], weights[spread])
+            symbols, weights = symbols[~spread], weights[~spread]
+        counts[~long] = merge(table, symbols, sizes[~long], weights)
+        out[start:stop] = counts
         start = stop
     return out
 
@@ -176,21 +253,25 @@ def with_token_counts(df: DataFrame, model_path: str, text: str = "text", keep:
     """``keep`` columns (default: all but ``text``), ``n_bytes`` and ``n_tokens``.
 
     ``model_path`` names a BPE piece model with byte fallback and identity normalisation,
-    readable on every worker.  NULL and empty texts have 0 tokens.  One pass, no shuffle.
+    readable on every worker.  NULL and empty texts have 0 tokens.  One pass, no shuffle.  A
+    text without spaces is one sequence; its time grows with its length, not with its square.
     Input columns named like a result are left out.
     """
 
     def start():
-        table, memory = PieceTable(model_path), {}
+        table, memory, held = PieceTable(model_path), {}, 0
 
         def compute(texts: pa.Array) -> list[pa.Array]:
+            nonlocal held
             data, offsets = text_buffer(texts)
             tokens, counts = _pretokens(data, offsets)
             coded = tokens.dictionary_encode()
             words = coded.dictionary.to_pylist()
-            if len(memory) > MEMORY:
+            if held > MEMORY_BYTES:
                 memory.clear()
+                held = 0
             new = [w for w in words if w not in memory]
+            held += sum(map(len, new)) + ENTRY_BYTES * len(new)
             memory.update(zip(new, _count(table, new).tolist(), strict=True))
             each = np.fromiter((memory[w] for w in words), np.int64, len(words))
             run = np.concatenate([[0], np.cumsum(each[coded.indices.to_numpy()])]) if len(words) else np.zeros(1, np.int64)

@@ -70,3 +70,46 @@ def test_other_tokenizer_files_see_whole_texts():
     ids, counts = encoder.encode(pa.array([*texts, None]))
     assert not encoder.apart and counts[-1] == 0
     assert ids.tolist() == [i for e in library.encode_batch(texts, add_special_tokens=False) for i in e.ids]
+
+
+def test_long_sequences_equal_the_library():
+    """Texts without spaces: letters, characters beyond ASCII, repeats; also many of them at once."""
+    import random
+    import time
+
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+    import sentencepiece
+
+    from tensio.llm import piece_counts as P
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, table = sentencepiece.SentencePieceProcessor(model_file=path), P.PieceTable(path)
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)) for n in (1500, 4000, 20_000)]
+    texts += ["the" * 3000, "a" * 5001, "=" * 2000, "".join(rng.choices("梦想家的é日本語한", k=3000)), "".join(rng.choices("etaoin ", k=4000)), "x" * 1025 + "é" * 1030]
+    data, offsets = P.text_buffer(pa.array(texts))
+    tokens, counts = P._pretokens(data, offsets)
+    each = P._count(table, tokens.to_pylist())
+    edge = np.concatenate([[0], np.cumsum(counts)])
+    run = np.concatenate([[0], np.cumsum(each)])
+    assert (run[edge[1:]] - run[edge[:-1]]).tolist() == [len(library.encode(t)) for t in texts]
+    start = time.time()
+    P._count(table, [b" " + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=300_000)).encode()])
+    assert time.time() - start < 20
+
+
+def test_memory_is_bounded_by_bytes(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+
+    from tensio.llm import token_ids
+
+    monkeypatch.setattr(token_ids, "MEMORY_BYTES", 100_000)
+    encoder = token_ids.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for i in range(20):
+        texts = ["".join(chr(0x4E00 + (i * 7919 + j * 31 + k) % 8000) for k in range(700)) for j in range(10)]
+        ids, counts = encoder.encode(pa.array(texts))
+        assert len(ids) == counts.sum() and encoder.held < 400_000
+        assert counts.tolist() == [len(encoder.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
