@@ -18,8 +18,10 @@ import regex
 
 from tensio.llm.batches import text_buffer
 
-#: Pieces whose ids a worker keeps; beyond it the memory is emptied and filled anew.
-MEMORY = 400_000
+#: Bytes of pieces and ids that a worker keeps (with what an entry costs besides); beyond it the
+#: memory is emptied and filled anew, so it never passes this by more than one slice of texts.
+MEMORY_BYTES = 80 << 20
+ENTRY_BYTES = 160
 
 _CUT_LETTER = np.zeros(256, bool)
 _CUT_LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -69,12 +71,14 @@ class Encoder:
 
     def _reset(self) -> None:
         self.place.clear()
+        self.held = 0
         self.known, self.size, self.begin = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, pieces: list[bytes]) -> None:
         got = self._encode(pieces)
         size = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))
+        self.held += sum(map(len, pieces)) + ENTRY_BYTES * len(pieces) + flat.nbytes
         self.place.update(zip(pieces, range(len(self.size), len(self.size) + len(got)), strict=True))
         self.begin = np.concatenate([self.begin, len(self.known) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
@@ -150,7 +154,7 @@ class Encoder:
         pieces = pa.Array.from_buffers(pa.large_binary(), len(places), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
         coded = pieces.dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.place) > MEMORY:
+        if self.held > MEMORY_BYTES:
             self._reset()
         new = [w for w in words if w not in self.place]
         if new:
