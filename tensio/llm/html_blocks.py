@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 #: Fixed values of the language: elements whose content is never page text (those of the first kind
@@ -39,12 +40,60 @@ _PARTS = re.compile(r"[a-z]+")
 _EDGES = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])", re.IGNORECASE) for tag in _CLOSED.split("|")}
 
 
+class Path:
+    """Open elements, outermost first, each as its tag and the words of its names.
+
+    Every path is one element behind its parent's path, so the paths of a page take as much
+    room as the page has elements, however deep they nest.  Equal to a tuple of its elements.
+    """
+
+    __slots__ = ("parent", "element", "depth", "code", "marks")
+
+    def __init__(self, parent: Path | None, element: tuple[str, ...]):
+        self.parent, self.element = parent, element
+        self.depth = parent.depth + 1 if parent else 1
+        self.code = hash((parent.code if parent else 0, element))
+        self.marks: int | None = None  # for the labeller
+
+    def chain(self) -> list[Path]:
+        """The paths of all open elements, outermost first."""
+        out, at = [], self
+        while at is not None:
+            out.append(at)
+            at = at.parent
+        return out[::-1]
+
+    def __iter__(self):
+        return (p.element for p in self.chain())
+
+    def __getitem__(self, i):
+        return tuple(self)[i]
+
+    def __len__(self) -> int:
+        return self.depth
+
+    def __hash__(self) -> int:
+        return self.code
+
+    def __eq__(self, other) -> bool:
+        if isinstance(other, Path):
+            a, b = self, other
+            if a.code != b.code or a.depth != b.depth:
+                return False
+            while a is not b:
+                if a.element != b.element:
+                    return False
+                a, b = a.parent, b.parent
+            return True
+        return tuple(self) == other
+
+
 @dataclass
 class Block:
-    """``path``: the open elements, outermost first, each as its tag and the words of its names."""
+    """A text with the elements open around it and how much of it is in links."""
 
     text: str
-    path: tuple[tuple[str, ...], ...]
+    path: Path | tuple[tuple[str, ...], ...]
     link_chars: int
 
 
@@ -70,7 +119,8 @@ def _own_ends(page: str, tag: str) -> dict[int, int]:
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order: references decoded, white space made one space, trimmed."""
     out: list[Block] = []
-    stack: list[tuple[str, ...]] = []
+    stack: list[Path] = []
+    opened: Counter[str] = Counter()  # tags of the stack
     parts: list[str] = []
     links, linked = 0, 0
 
@@ -79,7 +129,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, tuple(stack), links))
+                out.append(Block(text, stack[-1] if stack else (), links))
             parts.clear()
         links = 0
 
@@ -120,9 +170,10 @@ def blocks(page: str) -> list[Block]:
                 continue
             flush()
             linked = 0
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+            while opened[tag]:
+                top = stack.pop().element[0]
+                opened[top] -= 1
+                if top == tag:
                     break
             continue
         if tag == "a":
@@ -132,12 +183,13 @@ def blocks(page: str) -> list[Block]:
         if tag in _INLINE or tag == "br":
             continue
         flush()
-        if tag in _CLOSES_P and stack and stack[-1][0] == "p":
-            stack.pop()
+        if tag in _CLOSES_P and stack and stack[-1].element[0] == "p":
+            opened[stack.pop().element[0]] -= 1
         ends = _ENDS.get(tag)
-        if ends and stack and stack[-1][0] in ends:
-            stack.pop()
+        if ends and stack and stack[-1].element[0] in ends:
+            opened[stack.pop().element[0]] -= 1
         if tag not in _VOID and not m["attributes"].endswith("/"):
-            stack.append((tag, *_words_of(m["attributes"])))
+            stack.append(Path(stack[-1] if stack else None, (tag, *_words_of(m["attributes"]))))
+            opened[tag] += 1
     flush()
     return out

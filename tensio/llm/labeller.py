@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from tensio.llm import words as W
-from tensio.llm.html_blocks import Block
+from tensio.llm.html_blocks import Block, Path
 
 PATH = 512
 WORDS = 32
@@ -22,18 +22,40 @@ WIDTH = PATH + WORDS + MEASURES
 HIDDEN = 20
 
 
-def _path_features(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
-    """Hashed names: every open element's tag and name words, the innermost once more as such."""
-    names = [n for element in path for n in (element[0], *["." + w for w in element[1:]])]
-    if path:
-        names += ["^" + n for n in path[-1]]
-    out = np.zeros(PATH, np.float32)
-    for n in set(names):  # two places each, so that no name shares all of its places by chance
+def _marks(names: set[str]) -> int:
+    """Two places for each name, so that no name shares all of its places by chance, as bits."""
+    out = 0
+    for n in names:
         code = zlib.crc32(n.encode())
-        out[code % PATH] = out[code // PATH % PATH] = 1
+        out |= 1 << code % PATH | 1 << code // PATH % PATH
     return out
 
 
+def _element_names(element: tuple[str, ...]) -> set[str]:
+    return {element[0], *("." + w for w in element[1:])}
+
+
+def _path_features(path: Path | tuple[tuple[str, ...], ...]) -> np.ndarray:
+    """Hashed names: every open element's tag and name words, the innermost once more as such."""
+    marks = 0
+    if isinstance(path, Path):
+        node, new = path, []
+        while node is not None and node.marks is None:
+            new.append(node)
+            node = node.parent
+        for n in reversed(new):  # each element is hashed once, however many paths lead through it
+            n.marks = _marks(_element_names(n.element)) | (n.parent.marks if n.parent else 0)
+        marks = path.marks
+    else:
+        for element in path:
+            marks |= _marks(_element_names(element))
+    if len(path):
+        last = path.element if isinstance(path, Path) else path[-1]
+        marks |= _marks({"^" + n for n in last})
+    bits = np.frombuffer(marks.to_bytes(-(-PATH // 8), "little"), np.uint8)
+    return np.unpackbits(bits, count=PATH, bitorder="little").astype(np.float32)
+
+
 def features(pages: list[list[Block]], cache: dict) -> np.ndarray:
     """One row per block of all pages; ``cache`` keeps the features of paths met before."""
     n = sum(map(len, pages))
@@ -41,7 +63,7 @@ def features(pages: list[list[Block]], cache: dict) -> np.ndarray:
     flat = [b for page in pages for b in page]
     if not flat:
         return out
-    if len(cache) > 50_000:
+    if len(cache) > 20_000:
         cache.clear()
     for i, b in enumerate(flat):
         row = cache.get(b.path)

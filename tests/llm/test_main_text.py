@@ -117,3 +117,24 @@ def test_hidden_elements_end_where_they_end():
     assert texts("a<math/>b") == ["ab"]
     for tag in ("script", "style", "title", "textarea"):
         assert texts(f"a<{tag}>no<p>no") == ["a"]
+
+
+def test_deep_pages_take_room_in_proportion():
+    """Every element opens inside the one before it: paths share their elements."""
+    import tracemalloc
+
+    from tensio.llm.labeller import _path_features
+
+    peak = {}
+    for n in (2_000, 8_000):
+        tracemalloc.start()
+        page = blocks("<div class=a>x" * n + "</p>" * n + "<p>y</div>" * 3)
+        assert len(page) == n + 3 and len(page[n - 1].path) == n and page[1].path == (("div", "a"), ("div", "a"))
+        rows = [_path_features(b.path).sum() for b in page[:: n // 10]]
+        assert len(set(rows)) <= 2
+        peak[n] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert peak[8_000] < 6 * peak[2_000]
+    same = blocks("<div><p>a</p></div><div><p>b</p></div>")
+    assert same[0].path == same[1].path and hash(same[0].path) == hash(same[1].path)
+    assert (_path_features(same[0].path) == _path_features((("div",), ("p",)))).all()
