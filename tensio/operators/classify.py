@@ -23,7 +23,7 @@ from tensio.operators.encode import vocabulary
 from tensio.operators.evaluate import argmax_first
 
 
-def _weight_column(label: str, weights: Mapping[int, float]):
+def weight_column(label: str, weights: Mapping[int, float]):
     expr = None
     for cls, w in weights.items():
         expr = F.when(F.col(label) == cls, F.lit(float(w))) if expr is None else expr.when(F.col(label) == cls, F.lit(float(w)))
@@ -46,7 +46,7 @@ def train_classifier(
     """
     # at most max_words - 1 words, with the vocabulary's own tie rule
     words = [r["word"] for r in vocabulary(train, text_col, max_words).orderBy("id").collect()]
-    data = train.select(text_col, F.col(label).cast("double").alias("_y"), _weight_column(label, weights).alias("_w"))
+    data = train.select(text_col, F.col(label).cast("double").alias("_y"), weight_column(label, weights).alias("_w"))
     stages = [
         RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=" ", toLowercase=True),
         CountVectorizerModel.from_vocabulary(words or [""], inputCol="_tokens", outputCol="_features"),

@@ -5,17 +5,17 @@ frequent, ties by word).  Its size is bounded by ``max_words``, which is what ma
 single-partition numbering and the broadcast to executors safe.  It is fitted once and
 then reused (it is not re-fitted on the texts being encoded).
 
-Token → id mapping is a dictionary lookup per token.  Exploding every token and joining
-would shuffle every token of the corpus to regroup the sequences; instead the bounded
-vocabulary is broadcast and an Arrow-batched pandas UDF maps each row's token array in
-place (no shuffle).
+Exploding every token and joining would shuffle every token of the corpus to regroup the
+sequences; instead the bounded vocabulary is broadcast and an Arrow function looks up the
+distinct tokens of each batch at once and rebuilds the rows from their offsets (no shuffle, no
+Python loop over tokens).
 """
 
 from __future__ import annotations
 
-from itertools import islice
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
@@ -50,18 +50,29 @@ def vocabulary(df: DataFrame, text_col: str, max_words: int = MAX_WORDS) -> Data
     return counts.withColumn("id", rank.cast("int"))
 
 
+def ids_of(tokens: pa.ListArray, words: pa.Array, limit: int | None = None) -> pa.ListArray:
+    """Ids of the known words of each row, in order: ``words[i]`` has id ``i + 1``, others go.
+
+    The distinct tokens of a batch are looked up once, whatever the rows hold.
+    """
+    lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy().astype(np.int64)
+    flat = tokens.flatten().dictionary_encode()
+    table = pc.fill_null(pc.add(pc.index_in(flat.dictionary, value_set=words), pa.scalar(1, pa.int32())), 0).to_numpy()
+    codes = pc.fill_null(flat.indices, -1).to_numpy()
+    ids = np.append(table, 0)[codes]  # -1 (a NULL token) reads the 0 at the end
+    known = ids > 0
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    if limit is not None:
+        upto = np.concatenate([[0], np.cumsum(known)])
+        known &= upto[1:] - upto[np.concatenate([[0], np.cumsum(lengths)[:-1]])][owner] <= limit if len(owner) else known
+    ends = np.concatenate([[0], np.cumsum(np.bincount(owner[known], minlength=len(lengths)))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids[known], pa.int32()))
+
+
 def _mapper(bc, limit: int | None = None):
-    @F.pandas_udf(TY.ArrayType(TY.IntegerType()))
-    def to_ids(tokens: pd.Series) -> pd.Series:
-        vocab = bc.value
-        out = []
-        for arr in tokens:
-            if arr is None:
-                out.append([])
-                continue
-            ids = (vocab[w] for w in arr if w in vocab)
-            out.append(list(ids if limit is None else islice(ids, limit)))
-        return pd.Series(out)
+    @F.arrow_udf(TY.ArrayType(TY.IntegerType()))
+    def to_ids(tokens: pa.Array) -> pa.Array:
+        return ids_of(tokens, bc.value, limit)
 
     return to_ids
 
@@ -73,9 +84,10 @@ def sequences(df: DataFrame, text_col: str, vocab: DataFrame, out: str = "seq",
     rows = vocab.filter(F.col("id") < F.lit(max_words)).select("word", "id").limit(max_words).collect()
     if len(rows) >= max_words:
         raise ValueError(f"vocabulary has {len(rows)} entries, more than max_words={max_words}")
-    table = {r["word"]: int(r["id"]) for r in rows}
-    bc = share(df.sparkSession, table)
-    return df.withColumn(out, _mapper(bc, limit)(T.keras_tokens(text_col)))
+    by_id = {int(r["id"]): r["word"] for r in rows}
+    # Ids without a word (in a vocabulary with gaps) hold NULL, which no token equals.
+    words = pa.array([by_id.get(i) for i in range(1, max(by_id, default=0) + 1)], pa.string())
+    return df.withColumn(out, _mapper(share(df.sparkSession, words), limit)(T.keras_tokens(text_col)))
 
 
 def pad(seq: Column | str, max_len: int = MAX_LEN, value: int = 0) -> Column:

@@ -19,10 +19,12 @@ def argmax_first(probs: Sequence[Column]) -> Column:
     return (F.array_position(arr, F.array_max(arr)) - 1).cast("int")
 
 
-def prediction_record(df: DataFrame, text: str, probs: Sequence[str]) -> DataFrame:
-    """``Text, Predicted_Sentiment, Confidence_Score`` and the three named probabilities."""
+def prediction_record(df: DataFrame, text: str, probs: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """``Text, Predicted_Sentiment, Confidence_Score`` and the three named probabilities, behind the
+    columns ``keep``."""
     p = [F.col(c) for c in probs]
     return df.select(
+        *keep,
         F.col(text).alias("Text"),
         argmax_first(p).alias("Predicted_Sentiment"),
         F.greatest(*p).alias("Confidence_Score"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tensio.functions import text as T
 from tensio.functions.lexicons import TOPIC_KEYWORDS, TOPIC_LABELS
+from tensio.operators.partitioning import materialize
 
 
 def keyword_table(spark: SparkSession, topics: Mapping[str, Sequence[str]] = TOPIC_KEYWORDS) -> DataFrame:
@@ -48,6 +49,32 @@ def topic_keyword_counts(df: DataFrame, text_col: str, topics: Mapping[str, Sequ
     return keyword_hits(df, text_col, topics).groupBy("topic", "keyword").agg(F.count(F.lit(1)).alias("hits"))
 
 
+def keyword_bag(df: DataFrame, text_col: str, order: Sequence[str], topics: Mapping[str, Sequence[str]] = TOPIC_KEYWORDS) -> DataFrame:
+    """``topic, ordinal, keyword``: every hit of a topic, repeats included, in the order of the rows
+    (``order``, NULL first) and of the words within a row; ``ordinal`` runs from 1 in each topic.
+
+    No list is collected: the hits are dealt to ranges of (topic, order, place), ordered within
+    each, and numbered from the hits of the ranges before, so a topic of any size is spread over
+    as many tasks as its hits need.  The ordered hits are written once.
+    """
+    spark = df.sparkSession
+    vocab = sorted({w for words in topics.values() for w in words})
+    keys = [f"_k{i}" for i in range(len(order))]
+    rows = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(order, keys, strict=True)], F.posexplode(T.tokenize_words(text_col)).alias("_place", "keyword"))
+    hits = rows.where(F.col("keyword").isin(vocab)).join(F.broadcast(keyword_table(spark, topics)), "keyword").select("topic", *keys, "_place", "keyword")
+    ranged = hits.repartitionByRange("topic", *keys, "_place").sortWithinPartitions("topic", *keys, "_place")
+    within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    placed = materialize(ranged.select("topic", "keyword", F.spark_partition_id().alias("_range"), within.alias("_at")))
+    # One row for each topic of each range.
+    sums = placed.groupBy("_range", "topic").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first")).collect()
+    starts, met = [], {}
+    for r in sorted(sums, key=lambda r: r["_range"]):
+        starts.append((r["_range"], r["topic"], met.get(r["topic"], 0) - r["first"] + 1))
+        met[r["topic"]] = met.get(r["topic"], 0) + r["n"]
+    offsets = spark.createDataFrame(starts, "_range int, topic string, _offset long")
+    return placed.join(F.broadcast(offsets), ["_range", "topic"]).select("topic", (F.col("_at") + F.col("_offset")).alias("ordinal"), "keyword")
+
+
 def topic_share(
     df: DataFrame,
     text_col: str,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tensio.functions import text as T
 from tensio.functions.lexicons import MAX_LEN, PROFILE_V2
 from tensio.functions.numeric import round_places
-from tensio.operators import cleaning, corpus, encode, evaluate, sampling, sentiment, topics
+from tensio.operators import cleaning, corpus, encode, evaluate, quantiles, sampling, sentiment, topics
 from tensio.operators.cleaning import CLEAN, SCORE
 from tensio.operators.partitioning import materialize
 from tensio.plans import flows
@@ -403,7 +403,60 @@ def q_classifier_checks(spark, sf):
     return total.select("scored_rows", "test_rows", "wrong_sums", "wrong_argmax", (F.col("right") > F.col("majority")).alias("beats_majority"))
 
 
+def q_platform_models(spark, sf):
+    """One model per platform, trained together: what must hold of each (rows, probabilities, the
+    first largest wins, the pass budget, and that the weights of the least validation loss stayed)."""
+    from tensio.operators.grouped_classifier import MAX_PASSES
+    from tensio.plans.sentiment_flow import run_platforms
+
+    run = run_platforms(flows.labelled_platforms(spark, sf), "key")
+    p = [F.col("p0"), F.col("p1"), F.col("p2")]
+    largest = F.greatest(*p)
+    first = F.when(p[0] == largest, 0).when(p[1] == largest, 1).otherwise(2)
+    tested = run.test.groupBy("platform").agg(
+        F.count(F.lit(1)).alias("test_rows"),
+        F.count_if(F.abs(p[0] + p[1] + p[2] - 1) > 1e-6).alias("wrong_sums"),
+        F.count_if((F.col("predicted") != first) | (F.col("confidence") != largest)).alias("wrong_argmax"),
+        F.sum(-F.log(F.element_at(F.array(*p), F.col("sentiment") + 1)) * F.when(F.col("sentiment") == 2, 1.2).otherwise(1.0)).alias("loss"),
+        F.sum(F.when(F.col("sentiment") == 2, 1.2).otherwise(1.0)).alias("weight"),
+    )
+    trained = run.train.groupBy("platform").agg(F.count(F.lit(1)).alias("trained_rows"))
+    history = flows.training_history(spark, run.model).groupBy("platform").agg(F.min("validation_loss").alias("least"), F.max("pass").alias("passes"))
+    out = tested.join(trained, "platform").join(history, "platform")
+    kept = F.abs(F.col("loss") / F.col("weight") - F.col("least")) < 1e-9
+    return out.select("platform", "trained_rows", "test_rows", "wrong_sums", "wrong_argmax", (F.col("passes") <= MAX_PASSES).alias("within_budget"), kept.alias("best_kept"))
+
+
+def q_platform_accuracy(spark, sf):
+    """Accuracy of each platform's own model on its test fold."""
+    from tensio.plans.sentiment_flow import run_platforms
+
+    return run_platforms(flows.labelled_platforms(spark, sf), "key").accuracy
+
+
+def q_training_history(spark, sf):
+    """Training and validation loss of each platform's model, pass by pass."""
+    from tensio.plans.sentiment_flow import run_platforms
+
+    return flows.training_history(spark, run_platforms(flows.labelled_platforms(spark, sf), "key").model)
+
+
+def q_keyword_bag(spark, sf):
+    return topics.keyword_bag(flows.texts(spark, sf, "documents"), "text", ["doc_id"], DEMO_TOPICS)
+
+
+def q_describe_prices(spark, sf):
+    """A column whose values nearly all differ."""
+    d = quantiles.describe_column(read_table(spark, sf, "lineitem").select("l_extendedprice"), "l_extendedprice")
+    return d.select("count", *[round_places(c, 4).alias(c) for c in ("mean", "std")], "min", *[round_places(c, 4).alias(c) for c in ("p25", "p50", "p75")], "max")
+
+
 QUERIES: dict[str, Query] = {
+    "platform_models": q_platform_models,
+    "platform_accuracy": q_platform_accuracy,
+    "training_history": q_training_history,
+    "keyword_bag": q_keyword_bag,
+    "describe_prices": q_describe_prices,
     "clean_text": q_clean_text,
     "strip_urls": q_strip_urls,
     "terms_found": q_terms_found,

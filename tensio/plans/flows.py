@@ -76,10 +76,10 @@ def balanced_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def platform_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prediction records (stand-in probabilities) for two platforms, with ``Platform``."""
+    """Prediction records (stand-in probabilities) for the three platforms, with ``Platform``."""
     out = None
     tables = dict(platform_posts(spark, sf_dir))
-    for name, key_expr in (("documents", F.col("k1")), ("conversations", F.col("k1") * 1000 + F.col("k2"))):
+    for name, key_expr in (("documents", F.col("k1")), ("conversations", F.col("k1") * 1000 + F.col("k2")), ("benchmark", F.col("k1"))):
         posts = tables[name]
         prepared = corpus.prepare_corpus([(name, posts)], "text", ["k1", "k2"]).withColumn("_key", key_expr)
         rec = evaluate.prediction_record(standin_probabilities(prepared, "_key"), CLEAN, ["p0", "p1", "p2"])
@@ -88,6 +88,22 @@ def platform_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def labelled_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``platform, key, cleaned_text, sentiment`` of all three platforms, each prepared by itself."""
+    out = None
+    for name, posts in platform_posts(spark, sf_dir):
+        prepared = corpus.prepare_corpus([(name, posts)], "text", ["k1", "k2"])
+        keyed = prepared.select(F.lit(name).alias("platform"), F.concat_ws(":", F.lit(name), "k1", "k2").alias("key"), CLEAN)
+        out = keyed if out is None else out.unionByName(keyed)
+    return sentiment.label_posts(out, demo_lexicon(spark), "key").select("platform", "key", CLEAN, "sentiment")
+
+
+def training_history(spark: SparkSession, model) -> DataFrame:
+    """One row for each platform and pass."""
+    rows = [(g, n, a, v, b) for g, n, a, v, b in model.history]
+    return spark.createDataFrame(rows, "platform string, pass int, train_loss double, validation_loss double, best_so_far boolean")
+
+
 def encoded_documents(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
     """Corpus with ``seq`` (token ids over the corpus vocabulary); the corpus is written
     once because both the vocabulary fit and the encoding read it."""

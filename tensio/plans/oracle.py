@@ -178,11 +178,15 @@ def _platform_corpus(table: str, k1: str, k2: str) -> str:
 
 PLATFORM_RECORDS = f"""pd AS {_platform_corpus('documents', 'doc_id', '0::BIGINT')},
 pc AS {_platform_corpus('conversations', 'conv_id', 'turn')},
+pb AS {_platform_corpus('benchmark', 'item_id', '0::BIGINT')},
 ppd AS (SELECT cleaned_text, {standin_sql('k1')} FROM pd),
 ppc AS (SELECT cleaned_text, {standin_sql('(k1 * 1000 + k2)')} FROM pc),
+ppb AS (SELECT cleaned_text, {standin_sql('k1')} FROM pb),
 recs AS (SELECT cleaned_text AS "Text", {PRED_COLS}, 'documents' AS "Platform" FROM ppd
          UNION ALL
-         SELECT cleaned_text AS "Text", {PRED_COLS}, 'conversations' AS "Platform" FROM ppc)"""
+         SELECT cleaned_text AS "Text", {PRED_COLS}, 'conversations' AS "Platform" FROM ppc
+         UNION ALL
+         SELECT cleaned_text AS "Text", {PRED_COLS}, 'benchmark' AS "Platform" FROM ppb)"""
 
 
 def topic_share_sql(
@@ -296,7 +300,37 @@ held AS (SELECT count(*) AS rows FROM split WHERE fold = 'test')
 SELECT resized.rows + held.rows AS scored_rows, held.rows AS test_rows, 0::BIGINT AS wrong_sums, 0::BIGINT AS wrong_argmax,
   true AS beats_majority FROM resized, held"""
 
+PLATFORM_CORPORA = " UNION ALL ".join(
+    f"SELECT '{name}' AS platform, concat_ws(':', '{name}', k1::VARCHAR, k2::VARCHAR) AS key, cleaned_text FROM {_platform_corpus(name, k1, k2)}"
+    for name, k1, k2 in (("documents", "doc_id", "0::BIGINT"), ("conversations", "conv_id", "turn"), ("benchmark", "item_id", "0::BIGINT"))
+)
+#: Rows that each platform's model must have been trained and tested on; the rest must hold of any model.
+PLATFORM_MODELS = f"""WITH corpus AS ({PLATFORM_CORPORA}),
+{LEXICON},
+tok AS (SELECT key, unnest(string_split(cleaned_text, ' ')) AS word FROM corpus),
+sums AS (SELECT key, sum(pu) AS sp, sum(su) AS ss, count(*) AS n FROM tok JOIN lex USING (word) GROUP BY key),
+scored AS (SELECT c.platform, c.key, coalesce({mean_micro_sql("sp", "n")}, 0.0::DOUBLE) AS polarity, coalesce({mean_micro_sql("ss", "n")}, 0.0::DOUBLE) AS subjectivity
+           FROM corpus c LEFT JOIN sums USING (key)),
+labelled AS (SELECT platform, CASE WHEN polarity > 0.1::DOUBLE THEN 0 WHEN polarity < -0.1::DOUBLE THEN 2
+             WHEN subjectivity < 0.5::DOUBLE AND polarity <= 0.0::DOUBLE THEN 2 ELSE 1 END AS sentiment FROM scored),
+sc AS (SELECT platform, sentiment, count(*) AS n FROM labelled GROUP BY ALL),
+s1 AS (SELECT *, sum(n) OVER (PARTITION BY platform) AS tot FROM sc),
+s2 AS (SELECT *, tot - ceil(0.2::DOUBLE * tot) AS n_train FROM s1),
+s3 AS (SELECT *, (n / tot) * n_train AS cont, floor((n / tot) * n_train) AS fl FROM s2),
+s4 AS (SELECT *, n_train - sum(fl) OVER (PARTITION BY platform) AS need, row_number() OVER (PARTITION BY platform ORDER BY cont - fl DESC, sentiment) AS rk FROM s3),
+sizes AS (SELECT platform, n, fl + CASE WHEN rk <= need THEN 1 ELSE 0 END AS train FROM s4)
+SELECT platform, (greatest(floor(median(train) FILTER (train > 0)), 10) * count(*) FILTER (train > 0))::BIGINT AS trained_rows,
+  sum(n - train)::BIGINT AS test_rows, 0::BIGINT AS wrong_sums, 0::BIGINT AS wrong_argmax, true AS within_budget, true AS best_kept
+FROM sizes GROUP BY platform"""
+
 ORACLE: dict[str, str] = {
+    "platform_models": PLATFORM_MODELS,
+    "keyword_bag": f"""WITH kw(topic, keyword) AS (VALUES {", ".join(f"({q(t)}, {q(w)})" for t, ws in DEMO_TOPICS.items() for w in dict.fromkeys(ws))}),
+tok AS (SELECT doc_id, unnest(s) AS token, generate_subscripts(s, 1) AS place FROM (SELECT doc_id, {tokens_sql('text')} AS s FROM documents))
+SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY doc_id, place) AS ordinal, keyword FROM tok JOIN kw ON token = keyword""",
+    "describe_prices": f"""SELECT count(l_extendedprice) AS count, {round_sql("avg(l_extendedprice::DOUBLE)", 4)} AS mean, {round_sql("stddev_samp(l_extendedprice::DOUBLE)", 4)} AS std,
+  min(l_extendedprice)::DOUBLE AS min, {round_sql("quantile_cont(l_extendedprice::DOUBLE, 0.25)", 4)} AS p25, {round_sql("quantile_cont(l_extendedprice::DOUBLE, 0.5)", 4)} AS p50,
+  {round_sql("quantile_cont(l_extendedprice::DOUBLE, 0.75)", 4)} AS p75, max(l_extendedprice)::DOUBLE AS max FROM lineitem""",
     "coerce_numeric_text": """SELECT l_orderkey, l_linenumber, TRY_CAST(trim(l_quantity::DOUBLE::VARCHAR || CASE l_linenumber % 5 WHEN 0 THEN '' WHEN 1 THEN 'd'
   WHEN 2 THEN 'e2' WHEN 3 THEN '  ' ELSE ' items' END) AS DOUBLE) AS quantity FROM lineitem""",
     "lexicon_sentiment_large": f"WITH {LARGE_LEXICON}",

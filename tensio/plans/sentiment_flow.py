@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensio.functions.lexicons import RANDOM_SEED, TEST_FRACTION
-from tensio.operators import classify, evaluate, sampling, sentiment
+from tensio.operators import classify, evaluate, grouped_classifier, sampling, sentiment
 from tensio.operators.cleaning import CLEAN
 from tensio.operators.partitioning import materialize
 
@@ -65,3 +65,33 @@ def run_sentiment(
     after = sentiment.class_histogram(train if split_before_balance else bal, label).withColumnRenamed("n", "after")
     classes = before.join(after.withColumnRenamed(label, "_c"), F.col(label).eqNullSafe(F.col("_c")), "left").drop("_c")
     return SentimentRun(model, test_pred, records, report, accuracy, classes)
+
+
+@dataclass
+class PlatformRun:
+    model: grouped_classifier.GroupedModel
+    test: DataFrame  # test folds with platform, p0..p2, predicted, confidence
+    predictions: DataFrame  # prediction records with Platform: balanced training rows and test folds
+    accuracy: DataFrame  # platform, test_rows, accuracy
+    train: DataFrame  # the balanced training rows
+
+
+def run_platforms(labelled: DataFrame, key: str, platform: str = "platform", label: str = "sentiment", test_fraction: float = TEST_FRACTION, seed: int = RANDOM_SEED) -> PlatformRun:
+    """Split, balance, train, predict and evaluate every platform, all of them by the same jobs.
+
+    As in the original, the test fold also decides when training stops and which weights stay.
+    ``labelled`` holds ``platform``, ``key`` (unique within it), ``cleaned_text`` and the weak ``label``.
+    """
+    base = materialize(labelled.select(platform, key, CLEAN, label))
+    split = materialize(sampling.split_groups(base, platform, label, key, test_fraction, seed))
+    train = materialize(sampling.balance_groups(split.where("fold = 'train'").drop("fold"), platform, label, key, seed))
+    test = split.where("fold = 'test'").drop("fold").withColumn("replica", F.lit(1))
+    rows = train.withColumn("held_out", F.lit(False)).unionByName(test.withColumn("held_out", F.lit(True)))
+    model = grouped_classifier.train(rows, platform, CLEAN, label, "held_out")
+    scored = materialize(grouped_classifier.predict(model, rows, platform, CLEAN))
+    tested = scored.where("held_out").drop("held_out")
+    records = scored.select(F.col(platform).alias("Platform"), CLEAN, "p0", "p1", "p2")
+    named = evaluate.prediction_record(records, CLEAN, ["p0", "p1", "p2"], keep=["Platform"])
+    right = F.avg((F.col(label) == F.col("predicted")).cast("double"))
+    accuracy = tested.groupBy(platform).agg(F.count(F.lit(1)).alias("test_rows"), right.alias("accuracy"))
+    return PlatformRun(model, tested, named, accuracy, train)
