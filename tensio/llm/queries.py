@@ -103,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: SQL of the same rows, where DuckDB can state them; the others are tested by brute force.
 ORACLE: dict[str, str] = {
+    "op8_substring_dedup": sql.substring_dedup(),
+    "op10_quality_rules": sql.quality_rules(),
     "op11_license_scan": sql.license_scan(),
     "op12_lexical_search": sql.lexical_search(),
     "op13_source_audit": sql.source_audit(),

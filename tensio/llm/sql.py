@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tensio.llm import licenses
+from tensio.llm import licenses, repetition
 from tensio.llm.license_rules import all_rules, spaced
 
 
@@ -108,3 +108,61 @@ ranked AS (
   FROM (SELECT * FROM pairs UNION ALL SELECT * FROM words))
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
 """
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+def substring_dedup(size: int = 35) -> str:
+    """Windows as joined words, counted over all documents; no sketch, no hashes."""
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS row_no, doc_id, {_WORDS} AS words FROM documents),
+windows AS (
+  SELECT row_no, i, array_to_string(words[i : i + {size - 1}], ' ') AS gram
+  FROM (SELECT row_no, words, unnest(generate_series(1, len(words) - {size - 1})) AS i FROM docs WHERE len(words) >= {size})),
+again AS (SELECT row_no, i FROM windows QUALIFY count(*) OVER (PARTITION BY gram) > 1),
+gone AS (SELECT DISTINCT row_no, unnest(generate_series(i, i + {size - 1})) AS i FROM again),
+placed AS (SELECT row_no, unnest(words) AS word, unnest(generate_series(1, len(words))) AS i FROM docs),
+kept AS (
+  SELECT row_no, count(*) AS n_removed_not, string_agg(word, ' ' ORDER BY i) AS rest
+  FROM placed ANTI JOIN gone USING (row_no, i) GROUP BY row_no)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n_removed_not, 0) AS BIGINT) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (row_no)
+"""
+
+
+def quality_rules() -> str:
+    """Every n-gram of every length as joined words; covered words one by one."""
+    sizes = list(repetition.MAX_COVERAGE)
+    covered = ",\n".join(
+        rf"""later{n} AS (
+  SELECT row_no, i FROM (SELECT row_no, i, array_to_string(words[i : i + {n - 1}], ' ') AS gram
+    FROM (SELECT row_no, words, unnest(generate_series(1, len(words) - {n - 1})) AS i FROM docs WHERE len(words) >= {n}))
+  QUALIFY {"count(*) OVER (PARTITION BY row_no, gram) > 1" if n == 3 else "row_number() OVER (PARTITION BY row_no, gram ORDER BY i) > 1"}),
+in{n} AS (SELECT DISTINCT row_no, unnest(generate_series(i, i + {n - 1})) AS i FROM later{n}),
+sum{n} AS (SELECT row_no, {"count(*)" if n == 3 else "CAST(sum(length(word)) AS BIGINT)"} AS v FROM in{n} JOIN placed USING (row_no, i) GROUP BY row_no)"""
+        for n in [3, *sizes]
+    )
+    columns = ", ".join(f"coalesce(sum{n}.v, 0) AS dup_chars_{n}" for n in sizes)
+    joins = " ".join(f"LEFT JOIN sum{n} ON sum{n}.row_no = d.row_no" for n in [3, *sizes])
+    worse = " OR ".join(
+        [f"n_dup_lines > {repetition.MAX_DUP_LINES}::DOUBLE * n_lines", f"dup_line_chars > {repetition.MAX_DUP_LINE_CHARS}::DOUBLE * word_chars"]
+        + [f"dup_chars_{n} > {share}::DOUBLE * word_chars" for n, share in repetition.MAX_COVERAGE.items()]
+    )
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS t, {_WORDS} AS words FROM documents),
+placed AS (SELECT row_no, unnest(words) AS word, unnest(generate_series(1, len(words))) AS i FROM docs),
+chars AS (SELECT row_no, CAST(sum(length(word)) AS BIGINT) AS v FROM placed GROUP BY row_no),
+lines AS (
+  SELECT row_no, line, row_number() OVER (PARTITION BY row_no, line ORDER BY i) > 1 AS dup
+  FROM (SELECT row_no, unnest(l) AS line, unnest(generate_series(1, len(l))) AS i FROM (SELECT row_no, string_split(t, chr(10)) AS l FROM docs))
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+line_sums AS (SELECT row_no, count(*) AS n_lines, count(*) FILTER (dup) AS n_dup_lines, CAST(coalesce(sum(length(line)) FILTER (dup), 0) AS BIGINT) AS dup_line_chars FROM lines GROUP BY row_no),
+{covered},
+measured AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(chars.v, 0) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(dup_line_chars, 0) AS dup_line_chars, coalesce(sum3.v, 0) AS n_repeat_words, {columns}
+  FROM docs d LEFT JOIN chars ON chars.row_no = d.row_no LEFT JOIN line_sums ON line_sums.row_no = d.row_no {joins}),
+judged AS (SELECT *, n_words < {repetition.MIN_WORDS} OR 100 * n_repeat_words > {repetition.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM measured)
+SELECT *, NOT base_failed AND NOT ({worse}) AS kept FROM judged
+"""
