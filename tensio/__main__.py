@@ -16,12 +16,11 @@ import sys
 from pyspark.sql import SparkSession
 
 from tensio.plans import study
+from tensio.session import ensure_checkpoint_dir, stage_scope
 
 
 def _session() -> SparkSession:
     spark = SparkSession.builder.appName("tensio").getOrCreate()
-    from tensio.session import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -53,6 +52,12 @@ def main(argv: list[str] | None = None) -> int:
 
     args = parser.parse_args(argv)
     spark = _session()
+    with stage_scope(spark):  # everything is shown or written to its own place inside
+        _run(spark, args)
+    return 0
+
+
+def _run(spark, args) -> None:
     if args.cmd == "clean":
         inputs = dict(item.split("=", 1) for item in args.sources)
         for layout, result in study.clean_sources(spark, inputs, args.out).items():
@@ -74,7 +79,6 @@ def main(argv: list[str] | None = None) -> int:
         print(f"{study.combine_class_exports(spark, args.out, args.platforms, args.label).count()} rows combined")
     elif args.cmd == "topics":
         study.topic_report(spark, args.path, args.text_col).show(truncate=False)
-    return 0
 
 
 if __name__ == "__main__":

@@ -5,10 +5,15 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_scope: ContextVar[str | None] = ContextVar("tensio_stage_scope", default=None)
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -52,11 +57,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint directory, setting one only when the cluster names none.
+    """Return the folder for stage tables: the reliable checkpoint directory, or the folder of the
+    ``stage_scope`` around the call.  A directory is set only when the cluster names none.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is used as is; it is an
     error if it is unset there.  Only a local master takes a fresh temporary directory.
     """
+    if _scope.get():
+        return _scope.get()
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - Spark Connect: the server's spark.checkpoint.dir applies
@@ -71,3 +79,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="tensio-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[str]:
+    """Stage tables written inside the ``with`` block go to a folder that is deleted at its end.
+
+    Operators write tables that several later steps read, and return frames that read them, so
+    results must be collected or written to their own place inside the block.
+    """
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scope-{uuid.uuid4().hex}"
+    token = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -23,3 +23,23 @@ def test_materialize_is_reliable_and_equal(spark):
 def test_share_gives_value(spark):
     b = P.share(spark, {"a": 1})
     assert b.value == {"a": 1}
+
+
+def test_stage_scope_removes_its_tables(spark):
+    import os
+
+    from tensio.operators import topics
+    from tensio.operators.partitioning import materialize
+    from tensio.session import ensure_checkpoint_dir, stage_scope
+
+    df = spark.createDataFrame([(1, "exam friend exam")], "k long, t string")
+    outside = ensure_checkpoint_dir(spark)
+    with stage_scope(spark) as folder:
+        bag = topics.keyword_bag(df, "t", ["k"], {"school": ["exam"]}).collect()
+        materialize(df)
+        local = folder.removeprefix("file:")
+        assert len(bag) == 2 and len(os.listdir(local)) == 2 and folder.startswith(outside)
+        with stage_scope(spark) as inner:
+            assert materialize(df).count() == 1 and inner.startswith(folder)
+        assert materialize(df).count() == 1
+    assert not os.path.exists(local) and ensure_checkpoint_dir(spark) == outside
