@@ -40,7 +40,7 @@ SCALE = 1_000_000_000
 BLOCK_TERMS = 1024
 TILE = 256
 #: Text bytes counted together.
-COUNT_BYTES = 24 << 20
+COUNT_BYTES = 32 << 20
 #: Size of a bit map (its logarithm); a fuller map lets more through, which is settled later.
 MAP_LOG = 26
 
@@ -320,7 +320,9 @@ def audit(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     candidates = _candidates(numbered, min_docs)
     by_slice = staged(_counted_again(numbered, candidates, min_docs), "chunk-slices")
     kept = staged(_kept_terms(by_slice, candidates, min_docs), "kept-terms")
-    sums = by_slice.groupBy("lang", "source", "chunk").agg(F.sum("occurrences").alias("occurrences"))
+    # Dealt by what the terms are joined on, so the sums need no exchange of their own.
+    dealt = by_slice.select("lang", "source", "chunk", "occurrences").repartition(partitions(df.sparkSession), "lang", "chunk")
+    sums = dealt.groupBy("lang", "source", "chunk").agg(F.sum("occurrences").alias("occurrences"))
     terms = candidates.join(kept, ["lang", "term"], "left_semi").select("lang", "chunk", "term", "times")
     counted = sums.join(terms, ["lang", "chunk"]).groupBy("lang", "source", "term").agg(F.sum(F.col("occurrences") * F.col("times")).alias("count"))
     counts = staged(counted, "term-counts")
