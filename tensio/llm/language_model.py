@@ -39,7 +39,7 @@ BITS_PER_ENTRY = 10
 LEAST_LOG = 16
 #: Segment bytes that one pass broadcasts, text bytes a bucket stands for at most (on average), and
 #: buckets whose rows are written together.
-GROUP_BYTES = 32 << 20
+GROUP_BYTES = 16 << 20
 BUCKET_BYTES = 8 << 20
 FOLDER_BUCKETS = 16
 #: Weight of the unigram prior, in words.
@@ -174,7 +174,7 @@ _SUMMED = "folder int, bucket int, chunk long, times binary, hashes binary, pair
 
 def _summed(dealt: DataFrame) -> DataFrame:
     """Rows with a chunk: the exact corpus counts of its words in this bucket, and its words and
-    bigrams as they came.  Rows without: the bucket's segment of the filter and its figures."""
+    bigrams (48 bits of each are all that the filter asks).  Rows without: the bucket's segment of the filter and its figures."""
     names = [f.split()[0] for f in _SUMMED.split(", ")]
     kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.int32(), *[pa.int64()] * 2]
 
@@ -194,7 +194,7 @@ def _summed(dealt: DataFrame) -> DataFrame:
         out = [(folder, b, None, None, None, None, segment(keys, levels, log).tobytes(), log, int(times.sum()), int(known.sum()))]
         start = 0
         for r, h in zip(rows, own, strict=True):
-            out.append((folder, b, r[1], _planes(times[at[start : start + len(h)]].astype(np.uint64)), r[2], r[4], None, None, 0, 0))
+            out.append((folder, b, r[1], _planes(times[at[start : start + len(h)]].astype(np.uint64)), _sorted_planes(h >> _U(16)), r[4], None, None, 0, 0))
             start += len(h)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
@@ -227,7 +227,7 @@ def filter_passes(segments: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-_PROBED = "bucket int, chunk long, times binary, levels binary, pairs binary"
+_PROBED = "bucket int, chunk long, levels binary, pairs binary"
 
 
 def _probed(summed: DataFrame) -> DataFrame:
@@ -244,11 +244,11 @@ def _probed(summed: DataFrame) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 levels, pairs = [], []
-                for b, hashes, grams in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4)), strict=True):
+                for b, hashes, grams in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
                     bits, log = sent.value[b]
-                    levels.append(_planes(probe(bits, log, 1, _from_sorted(hashes) >> _U(16)).astype(np.uint8)))
+                    levels.append(_planes(probe(bits, log, 1, _from_sorted(hashes)).astype(np.uint8)))
                     pairs.append(_planes(probe(bits, log, 1, _from_sorted(grams)).astype(np.uint8)))
-                columns = [*batch.columns[:3], pa.array(levels, pa.binary()), pa.array(pairs, pa.binary())]
+                columns = [*batch.columns[:2], pa.array(levels, pa.binary()), pa.array(pairs, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _PROBED.split(", ")])
 
         return work
@@ -259,7 +259,7 @@ def _probed(summed: DataFrame) -> DataFrame:
         table = segments.where(mine).toArrow()  # at most GROUP_BYTES, or one segment
         group = {b: (np.frombuffer(bits, np.uint8), log) for b, log, bits in zip(*(table.column(c).to_pylist() for c in ("bucket", "log", "bits")), strict=True)}
         sent = share(spark, group)
-        rows = summed.where(mine & F.col("log").isNull()).select("bucket", "chunk", "times", "hashes", "pairs")
+        rows = summed.where(mine & F.col("log").isNull()).select("bucket", "chunk", "hashes", "pairs")
         map_arrow(rows, probing(sent), _PROBED).write.mode("append").parquet(path)
         if hasattr(sent, "unpersist"):
             sent.unpersist()
@@ -353,8 +353,9 @@ def with_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         return pa.RecordBatch.from_arrays(columns, names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The rows of a chunk follow each other: the chunk first, then its counts bucket by bucket.
-        row, parts = None, []
+        # The rows of a chunk follow each other: the chunk first, then bucket by bucket its exact counts
+        # and what the filter says.
+        row, parts, times = None, [], None
 
         def done() -> pa.RecordBatch:
             exact, levels, pairs = (np.concatenate(p) for p in zip(*parts, strict=True))
@@ -366,14 +367,19 @@ def with_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
                     if row is not None:
                         yield done()
                     row, parts = r, []
+                elif r["times"] is not None:
+                    times = _from_planes(r["times"], np.uint64)
                 else:
-                    parts.append((_from_planes(r["times"], np.uint64), _from_planes(r["levels"], np.uint8), _from_planes(r["pairs"], np.uint8)))
+                    parts.append((times, _from_planes(r["levels"], np.uint8), _from_planes(r["pairs"], np.uint8)))
         if row is not None:
             yield done()
 
     empty = F.lit(None).cast("binary")
     coded = chunks.select("chunk", F.lit(-1).alias("bucket"), "keys", "held", "counts", "codes", "hashes", *[empty.alias(c) for c in ("times", "levels", "pairs")])
-    exact = probed.select("chunk", "bucket", *[empty.alias(c) for c in ("keys", "held", "counts", "codes", "hashes")], "times", "levels", "pairs")
-    both = coded.unionByName(exact).repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "bucket")
+    nothing = [empty.alias(c) for c in ("keys", "held", "counts", "codes", "hashes")]
+    exact = summed.where("chunk IS NOT NULL").select("chunk", "bucket", *nothing, "times", empty.alias("levels"), empty.alias("pairs"))
+    found = probed.select("chunk", "bucket", *nothing, empty.alias("times"), "levels", "pairs")
+    order = ["chunk", "bucket", F.col("times").isNull()]
+    both = coded.unionByName(exact).unionByName(found).repartition(partitions(spark), "chunk").sortWithinPartitions(*order)
     fields = f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return map_arrow(both, work, fields).withColumnRenamed("key", key)
