@@ -123,9 +123,9 @@ def _cuts(df: DataFrame, group: str, wanted: list[tuple], order_tail: Sequence[s
         return {}
     fields = [TY.StructField("_no", TY.IntegerType()), TY.StructField("_limit", TY.LongType()), TY.StructField("_low", TY.StringType()), TY.StructField("_high", TY.StringType())]
     near = _with_class_values(df.select(F.col(group).alias("_own"), HASH, *order_tail), "_own", bands, fields).where(F.col("_no").isNotNull())
-    # Rows below the band become one count per class and task, rows in it stay apart (equal ones together).
+    # Rows below the band (a NULL key is the smallest) become one count per class and task, rows in it stay apart (equal ones together).
     place = F.when(F.col(HASH) >= F.col("_low"), F.struct(HASH, *order_tail))
-    counted = near.where(F.col(HASH) < F.col("_high")).groupBy("_no", "_limit", place.alias("_place")).agg(F.count(F.lit(1)).alias("_n"))
+    counted = near.where((F.col(HASH) < F.col("_high")) | F.col(HASH).isNull()).groupBy("_no", "_limit", place.alias("_place")).agg(F.count(F.lit(1)).alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy("_no").orderBy(F.asc_nulls_first("_place")))
     last = counted.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_limit")) & (F.col("_upto") - F.col("_n") < F.col("_limit")))
     found = {r["_no"]: tuple(r["_place"]) for r in last.select("_no", "_place").collect() if r["_place"] is not None}  # one row per class
@@ -151,7 +151,7 @@ def flag_smallest(df: DataFrame, group: str, sizes: list[tuple], order_tail: Seq
     names = [f"_cut{i}" for i in range(1 + len(order_tail))]
     kinds = [TY.StringType(), *[df.schema[c].dataType for c in order_tail]]
     fields = [TY.StructField("_whole", TY.BooleanType()), *[TY.StructField(n, k) for n, k in zip(names, kinds, strict=True)]]
-    inside = F.when(F.col("_whole"), True).otherwise(F.struct(HASH, *order_tail) <= F.struct(*names))
+    inside = F.when(F.col("_whole"), True).when(F.col("_whole").isNotNull(), F.struct(HASH, *order_tail) <= F.struct(*names))
     out = _with_class_values(df, group, rows, fields)
     return out.withColumn(flag, F.coalesce(inside, F.lit(False))).drop("_whole", *names)
 

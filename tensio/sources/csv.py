@@ -192,7 +192,13 @@ def _counted_by_reader(spark: SparkSession, path: str, sep: str, header: bool, e
 
 def peek_columns(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> list[str]:
     """Column names of a headed file (reads the header only)."""
-    return read_csv(spark, path, sep=sep, encoding=encoding).columns
+    try:
+        names = _reader(spark, sep, True, encoding, True).csv(path).columns
+    except AnalysisException as e:
+        raise SourceError(f"{path}: {e}") from e
+    if not names:
+        raise SourceError(f"{path}: empty file")
+    return [n.lstrip("\ufeff") for n in names]
 
 
 def resolve_column(df: DataFrame, exact: str, substrings: Sequence[str]) -> DataFrame:

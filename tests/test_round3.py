@@ -106,6 +106,13 @@ def test_repeated_keys_miss_the_band_and_are_still_right(spark, monkeypatch):
     assert asked
 
 
+def test_null_keys_come_first(spark):
+    rows = [(None if i < 3 else i, 1) for i in range(3000)] + [(None, 2)]
+    df = spark.createDataFrame(rows, "k long, y int").withColumn(sampling.HASH, sampling.row_hash(42, F.col("k")))
+    got = sampling.flag_smallest(df, "y", [(1, 3000, 100), (2, 1, 0)], ["k"], "f").where("f").collect()
+    assert len(got) == 100 and sum(r.k is None for r in got) == 3 and {r.y for r in got} == {1}
+
+
 def test_many_classes_give_the_same_rows(spark, monkeypatch):
     df = spark.range(4000).select("id", (F.col("id") % 7).cast("int").alias("y"), F.col("id").cast("string").alias("k"))
     few = ({(r.id, r.fold) for r in sampling.stratified_split(df, "y", "k").collect()}, {(r.id, r.replica) for r in sampling.balance_classes(df, "y", "id", min_per_class=900).collect()})
