@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as TY
 
 from tensio.functions.lexicons import MIN_TEXT_LENGTH
-from tensio.operators.cleaning import CLEAN, dedupe_first, with_clean_text
+from tensio.operators import arrow_text
+from tensio.operators.cleaning import CLEAN, dedupe_first
+from tensio.session import ship_package
 
 
 def union_sources(frames: Sequence[tuple[str, DataFrame]], rank_col: str = "source_rank", name_col: str = "platform") -> DataFrame:
@@ -39,6 +43,24 @@ def dedupe_cross_source(df: DataFrame, order: Sequence[str], key: str = CLEAN, r
     return dedupe_first(df, [key], [rank_col, *order])
 
 
+def clean_batches(df: DataFrame, text_col: str, keep: Sequence[str]) -> DataFrame:
+    """``cleaned_text`` and the columns of ``keep``: ``with_clean_text`` a batch at a time.
+
+    Spark lower-cases the text; the rest of the cleaning is numpy passes over a batch's bytes.
+    """
+    ship_package(df.sparkSession)
+    # kept columns pass through under neutral names, so any name will do
+    source = df.select(F.lower(F.col(f"`{text_col}`")).alias("_lowered"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
+    schema = TY.StructType([TY.StructField(CLEAN, TY.StringType()), *source.schema.fields[1:]])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([arrow_text.clean(batch.column(0)), *batch.columns[1:]], names=names)
+
+    return source.mapInArrow(run, schema).select(CLEAN, *[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)])
+
+
 def prepare_corpus(frames: Sequence[tuple[str, DataFrame]], text_col: str, order: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Per source: clean, keep texts longer than 10 chars; then union, drop NULL, dedupe.
 
@@ -50,6 +72,6 @@ def prepare_corpus(frames: Sequence[tuple[str, DataFrame]], text_col: str, order
     prepared = []
     for name, df in frames:
         wanted = [CLEAN, *dict.fromkeys([*order, *keep])]
-        prepared.append((name, min_length(with_clean_text(df, text_col)).select(*[F.col(f"`{c}`") for c in wanted])))
+        prepared.append((name, min_length(clean_batches(df, text_col, wanted[1:]))))
     combined = union_sources(prepared).dropna(subset=[CLEAN])
     return dedupe_cross_source(combined, order)

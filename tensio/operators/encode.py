@@ -13,6 +13,8 @@ Python loop over tokens).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,8 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
 from tensio.functions import text as T
+from tensio.operators import arrow_text
 from tensio.operators.partitioning import materialize, share
 from tensio.functions.lexicons import MAX_LEN, MAX_WORDS
+from tensio.session import ship_package
+
+#: Text bytes whose words are counted together before they are handed on.
+COUNTED_BYTES = 16 << 20
 
 
 def word_counts(df: DataFrame, tokens: Column) -> DataFrame:
@@ -30,13 +37,34 @@ def word_counts(df: DataFrame, tokens: Column) -> DataFrame:
     return df.select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
 
 
+def keras_word_counts(df: DataFrame, text_col: str, group: str | None = None) -> DataFrame:
+    """``(g, word, n)`` over all ``keras_tokens`` of each ``group`` (numbers; without it, all rows are group 0).
+
+    Tasks count the words of some megabytes of text at once and hand on the distinct ones.
+    """
+    ship_package(df.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, texts = batch.column(0).to_numpy(), pc.fill_null(batch.column(1), "")
+            for start, stop in arrow_text.slices(texts, COUNTED_BYTES):
+                own = numbers[start:stop]
+                for g in np.unique(own):
+                    words, n = arrow_text.word_counts(texts.take(pa.array(start + np.flatnonzero(own == g))))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), g, np.int32)), words, n], names=["g", "word", "n"])
+
+    number = F.lit(0) if group is None else F.col(group).cast("int")
+    parts = df.select(number.alias("g"), T.lowercase(text_col).alias("lowered")).mapInArrow(count, "g int, word string, n long")
+    return parts.groupBy("g", "word").agg(F.sum("n").alias("n"))
+
+
 def vocabulary(df: DataFrame, text_col: str, max_words: int = MAX_WORDS) -> DataFrame:
     """``(word, count, id)`` for the ``max_words - 1`` most frequent words of ``text_col``.
 
     A histogram of counts gives the count at which the list is full: words above it are all
     in, and only words with that very count are put in order.
     """
-    counts = materialize(word_counts(df, T.keras_tokens(text_col)))
+    counts = materialize(keras_word_counts(df, text_col).select("word", F.col("n").alias("count")))
     room = max_words - 1
     # One row per distinct count; running totals from the largest down.
     above = F.sum("_n").over(Window.orderBy(F.desc("count")))

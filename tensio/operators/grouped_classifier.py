@@ -28,8 +28,9 @@ from pyspark.sql import types as TY
 
 from tensio.functions import text as T
 from tensio.functions.lexicons import CLASS_WEIGHTS, MAX_WORDS
+from tensio.operators import arrow_text
 from tensio.operators.classify import weight_column
-from tensio.operators.encode import ids_of
+from tensio.operators.encode import ids_of, keras_word_counts
 from tensio.operators.evaluate import argmax_first
 from tensio.operators.partitioning import materialize, share
 
@@ -44,6 +45,9 @@ MEMORY = 7
 #: Groups trained together at most, and partial sums per group that reach the driver at most.
 MAX_GROUPS = 64
 SLOTS = 4
+ID_BYTES = 4
+#: Columns of coded rows.
+NUMBER, IDS = "_no", "_ids"
 
 
 @dataclass
@@ -116,24 +120,81 @@ class GroupedModel:
 
 
 def group_vocabularies(df: DataFrame, group: str, text: str, max_words: int = MAX_WORDS) -> dict:
-    """The ``max_words - 1`` most frequent words of every group, most frequent first, ties by word."""
-    counts = df.select(F.col(group).alias("g"), F.explode(T.keras_tokens(text)).alias("word")).groupBy("g", "word").agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("n"), "word"))
-    top = counts.withColumn("id", place).where(F.col("id") < max_words)
+    """The ``max_words - 1`` most frequent words of every group, most frequent first, ties by word.
+
+    ``group`` holds numbers.  A histogram of counts gives each group's count at which its list is
+    full: words above it are all in, and only words with that very count are put in order.
+    """
+    counts = materialize(keras_word_counts(df, text, group))
+    room = max_words - 1
+    total = F.sum("_words").over(Window.partitionBy("g").orderBy(F.desc("n")))
+    steps = counts.groupBy("g", "n").agg(F.count(F.lit(1)).alias("_words")).withColumn("_total", total)
+    full = steps.where((F.col("_total") > room) & (F.col("_total") - F.col("_words") <= room))
+    edges = [(r["g"], r["n"], room - r["_total"] + r["_words"]) for r in full.collect()]  # one row a group at most
+    above = F.broadcast(df.sparkSession.createDataFrame([e[:2] for e in edges], "_g int, _edge long"))
+    top = counts.join(above, F.col("g") == F.col("_g"), "left").where(F.col("_edge").isNull() | (F.col("n") > F.col("_edge"))).select("g", "word", "n")
+    for g, n, left in edges:
+        if left > 0:
+            top = top.unionByName(counts.where((F.col("g") == g) & (F.col("n") == n)).orderBy("word").limit(left))
     out: dict = {}
-    for r in top.orderBy("g", "id").select("g", "word").collect():  # fewer than max_words rows a group
+    for r in sorted(top.collect(), key=lambda r: (r["g"], -r["n"], r["word"])):  # fewer than max_words rows a group
         out.setdefault(r["g"], []).append(r["word"])
     return out
 
 
-def _logits(ids: pa.ListArray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Scores of each row and class, with the flat ids, their rows and values."""
-    lengths = ids.value_lengths().to_numpy().astype(np.int64)
-    flat = ids.flatten().to_numpy()
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    value = (1 / np.sqrt(np.maximum(lengths, 1)))[owner]
-    z = np.stack([np.bincount(owner, weights=w[flat] * value, minlength=len(lengths)) + w[0] for w in weights], axis=1)
-    return z, flat, owner, value
+def _ids(no: np.ndarray, lowered: pa.Array, words: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """Word ids of all texts, one after the other, and the ids per text; a text of no group (-1) has none."""
+    lowered = pc.fill_null(lowered, "")
+    flat, lengths = [], []
+    for start, stop in arrow_text.slices(lowered):
+        own, ids, rows = no[start:stop], [], []
+        for g in np.unique(own[own >= 0]):
+            at = np.flatnonzero(own == g)
+            ids.append(ids_of(arrow_text.keras_words(lowered.take(pa.array(start + at))), words[g]))
+            rows.append(at)
+        rest = np.flatnonzero(own < 0)
+        ids.append(pa.ListArray.from_arrays(pa.array(np.zeros(len(rest) + 1), pa.int32()), pa.array([], pa.int32())))
+        inorder = pa.concat_arrays(ids).take(pa.array(np.argsort(np.concatenate([*rows, rest]), kind="stable")))
+        flat.append(inorder.flatten().to_numpy())
+        lengths.append(inorder.value_lengths().to_numpy().astype(np.int64))
+    if not flat:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    return np.concatenate(flat), np.concatenate(lengths)
+
+
+def _ids_udf(words):
+    """Word ids as the bytes of 32-bit integers: rows of bytes pass between Spark and Python whole."""
+
+    @F.arrow_udf(TY.BinaryType())
+    def ids(no: pa.Array, lowered: pa.Array) -> pa.Array:
+        flat, lengths = _ids(pc.fill_null(no, -1).to_numpy(), lowered, words.value)
+        ends = np.concatenate([[0], np.cumsum(lengths)]) * ID_BYTES
+        return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat.astype(np.int32).tobytes())])
+
+    return ids
+
+
+def _held_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_ids_udf`` wrote."""
+    if not len(column):
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    column = column.cast(pa.large_binary())
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1] // ID_BYTES
+    flat = np.frombuffer(data, np.int32, int(ends[-1])) if data is not None and ends[-1] else np.zeros(0, np.int32)
+    return flat[ends[0] :].astype(np.intp), np.diff(ends)
+
+
+def _logits(flat: np.ndarray, lengths: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of each row and class, and what each of a row's words counts."""
+    value = 1 / np.sqrt(np.maximum(lengths, 1))
+    z = np.zeros((len(lengths), CLASSES))
+    filled = np.flatnonzero(lengths)
+    if len(filled):
+        starts = (np.cumsum(lengths) - lengths)[filled]
+        for c, w in enumerate(weights):
+            z[filled, c] = np.add.reduceat(w[flat], starts)
+    return z * value[:, None] + weights[:, 0], value
 
 
 def _probabilities(z: np.ndarray) -> np.ndarray:
@@ -158,7 +219,8 @@ def _pass(coded: DataFrame, weights) -> list[tuple]:
                         continue
                     part = batch.take(pa.array(rows))
                     y, weight = part.column(2).to_numpy(), part.column(3).to_numpy()
-                    z, flat, owner, value = _logits(part.column(4), w)
+                    flat, lengths = _held_ids(part.column(4))
+                    z, value = _logits(flat, lengths, w)
                     p = _probabilities(z)
                     sums = held.setdefault((int(g), fold), [0.0, 0.0, None if fold else np.zeros_like(w)])
                     sums[0] -= float((weight * np.log(np.maximum(p[np.arange(len(y)), y], 1e-300))).sum())
@@ -167,7 +229,7 @@ def _pass(coded: DataFrame, weights) -> list[tuple]:
                         p[np.arange(len(y)), y] -= 1
                         p *= weight[:, None]
                         for c in range(CLASSES):
-                            sums[2][c] += np.bincount(flat, weights=p[owner, c] * value, minlength=w.shape[1])
+                            sums[2][c] += np.bincount(flat, weights=np.repeat(p[:, c] * value, lengths), minlength=w.shape[1])
                             sums[2][c, 0] += p[:, c].sum()
         yield from out(held)
 
@@ -194,6 +256,36 @@ def _pass(coded: DataFrame, weights) -> list[tuple]:
     return [tuple(r) for r in summed.collect()]
 
 
+@dataclass
+class Coded:
+    """Rows with their words as ids, written once: every pass and the prediction read them."""
+
+    rows: DataFrame  # the rows with NUMBER (NULL for a group that has no training row) and IDS
+    groups: list
+    words: list[pa.Array]
+
+
+def code(df: DataFrame, group: str, text: str, label: str, validation: str, max_words: int = MAX_WORDS) -> Coded:
+    """Learn the groups' vocabularies from the training rows and code all rows of ``df``."""
+    spark = df.sparkSession
+    fit_rows = df.where(F.col(label).isin(list(range(CLASSES))) & ~F.col(validation))
+    met = fit_rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).limit(MAX_GROUPS + 1).collect()
+    if len(met) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups")
+    groups = sorted((r[group] for r in met), key=lambda g: (g is None, g))
+    vocabularies = group_vocabularies(_numbered(fit_rows, group, groups), NUMBER, text, max_words) if groups else {}
+    words = [pa.array(vocabularies.get(i, []), pa.string()) for i in range(len(groups))]
+    ids = _ids_udf(share(spark, words))
+    rows = _numbered(df, group, groups).withColumn(IDS, ids(NUMBER, T.lowercase(text)))
+    return Coded(materialize(rows), groups, words)
+
+
+def _numbered(df: DataFrame, group: str, groups: list) -> DataFrame:
+    kind = TY.StructType([TY.StructField("_g", df.schema[group].dataType), TY.StructField(NUMBER, TY.IntegerType())])
+    numbers = F.broadcast(df.sparkSession.createDataFrame([(g, i) for i, g in enumerate(groups)], kind))
+    return df.join(numbers, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
+
+
 def train(
     df: DataFrame,
     group: str,
@@ -210,30 +302,23 @@ def train(
     the classes are left out, as are NULL texts' words.  Groups without training rows get no
     model; more than ``MAX_GROUPS`` groups raise ``ValueError``.
     """
-    spark = df.sparkSession
-    fit_rows = df.where(F.col(label).isin(list(range(CLASSES))))
-    vocabularies = group_vocabularies(fit_rows.where(~F.col(validation)), group, text, max_words)
-    met = fit_rows.where(~F.col(validation)).groupBy(group).agg(F.count(F.lit(1)).alias("n")).limit(MAX_GROUPS + 1).collect()
-    if len(met) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups")
-    groups = sorted((r[group] for r in met), key=lambda g: (g is None, g))
-    words = [pa.array(vocabularies.get(g, []), pa.string()) for g in groups]
+    return fit(code(df, group, text, label, validation, max_words), label, validation, class_weights, max_passes)
+
+
+def fit(coded: Coded, label: str, validation: str, class_weights: Mapping[int, float] = CLASS_WEIGHTS, max_passes: int = MAX_PASSES) -> GroupedModel:
+    """``train`` on coded rows."""
+    spark, groups, words = coded.rows.sparkSession, coded.groups, coded.words
     if not groups:
         return GroupedModel([], [], [], [])
-    kind = TY.StructType([TY.StructField("_g", df.schema[group].dataType), TY.StructField("no", TY.IntegerType())])
-    numbers = F.broadcast(spark.createDataFrame([(g, i) for i, g in enumerate(groups)], kind))
-    rows = fit_rows.join(numbers, F.col(group).eqNullSafe(F.col("_g")))
-    sent = share(spark, words)
-    ids = _ids_udf(sent)
-    coded = rows.select("no", F.col(validation).alias("valid"), F.col(label).cast("int").alias("y"), weight_column(label, class_weights).alias("weight"), ids("no", T.keras_tokens(text)).alias("ids"))
-    coded = materialize(coded)
+    known = coded.rows.where(F.col(label).isin(list(range(CLASSES))) & F.col(NUMBER).isNotNull() & F.col(validation).isNotNull())
+    rows = known.select(F.col(NUMBER).alias("no"), F.col(validation).alias("valid"), F.col(label).cast("int").alias("y"), weight_column(label, class_weights).alias("weight"), F.col(IDS).alias("ids"))
 
     states = [GroupState(np.zeros((CLASSES, len(w) + 1))) for w in words]
     history = []
     for number in range(1, max_passes + 1):
         weights = share(spark, [None if s.done else s.weights for s in states])
         sums: dict = {}
-        for g, fold, loss, weight, blob in _pass(coded, weights):
+        for g, fold, loss, weight, blob in _pass(rows.where(F.col("no").isin([i for i, s in enumerate(states) if not s.done])), weights):
             held = sums.setdefault((g, fold), [0.0, 0.0, 0.0])
             held[0], held[1] = held[0] + loss, held[1] + weight
             if blob:
@@ -253,43 +338,36 @@ def train(
     return GroupedModel(groups, words, [s.best for s in states], history)
 
 
-def _ids_udf(words):
-    @F.arrow_udf(TY.ArrayType(TY.IntegerType()))
-    def ids(no: pa.Array, tokens: pa.Array) -> pa.Array:
-        group = pc.fill_null(no, -1).to_numpy()
-        parts, rows = [], []
-        for g in np.unique(group):
-            at = np.flatnonzero(group == g)
-            vocabulary = words.value[g] if g >= 0 else pa.array([], pa.string())
-            parts.append(ids_of(tokens.take(pa.array(at)), vocabulary))
-            rows.append(at)
-        if not parts:
-            return pa.array([], pa.list_(pa.int32()))
-        return pa.concat_arrays(parts).take(pa.array(np.argsort(np.concatenate(rows), kind="stable")))
-
-    return ids
-
-
 def predict(model: GroupedModel, df: DataFrame, group: str, text: str) -> DataFrame:
     """Input columns plus ``p0, p1, p2``, ``predicted`` (first max wins) and ``confidence``.
 
-    A row of a group without a model has equal probabilities.
+    A row of a group without a model has equal probabilities.  Rows that ``code`` has coded for this
+    model are scored by their ids.
     """
-    spark = df.sparkSession
-    words, weights = share(spark, model.words), share(spark, model.weights)
+    words, weights = share(df.sparkSession, model.words), share(df.sparkSession, model.weights)
 
-    @F.arrow_udf(TY.ArrayType(TY.DoubleType()))
-    def score(no: pa.Array, ids: pa.Array) -> pa.Array:
-        group = pc.fill_null(no, -1).to_numpy()
+    def scores(group: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
+        owner = np.repeat(np.arange(len(group)), lengths)
         p = np.full((len(group), CLASSES), 1 / CLASSES)
         for g in np.unique(group[group >= 0]):
-            at = np.flatnonzero(group == g)
-            p[at] = _probabilities(_logits(ids.take(pa.array(at)), weights.value[g])[0])
+            own = group == g
+            p[own] = _probabilities(_logits(flat[own[owner]], lengths[own], weights.value[g])[0])
         return pa.ListArray.from_arrays(pa.array(np.arange(len(group) + 1) * CLASSES, pa.int32()), pa.array(p.ravel()))
 
-    kind = TY.StructType([TY.StructField("_g", df.schema[group].dataType), TY.StructField("_no", TY.IntegerType())])
-    numbers = F.broadcast(spark.createDataFrame([(g, i) for i, g in enumerate(model.groups)], kind))
-    rows = df.join(numbers, F.col(group).eqNullSafe(F.col("_g")), "left").withColumn("_p", score("_no", _ids_udf(words)("_no", T.keras_tokens(text))))
-    out = rows.select(*[F.col(f"`{c}`") for c in df.columns], *[F.get("_p", F.lit(i)).alias(f"p{i}") for i in range(CLASSES)])
+    @F.arrow_udf(TY.ArrayType(TY.DoubleType()))
+    def score(no: pa.Array, lowered: pa.Array) -> pa.Array:
+        group = pc.fill_null(no, -1).to_numpy()
+        return scores(group, *_ids(group, lowered, words.value))
+
+    @F.arrow_udf(TY.ArrayType(TY.DoubleType()))
+    def score_ids(no: pa.Array, ids: pa.Array) -> pa.Array:
+        return scores(pc.fill_null(no, -1).to_numpy(), *_held_ids(ids))
+
+    if IDS in df.columns:
+        rows = df.withColumn("_p", score_ids(NUMBER, IDS))
+    else:
+        rows = _numbered(df, group, model.groups).withColumn("_p", score(NUMBER, T.lowercase(text)))
+    kept = [c for c in df.columns if c not in (IDS, NUMBER)]
+    out = rows.select(*[F.col(f"`{c}`") for c in kept], *[F.get("_p", F.lit(i)).alias(f"p{i}") for i in range(CLASSES)])
     p = [F.col(f"p{i}") for i in range(CLASSES)]
     return out.withColumn("predicted", argmax_first(p)).withColumn("confidence", F.greatest(*p))

@@ -87,8 +87,9 @@ def run_platforms(labelled: DataFrame, key: str, platform: str = "platform", lab
     train = materialize(sampling.balance_groups(split.where("fold = 'train'").drop("fold"), platform, label, key, seed))
     test = split.where("fold = 'test'").drop("fold").withColumn("replica", F.lit(1))
     rows = train.withColumn("held_out", F.lit(False)).unionByName(test.withColumn("held_out", F.lit(True)))
-    model = grouped_classifier.train(rows, platform, CLEAN, label, "held_out")
-    scored = materialize(grouped_classifier.predict(model, rows, platform, CLEAN))
+    coded = grouped_classifier.code(rows, platform, CLEAN, label, "held_out")
+    model = grouped_classifier.fit(coded, label, "held_out")
+    scored = materialize(grouped_classifier.predict(model, coded.rows, platform, CLEAN))
     tested = scored.where("held_out").drop("held_out")
     records = scored.select(F.col(platform).alias("Platform"), CLEAN, "p0", "p1", "p2")
     named = evaluate.prediction_record(records, CLEAN, ["p0", "p1", "p2"], keep=["Platform"])
