@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from tensio.session import ensure_checkpoint_dir, ship_package
 
@@ -46,15 +47,16 @@ def spread_for_cpu(df: DataFrame, min_partitions: int | None = None) -> DataFram
     return df.repartition(want)
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, schema: StructType | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared checkpoint folder and continue from the copy.
 
     Used at stage boundaries whose output is read several times (e.g. the labelled corpus
     that balancing reads), so the upstream cleaning and scoring run once.  Later reads take
     only the columns they need.  The copy lives in ``spark.checkpoint.dir`` (shared storage on
     a cluster), so it survives the loss of an executor; it stays until that folder is cleared.
+    ``schema`` names other types of the same stored form to read it with (a vector's struct).
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)

@@ -47,17 +47,17 @@ def run_sentiment(
     if split_before_balance:
         split = materialize(sampling.stratified_split(base.withColumn("_k", F.col(key).cast("string")), label, "_k", test_fraction, seed))
         train = materialize(sampling.balance_classes(split.filter(F.col("fold") == "train"), label, key, seed))
-        test = split.filter(F.col("fold") == "test").withColumn("replica", F.lit(1))
-        scored_rows = train.drop("fold").unionByName(test.drop("fold"))
+        rows = train.unionByName(split.filter(F.col("fold") == "test").withColumn("replica", F.lit(1)))
     else:
         bal = materialize(_row_key(sampling.balance_classes(base, label, key, seed), key))
         split = materialize(sampling.stratified_split(bal, label, "row_key", test_fraction, seed))
         train = split.filter(F.col("fold") == "train")
-        test = split.filter(F.col("fold") == "test")
-        scored_rows = bal
-    model = classify.train_classifier(train, CLEAN, label)
-    test_pred = classify.predict(model, test)
-    all_pred = classify.predict(model, scored_rows)
+        rows = split
+    features = classify.fit_features(train, CLEAN)
+    coded = classify.with_features(features, rows)  # the training passes and both predictions read it
+    model = classify.fit_classifier(features, coded.filter(F.col("fold") == "train"), label)
+    test_pred = classify.predict(model, coded.filter(F.col("fold") == "test"))
+    all_pred = classify.predict(model, coded.drop("fold"))
     records = evaluate.prediction_record(all_pred, CLEAN, ["p0", "p1", "p2"])
     report = evaluate.classification_report(test_pred, label, "predicted")
     accuracy = evaluate.accuracy(test_pred, label, "predicted")

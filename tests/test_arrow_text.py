@@ -82,3 +82,23 @@ def test_platform_texts_are_coded_once(spark, monkeypatch):
     coded = count_calls(monkeypatch, grouped_classifier, "code")
     sentiment_flow.run_platforms(posts(spark, {"a": 60}), "key")
     assert len(coded) == 1 and grouped_classifier.IDS in read[0]
+
+
+def test_features_are_made_once_and_score_as_the_texts(spark, monkeypatch):
+    """Before, every pass over the texts (two of the training's, each prediction) made the features anew."""
+    made = count_calls(monkeypatch, classify, "with_features")
+    run = sentiment_flow.run_sentiment(posts(spark, {"a": 150}).drop("platform"), "key")
+    assert len(made) == 1 and classify.FEATURES not in run.test.columns
+    got = {r.key: (r.p0, r.p1, r.p2) for r in run.test.collect()}
+    again = {r.key: (r.p0, r.p1, r.p2) for r in classify.predict(run.model, run.test.select("key", "cleaned_text")).collect()}
+    assert got == again and len(got) == 30
+
+
+def test_features_equal_the_ml_stages(spark):
+    rows = [(i, t) for i, t in enumerate(["b a a", "", "  a  x ", "X b\tb", "é é"])]
+    df = spark.createDataFrame(rows, "id int, t string")
+    features = classify.fit_features(df.where("id < 3"), "t", 3)
+    want = {r.id: r[classify.FEATURES] for r in features.transform(df).collect()}
+    assert {r.id: r[classify.FEATURES] for r in classify.with_features(features, df).collect()} == want
+    empty = classify.fit_features(df.where("id = 1"), "t")
+    assert {r[classify.FEATURES] for r in classify.with_features(empty, df).collect()} == {r[classify.FEATURES] for r in empty.transform(df).collect()}
