@@ -130,6 +130,8 @@ def lexicon_scores(
     ``key`` must identify a row of ``df`` (used by the large-lexicon path only).
     """
     lex = normalised(lexicon)
+    if lexicon.limit(broadcast_limit + 1).count() > broadcast_limit:
+        lex = materialize(lex)  # read by the fetch and, if large, by the join
     # one bounded fetch decides the path: more than broadcast_limit rows means "large"
     head = lex.limit(broadcast_limit + 1).collect()
     if len(head) <= broadcast_limit:

@@ -242,8 +242,8 @@ def q_lexicon_sentiment(spark, sf):
 
 def q_lexicon_sentiment_large(spark, sf):
     """A lexicon of all words of the corpus, with repeated words and NULL values, joined to the tokens."""
-    corp = flows.document_corpus(spark, sf)
-    words = corp.select(F.explode(T.space_tokens(CLEAN)).alias("word")).distinct()
+    corp = materialize(flows.document_corpus(spark, sf))  # the lexicon's words and the scores both read it
+    words = materialize(corp.select(F.explode(T.space_tokens(CLEAN)).alias("word")).distinct())
     size = F.length("word")
     first = words.select("word", ((size * 7 % 21 - 10) / 10).alias("polarity"), (size % 11 / 10).alias("subjectivity"))
     again = first.where(size % 3 == 0).select("word", (F.col("polarity") + 0.5).alias("polarity"), F.lit(0.0).alias("subjectivity"))

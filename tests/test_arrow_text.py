@@ -102,3 +102,29 @@ def test_features_equal_the_ml_stages(spark):
     assert {r.id: r[classify.FEATURES] for r in classify.with_features(features, df).collect()} == want
     empty = classify.fit_features(df.where("id = 1"), "t")
     assert {r[classify.FEATURES] for r in classify.with_features(empty, df).collect()} == {r[classify.FEATURES] for r in empty.transform(df).collect()}
+
+
+def test_large_lexicon_cleans_the_corpus_once(spark, monkeypatch):
+    """Before, four jobs cleaned and deduplicated the documents anew."""
+    seen = spark.sparkContext.accumulator(0)
+    real = flows.document_corpus
+
+    def counted(s, d):
+        def run(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        df = real(s, d)
+        return df.mapInArrow(run, df.schema)
+
+    monkeypatch.setattr(flows, "document_corpus", counted)
+    rows = catalog.q_lexicon_sentiment_large(spark, SF001).collect()
+    assert seen.value == len(rows) > 100
+
+
+def test_lexicon_paths_agree_when_written(spark):
+    lexicon = spark.createDataFrame([("w1", 0.5, 0.1), ("w1", 0.2, 0.3), ("w2", None, 0.1), ("w3", -0.25, 1.0)], "word string, polarity double, subjectivity double")
+    df = posts(spark, {"a": 80})
+    got = [sorted(sentiment.lexicon_scores(df, T.space_tokens("cleaned_text"), lexicon, "key", broadcast_limit=n, expression_limit=0).collect()) for n in (1, 2, 3, 100)]
+    assert got[0] == got[1] == got[2] == got[3]
