@@ -14,8 +14,8 @@ Three physical shapes, chosen by the lexicon's size (counted, not assumed):
 * small lexicon (≤ ``broadcast_limit`` words): shipped once per executor as a broadcast
   dictionary and applied to each row's token array by an Arrow-batched pandas UDF — no
   shuffle, the post stays in its partition;
-* large lexicon: tokens are exploded with the post key, joined to the lexicon (Spark picks
-  the join strategy), summed per post and joined back to the posts.
+* large lexicon: tokens are exploded with the post key, joined to the lexicon (hashed,
+  its part of each partition), summed per post and joined back to the posts.
 """
 
 from __future__ import annotations
@@ -146,7 +146,7 @@ def lexicon_scores(
     df = materialize(df)  # read twice below: the rows are cleaned once
     exploded = df.select(F.col(key).alias("_k"), F.explode(tokens).alias("word"))
     sums = (
-        exploded.join(micro, "word")
+        exploded.join(micro.hint("shuffle_hash"), "word")  # words differ, so they spread evenly; the tokens are not sorted
         .groupBy("_k")
         .agg(F.sum("_pu").alias("_sp"), F.sum("_su").alias("_ss"), F.count(F.lit(1)).alias("_n"))
     )
