@@ -12,6 +12,9 @@
    level until one is missing.
 4. The score is a bigram probability smoothed towards the unigram one (Dirichlet prior), all
    counts as the filter gives them back.
+
+There are about as many rows of a chunk and a bucket as the square of the input, so no Python runs
+per such row: their binary columns are cut from, and read back as, one array per batch.
 """
 
 from __future__ import annotations
@@ -90,6 +93,46 @@ def _from_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(_from_planes(blob, np.uint64), dtype=np.uint64)
 
 
+def _places_planes(values: np.ndarray) -> bytes:
+    """Places that mostly grow, as steps (which wrap where they fall)."""
+    return _planes(np.diff(values.astype(np.uint32), prepend=np.uint32(0)))
+
+
+def _from_places(blob: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(blob, np.uint32), dtype=np.uint32)
+
+
+def _cut(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """A binary column whose rows are ``values[edges[i]:edges[i + 1]]``."""
+    ends = (edges * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _uncut(columns: list[pa.Array], kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all rows of the binary columns, and their number per row (none where NULL)."""
+    values, sizes = [np.zeros(0, kind)], [np.zeros(0, np.int64)]
+    for column in columns:
+        _, ends, data = column.buffers()
+        offsets = np.frombuffer(ends, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        if offsets[-1] > offsets[0]:
+            values.append(np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind))
+        sizes.append(np.diff(offsets) // np.dtype(kind).itemsize)
+    return np.concatenate(values), np.concatenate(sizes)
+
+
+def _cut_small(values: np.ndarray, edges: np.ndarray) -> list[pa.Array]:
+    """Integers that are mostly small as two columns: a byte each, and those of 255 or more."""
+    low = np.minimum(values, 255).astype(np.uint8)
+    large = np.flatnonzero(low == 255)
+    return [_cut(low, edges), _cut(values[large].astype(np.uint64), np.searchsorted(large, edges))]
+
+
+def _uncut_small(low: list[pa.Array], large: list[pa.Array]) -> np.ndarray:
+    values = _uncut(low, np.uint8)[0].astype(np.uint64)
+    values[values == 255] = _uncut(large, np.uint64)[0]
+    return values
+
+
 _CHUNK = "chunk long, keys binary, held binary, counts binary, codes binary, hashes binary, times binary"
 
 
@@ -142,12 +185,21 @@ def _pairs(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return distinct, at, each
 
 
-_DEALT = "bucket int, chunk long, hashes binary, times binary, pairs binary, pair_times binary"
+def _pair_times(hashes: np.ndarray, counts: np.ndarray, learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same distinct bigrams, and how often the learnt texts have each."""
+    grams, each = _sequences(hashes, counts)
+    marked = np.sort(grams >> _U(16) << _U(1) | np.repeat(learnt, each).astype(np.uint64))
+    keys = marked >> _U(1)
+    heads = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    return keys[heads], np.add.reduceat(marked & _U(1), heads)
+
+
+_DEALT = "bucket int, chunk long, hashes binary, times binary, more_times binary, pairs binary, steps binary, more_steps binary, pair_times binary, more_pair_times binary"
+_DEALT_NAMES = [f.split()[0] for f in _DEALT.split(", ")]
 
 
 def _dealt(chunks: DataFrame, buckets: int) -> DataFrame:
     """Each chunk's words and bigrams (48-bit hashes) of a bucket with their training counts."""
-    names = [f.split()[0] for f in _DEALT.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,59 +207,75 @@ def _dealt(chunks: DataFrame, buckets: int) -> DataFrame:
                 hashes, times = _from_sorted(r["hashes"]), _from_planes(r["times"], np.uint32)
                 counts = _from_planes(r["counts"], np.uint32).astype(np.int64)
                 learnt = ~np.unpackbits(np.frombuffer(r["held"], np.uint8), count=len(counts)).astype(bool)
-                pairs, at, each = _pairs(hashes[_from_planes(r["codes"], np.uint32)], counts)
-                met = np.bincount(at[np.repeat(learnt, each)], minlength=len(pairs)).astype(np.uint32)
+                pairs, met = _pair_times(hashes[_from_planes(r["codes"], np.uint32)], counts, learnt)
                 edges = np.searchsorted(_buckets(hashes, buckets), np.arange(buckets + 1))
                 ends = np.searchsorted(_buckets(pairs << _U(16), buckets), np.arange(buckets + 1))
-                rows = []
-                for b in np.flatnonzero((np.diff(edges) > 0) | (np.diff(ends) > 0)).tolist():
-                    w, g = slice(edges[b], edges[b + 1]), slice(ends[b], ends[b + 1])
-                    rows.append((b, r["chunk"], _sorted_planes(hashes[w]), _planes(times[w]), _sorted_planes(pairs[g]), _planes(met[g])))
-                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                own = np.flatnonzero((np.diff(edges) > 0) | (np.diff(ends) > 0))
+                edges, ends = np.append(edges[own], len(hashes)), np.append(ends[own], len(pairs))
+                # The upper 16 bits grow slowly along a row: as steps, the first from 0.
+                steps = np.diff(pairs >> _U(32), prepend=_U(0))
+                heads = ends[:-1][np.diff(ends) > 0]
+                steps[heads] = pairs[heads] >> _U(32)
+                columns = [pa.array(own.astype(np.int32)), pa.array(np.full(len(own), r["chunk"])), _cut(hashes, edges), *_cut_small(times, edges)]
+                columns += [_cut(pairs.astype(np.uint32), ends), *_cut_small(steps, ends), *_cut_small(met, ends)]
+                yield pa.RecordBatch.from_arrays(columns, names=_DEALT_NAMES)
 
     return map_arrow(chunks, work, _DEALT)
 
 
-_SUMMED = "folder int, bucket int, chunk long, times binary, hashes binary, pairs binary, bits binary, log int, total long, kinds long"
+_SUMMED = (
+    "folder int, bucket int, bits binary, log int, total long, kinds long, "
+    "chunks binary, word_counts binary, pair_counts binary, words binary, times binary, word_at binary, pairs binary, pair_at binary"
+)
 
 
 def _summed(dealt: DataFrame) -> DataFrame:
-    """Rows with a chunk: the exact corpus counts of its words in this bucket, and its words and
-    bigrams (48 bits of each are all that the filter asks).  Rows without: the bucket's segment of the filter and its figures."""
+    """Per bucket: its segment of the filter and its figures; its chunks with the number of their
+    words and bigrams; the distinct words and bigrams (48 bits of each are all that the filter asks),
+    the words' exact corpus counts, and each chunk's places among them, chunk after chunk."""
     names = [f.split()[0] for f in _SUMMED.split(", ")]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.int32(), *[pa.int64()] * 2]
-
-    def summed(hashes: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        return keys, at, np.bincount(at, np.concatenate(times), len(keys)).astype(np.int64)
-
-    def bucket(b: int, rows: list[tuple]) -> pa.RecordBatch:
-        own = [_from_sorted(r[2]) for r in rows]
-        words, at, times = summed(own, [_from_planes(r[3], np.uint32) for r in rows])
-        grams, _, met = summed([_from_sorted(r[4]) for r in rows], [_from_planes(r[5], np.uint32) for r in rows])
+    kinds = [*[pa.int32()] * 2, pa.binary(), pa.int32(), *[pa.int64()] * 2, *[pa.binary()] * 8]
+
+    def summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        distinct, at = np.unique(keys, return_inverse=True)
+        return distinct, at, np.bincount(at, times, len(distinct)).astype(np.int64)
+
+    def bucket(b: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        of = dict(zip(_DEALT_NAMES, zip(*(r.columns for r in rows), strict=True), strict=True))
+        hashes, word_counts = _uncut(of["hashes"], np.uint64)
+        words, word_at, times = summed(hashes, _uncut_small(of["times"], of["more_times"]))
+        low, pair_counts = _uncut(of["pairs"], np.uint32)
+        steps = _uncut_small(of["steps"], of["more_steps"])
+        high = np.cumsum(steps, dtype=np.uint64)
+        heads = (np.cumsum(pair_counts) - pair_counts)[pair_counts > 0]
+        high -= np.repeat(high[heads] - steps[heads], pair_counts[pair_counts > 0])
+        grams, pair_at, met = summed(high << _U(32) | low, _uncut_small(of["pair_times"], of["more_pair_times"]))
         known, often = times > 0, met >= MIN_BIGRAM
         keys = np.concatenate([words[known] >> _U(16), grams[often]])
         levels = np.concatenate([_levels(times[known]), _levels(met[often])])
         log = segment_log(int(levels.sum()))
-        folder = b // FOLDER_BUCKETS
-        out = [(folder, b, None, None, None, None, segment(keys, levels, log).tobytes(), log, int(times.sum()), int(known.sum()))]
-        start = 0
-        for r, h in zip(rows, own, strict=True):
-            out.append((folder, b, r[1], _planes(times[at[start : start + len(h)]].astype(np.uint64)), _sorted_planes(h >> _U(16)), r[4], None, None, 0, 0))
-            start += len(h)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        chunks = np.concatenate([c.to_numpy() for c in of["chunk"]])
+        out = [b // FOLDER_BUCKETS, b, segment(keys, levels, log).tobytes(), log, int(times.sum()), int(known.sum()), _planes(chunks.astype(np.int64))]
+        out += [_planes(word_counts.astype(np.uint32)), _planes(pair_counts.astype(np.uint32)), _sorted_planes(words >> _U(16)), _planes(times)]
+        out += [_places_planes(word_at), _sorted_planes(grams), _places_planes(pair_at)]
+        return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(out, kinds, strict=True)], names=names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # the rows of one bucket
+        held: list[pa.RecordBatch] = []  # the rows of one bucket
+        last = None
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0][0] != r[0]:
-                    yield bucket(held[0][0], held)
+            own = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+            for start, stop in zip(edges[:-1], edges[1:], strict=True):
+                if stop == start:
+                    continue
+                if held and last != own[start]:
+                    yield bucket(last, held)
                     held = []
-                held.append(r)
+                last = int(own[start])
+                held.append(batch.slice(start, stop - start))
         if held:
-            yield bucket(held[0][0], held)
+            yield bucket(last, held)
 
     ordered = dealt.repartition(partitions(dealt.sparkSession), "bucket").sortWithinPartitions("bucket")
     return map_arrow(ordered, work, _SUMMED)
@@ -227,29 +295,37 @@ def filter_passes(segments: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-_PROBED = "bucket int, chunk long, levels binary, pairs binary"
+_PROBED = "bucket int, chunk long, times binary, more_times binary, levels binary, pairs binary"
 
 
 def _probed(summed: DataFrame) -> DataFrame:
-    """What the filter says of each chunk's words and bigrams, broadcast by segment groups.
+    """What the filter says of each chunk's words and bigrams, broadcast by segment groups, and the
+    words' exact counts.
 
     Every pass is a job of its own, so no two groups are held at once; its rows are appended to
     one written table.
     """
     spark = summed.sparkSession
-    segments = summed.where("log IS NOT NULL").select("folder", "bucket", "log", "bits")
+    segments = summed.select("folder", "bucket", "log", "bits")
     path = stage_path(spark, "probed")
 
     def probing(sent):
+        names = [f.split()[0] for f in _PROBED.split(", ")]
+
+        def bucket(r: dict) -> pa.RecordBatch:
+            bits, log = sent.value[r["bucket"]]
+            levels, pairs = (probe(bits, log, 1, _from_sorted(r[c])).astype(np.uint8) for c in ("words", "pairs"))
+            chunks, word_at = _from_planes(r["chunks"], np.int64), _from_places(r["word_at"])
+            edges, ends = (np.append(0, np.cumsum(_from_planes(r[c], np.uint32).astype(np.int64))) for c in ("word_counts", "pair_counts"))
+            times = _from_planes(r["times"], np.int64)[word_at]
+            columns = [pa.array(np.full(len(chunks), r["bucket"], np.int32)), pa.array(chunks), *_cut_small(times, edges)]
+            columns += [_cut(levels[word_at], edges), _cut(pairs[_from_places(r["pair_at"])], ends)]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                levels, pairs = [], []
-                for b, hashes, grams in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-                    bits, log = sent.value[b]
-                    levels.append(_planes(probe(bits, log, 1, _from_sorted(hashes)).astype(np.uint8)))
-                    pairs.append(_planes(probe(bits, log, 1, _from_sorted(grams)).astype(np.uint8)))
-                columns = [*batch.columns[:2], pa.array(levels, pa.binary()), pa.array(pairs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _PROBED.split(", ")])
+                for i in range(batch.num_rows):
+                    yield bucket(batch.slice(i, 1).to_pylist()[0])
 
         return work
 
@@ -259,10 +335,10 @@ def _probed(summed: DataFrame) -> DataFrame:
         table = segments.where(mine).toArrow()  # at most GROUP_BYTES, or one segment
         group = {b: (np.frombuffer(bits, np.uint8), log) for b, log, bits in zip(*(table.column(c).to_pylist() for c in ("bucket", "log", "bits")), strict=True)}
         sent = share(spark, group)
-        rows = summed.where(mine & F.col("log").isNull()).select("bucket", "chunk", "hashes", "pairs")
+        rows = summed.where(mine).drop("folder", "bits", "log", "total", "kinds")
         map_arrow(rows, probing(sent), _PROBED).write.mode("append").parquet(path)
-        if hasattr(sent, "unpersist"):
-            sent.unpersist()
+        if hasattr(sent, "destroy"):
+            sent.destroy()  # its file too: the segments together have no bound
     return spark.read.schema(_PROBED).parquet(path) if passes else spark.createDataFrame([], _PROBED)
 
 
@@ -355,31 +431,27 @@ def with_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The rows of a chunk follow each other: the chunk first, then bucket by bucket its exact counts
         # and what the filter says.
-        row, parts, times = None, [], None
+        row, parts = None, []
 
         def done() -> pa.RecordBatch:
-            exact, levels, pairs = (np.concatenate(p) for p in zip(*parts, strict=True))
-            return score(row, exact.astype(np.float64), levels, pairs)
+            times, more, levels, pairs = ([p.column(c) for p in parts] for c in ("times", "more_times", "levels", "pairs"))
+            return score(row, _uncut_small(times, more).astype(np.float64), _uncut(levels, np.uint8)[0], _uncut(pairs, np.uint8)[0])
 
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["bucket"] < 0:
-                    if row is not None:
-                        yield done()
-                    row, parts = r, []
-                elif r["times"] is not None:
-                    times = _from_planes(r["times"], np.uint64)
-                else:
-                    parts.append((times, _from_planes(r["levels"], np.uint8), _from_planes(r["pairs"], np.uint8)))
+            heads = np.flatnonzero(batch.column("bucket").to_numpy() < 0).tolist()
+            if row is not None:
+                parts.append(batch.slice(0, heads[0] if heads else batch.num_rows))
+            for head, stop in zip(heads, [*heads[1:], batch.num_rows], strict=True):
+                if row is not None:
+                    yield done()
+                row, parts = batch.slice(head, 1).to_pylist()[0], [batch.slice(head + 1, stop - head - 1)]
         if row is not None:
             yield done()
 
     empty = F.lit(None).cast("binary")
-    coded = chunks.select("chunk", F.lit(-1).alias("bucket"), "keys", "held", "counts", "codes", "hashes", *[empty.alias(c) for c in ("times", "levels", "pairs")])
-    nothing = [empty.alias(c) for c in ("keys", "held", "counts", "codes", "hashes")]
-    exact = summed.where("chunk IS NOT NULL").select("chunk", "bucket", *nothing, "times", empty.alias("levels"), empty.alias("pairs"))
-    found = probed.select("chunk", "bucket", *nothing, empty.alias("times"), "levels", "pairs")
-    order = ["chunk", "bucket", F.col("times").isNull()]
-    both = coded.unionByName(exact).unionByName(found).repartition(partitions(spark), "chunk").sortWithinPartitions(*order)
+    nothing = {c: empty.alias(c) for c in ("keys", "held", "counts", "codes", "hashes", "times", "more_times", "levels", "pairs")}
+    coded = chunks.select("chunk", F.lit(-1).alias("bucket"), *list(nothing)[:5], *list(nothing.values())[5:])
+    found = probed.select("chunk", "bucket", *list(nothing.values())[:5], *list(nothing)[5:])
+    both = coded.unionByName(found).repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "bucket")
     fields = f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return map_arrow(both, work, fields).withColumnRenamed("key", key)

@@ -1,4 +1,5 @@
 import math
+import os
 import zlib
 from collections import Counter
 
@@ -149,3 +150,48 @@ def test_bigrams_met_once_count(spark):
         met = {**count, "<s>": len(learnt)}
         want = sum(math.log10((pairs[a, b] + L.PRIOR * (count[b] + 0.1) / mass) / (met[a] + L.PRIOR)) for a, b in zip(["<s>", *w], [*w, "</s>"], strict=True))
         assert abs(r.score - want) <= 0.05 * r.n_tokens
+
+
+def test_columns_are_cut_and_read_back():
+    rng = np.random.default_rng(8)
+    values = rng.choice(np.array([0, 1, 254, 255, 256, 1 << 40], np.uint64), 500)
+    sizes = rng.integers(0, 9, 100)
+    edges = np.append(0, np.cumsum(sizes))
+    values = values[: edges[-1]]
+    low, large = L._cut_small(values, edges)
+    parts = [(0, 0), (0, 37), (37, 1), (38, 62)]
+    assert L._uncut_small([low.slice(*p) for p in parts], [large.slice(*p) for p in parts]).tolist() == values.tolist()
+    back, each = L._uncut([L._cut(values, edges).slice(*p) for p in parts], np.uint64)
+    assert back.tolist() == values.tolist() and each.tolist() == sizes.tolist()
+    assert [len(x) for x in L._uncut([], np.uint8)] == [0, 0]
+    places = np.concatenate([np.arange(3, 2000, 7), [0, 0, 5], np.arange(50)])
+    assert L._from_places(L._places_planes(places)).tolist() == places.tolist()
+
+
+def test_a_bucket_is_one_row(spark):
+    """However many chunks there are, each n-gram of a bucket is stored, and probed, once."""
+    buckets, n = 6, 40
+    texts = [(i, " ".join(f"w{(i * 37 + k * (i + 1)) % 97}" for k in range(60)), i % 3 == 0) for i in range(n)]
+    df = spark.createDataFrame(texts, "key long, __text string, held boolean").repartition(n, "key").select("__text", "key", "held")
+    chunks = L._coded(df).cache()
+    assert chunks.count() > 2 * buckets
+    rows = L._summed(L._dealt(chunks, buckets)).collect()
+    assert sorted(r.bucket for r in rows) == list(range(buckets))
+    count, pairs, words = Counter(), set(), set()
+    for _, t, held in texts:
+        words |= set(t.split())
+        pairs |= set(zip(["<s>", *t.split()], [*t.split(), "</s>"], strict=True))
+        count.update([] if held else t.split())
+    assert sum(len(L._from_sorted(r.words)) for r in rows) == len(words)
+    assert sum(len(L._from_sorted(r.pairs)) for r in rows) == len(pairs)
+    assert sorted(np.concatenate([L._from_planes(r.times, np.int64) for r in rows])) == sorted(count[w] for w in words)
+    assert sum(r.total for r in rows) == count.total() and sum(r.kinds for r in rows) == len(count)
+
+
+def test_segments_do_not_stay(spark, monkeypatch):
+    """The files of a pass's broadcast go with the pass: the segments together have no bound."""
+    sent = []
+    share = L.share
+    monkeypatch.setattr(L, "share", lambda s, v: sent.append(share(s, v)) or sent[-1])
+    L.with_scores(docs_of(spark)).collect()
+    assert sent and not any(os.path.exists(b._path) for b in sent)
