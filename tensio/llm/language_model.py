@@ -20,11 +20,12 @@ per such row: their binary columns are cut from, and read back as, one array per
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tensio.llm import words as W
@@ -281,6 +282,19 @@ def _summed(dealt: DataFrame) -> DataFrame:
     return map_arrow(ordered, work, _SUMMED)
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Writes inside the ``with`` block drop their shuffle files at their end.  The written table needs
+    them no more, and else they stay until the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def filter_passes(segments: list[tuple[int, int]]) -> list[list[int]]:
     """Buckets of each pass, from ``(bucket, log)``: at most ``GROUP_BYTES`` of segments, or one."""
     out: list[list[int]] = []
@@ -397,7 +411,8 @@ def with_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     buckets = max(2 * partitions(spark), -(-int(size) // BUCKET_BYTES))
     chunks = staged(_coded(source), "chunks")
     path = stage_path(spark, "summed")
-    _summed(_dealt(chunks, buckets)).write.partitionBy("folder").parquet(path)
+    with _shuffles_dropped(spark):
+        _summed(_dealt(chunks, buckets)).write.partitionBy("folder").parquet(path)
     summed = spark.read.schema(_SUMMED).parquet(path)
     probed = _probed(summed)
     figures = summed.agg(F.sum("total"), F.sum("kinds")).first()
@@ -441,7 +456,7 @@ def with_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
             heads = np.flatnonzero(batch.column("bucket").to_numpy() < 0).tolist()
             if row is not None:
                 parts.append(batch.slice(0, heads[0] if heads else batch.num_rows))
-            for head, stop in zip(heads, [*heads[1:], batch.num_rows], strict=True):
+            for head, stop in zip(heads, [*heads, batch.num_rows][1:], strict=True):
                 if row is not None:
                     yield done()
                 row, parts = batch.slice(head, 1).to_pylist()[0], [batch.slice(head + 1, stop - head - 1)]

@@ -1,5 +1,6 @@
 import math
 import os
+import time
 import zlib
 from collections import Counter
 
@@ -195,3 +196,35 @@ def test_segments_do_not_stay(spark, monkeypatch):
     monkeypatch.setattr(L, "share", lambda s, v: sent.append(share(s, v)) or sent[-1])
     L.with_scores(docs_of(spark)).collect()
     assert sent and not any(os.path.exists(b._path) for b in sent)
+
+
+def test_chunks_longer_than_a_batch(spark):
+    """A chunk's rows may fill several batches, with none of its first row in the last ones."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "3")
+    try:
+        check(L.with_scores(edge_rows(spark)).collect(), TEXTS, 0.05)
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_shuffles_do_not_stay(spark, monkeypatch):
+    """What buckets are summed from is gone when they are written."""
+    dirs = [d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffles = lambda: {f for d in dirs for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+    seen = []
+    dealt, probed = L._dealt, L._probed
+
+    def until_none(summed):
+        for _ in range(50):  # files go in the background
+            if not (left := shuffles() - seen[0]):
+                break
+            time.sleep(0.1)
+        seen.append(left)
+        return probed(summed)
+
+    monkeypatch.setattr(L, "_dealt", lambda chunks, buckets: seen.append(shuffles()) or dealt(chunks, buckets))
+    monkeypatch.setattr(L, "_probed", until_none)
+    L.with_scores(docs_of(spark))
+    assert seen[1] == set()
